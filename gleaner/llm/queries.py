@@ -6,16 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import minhash, mixing, tokenbits, tokencounts
 from .shared import table
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer file that the token queries use, as a path on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbits.token_output(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_totals(table(spark, sf_dir, "documents"), {tokencounts.WORDS: "", "word_bpe_49k": tokenizer_path()})
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_output, op4_token_counts, op9_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
