@@ -7,8 +7,8 @@ gains what the other loses, in words) until one is taken or left, with probabili
 that keep each document's expected copies.  Documents are dealt by hash into blocks of
 about BLOCK; a block is one fold that ends with at most one open document, and open
 documents of many blocks are blocks of the next level, until a source is one block.
-The last open document of a source is rounded by itself, so a source misses its target
-by less than one document.
+The last open document of a source goes to its nearer side, so a source misses its
+target by at most half a document.
 
 Draws are hashes of the two documents and a seed, so reruns agree.
 
@@ -82,7 +82,7 @@ def _fold(items: str, last: str) -> str:
             when {whole('p.x.f')} then named_struct('out', array_append(a.out, {item('p.x', 'round(p.x.f)')}), 'open', p.y)
             else named_struct('out', array_append(a.out, {item('p.y', 'round(p.y.f)')}), 'open', p.x) end)[0] end"""
     start = f"named_struct('out', cast(array() as array<{ITEM}>), 'open', {none})"
-    alone = f"(pmod(xxhash64(s.open.d, s.open.u, {SEED} + 1), 1000003) + 0.5D) / 1000003 < s.open.f"
+    alone = "s.open.f >= 0.5D"
     finish = f"""s -> case when {last} and s.open is not null
         then named_struct('out', array_append(s.out, {item('s.open', f'if({alone}, 1, 0)')}), 'open', {none}) else s end"""
     return f"aggregate({items}, {start}, (a, y) -> {step}, {finish})"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, tokenbits, tokencounts
+from . import minhash, mixing, tokenbits, tokencounts, toxicity
 from .shared import table
 
 
@@ -33,8 +33,12 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_output, op4_token_counts, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_output, op4_token_counts, op9_source_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
