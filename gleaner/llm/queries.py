@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, tokenbits, tokencounts, toxicity
+from . import decontam, minhash, mixing, tokenbits, tokencounts, toxicity
 from .shared import table
 
 
@@ -29,6 +29,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_totals(table(spark, sf_dir, "documents"), {tokencounts.WORDS: "", "word_bpe_49k": tokenizer_path()})
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_output, op4_token_counts, op9_source_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_output, op4_token_counts, op8_benchmark_decontamination, op9_source_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
