@@ -130,16 +130,20 @@ class Benchmark:
         kinds, which, n = np.unique(pair, return_inverse=True, return_counts=True)
         good = (n >= self.least[kinds % len(self.items)])[which]
         at, item, pos, row = at[good], item[good], pos[good], row[good]
+        which = which[good]
         step = self.edits[item] + 1
         band = (at - pos - offsets[row]) // step
-        both = np.stack([np.tile(row, 2), np.tile(item, 2), np.append(band, band - 1), np.tile(pos, 2)])
-        both = np.unique(both, axis=1)[:3]
-        if not both.shape[1]:
+        if not len(band):
             return np.zeros((0, 3), np.int64)
-        kinds, n = np.unique(both, axis=1, return_counts=True)
-        kinds = kinds[:, n >= self.least[kinds[1]]]
-        kinds[2] *= self.edits[kinds[1]] + 1
-        return kinds.T
+        low, span = int(band.min()) - 1, int(band.max() - band.min()) + 2
+        long = int(self.length.max())
+        key = np.append(which * span + (band - low), which * span + (band - 1 - low))
+        key = np.unique(key * long + np.tile(pos, 2)) // long
+        key, n = np.unique(key, return_counts=True)
+        kind, band = kinds[key // span], key % span + low
+        item = kind % len(self.items)
+        good = n >= self.least[item]
+        return np.stack([kind // len(self.items), item, band * (self.edits[item] + 1)], 1)[good]
 
     def found(self, norm: Normaliser, words: Words, texts: pa.Array) -> list[list[int]]:
         """Item numbers that each row holds."""

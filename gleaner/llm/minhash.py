@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import Words, shingle_sets, slices
@@ -207,8 +207,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: one of each component, every row without words or id."""
-    decided = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), (F.col("n_shingles") > 0).alias("__one")).where("__id is not null").groupBy("__id").agg(F.max("__one").alias("__one"))
-    names = docs.columns
+    decided = near_duplicates(docs).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("n_shingles") > 0).alias("__one"))
     joined = docs.join(decided, docs["doc_id"] == decided["__id"], "left").where("__id is not null or doc_id is null")
-    once = joined.where("__one").dropDuplicates(["doc_id"])
-    return once.unionByName(joined.where("not coalesce(__one, false)")).select(*names)
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return joined.withColumn("__no", number).where("__no = 1 or not coalesce(__one, false)").select(*docs.columns)

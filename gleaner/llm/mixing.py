@@ -33,7 +33,11 @@ SEED = 7
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", F.coalesce(F.expr(f"regexp_count(text, r'{WORD}')"), F.lit(0)).cast("long"))
+    return docs.withColumn("size", sized_text())
+
+
+def sized_text():
+    return F.coalesce(F.expr(f"regexp_count(text, r'{WORD}')"), F.lit(0)).cast("long")
 
 
 def source_targets(rows: DataFrame) -> DataFrame:
@@ -118,3 +122,17 @@ def mix(docs: DataFrame) -> DataFrame:
         out = out.unionByName(more)
     taken = ((F.col("whole") + F.col("x.f")) * F.col("x.z")).cast("long")
     return out.select(F.when(F.col("x.u") == 0, F.col("x.d")).alias("doc_id"), F.col("x.z").alias("size"), "source_size", "target", taken.alias("taken"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it takes it, with their columns.
+
+    Rows without words are taken as often as the rounded copies of their source say at
+    least.  Rows alike in id, size and source are taken alike.
+    """
+    names = docs.columns
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__z": sized_text()})
+    taken = mix(docs).groupBy(F.col("doc_id").alias("__i"), F.col("size").alias("__s"), F.col("source_size").alias("__t")).agg(F.max(F.expr("if(size = 0, if(source_size = 0, 1, floor(target / source_size)), taken div size)")).cast("int").alias("__n"))
+    taken = taken.groupBy("__i", "__s").agg(F.max("__n").alias("__n"))
+    joined = rows.join(taken, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__z") == F.col("__s")))
+    return joined.where("__n > 0").withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*names)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash, mixing, tokenbits, tokencounts, toxicity
+from . import chat, decontam, minhash, mixing, mtree, tokenbits, tokencounts, toxicity
 from .shared import table
 
 
@@ -25,10 +25,18 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbits.token_output(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_totals(table(spark, sf_dir, "documents"), {tokencounts.WORDS: "", "word_bpe_49k": tokenizer_path()})
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digests(table(spark, sf_dir, "conversations"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,8 +50,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_output, op4_token_counts, op8_benchmark_decontamination, op9_source_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_output, op3_exact_top_k, op4_token_counts, op7_chat_formatting, op8_benchmark_decontamination, op9_source_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_top_k": mtree.ORACLE, "op7_chat_formatting": chat.ORACLE}
