@@ -1,15 +1,574 @@
-"""Registered retrieval queries over the test tables, each with its SQL."""
+"""Registered retrieval queries over the test tables, each with its SQL.
+
+The test tables stand in for a corpus: ``documents`` are texts, ``embeddings`` their
+vectors (vec_id = doc_id), and orders with their lines are legal documents: a customer
+is a document, an order an article (with a heading chunk), a line a clause, and every
+even line a point of its clause.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gleaner.functions import scores, text
+from gleaner.operators import chunking, dense, drafts, entities, evidence, expand, extract, fusion, lexical, orgs
+from gleaner.sources import corpus
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERY = "the loser of this eran and the tionre"
+RARE = "loser clown tionre"
+K, POOL = 20, 200
+
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
 
-from pyspark.sql import DataFrame, SparkSession
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("seq"), "text")
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), "embedding")
+
+
+def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    """The vector of vec_id 0: one row."""
+    return list(vectors(spark, sf_dir).where("id = 0").select("embedding").first()[0])
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clause and heading chunks of the orders: (chunk_id, seq, document_id, article, clause, point, text, part, price)."""
+    item, order = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"))
+    joined = item.join(order, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("n", number)
+    document = F.concat(F.lit("cust"), F.col("o_custkey").cast("string"))
+    article = F.concat(F.lit("Điều "), F.col("o_orderkey").cast("string"))
+    clause = F.concat(F.lit("Khoản "), F.col("n").cast("string"))
+    body = joined.select(
+        document.alias("document_id"), article.alias("article"), clause.alias("clause"), F.when(F.col("n") % 2 == 0, "Điểm a").alias("point"),
+        (F.col("l_orderkey") * 1000 + F.col("n")).alias("seq"), F.concat_ws(" ", F.lit("part"), F.col("l_partkey").cast("string"), F.lit("supplier"), F.col("l_suppkey").cast("string")).alias("text"),
+        F.concat(F.lit("concept::"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string")).alias("part"), F.col("l_extendedprice").alias("price"),
+    )
+    head = order.select(
+        document.alias("document_id"), article.alias("article"), F.lit(None).cast("string").alias("clause"), F.lit(None).cast("string").alias("point"),
+        (F.col("o_orderkey") * 1000).alias("seq"), article.alias("text"), F.lit(None).cast("string").alias("part"), F.lit(None).cast("double").alias("price"),
+    )
+    both = body.unionByName(head)
+    return both.withColumn("chunk_id", chunking.chunk_id(F.col("document_id"), F.col("article"), F.col("clause"), F.col("point")))
+
+
+LINES = """
+numbered as (
+    select *, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate) as n
+    from lineitem join orders on l_orderkey = o_orderkey
+), lines as (
+    select 'cust' || o_custkey as document_id, 'Điều ' || o_orderkey as article, 'Khoản ' || n as clause, case when n % 2 = 0 then 'Điểm a' end as point,
+        l_orderkey * 1000 + n as seq, 'part ' || l_partkey || ' supplier ' || l_suppkey as text, 'concept::' || l_partkey || '-' || l_suppkey as part,
+        l_extendedprice as price, 'cust' || o_custkey || '::Điều' || o_orderkey || '::Khoản' || n || case when n % 2 = 0 then '::Điểma' else '' end as chunk_id
+    from numbered
+    union all
+    select 'cust' || o_custkey, 'Điều ' || o_orderkey, null, null, o_orderkey * 1000, 'Điều ' || o_orderkey, null, null, 'cust' || o_custkey || '::Điều' || o_orderkey
+    from orders
+)"""
+
+TOKENS = r"""
+tokens as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as term from documents),
+tf as (select doc_id, term, count(*) as tf from tokens group by all),
+dl as (select d.doc_id, coalesce(n, 0) as dl from documents d left join (select doc_id, count(*) as n from tokens group by 1) using (doc_id)),
+tot as (select count(*) as n, avg(dl) as avgdl from dl),
+df as (select term, count(*) as df from tf group by 1),
+raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from df, tot),
+idf as (select term, df, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw)"""
+
+
+def bm25_sql(words: str, name: str, k: int) -> str:
+    return rf"""
+{name}_q as (select term, count(*) as qtf from (select unnest(regexp_extract_all(lower('{words}'), '[\p{{L}}\p{{N}}_]+')) as term) group by 1),
+{name}_s as (
+    select doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score
+    from {name}_q join idf using (term) join tf using (term) join dl using (doc_id), tot group by 1
+), {name} as (
+    select doc_id as id, score, row_number() over (order by score desc, doc_id) as rank
+    from (select doc_id, coalesce(score, 0) as score from dl left join {name}_s using (doc_id)) order by rank limit {k}
+)"""
+
+
+def cosine_sql(k: int) -> str:
+    return f"""
+q as (select embedding as e from embeddings where vec_id = 0),
+cos as (
+    select vec_id as id, score, row_number() over (order by score desc, vec_id) as rank
+    from (select vec_id, round(coalesce(list_cosine_similarity(embedding::double[], e::double[]), 0), 12) as score from embeddings, q) order by rank limit {k}
+)"""
+
+
+FUSED = """
+fused as (
+    select coalesce(b.id, c.id) as id, b.rank as lexical_rank, c.rank as dense_rank, coalesce(1.0::double / (60 + b.rank), 0) + coalesce(1.0::double / (60 + c.rank), 0) as score
+    from bm b full join cos c on b.id = c.id
+)"""
+
+
+# ---- scalars and documents ----
+
+
+@query(r"select term, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as term from documents) group by term")
+def tokenize_counts(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(text.tokens(F.col("text"))).alias("term"))
+    return words.groupBy("term").agg(F.count("*").alias("n"))
+
+
+def raw_rows(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    kind = F.expr("element_at(array(' Law ', 'code', 'CONSTITUTION', 'decree', cast(null as string)), cast(doc_id % 5 as int) + 1)")
+    return d.select(
+        F.col("doc_id").alias("seq"), F.concat(F.lit("d"), (F.col("doc_id") % 500).cast("string")).alias("id"), F.when(F.col("doc_id") % 7 > 0, F.col("source")).otherwise("").alias("title"),
+        kind.alias("type"), F.when(F.col("doc_id") % 11 == 0, " \n ").otherwise(F.col("text")).alias("content"),
+    )
+
+
+RAW = """
+raw_rows as (
+    select doc_id as seq, 'd' || (doc_id % 500) as id, case when doc_id % 7 > 0 then source else '' end as title,
+        ([' Law ', 'code', 'CONSTITUTION', 'decree', null])[doc_id % 5 + 1] as type, doc_id % 11 = 0 as blank from documents
+)"""
+
+
+@query(f"""with {RAW} select seq, id as document_id, coalesce(nullif(title, ''), id) as title,
+    case when lower(trim(type)) = 'law' then 'luat' else 'other' end as document_type, 'unknown' as status from raw_rows where not blank""")
+def doc_map(spark, sf_dir):
+    return corpus.documents(raw_rows(spark, sf_dir)).select("seq", "document_id", "title", "document_type", "status")
+
+
+@query(f"with {RAW} select id, min(seq) as seq from raw_rows where not blank and id not in ('d7', 'd13') group by id")
+def usable_ids(spark, sf_dir):
+    return corpus.usable(raw_rows(spark, sf_dir), skip=("d7", "d13")).select("id", "seq")
+
+
+WANTED = [f"d{i * 37 % 200}" for i in range(40)]
+
+
+@query(f"""with {RAW}, w as (select unnest({WANTED}) as id, generate_subscripts({WANTED}, 1) - 1 as pos)
+    select w.pos, w.id, max(seq) as seq from w join raw_rows using (id) group by all""")
+def keyed_select(spark, sf_dir):
+    return corpus.keyed_select(raw_rows(spark, sf_dir), WANTED).select("pos", "id", "seq")
+
+
+def dated(spark, sf_dir) -> DataFrame:
+    """Orders as texts that name one day, two days, or a day that does not exist."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    say = lambda d: F.concat(F.lit("luật này có hiệu lực thi hành từ ngày "), F.day(d).cast("string"), F.lit(" tháng "), F.month(d).cast("string"), F.lit(" năm "), F.year(d).cast("string"), F.lit(".\n"))
+    bad = F.lit("Luật này có hiệu lực thi hành từ ngày 31 tháng 2 năm 2020. ")
+    more = F.when(F.col("o_orderkey") % 5 == 0, say(F.date_add("d", 1))).when(F.col("o_orderkey") % 5 == 1, bad).when(F.col("o_orderkey") % 5 == 2, say(F.col("d"))).otherwise("")
+    return o.select("o_orderkey", F.when(F.col("o_orderkey") % 13 == 0, bad).otherwise(F.concat(say(F.col("d")), more)).alias("content"))
+
+
+DATED = "select o_orderkey, case when o_orderkey % 13 != 0 and o_orderkey % 5 != 0 then o_orderdate::date end as effective_date from orders"
+
+
+@query(DATED)
+def effective_date(spark, sf_dir):
+    return dated(spark, sf_dir).select("o_orderkey", text.effective_date(F.col("content")).alias("effective_date"))
+
+
+@query(f"select o_orderkey, case when effective_date > date '1996-01-01' then 'future' else 'unknown' end as status from ({DATED})")
+def status_as_of(spark, sf_dir):
+    return effective_date(spark, sf_dir).select("o_orderkey", text.status_as_of(F.col("effective_date"), date(1996, 1, 1)).alias("status"))
+
+
+@query("""select doc_id, md5(case when doc_id % 3 = 2 then b else '{"n": ' || doc_id || '}' end) as body
+    from (select doc_id, 'text ' || source as b from documents)""")
+def strip_fences(spark, sf_dir):
+    body = F.concat(F.lit('{"n": '), F.col("doc_id").cast("string"), F.lit("}"))
+    fenced = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" ```json\n"), body, F.lit("\n``` ")))
+    fenced = fenced.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("```\n"), body, F.lit("```"))).otherwise(F.concat(F.lit(" text "), F.col("source"), F.lit("\n")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.unfenced(fenced).cast("binary")).alias("body"))
+
+
+# ---- chunks ----
+
+
+def rendered(spark, sf_dir) -> DataFrame:
+    """Customers as hierarchical texts: orders are articles, lines clauses, each with two points."""
+    item, order = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"))
+    clause = F.concat(F.col("n").cast("string"), F.lit(". line\na) part "), F.col("l_partkey").cast("string"), F.lit("\nđ) supplier "), F.col("l_suppkey").cast("string"))
+    body = item.withColumn("n", number).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("n", clause.alias("t")))).alias("c"))
+    body = body.select("l_orderkey", F.array_join(F.transform("c", lambda c: c["t"]), "\n").alias("clauses"))
+    joined = order.join(body, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    article = F.concat_ws("\n", F.concat(F.lit("Điều "), F.col("o_orderkey").cast("string"), F.lit(". "), "o_orderpriority"), "clauses")
+    docs = joined.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", article.alias("t")))).alias("a"))
+    content = F.concat(F.lit("front matter\n"), F.array_join(F.transform("a", lambda a: a["t"]), "\n"))
+    return docs.select(F.col("o_custkey").alias("seq"), F.concat(F.lit("cust"), F.col("o_custkey").cast("string")).alias("document_id"), content.alias("content"))
+
+
+@query("""with n as (
+    select *, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate) as n
+    from lineitem join orders on l_orderkey = o_orderkey
+), c as (select 'cust' || o_custkey as d, 'Điều ' || o_orderkey as a, 'Khoản ' || n as k, *, 'cust' || o_custkey || '::Điều' || o_orderkey as id from n)
+select distinct 'cust' || o_custkey || '::body' as chunk_id, null as article, null as clause, null as point, 'front matter' as text from orders
+union all select 'cust' || o_custkey || '::Điều' || o_orderkey, 'Điều ' || o_orderkey, null, null, 'Điều ' || o_orderkey || '. ' || o_orderpriority from orders
+union all select id || '::Khoản' || n, a, k, null, n || '. line' from c
+union all select id || '::Khoản' || n || '::Điểma', a, k, 'Điểm a', 'a) part ' || l_partkey from c
+union all select id || '::Khoản' || n || '::Điểmđ', a, k, 'Điểm đ', 'đ) supplier ' || l_suppkey from c""")
+def chunk_roundtrip(spark, sf_dir):
+    return chunking.chunk_documents(rendered(spark, sf_dir)).select("chunk_id", "article", "clause", "point", "text")
+
+
+@query(f"""with {LINES} select chunk_id, case when clause is null then article else concat_ws(', ', article, clause, point) end as citation from lines""")
+def citation_path(spark, sf_dir):
+    return lines(spark, sf_dir).select("chunk_id", text.citation_path(F.col("article"), F.col("clause"), F.col("point")).alias("citation"))
+
+
+@query("select min(doc_id) as doc_id, md5(text) as digest from documents group by text")
+def dedup_keep_first(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return chunking.keep_first(d, "digest", "doc_id")
+
+
+# ---- lexical, dense, fusion ----
+
+
+@query(f"with {TOKENS} select term, df, round(idf, 6) as idf from idf")
+def bm25_idf(spark, sf_dir):
+    return lexical.build(texts(spark, sf_dir)).idf.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def bm25(spark, sf_dir, words, k):
+    return lexical.top_k(lexical.build(texts(spark, sf_dir)), words, k)
+
+
+@query(f"with {TOKENS}, {bm25_sql(QUERY, 'bm', K)} select id, rank::int as rank, round(score, 6) as score from bm")
+def bm25_topk(spark, sf_dir):
+    return bm25(spark, sf_dir, QUERY, K).select("id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"with {TOKENS}, {bm25_sql(RARE, 'bm', POOL)} select id, rank::int as rank, round(score, 6) as score from bm")
+def bm25_zero_fill(spark, sf_dir):
+    return bm25(spark, sf_dir, RARE, POOL).select("id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"with {cosine_sql(K)} select id, rank::int as rank, round(score, 6) as score from cos")
+def cosine_topk(spark, sf_dir):
+    return dense.top_k(vectors(spark, sf_dir), query_vector(spark, sf_dir), K).select("id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"with {cosine_sql(K)} select id, rank::int as rank, round(score, 6) as score from cos")
+def inner_product_topk(spark, sf_dir):
+    index = dense.normalised(vectors(spark, sf_dir))
+    return dense.inner_product_top_k(index, query_vector(spark, sf_dir), K).select("id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("select vec_id as id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) as norm from embeddings")
+def vector_norms(spark, sf_dir):
+    return vectors(spark, sf_dir).select("id", F.round(scores.norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query(f"with {TOKENS}, {bm25_sql(QUERY, 'bm', POOL)}, {cosine_sql(POOL)}, {FUSED} select id, lexical_rank::int as lexical_rank, dense_rank::int as dense_rank, round(score, 9) as score from fused")
+def rrf_fuse(spark, sf_dir):
+    fused = fusion.fuse(bm25(spark, sf_dir, QUERY, POOL), dense.top_k(vectors(spark, sf_dir), query_vector(spark, sf_dir), POOL))
+    return fused.select("id", "lexical_rank", "dense_rank", F.round("score", 9).alias("score"))
+
+
+def hybrid(spark, sf_dir, k):
+    return fusion.hybrid(lexical.build(texts(spark, sf_dir)), vectors(spark, sf_dir), QUERY, query_vector(spark, sf_dir), k)
+
+
+HYBRID = f"{TOKENS}, {bm25_sql(QUERY, 'bm', 20 * K)}, {cosine_sql(20 * K)}, {FUSED}, hy as (select id, score, row_number() over (order by score desc, id) as rank from fused order by rank limit {K})"
+
+
+@query(f"with {HYBRID} select id, rank::int as rank, round(score, 9) as score from hy")
+def hybrid_topk(spark, sf_dir):
+    return hybrid(spark, sf_dir, K).select("id", "rank", F.round("score", 9).alias("score"))
+
+
+@query(rf"""with {HYBRID}, w as (select hy.id, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) as w from hy join documents on hy.id = doc_id),
+s as (select id, len(list_intersect(w, list_distinct(regexp_extract_all(lower('{QUERY}'), '[\p{{L}}\p{{N}}_]+'))))::double / greatest(len(w), 1) as score from w)
+select id, row_number() over (order by score desc, id)::int as rank, round(score, 9) as score from s order by rank limit 5""")
+def rerank_lexical(spark, sf_dir):
+    hits = hybrid(spark, sf_dir, K).select("id")
+    rows = texts(spark, sf_dir).withColumnRenamed("chunk_id", "id").join(F.broadcast(hits), "id")
+    return fusion.rerank_lexical(QUERY, rows, 5).select("id", "rank", F.round("score", 9).alias("score"))
+
+
+def edges_sql(rows: str) -> str:
+    return f"""with v as ({rows}), p as (
+    select a.id as src, b.id as dst, list_cosine_similarity(a.e, b.e) as sim from v a join v b on a.id != b.id
+), r as (select *, row_number() over (partition by src order by sim desc, dst) as rank from p where sim >= 0.3 and sim <= 0.99)
+select src, dst, round(sim, 6) as sim, rank::int as rank from r where rank <= 5"""
+
+
+@query(edges_sql("select vec_id as id, embedding::double[] as e from embeddings"))
+def semantic_edges(spark, sf_dir):
+    return dense.semantic_edges(vectors(spark, sf_dir), 5, 0.3).select("src", "dst", F.round("sim", 6).alias("sim"), "rank")
+
+
+@query(edges_sql("select vec_id as id, embedding::double[] as e from embeddings union all select vec_id + 1000000, embedding::double[] from embeddings where vec_id % 10 = 0"))
+def near_duplicate_mask(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    copies = v.where("id % 10 = 0").select((F.col("id") + 1000000).alias("id"), (F.col("seq") + 1000000).alias("seq"), "embedding")
+    return dense.semantic_edges(v.unionByName(copies), 5, 0.3).select("src", "dst", F.round("sim", 6).alias("sim"), "rank")
+
+
+# ---- entity index and expansion ----
+
+
+def line_keys(spark, sf_dir) -> DataFrame:
+    rows = lines(spark, sf_dir)
+    return rows.select("chunk_id", "seq", F.posexplode(entities.entity_keys(F.col("document_id"), F.col("article"), F.col("clause"), F.array("part"))).alias("key_pos", "key"))
+
+
+KEYS = """keys as (
+    select chunk_id, seq, 0 as key_pos, 'law::' || document_id as key from lines
+    union all select chunk_id, seq, 1, 'art::' || document_id || '::' || article from lines
+    union all select chunk_id, seq, 2, 'cls::' || document_id || '::' || article || '::' || clause from lines where clause is not null
+    union all select chunk_id, seq, 3, part from lines where part is not null
+)"""
+
+
+@query(f"with {LINES}, {KEYS} select chunk_id, key_pos, key from keys")
+def entity_keys(spark, sf_dir):
+    return line_keys(spark, sf_dir).select("chunk_id", "key_pos", "key")
+
+
+@query(f"with {LINES}, {KEYS} select key, count(*) as n, md5(string_agg(chunk_id, ',' order by seq)) as digest from keys group by key")
+def entity_index(spark, sf_dir):
+    index = entities.inverted_index(line_keys(spark, sf_dir))
+    return index.select("key", F.size("chunk_ids").cast("long").alias("n"), F.md5(F.array_join("chunk_ids", ",").cast("binary")).alias("digest"))
+
+
+@query(f"with {LINES}, {KEYS} select count(distinct chunk_id) as events, count(distinct key) as entities from keys")
+def index_counts(spark, sf_dir):
+    return line_keys(spark, sf_dir).agg(F.countDistinct("chunk_id").alias("events"), F.countDistinct("key").alias("entities"))
+
+
+@query(f"""with {LINES}, k as (
+    select s.chunk_id as src, c.chunk_id as dst, c.seq, case when c.clause is null and c.point is null then 0
+        when c.clause is not distinct from s.clause and c.point is null then 1 when c.clause is not distinct from s.clause then 2 else 3 end as kin
+    from lines s join lines c on s.document_id = c.document_id and s.article = c.article
+) select src, dst, kin, row_number() over (partition by src order by kin, seq)::int as rank from k""")
+def kinship_rank(spark, sf_dir):
+    rows = lines(spark, sf_dir)
+    s = rows.select("document_id", "article", F.col("chunk_id").alias("src"), F.col("clause").alias("own"))
+    c = rows.select("document_id", "article", F.col("chunk_id").alias("dst"), "clause", "point", "seq")
+    kin = s.join(c, ["document_id", "article"]).withColumn("kin", expand.kinship(F.col("clause"), F.col("point"), F.col("own")))
+    return kin.select("src", "dst", "kin", F.row_number().over(Window.partitionBy("src").orderBy("kin", "seq")).alias("rank"))
+
+
+CONCEPTS = [f"concept::{p}-{s}" for p in range(1, 60) for s in range(1, 12)]
+
+
+@query(f"""with {LINES}, w as (select unnest({CONCEPTS}) as key, generate_subscripts({CONCEPTS}, 1) - 1 as pos),
+f as (select chunk_id, min(pos) as pos, min(seq) as seq from lines join w on part = key group by chunk_id)
+select chunk_id, row_number() over (order by pos, seq)::int as ord from f""")
+def concept_lookup(spark, sf_dir):
+    found = entities.lookup_by_concepts(entities.query_key_rows(spark, CONCEPTS), line_keys(spark, sf_dir))
+    return found.select("chunk_id", F.row_number().over(Window.orderBy("ord")).alias("ord"))
+
+
+@query(f"with {LINES} select a.chunk_id as src, b.chunk_id as dst from lines a join lines b on a.part = b.part")
+def concept_neighbours(spark, sf_dir):
+    return entities.concept_neighbours(line_keys(spark, sf_dir)).select("src", "dst")
+
+
+@query(f"""with {TOKENS}, {bm25_sql(QUERY, 'bm', K)}, {cosine_sql(K)}
+select id as chunk_id, 0 as src, rank::bigint as ord from bm union all select id, 1, rank from cos where id not in (select id from bm)""")
+def merge_seeds(spark, sf_dir):
+    a, b = bm25(spark, sf_dir, QUERY, K), dense.top_k(vectors(spark, sf_dir), query_vector(spark, sf_dir), K)
+    pick = lambda r: r.select(F.col("id").alias("chunk_id"), F.col("rank").alias("ord"))
+    return entities.merge_seeds(pick(a), pick(b))
+
+
+def seeds(spark, sf_dir, k=5) -> DataFrame:
+    """The k dearest lines, in order."""
+    top = lines(spark, sf_dir).where("price is not null").orderBy(F.desc("price"), "chunk_id").limit(k)
+    return top.select("chunk_id", F.row_number().over(Window.orderBy(F.desc("price"), "chunk_id")).alias("ord"))
+
+
+SEEDS = "seeds as (select *, row_number() over (order by price desc, chunk_id) as idx from lines where price is not null order by idx limit 5)"
+EXPANDED = f"""{LINES}, {SEEDS}, lists as (
+    select s.idx, c.chunk_id, 0 as kind, case when c.clause is null and c.point is null then 0
+        when c.clause is not distinct from s.clause and c.point is null then 1 when c.clause is not distinct from s.clause then 2 else 3 end as o1, c.seq as o2
+    from seeds s join lines c on s.document_id = c.document_id and s.article = c.article
+    union all select s.idx, c.chunk_id, 1, 3, c.seq from seeds s join lines c on s.part = c.part
+), placed as (select *, row_number() over (partition by idx order by kind, o1, o2) as pos from lists),
+firsts as (select chunk_id, min(pos * 1000 + idx) as o from placed where chunk_id not in (select chunk_id from seeds) group by 1),
+expanded as (
+    select chunk_id, 0 as hop, idx::bigint as ord from seeds
+    union all select chunk_id, 1, row_number() over (order by o) from (select * from firsts order by o limit 10)
+)"""
+
+
+@query(f"with {EXPANDED} select chunk_id, hop, ord from expanded")
+def expand_1hop(spark, sf_dir):
+    return expand.expand(seeds(spark, sf_dir), lines(spark, sf_dir), 10, 1, line_keys(spark, sf_dir))
+
+
+@query()
+def expand_2hop(spark, sf_dir):
+    return expand.expand(seeds(spark, sf_dir), lines(spark, sf_dir), 60, 2, line_keys(spark, sf_dir))
+
+
+@query(f"with {EXPANDED} select count(*) filter (where hop = 0) as seed_count, count(*) as context_count, count(*) filter (where hop > 0) as added_count from expanded")
+def arm_stats(spark, sf_dir):
+    return expand_1hop(spark, sf_dir).agg(F.count_if(F.col("hop") == 0).alias("seed_count"), F.count("*").alias("context_count"), F.count_if(F.col("hop") > 0).alias("added_count"))
+
+
+# ---- organisations ----
+
+
+def nations(spark, sf_dir) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    return n.select(
+        F.col("n_nationkey").cast("long").alias("seq"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("org_id"), F.col("n_name").alias("canonical_name"),
+        F.array(F.lower(F.substring("n_name", 1, 4)), F.lit("x")).alias("aliases"), F.lit("nation").alias("entity_type"), F.lit(None).cast("string").alias("tax_id"),
+        F.when(F.col("n_nationkey") % 6 == 5, "closed").when(F.col("n_nationkey") % 6 == 4, F.lit(None)).otherwise("active").alias("status"),
+    )
+
+
+@query("""with q as (
+    select c_custkey as query_id, lower(' Account of ' || c_name || ' in ' || a.n_name || case when c_custkey % 3 = 0 then ' or ' || b.n_name else '' end) as q
+    from customer join nation a on c_nationkey = a.n_nationkey join nation b on (c_nationkey + 1) % 25 = b.n_nationkey
+), h as (
+    select query_id, n_nationkey, n_name from q join nation on n_nationkey % 6 != 5 and (contains(q, trim(lower(n_name))) or contains(q, trim(lower(substr(n_name, 1, 4)))))
+)
+select query_id, 'N' || n_nationkey as org_id, count(*) over w > 1 as needs_clarify,
+    case when count(*) over w > 1 then 'Bạn đang hỏi về tổ chức nào: ' || (select string_agg(n_name, '; ' order by n_nationkey) from h x where x.query_id = h.query_id) || '?' else '' end as clarify_prompt
+from h window w as (partition by query_id)""")
+def org_resolve(spark, sf_dir):
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    a, b = n.toDF("k1", "n1"), n.toDF("k2", "n2")
+    j = c.join(a, F.col("c_nationkey") == F.col("k1")).join(b, (F.col("c_nationkey") + 1) % 25 == F.col("k2"))
+    asked = F.concat(F.lit(" Account of "), "c_name", F.lit(" in "), "n1", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(" or "), "n2")).otherwise(""))
+    return orgs.resolve(j.select(F.col("c_custkey").alias("query_id"), asked.alias("query")), nations(spark, sf_dir)).select("query_id", "org_id", "needs_clarify", "clarify_prompt")
+
+
+@query(f"""with {TOKENS}, {bm25_sql(QUERY, 'bm', 10)}
+select id::varchar as chunk_id, 0 as part, rank::bigint as ord from bm
+union all select * from (select 'org:N' || n_nationkey || ':profile::body', 1, row_number() over (order by 'N' || n_nationkey) from nation order by 3 limit 4)""")
+def org_merge_cap(spark, sf_dir):
+    docs = nations(spark, sf_dir).select("org_id", F.lit("profile").alias("doc_type"), F.col("canonical_name").alias("text"))
+    statute = bm25(spark, sf_dir, QUERY, 10).select(F.col("id").cast("string").alias("chunk_id"), F.col("rank").alias("ord"))
+    return orgs.merge_evidence(statute, orgs.org_chunks(docs))
+
+
+# ---- evidence, drafts, caches ----
+
+
+def pool(spark, sf_dir, k=60) -> DataFrame:
+    """The clauses and headings of the articles of the k dearest lines, dearest first."""
+    rows = lines(spark, sf_dir)
+    top = seeds(spark, sf_dir, k).join(rows.select("chunk_id", "document_id", "article"), "chunk_id")
+    best = top.groupBy("document_id", "article").agg(F.min("ord").alias("best"))
+    found = rows.join(F.broadcast(best), ["document_id", "article"])
+    return found.withColumn("ord", F.row_number().over(Window.orderBy("best", F.desc("seq"))).cast("long"))
+
+
+POOL_SQL = f"""{LINES}, top as (select *, row_number() over (order by price desc, chunk_id) as o from lines where price is not null order by o limit 60),
+best as (select document_id, article, min(o) as best from top group by all),
+ev as (select l.*, row_number() over (order by best, seq desc) as ord from lines l join best using (document_id, article)), seeds as (select * from top where o <= 5),
+sart as (select distinct document_id, article from seeds), oart as (select distinct document_id, article from seeds where point is not null),
+tiers as (
+    select ev.*, case when chunk_id in (select chunk_id from seeds) then 0 when (document_id, article) in (select (document_id, article) from oart) then 1
+        when (document_id, article) in (select (document_id, article) from sart) then 2 else 3 end as tier from ev
+), ranked as (
+    select *, case when tier != 1 then 0
+        when exists (select 1 from seeds s where s.point is not null and s.document_id = tiers.document_id and s.article = tiers.article and s.clause = tiers.clause) then 0
+        when clause is null and point is null and exists (select 1 from tiers e where e.tier > 0 and e.document_id = tiers.document_id and e.article = tiers.article and e.clause is not null) then 1
+        when clause is null and point is null then 2 else 3 end as priority from tiers
+)"""
+
+
+@query(f"with {POOL_SQL} select chunk_id, tier, priority, row_number() over (order by tier, priority, ord)::int as pick from ranked order by pick limit 12")
+def evidence_select(spark, sf_dir):
+    return evidence.select(pool(spark, sf_dir), seeds(spark, sf_dir), 12).select("chunk_id", "tier", "priority", "pick")
+
+
+@query(r"""select doc_id, md5('[' || (doc_id + 1) || '] chunk_id=doc' || doc_id || chr(10) || '    document_id=' || source || chr(10) || '    citation=Điều ' || doc_id || chr(10)
+    || '    effective_date=' || case when doc_id % 2 = 0 then '2024-01-01' else 'unknown' end || chr(10) || '    text='
+    || case when length(t) > 600 then substr(t, 1, 599) || '…' else t end) as block
+from (select *, regexp_replace(text, '^\s+|\s+$', '', 'g') as t from documents)""")
+def evidence_format(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.col("doc_id") + 1).alias("pick"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("source").alias("document_id"),
+        F.concat(F.lit("Điều "), F.col("doc_id").cast("string")).alias("article"), F.lit(None).cast("string").alias("clause"), F.lit(None).cast("string").alias("point"),
+        F.when(F.col("doc_id") % 2 == 0, F.lit(date(2024, 1, 1))).alias("effective_date"), "text",
+    )
+    return evidence.blocks(d).select((F.col("pick") - 1).alias("doc_id"), F.md5(F.col("block").cast("binary")).alias("block"))
+
+
+@query("""with c as (select l_orderkey as query_id, list('L' || l_linenumber order by l_linenumber, l_partkey, l_suppkey) as cited from lineitem group by 1)
+select query_id, array_to_string(list_filter(cited, lambda x: x in ('L1', 'L3', 'L4')), ',') as known, array_to_string(list_filter(cited, lambda x: x not in ('L1', 'L3', 'L4')), ',') as unknown from c""")
+def cited_filter(spark, sf_dir):
+    item = table(spark, sf_dir, "lineitem")
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    cited = F.transform(F.array_sort(F.collect_list(row)), lambda s: F.concat(F.lit("L"), s["l_linenumber"].cast("string")))
+    rows = item.groupBy(F.col("l_orderkey").alias("query_id")).agg(cited.alias("cited")).withColumn("allowed", F.array(*map(F.lit, ("L1", "L3", "L4"))))
+    return drafts.known_ids(rows).select("query_id", F.array_join("known", ",").alias("known"), F.array_join("unknown", ",").alias("unknown"))
+
+
+@query("select doc_id, case when l.d is null then source else 'new' end as value from documents left join (select distinct doc_id as d from labels) l on doc_id = l.d")
+def cache_upsert(spark, sf_dir):
+    cached = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("value"))
+    new = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("value", F.lit("new"))
+    return extract.upsert(cached, new, "doc_id")
+
+
+def answers(spark, sf_dir) -> DataFrame:
+    """Parts as a model's answers: good, fenced and broken JSON."""
+    body = F.to_json(F.struct(
+        F.array(F.struct(F.lit("").alias("event_id"), F.col("p_type").alias("summary")), F.struct(F.lit("second").alias("event_id"), F.lit("s").alias("summary"))).alias("events"),
+        F.array(F.struct(F.col("p_name").alias("name"), F.lit("").alias("type"), F.array("p_brand", F.upper("p_brand"), F.lit(" ")).alias("aliases")), F.struct(F.lit("").alias("name"), F.lit("x").alias("type"), F.array(F.lit("y")).alias("aliases"))).alias("entities"),
+    ))
+    content = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("p_partkey") % 3 == 1, body).otherwise(F.substring(body, 1, 20))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("chunk_id"), content.alias("content"))
+
+
+@query("""select p_partkey::varchar as chunk_id, case when p_partkey % 3 != 2 then 'event_0' end as event_id, case when p_partkey % 3 != 2 then p_type end as summary,
+    case when p_partkey % 3 != 2 then 1 end as n_entities, p_partkey % 3 = 2 as failed from part""")
+def extraction_parse(spark, sf_dir):
+    p = extract.parse(answers(spark, sf_dir))
+    first = F.try_element_at("events", F.lit(1))
+    return p.select("chunk_id", first["event_id"].alias("event_id"), first["summary"].alias("summary"), F.when(F.col("error").isNull(), F.size("entities")).alias("n_entities"), F.col("error").isNotNull().alias("failed"))
+
+
+@query("""select p_partkey::varchar as chunk_id, case when lower(p_name) = lower(p_brand) then 'concept::' || lower(p_name)
+    else 'concept::' || lower(p_name) || '|concept::' || lower(p_brand) end as keys from part where p_partkey % 3 != 2""")
+def concept_keys(spark, sf_dir):
+    parsed = extract.parse(answers(spark, sf_dir)).where("error is null")
+    return extract.concept_keys(parsed).select("chunk_id", F.array_join("keys", "|").alias("keys"))
+
+
+@query(f"""with {POOL_SQL} select l.chunk_id, l.document_id, coalesce(n.n_name, l.document_id) as title,
+    case when l.clause is null then l.article else concat_ws(', ', l.article, l.clause, l.point) end as citation, substr(l.text, 1, 280) as text, s.o::int as pos
+from seeds s join lines l using (chunk_id) left join (select 'cust' || c_custkey as d, n_name from customer join nation on c_nationkey = n_nationkey where c_custkey % 2 = 0) n on n.d = l.document_id""")
+def citation_cards(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).where("c_custkey % 2 = 0")
+    titles = c.select(F.concat(F.lit("cust"), F.col("c_custkey").cast("string")).alias("document_id"), F.col("n_name").alias("title"))
+    return evidence.cards(seeds(spark, sf_dir).withColumnRenamed("ord", "pos"), lines(spark, sf_dir), titles)
