@@ -17,6 +17,7 @@ repeated rows are written each; other columns are ignored; an empty table has no
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,41 +36,82 @@ MAGIC = b"GLBITS01"
 #: Ids in a block.  A multiple of 8, so blocks of any width fill whole bytes.
 BLOCK = 4096
 #: Words whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Text bytes encoded at once.
+ENCODE_BYTES = 4 << 20
 #: Ids that the reader unpacks at once.
 READ_IDS = 1 << 20
 
 
 class WordEncoder:
-    """Encodes Arrow string columns; one per task."""
+    """Encodes Arrow string columns; one per task.
+
+    Two steps keep the words few and their encoding cheap, and neither changes an id:
+    ASCII letters are lower-cased, as the tokenizer does, and a space goes between an
+    ASCII letter and the stops after it, where the pre-tokenizer cuts anyway.  Words of
+    letters only are one piece each, so many are encoded as one text and cut after the
+    tokens that end a piece.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, np.ndarray] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        cuts = str(self.tokenizer.pre_tokenizer).replace("\\\\", "\\")
+        if not suffix or "Lowercase" not in str(self.tokenizer.normalizer) or r"[\p{L}]+" not in cuts or r"[^\s\p{L}\p{N}]+" not in cuts:
+            raise ValueError("the tokenizer must lower-case, cut letters from other characters, and mark word ends")
+        self.ends = np.zeros(self.size, bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.ends[i] = token.endswith(suffix)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.at = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
 
     def words(self, texts: pa.Array):
         """Each row's words as codes (codes, row offsets), and the ids of each code (ids, offsets)."""
-        texts = texts.fill_null("")
+        texts = pc.ascii_lower(texts.fill_null("") if texts.null_count else texts)
+        texts = pc.replace_substring_regex(texts, r"([a-z])([.,]+)(\s|$)", r"\1 \2\3")
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         rows = split.offsets.to_numpy().astype(np.int64)
-        return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), rows - rows[0], *self._ids(coded.dictionary.to_pylist())
+        codes, ids, at = self._ids(coded.dictionary.to_pylist())
+        return codes[coded.indices.to_numpy(zero_copy_only=False)], rows - rows[0], ids, at
 
     def _ids(self, words: list[str]):
+        """The words' codes, and the ids of all codes so far."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = [w for w in words if w not in known]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint32)
-        found = [known[w] for w in words]
-        ends = np.cumsum([0] + [len(x) for x in found])
-        return np.concatenate(found) if found else np.zeros(0, np.uint32), ends
+            self._forget()
+        new = [w for w in words if w not in self.known]
+        letters = [w for w in new if w.isalpha()]
+        for at in range(0, len(letters), 1000):
+            part = letters[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part) and (not len(ids) or stops[-1] == len(ids)):
+                self._learn(part, ids, stops)
+            else:
+                self._learn_each(part)
+        self._learn_each([w for w in new if not w.isalpha()])
+        if len(self.ids) > 1:
+            self.ids, self.at = [np.concatenate(self.ids)], [np.concatenate(self.at)]
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)), self.ids[0], self.at[0]
+
+    def _learn(self, words: list[str], ids: np.ndarray, stops: np.ndarray) -> None:
+        begin = self.at[-1][-1]
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.ids.append(ids)
+        self.at.append(begin + stops)
+
+    def _learn_each(self, words: list[str]) -> None:
+        for at in range(0, len(words), 5000):
+            part = words[at : at + 5000]
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self._learn(part, np.array([i for ids in each for i in ids], np.uint32), np.cumsum([len(ids) for ids in each]))
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Ids in each row, without an end id."""
@@ -214,7 +256,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1)
 
         encoder = shard = None
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=ENCODE_BYTES):
                 if encoder is None:
                     encoder, at = WordEncoder(tokenizer), TaskContext.get().partitionId()
                     shard = ShardWriter(folder, at, width_of(max(encoder.size, end_id + 1)))

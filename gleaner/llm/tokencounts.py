@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import Words, slices, text_bytes
 from .shared import fresh_dir
-from .tokenbits import WordEncoder
+from .tokenbits import ENCODE_BYTES, WordEncoder
 
 #: Version label of the plain word count.
 WORDS = "words-1"
@@ -44,7 +44,7 @@ def count_tokens(rows: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders = words = None
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=ENCODE_BYTES):
                 if encoders is None:
                     encoders = {k: WordEncoder(p) for k, p in tokenizers.items() if p}
                     words = Words(lower=False)
