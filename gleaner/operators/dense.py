@@ -11,10 +11,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import scores
 
-from .lexical import ranked
+from .lexical import DECIMALS, ranked
 
-#: Decimals of a similarity that count in a ranking; what differs less is a tie, whatever the order of summation.
-DECIMALS = 12
 #: Vectors of a block of the edge build.
 BLOCK = 2048
 

@@ -11,6 +11,10 @@ from gleaner.functions import scores
 from gleaner.functions.text import tokens
 
 
+#: Decimals of a score that count in a ranking; what differs less is a tie, whatever the order of summation.
+DECIMALS = 12
+
+
 @dataclass
 class LexicalIndex:
     """postings (term, id, seq, tf, dl), lengths (id, seq, dl), idf (term, idf), totals (n, avgdl: one row)."""
@@ -57,7 +61,7 @@ def top_k(index: LexicalIndex, query: str, k: int) -> DataFrame:
     if k <= 0 or not tokens_in(query):
         return index.lengths.select("id", "seq", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
     found = score(index, query)
-    full = index.lengths.select("id", "seq").join(found.select("id", "score"), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    full = index.lengths.select("id", "seq").join(found.select("id", "score"), "id", "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), DECIMALS))
     return ranked(full.orderBy(F.desc("score"), "seq").limit(k))
 
 

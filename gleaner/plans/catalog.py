@@ -115,7 +115,7 @@ def bm25_sql(words: str, name: str, k: int) -> str:
     from {name}_q join idf using (term) join tf using (term) join dl using (doc_id), tot group by 1
 ), {name} as (
     select doc_id as id, score, row_number() over (order by score desc, doc_id) as rank
-    from (select doc_id, coalesce(score, 0) as score from dl left join {name}_s using (doc_id)) order by rank limit {k}
+    from (select doc_id, round(coalesce(score, 0), 12) as score from dl left join {name}_s using (doc_id)) order by rank limit {k}
 )"""
 
 
