@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, minhash, mixing, mtree, pii, tokenbits, tokencounts, toxicity
+from . import chat, decontam, linededup, minhash, mixing, mtree, pii, tokenbits, tokencounts, toxicity
 from .shared import table
 
 
@@ -33,6 +33,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_totals(table(spark, sf_dir, "documents"), {tokencounts.WORDS: "", "word_bpe_49k": tokenizer_path()})
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_output, op3_exact_top_k, op4_token_counts, op6_pii, op7_chat_formatting, op8_benchmark_decontamination, op9_source_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_output, op3_exact_top_k, op4_token_counts, op5_line_dedup, op6_pii, op7_chat_formatting, op8_benchmark_decontamination, op9_source_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
