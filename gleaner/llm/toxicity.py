@@ -1,7 +1,8 @@
 """Toxicity: a logistic classifier on word presence with counterfactual regularisation.
 
 A text is the set of its words, lower-cased and stripped of punctuation at the ends, and
-of their beginnings of PREFIXES bytes (insults share stems), hashed to 64 bits.  Those
+of their beginnings of PREFIXES bytes (insults share stems; identity terms have none, so
+a swap changes all that they add), hashed to 64 bits.  Those
 that split the training labels significantly become features (at most FEATURES).  Besides log loss and an L2 penalty, training penalises the squared
 change of a text's logit when identity terms in it are swapped for others, so a neutral
 mention of a group does not move the score.  Whole texts are scored and every row is.
@@ -54,6 +55,7 @@ class Tokens:
         self.words = Words()
         self.edge = np.zeros(256, bool)
         self.edge[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+        self.terms = np.array([h for terms in IDENTITY.values() for h in self.whole(terms)], np.uint64)
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The hashes of all rows' words, word by word with their beginnings, and each hash's row."""
@@ -73,8 +75,9 @@ class Tokens:
                 break
             ends = ends - trim
         hashes, of = [self.words.hashes(data, starts, ends)], [row]
+        stem = ~np.isin(hashes[0], self.terms)
         for k in PREFIXES:
-            long = np.flatnonzero(ends - starts > k)
+            long = np.flatnonzero((ends - starts > k) & stem)
             hashes.append(mix(self.words.hashes(data, starts[long], starts[long] + k) ^ np.uint64(k)))
             of.append(row[long])
         return np.concatenate(hashes), np.concatenate(of)
