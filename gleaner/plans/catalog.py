@@ -329,10 +329,10 @@ def semantic_edges(spark, sf_dir):
     return dense.semantic_edges(vectors(spark, sf_dir), 5, 0.3).select("src", "dst", F.round("sim", 6).alias("sim"), "rank")
 
 
-@query(edges_sql("select vec_id as id, embedding::double[] as e from embeddings union all select vec_id + 1000000, embedding::double[] from embeddings where vec_id % 10 = 0"))
+@query(edges_sql("select vec_id as id, embedding::double[] as e from embeddings union all select vec_id + 1000000, embedding::double[] from embeddings"))
 def near_duplicate_mask(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    copies = v.where("id % 10 = 0").select((F.col("id") + 1000000).alias("id"), (F.col("seq") + 1000000).alias("seq"), "embedding")
+    copies = v.select((F.col("id") + 1000000).alias("id"), (F.col("seq") + 1000000).alias("seq"), "embedding")
     return dense.semantic_edges(v.unionByName(copies), 5, 0.3).select("src", "dst", F.round("sim", 6).alias("sim"), "rank")
 
 
@@ -567,8 +567,8 @@ def concept_keys(spark, sf_dir):
 
 @query(f"""with {POOL_SQL} select l.chunk_id, l.document_id, coalesce(n.n_name, l.document_id) as title,
     case when l.clause is null then l.article else concat_ws(', ', l.article, l.clause, l.point) end as citation, substr(l.text, 1, 280) as text, s.o::int as pos
-from seeds s join lines l using (chunk_id) left join (select 'cust' || c_custkey as d, n_name from customer join nation on c_nationkey = n_nationkey where c_custkey % 2 = 0) n on n.d = l.document_id""")
+from seeds s join lines l using (chunk_id) left join (select 'cust' || c_custkey as d, n_name from customer join nation on c_nationkey = n_nationkey where c_acctbal > 0) n on n.d = l.document_id""")
 def citation_cards(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).where("c_custkey % 2 = 0")
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).where("c_acctbal > 0")
     titles = c.select(F.concat(F.lit("cust"), F.col("c_custkey").cast("string")).alias("document_id"), F.col("n_name").alias("title"))
     return evidence.cards(seeds(spark, sf_dir).withColumnRenamed("ord", "pos"), lines(spark, sf_dir), titles)
