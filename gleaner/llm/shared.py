@@ -63,10 +63,11 @@ def components(edges: DataFrame) -> DataFrame:
 BLOCK_ROWS, BLOCK_SIZE = 256, 250_000
 
 
-def cluster(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, confirm_blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def cluster(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int | None = None, confirm_blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components of the links among members that share a bucket: rows (id, component).
 
-    ``buckets``: rows (key, id, size), id unique to a set and size its cardinality.
+    ``buckets``: rows (key, id, size), id unique to a set and size its cardinality; no
+    size is needed without ``percent``.
     ``confirm`` keeps the true links of pairs (a, b).  Two steps find the components
     without listing a bucket's pairs: first each member is tried with its bucket's
     least id; then only members whose components still differ are compared, so a
@@ -79,17 +80,18 @@ def cluster(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], perce
     each such group into blocks of bounded size and hands over block pairs as rows
     (grp, lo, hi, blk, id, c): no pair is a row before it is confirmed.
     """
-    fits = lambda x, y: f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
-    head = buckets.groupBy("key").agg(F.min(F.struct("id", "size")).alias("h"), F.count("*").alias("n"))
-    head = head.where("n > 1").select("key", F.col("h.id").alias("a"), F.col("h.size").alias("s"))
+    fits = lambda x, y: f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})" if percent else "true"
+    sizes = ["size"] if percent else []
+    head = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n"), *(F.min_by("size", "id").alias("s") for _ in sizes))
+    head = head.where("n > 1").drop("n")
     shared = cut(buckets.join(head, "key"))
     spokes = shared.where("a != id").where(fits("s", "size")).select("a", F.col("id").alias("b")).distinct()
     links = cut(confirm(spokes))
     found = components(links)
 
-    member = shared.select("key", "id", "size").join(found, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("c"))
+    member = shared.select("key", "id", *sizes).join(found, "id", "left").select("key", "id", *sizes, F.coalesce("component", "id").alias("c"))
     open_ = member.groupBy("key").agg(F.min("c").alias("grp"), F.max("c").alias("hi")).where("grp != hi").select("key", "grp")
-    rest = cut(member.join(open_, "key").select("key", "id", "size", "c", "grp"))
+    rest = cut(member.join(open_, "key").select("key", "id", *sizes, "c", "grp"))
     if confirm_blocks:
         rows = rest.select("grp", "id", "size", "c").distinct()
         parts = rows.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SIZE)).cast("int").alias("parts"))
