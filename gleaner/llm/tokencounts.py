@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_text import Words, slices, text_bytes
-from .shared import fresh_dir
+from .shared import cut, fresh_dir
 from .tokenbits import ENCODE_BYTES, WordEncoder
 
 #: Version label of the plain word count.
@@ -106,7 +106,7 @@ class Rollup:
         fs.delete(self._path(f"batch={batch}"), True)
         at = f"{self.folder}/batch={batch}"
         changes = changes.select(F.col("seq").cast("long"), "op", F.col("doc_id").cast("long"), "source", "lang", "text")
-        named = count_tokens(changes.withColumn("text", F.when(F.col("op") != "delete", F.col("text"))), self.tokenizers)
+        named = cut(count_tokens(changes.withColumn("text", F.when(F.col("op") != "delete", F.col("text"))), self.tokenizers))
         order = F.struct("seq", (F.col("op") != "delete").alias("live"), "n_tokens", "source", "lang")
         last = named.where("doc_id is not null").groupBy("doc_id", "tokenizer").agg(F.max(order).alias("r"))
         new = last.select("doc_id", "r.source", "r.lang", "tokenizer", "r.n_tokens", "r.live")
