@@ -18,6 +18,7 @@ repeated rows are written each; other columns are ignored; an empty table has no
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -48,7 +49,10 @@ class WordEncoder:
 
     Two steps keep the words few and their encoding cheap, and neither changes an id:
     ASCII letters are lower-cased, as the tokenizer does, and a space goes between an
-    ASCII letter and the stops after it, where the pre-tokenizer cuts anyway.  Words of
+    ASCII letter and the stops after it, where the pre-tokenizer cuts anyway.  Texts in
+    which lower-casing first could change an id keep their case: those that hold an added
+    token in any case (the tokenizer matches these by case, before it lower-cases), and
+    those with a capital and a mark that compose only in lower case.  Words of
     letters only are one piece each, so many are encoded as one text and cut after the
     tokens that end a piece.
     """
@@ -66,6 +70,8 @@ class WordEncoder:
         self.ends = np.zeros(self.size, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.ends[i] = token.endswith(suffix)
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cased = "|".join([*(f"(?i:{t})" for t in added), r"[HJTWY]\p{M}"])
         self._forget()
 
     def _forget(self) -> None:
@@ -74,7 +80,8 @@ class WordEncoder:
 
     def words(self, texts: pa.Array):
         """Each row's words as codes (codes, row offsets), and the ids of each code (ids, offsets)."""
-        texts = pc.ascii_lower(texts.fill_null("") if texts.null_count else texts)
+        texts = texts.fill_null("") if texts.null_count else texts
+        texts = pc.if_else(pc.match_substring_regex(texts, self.cased), texts, pc.ascii_lower(texts))
         texts = pc.replace_substring_regex(texts, r"([a-z])([.,]+)(\s|$)", r"\1 \2\3")
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()

@@ -50,6 +50,17 @@ def test_words_equal_whole_texts(library, texts):
     assert encoder.counts(pa.array(texts, pa.string())).tolist() == [n - 1 for n in lens.tolist()]
 
 
+@pytest.mark.parametrize("text", ["a <|ENDOFTEXT|> b", "a <|endoftext|> B", "X<|StartOfText|>y. <|startoftext|>Z, <|EndOfText|>.", "<|EndOf Text|> A", "J\u030cx J\u0323\u030c", "H\u0331 T\u0308 W\u030a Y\u030a A.", "I\u0307 K\u0331 <|ENDOFTEXT"])
+def test_case_is_kept_where_it_counts(library, text):
+    import pyarrow as pa
+
+    encoder = test_words_equal_whole_texts.__dict__.setdefault("encoder", tokenbits.WordEncoder(tokenizer_path()))
+    texts = ["Plain Words.", text, text.lower(), text.upper(), None]
+    ids, lens = encoder.encode(pa.array(texts, pa.string()), 1)
+    assert ids.tolist() == [i for t in texts for i in [*library(t), 1]]
+    assert encoder.counts(pa.array(texts, pa.string())).tolist() == [n - 1 for n in lens.tolist()]
+
+
 @pytest.mark.parametrize("width", [1, 3, 8, 15, 16, 17, 31])
 def test_packing(width):
     ids = np.random.default_rng(width).integers(0, 2**width, 1001).astype(np.uint32)
