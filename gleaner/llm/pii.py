@@ -36,10 +36,13 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 NUMBER = re.compile(r"(?<![0-9])[+(]?[0-9](?:[0-9 ()\[\]./_-]*[0-9])?")
-SPELLED = re.compile(r"[\w.%+-]{1,64}+ ?(?:\(at\)|\[at\]|\bat\b) ?[\w-]{1,64}+(?: ?(?:\.|\(dot\)|\[dot\]|\bdot\b) ?[\w-]{1,24}+){1,4}")
+SPELLED = re.compile(r"[\w.%+-]{1,64}+ ?(?:\(at\)|\[at\]|\bat\b) ?[\w-]{1,64}+(?: ?(?:\.|\(dot\)|\[dot\]|\bdot\b) ?[\w-]{1,24}+){1,4}", re.I)
+#: What no match of SPELLED is without.
+AT = re.compile(r"\(at\)|\[at\]|\bat\b", re.I)
+GROUP = re.compile(r"[0-9]+")
 IPV6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
-#: Characters of context to either side, and the longest number that is a candidate.
-CONTEXT, LONGEST = 32, 48
+#: Characters of context to either side, and the most digits of a number that is a candidate.
+CONTEXT, MOST = 32, 19
 #: Context words by what they speak for.
 WORDS = {
     "email": ("mail", "write", "contact", "reach"),
@@ -50,6 +53,8 @@ WORDS = {
 }
 ROUNDS, DEPTH, RATE, BINS = 60, 3, 0.2, 16
 EXAMPLES, SEED = 6000, 17
+#: Candidates scored at once.
+SCORED = 20_000
 #: Precision that a kind's threshold reaches on held-out examples.
 PRECISION = 0.995
 
@@ -95,28 +100,45 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def windows(text: str, a: int, b: int) -> list[tuple[str, int, int]]:
+    """Every window of whole digit groups in a run whose count of digits fits a kind, with a + or ( that stands before it.
+
+    A window has at most MOST digits, so at most MOST groups: a run costs its length.
+    """
+    groups, out = [g.span() for g in GROUP.finditer(text, a, b)], []
+    for i, (x, _) in enumerate(groups):
+        if x > a and text[x - 1] in "+(":
+            x -= 1
+        n = 0
+        for p, q in groups[i:]:
+            n += q - p
+            if n > MOST:
+                break
+            if n < 4 or q - x < 7:
+                continue
+            if 7 <= n <= 15:
+                out.append(("phone", x, q))
+            if 13 <= n:
+                out.append(("card", x, q))
+            if n <= 12 and text.count(".", x, q) >= 3:
+                out.append(("ip", x, q))
+    return out
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Overlapping proposals; a number is proposed as each kind that its digits allow."""
     out = []
-    if "(at)" in text or "[at]" in text or " dot " in text:
+    if AT.search(text):
         out += [("email", *m.span()) for m in SPELLED.finditer(text)]
     if ":" in text:
         out += [("ip", *m.span()) for m in IPV6.finditer(text)]
     for m in NUMBER.finditer(text):
-        a, b = m.span()
-        if not 7 <= b - a <= LONGEST:
-            continue
-        n = sum(c.isdigit() for c in m.group())
-        if 7 <= n <= 15:
-            out.append(("phone", a, b))
-        if 13 <= n <= 19:
-            out.append(("card", a, b))
-        if 4 <= n <= 12 and m.group().count(".") >= 3:
-            out.append(("ip", a, b))
+        if m.end() - m.start() >= 7:
+            out += windows(text, *m.span())
     return out
 
 
-FEATURES = 16 + len(KINDS) + len(WORDS)
+FEATURES = 17 + len(KINDS) + len(WORDS)
 
 
 def features(text: str, kind: str, a: int, b: int) -> list[float]:
@@ -133,7 +155,7 @@ def features(text: str, kind: str, a: int, b: int) -> list[float]:
         float(bool(re.fullmatch(r"(?:19|20)\d\d[-/. ]\d\d?[-/. ]\d\d?|\d\d?[-/. ]\d\d?[-/. ](?:19|20)?\d\d", s))), float(s.count(":") == 7),
         float(bool(re.search(r"(?:com|org|net|edu|info|io|de|fr|es|vn)$", s.lower()))), float("at" in s.lower() and "dot" in s.lower() or "(at)" in s or "[at]" in s),
         float(bool(before) and (before[-1].isalnum() or before[-1] in "-_#=/\"")), float(bool(after) and (after[0].isalnum() or after[0] in "-_%=/\"")),
-        *(float(kind == k) for k in KINDS), *(float(sum(w in near for w in words)) for words in WORDS.values()),
+        float(bool(re.search(r"\.\s", s))), *(float(kind == k) for k in KINDS), *(float(sum(w in near for w in words)) for words in WORDS.values()),
     ]
 
 
@@ -233,7 +255,7 @@ def examples(rng) -> list[tuple[str, str, int, int, int]]:
 
     make = {
         ("email", 1): lambda: pick(["{} (at) {} dot {}", "{}(at){}.{}", "{}[at]{}[dot]{}", "{} at {} dot {}"]).format(word(), word(), pick(["com", "org", "net", "de", "fr"])),
-        ("email", 0): lambda: pick(["{} at {} dot {}", "{} (at) {}.{}"]).format(word(), word(), word()),
+        ("email", 0): lambda: pick(["{} at {} dot {}", "{} (at) {}.{}", "{} at {}. {}", "{} at {}. {}com", "{} at {}. {}es", "{} at {}. {}de", "{} AT {}. {}IO"]).format(word(), word(), word()),
         ("ip", 1): lambda: pick(["{}[.]{}[.]{}[.]{}".format(*rng.integers(1, 255, 4)), ":".join(f"{v:x}" for v in rng.integers(1, 65535, 8))]),
         ("ip", 0): lambda: pick([".".join(map(str, rng.integers(300, 999, 4))), ".".join(map(str, rng.integers(0, 20, 5))), f"{digits(2)}.{digits(2)}.{digits(4)}.{digits(3)}"]),
         ("card", 1): lambda: grouped(card(), pick([".", "_", "/", " - "])),
@@ -242,36 +264,55 @@ def examples(rng) -> list[tuple[str, str, int, int, int]]:
         ("phone", 0): lambda: pick([f"20{digits(2)}-{pick(['01', '11', '07'])}-{digits(2)}", digits(int(rng.integers(7, 16))), f"{digits(3)}.{digits(5)}", f"{digits(1)}.{digits(2)}.{digits(4)}", f"{digits(4)} {digits(4)}"]),
     }
     out = []
-    while len(out) < EXAMPLES:
+    for _ in range(EXAMPLES):
         kind, label = pick(list(make))
         s = make[kind, label]()
         # a number in an unmarked format is personal only where the context says so
         context = pick(WORDS[kind]) if label and (kind == "phone" or rng.random() < 0.5) else pick([word(), word(), pick(WORDS["other"]), pick(WORDS[kind]) if kind != "phone" else word()])
         left = f"{word()} {context} {word() + ' ' if rng.random() < 0.3 else ''}"
-        text = f"{left}{s} {word()} {word()}"
+        if rng.random() < 0.3 and kind in ("phone", "card"):
+            left += pick([f"20{digits(2)}-0{1 + int(rng.integers(9))}-1{digits(1)} ", f"{digits(3)} ", f"{digits(3)}-{digits(3)}-{digits(4)} "])
+        after = pick(["", "", f"0{1 + int(rng.integers(9))}/{digits(2)} {digits(3)} ", f"({digits(3)}) {digits(3)}-{digits(4)} ", f"{digits(3)}-{digits(3)}-{digits(4)} "]) if kind in ("phone", "card") else ""
+        text = f"{left}{s} {after}{word()} {word()}"
         for k, a, b in candidates(text):
-            inside = a >= len(left) - 1 and b <= len(left) + len(s) + 1
-            out.append((text, k, a, b, int(bool(label) and inside and k == kind)))
+            end = len(left) + len(s)
+            if k == "phone" and re.fullmatch(r"\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}", text[a:b]) and not len(left) <= a < end:
+                continue  # a neighbour in a list, personal as well or not as the context says
+            whole = len(left) - 1 <= a <= len(left) and end <= b <= end + 1
+            out.append((text, k, a, b, int(bool(label) and whole and k == kind)))
     return out
 
 
 def all_spans(texts: list[str | None], model: Model) -> list[tuple[list, list]]:
     """For each text its base spans and its added spans (kind, start, end), each by kind and start."""
-    out, rows, where = [], [], []
+    out, rows, where, good = [], [], [], []
+
+    def score() -> None:
+        p = model.scores(rows) if rows else []
+        good.extend((-p[j], w) for j, w in enumerate(where) if p[j] >= model.least[KINDS.index(w[1])])
+        rows.clear()
+        where.clear()
+
     for i, text in enumerate(texts):
         text = text or ""
         base = base_spans(text)
         out.append((sorted(base, key=lambda s: (KINDS.index(s[0]), s[1])), []))
+        used = bytearray(len(text))
+        for _, a, b in base:
+            used[a:b] = b"\x01" * (b - a)
         for kind, a, b in candidates(text):
-            if not any(a < y and x < b for _, x, y in base):
+            if used.find(1, a, b) < 0:
                 rows.append(features(text, kind, a, b))
                 where.append((i, kind, a, b))
-    if rows:
-        p = model.scores(rows)
-        for j in sorted(range(len(rows)), key=lambda j: (-p[j], where[j])):
-            i, kind, a, b = where[j]
-            if p[j] >= model.least[KINDS.index(kind)] and not any(a < y and x < b for _, x, y in out[i][1]):
-                out[i][1].append((kind, a, b))
+                if len(rows) >= SCORED:
+                    score()
+    score()
+    taken: dict[int, bytearray] = {}
+    for _, (i, kind, a, b) in sorted(good):
+        used = taken.setdefault(i, bytearray(len(texts[i])))
+        if used.find(1, a, b) < 0:
+            out[i][1].append((kind, a, b))
+            used[a:b] = b"\x01" * (b - a)
     return out
 
 

@@ -110,6 +110,28 @@ def test_added_spans(model):
     assert pii.redact("mail a@b.com or 10.0.0.1", model) == "mail <email> or <ip>" and pii.redact(None, model) is None
 
 
+def test_numbers_in_lists(model):
+    """Numbers beside others or beside a date are proposed and found, in runs of any length."""
+    found = lambda t: {(k, t[a:b]) for k, a, b in pii.all_spans([t], model)[0][1]}
+    one, two = ("phone", "415-555-2671"), ("phone", "415-555-9876")
+    assert found("call phone 415-555-2671 415-555-9876 now") == {one, two}
+    assert found("call phone 2024-05-01 415-555-2671 now") == {one}
+    assert found("card 4111.1111.1111.1111 12/27 415") == {("card", "4111.1111.1111.1111")}
+    table = " ".join(f"{200 + i}-555-{1000 + i}" for i in range(60))
+    proposed = {(k, table[a:b]) for k, a, b in pii.candidates(table)}
+    assert all(("phone", x) in proposed for x in table.split())
+    listed = "(415) 555-2671 (212) 555-0100 (303) 555-0199"
+    assert {("phone", x) for x in ("(415) 555-2671", "(212) 555-0100", "(303) 555-0199")} <= {(k, listed[a:b]) for k, a, b in pii.candidates(listed)}
+
+
+def test_spelled_addresses_need_no_gate(model):
+    for text in ("jo at mail [dot] com", "jo at mail(dot)com", "jo at example.com", "JO (AT) MAIL DOT COM", "jo[At]mail.com"):
+        assert ("email", 0, len(text)) in pii.candidates(text)
+    found = lambda t: pii.all_spans([t], model)[0][1]
+    assert found("write to jo at mail [dot] com")[0][0] == "email"
+    assert not found("they arrived at stations. Trees grow") and not found("stay at home. Des lits")
+
+
 def test_pii_rows(spark):
     rows = [(1, "é a@b.com 10.0.0.1"), (1, "é a@b.com 10.0.0.1"), (2, None), (None, "")]
     got = pii.find(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, spans int")).collect()
