@@ -66,6 +66,10 @@ def test_lines_equal_all_pairs(spark):
     assert kept["text"] == "é😀" * 40
 
 
+def test_line_candidates_miss_few_links():
+    assert (1 - 0.75**linededup.R) ** linededup.BANDS < 1e-5 and not hasattr(linededup, "LEAST")
+
+
 def test_lines_empty(spark):
     assert linededup.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
