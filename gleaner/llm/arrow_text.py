@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled at once; a single longer row is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES):

@@ -1,104 +1,153 @@
-r"""Line dedup: near-equal lines by MinHash, in DataFrame functions only.
+r"""Line dedup: near-equal lines by MinHash and exact Jaccard similarity.
 
 A line is what stands between line feeds, lower-cased and trimmed.  Its set is its
-distinct shingles of K UTF-16 units (a shorter line is its own only shingle).  Lines
-are one class if their 64-bit hashes agree.  A class's signature is, for each of M
-constants, the least xor of the constant with a shingle's hash: over random hashes the
-shingle nearest to the constant is any of the union's with equal chance, so signatures
-agree with probability equal to the Jaccard similarity.  The minima are plain columns
-of one grouped aggregate over exploded shingles, so they are computed in generated
-code and combined before the shuffle.  Classes that agree on all R minima of a band are
-candidates, links are confirmed by exact Jaccard similarity on full shingle sets, and of each connected component the line
-that comes first stays.
+distinct shingles of K characters (a shorter line is its own only shingle).  Equal lines
+are one class, by two 64-bit hashes of the whole line.  A class's signature is, for each
+of M odd constants, the least product of the constant with a shingle's hash modulo
+2**32: over random hashes any shingle of a union is the least with equal chance, so
+signatures agree with probability equal to the Jaccard similarity.  Classes that agree on
+all R minima of a band are candidates, links are confirmed by exact Jaccard similarity on
+full shingle sets, distributed union-find makes components, and of each component the
+line that comes first stays.
 
 BANDS bands of R miss a link at the threshold with probability (1 - 0.75**R)**BANDS,
-5.8 in 10**6; no candidate is dropped before the exact similarity.
+1.1 in 10**4, and at 0.8 with 3.3 in 10**6; no candidate is dropped before the exact
+similarity but by bounds that hold for every pair.
+
+Lines are split, hashed, joined and grouped by DataFrame functions; signatures and the
+comparison of a block of candidates are numpy over Arrow batches, as minima that are
+columns of a grouped aggregate have to be shuffled once a line.
 
 Defined results: blank lines and lines of documents without id stay and link with
 nothing; a null text has no lines, an empty one has one blank line; rows that repeat a
-document are one document; other columns are ignored.
+document are one document; two lines that share the first hash but not the second are of
+different classes, and only the one with the lesser second hash has links; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
-import random
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cluster, cut
+from .arrow_text import mix, slices
+from .shared import Scratch, cluster, cut
 
-K, PERCENT = 10, 75
-BANDS, R = 22, 3
+K, PERCENT = 6, 75
+BANDS, R = 24, 4
 M = BANDS * R
 SEED = 23
-UNIT = 2  # bytes of a UTF-16 unit
+PLACES = np.random.default_rng(SEED).integers(0, 2**62, K, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bits of the bitmaps whose differing bits bound a symmetric difference from below.
+BITMAP = 512
+#: Classes with at least one in HEAVY of all lines, HEAVY at most, are joined by broadcast.
+HEAVY = 1000
+#: Characters of lines whose signatures are computed at once.
+CHARACTERS = 256 << 10
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, line_no, line): every line of every document, normalised."""
+    """Rows (doc_id, line_no, line, id, h): every line of every document, normalised, and its two hashes."""
     each = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "line"))
-    return each.withColumn("line", F.trim("line", F.lit(" \t\r\x0b\x0c")))
-
-
-def line_id(line: Column) -> Column:
-    return F.xxhash64(line)
-
-
-def starts(b: Column) -> Column:
-    """Start units of the shingles of b, a line in UTF-16."""
-    return F.sequence(F.lit(0), F.greatest((F.length(b) / UNIT).cast("int") - K, F.lit(0)))
-
-
-def shingle(b: Column, i: Column) -> Column:
-    return F.substring(b, i * UNIT + 1, F.lit(K * UNIT))
-
-
-def shingles(b: Column) -> Column:
-    """The 64-bit hashes of a line's shingles."""
-    return F.transform(starts(b), lambda i: F.xxhash64(shingle(b, i)))
-
-
-def signatures(docs: DataFrame) -> DataFrame:
-    """Classes of lines (id, doc_id, m): a document that holds the line, and its minima."""
-    rng = random.Random(SEED)
-    constants = [rng.getrandbits(32) - 2**31 for _ in range(M)]
-    full = lines(docs).where("line != ''").select("doc_id", line_id(F.col("line")).alias("id"), F.encode("line", "UTF-16BE").alias("b"))
-    each = full.select("doc_id", "id", "b", F.explode(starts(F.col("b"))).alias("i")).select("doc_id", "id", F.hash(shingle(F.col("b"), F.col("i"))).alias("x"))
-    minima = [F.min(F.expr(f"x ^ {c}")).alias(f"m{i}") for i, c in enumerate(constants)]
-    found = each.groupBy("id").agg(F.min("doc_id").alias("doc_id"), *minima)
-    return found.select("id", "doc_id", F.array(*(f"m{i}" for i in range(M))).alias("m"))
+    each = each.withColumn("line", F.trim("line", F.lit(" \t\r\x0b\x0c")))
+    return each.withColumns({"id": F.xxhash64("line"), "h": F.xxhash64(F.lit(SEED), "line")})
+
+
+def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of K characters from each position of all lines, and where each line's shingles start and end."""
+    # a line feed is in no line, so it fills up short lines and parts lines
+    joined = "\n".join(t if len(t) >= K else t.ljust(K, "\n") for t in texts) + "\n"
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    x = np.zeros(max(0, len(codes) - K + 1), np.uint64)
+    for j in range(K):
+        x += codes[j : j + len(x)] * PLACES[j]
+    length = np.array([max(len(t), K) for t in texts], np.int64)
+    start = np.cumsum(length + 1) - length - 1
+    return mix(x), start, start + length - K + 1
+
+
+def signatures(texts: list[str]) -> np.ndarray:
+    """Minima (lines, M) of lines."""
+    x, start, end = shingles(texts)
+    x = np.append((x >> np.uint64(32)).astype(np.uint32), np.uint32(0))
+    odd = np.random.default_rng(SEED + 1).integers(0, 2**31, M, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+    at = np.stack([start, end], 1).ravel()
+    least, t = np.empty((len(texts), M), np.uint32), np.empty_like(x)
+    for i in range(M):
+        np.multiply(x, odd[i], out=t)
+        least[:, i] = np.minimum.reduceat(t, at)[::2]
+    return least
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    odd = np.random.default_rng(SEED + 2).integers(0, 2**62, (BANDS, R), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for batch in batches:
+        first = np.sort(np.unique(batch.column("id").to_numpy(), return_index=True)[1])  # a class once a batch
+        for part in slices(batch.take(pa.array(first)), "line", CHARACTERS):
+            least = signatures(part.column("line").to_pylist()).reshape(-1, BANDS, R)
+            key = mix((least * odd[None]).sum(2, dtype=np.uint64) + salt[None])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(part.column("id").to_numpy(), BANDS))], ["key", "id"])
+
+
+def _compare(rows: pa.RecordBatch):
+    x, start, end = shingles(rows.column("line").to_pylist())
+    sets = [np.unique(x[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    n = np.array([len(s) for s in sets])
+    maps = np.zeros((len(sets), BITMAP), bool)
+    maps[np.repeat(np.arange(len(sets)), n), (np.concatenate(sets) % np.uint64(BITMAP)).astype(np.int64)] = True
+    maps = np.packbits(maps, axis=1).view(np.uint64)
+
+    def near(x: int, ys: np.ndarray) -> Iterator[int]:
+        ys = ys[100 * np.minimum(n[ys], n[x]) >= PERCENT * np.maximum(n[ys], n[x])]
+        # each differing bit is of a shingle that only one of the two has; linked sets have (1 - J) / (1 + J) of all such at most
+        differ = np.bitwise_count(maps[ys] ^ maps[x]).sum(1, dtype=np.int64)
+        ys = ys[(100 + PERCENT) * differ <= (100 - PERCENT) * (n[ys] + n[x])]
+        return (y for y in ys.tolist() if linked(sets[x], sets[y]))
+
+    return near
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    at = np.searchsorted(x, y)
+    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+    return (100 + PERCENT) * both >= PERCENT * (len(x) + len(y))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, line_no, first_doc_id, first_line_no, kept): the line that stands for each line's component."""
     docs = docs.select("doc_id", "text")
-    classes = cut(signatures(docs))
-    keys = F.array(*(F.xxhash64(F.lit(b), *(F.col("m")[b * R + i] for i in range(R))) for b in range(BANDS)))
-    buckets = classes.select("id", F.explode(keys).alias("key"))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        side = lambda rows, k, i: rows.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}{i}") for c in rows.columns if c != "id"))
-        few = classes.select("id", "doc_id").join(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "id", "left_semi")
-        likely = cut(pairs.join(side(few, "a", "1"), "a").join(side(few, "b", "2"), "b").select("a", "b", "doc_id1", "doc_id2"))
-        wanted = likely.select(F.col("a").alias("id"), F.col("doc_id1").alias("doc_id")).unionAll(likely.select("b", "doc_id2")).distinct()
-        texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-        found = lines(texts).select("doc_id", line_id(F.col("line")).alias("id"), "line")
-        found = found.join(wanted, ["id", "doc_id"], "left_semi").groupBy("id").agg(F.max("line").alias("line"))
-        found = found.select("id", F.encode("line", "UTF-16BE").alias("b"))
-        found = cut(found.withColumn("n", F.size(F.array_distinct(shingles(F.col("b"))))))
-        both = likely.select("a", "b").join(side(found, "a", "1"), "a").join(side(found, "b", "2"), "b")
-        both = both.where(f"100 * least(n1, n2) >= {PERCENT} * greatest(n1, n2)")
-        # the intersection stands once in the test, so it is computed once
-        n = F.size(F.array_intersect(shingles(F.col("b1")), shingles(F.col("b2"))))
-        return both.where(F.lit(100 + PERCENT) * n >= F.lit(PERCENT) * (F.col("n1") + F.col("n2"))).select("a", "b")
-
-    found = cluster(buckets, confirm)
-    occurrences = cut(lines(docs).select("doc_id", "line_no", F.when(F.col("line") != "", line_id(F.col("line"))).alias("id")))
-    full = occurrences.where("id is not null").join(found, "id", "left").select("doc_id", "line_no", F.coalesce("component", "id").alias("c"))
-    first = full.groupBy("c").agg(F.min(F.struct("doc_id", "line_no")).alias("f"))
-    placed = full.join(first, "c").select("doc_id", "line_no", F.col("f.doc_id").alias("first_doc_id"), F.col("f.line_no").alias("first_line_no"))
-    blank = occurrences.where("id is null").select("doc_id", "line_no", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"))
+    full = lines(docs).where("line != ''")
+    places = cut(lines(docs).select("doc_id", "line_no", F.when(F.col("line") != "", F.col("id")).alias("id"), "h"))
+    blank = places.where("id is null").selectExpr("doc_id", "line_no", "doc_id first_doc_id", "line_no first_line_no")
+    spoken = places.where("id is not null")
+    classes = cut(spoken.groupBy("id", "h").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.count("*").alias("n")))
+    scratch = Scratch(docs.sparkSession)
+    buckets = full.select("id", "line").mapInArrow(_bands, "key long, id long")
+
+    def bodies(ids: DataFrame) -> DataFrame:
+        own = classes.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("h", "f")).alias("m"))
+        own = scratch.cut(own.selectExpr("id", "m.h", "m.f.doc_id d"))
+        texts = docs.join(own.selectExpr("d doc_id").distinct(), "doc_id", "left_semi")
+        found = lines(texts).where("line != ''").join(own, ["id", "h"]).where("doc_id = d")
+        return found.groupBy("id").agg(F.min("line").alias("line")).selectExpr("id", "length(line) size", "line")
+
+    found = cluster(buckets, bodies, _compare)
+    scratch.clear()
+    joined = classes.join(found, "id")
+    main = joined.groupBy("id").agg(F.min("h").alias("h"))
+    joined = joined.join(main, ["id", "h"], "left_semi")
+    first = joined.groupBy("component").agg(F.min("f").alias("g"))
+    moved = joined.join(first, "component").select("id", "h", "g")
+    classes = cut(classes.join(moved, ["id", "h"], "left").select("id", "h", "n", F.coalesce("g", "f").alias("f")))
+    heavy = F.broadcast(classes.where(F.col("n") * HEAVY >= spoken.count()).drop("n"))
+    often = spoken.join(heavy, ["id", "h"])
+    rest = spoken.join(heavy, ["id", "h"], "left_anti").join(classes.drop("n"), ["id", "h"])
+    placed = often.unionByName(rest).selectExpr("doc_id", "line_no", "f.doc_id first_doc_id", "f.line_no first_line_no")
     return placed.unionAll(blank).withColumn("kept", F.expr("doc_id = first_doc_id and line_no = first_line_no"))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import Words, shingle_sets, slices
-from .shared import cluster, cut
+from .shared import Scratch, cluster, cut
 
 WORDS = 5
 PERCENT = 75
@@ -109,30 +109,23 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = (regs[:, where] * odd[None]).sum(2, dtype=np.uint64)
             key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             key ^= (key >> np.uint64(32)) + np.arange(BANDS, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)
-            ids, sizes = (np.repeat(part.column(c).to_numpy(), BANDS) for c in ("id", "size"))
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64).ravel()), pa.array(ids), pa.array(sizes)], ["key", "id", "size"])
+            ids = np.repeat(part.column("id").to_numpy(), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64).ravel()), pa.array(ids)], ["key", "id"])
 
 
 def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, M)
 
 
-def _plausible_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            r1, r2 = _registers(part.column("r1")), _registers(part.column("r2"))
-            keep = plausible(r1, r2, part.column("n1").to_numpy(), part.column("n2").to_numpy())
-            yield part.select(["a", "b"]).filter(pa.array(keep))
-
-
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Full sets of the texts whose set has the fingerprint p1."""
     words = Words()
     for batch in batches:
         for part in slices(batch):
             sets = shingle_sets(*words.of(part.column("text")), WORDS)
             p1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p1), _packed(sets)], ["doc_id", "p1", "shingles"])
+            same = pa.array(p1 == part.column("p1").to_numpy())
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("size"), part.column("registers"), _packed(sets)], ["id", "size", "registers", "shingles"]).filter(same)
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -142,63 +135,38 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            keep.append(linked(*(np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _blocks(block: pa.Table) -> pa.Table:
-    """Confirmed links between the two blocks of one block pair, or within one block."""
-    block = block.combine_chunks()
-    side, c = block["blk"].to_numpy(), block["c"].to_numpy()
-    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in block["shingles"]]
-    regs, n = _registers(block["registers"]), np.array([len(s) for s in sets])
-    lo, hi = block["lo"][0].as_py(), block["hi"][0].as_py()
-    ys = np.flatnonzero(side == hi)
-    ids, out = block["id"].to_numpy(), []
-    for x in np.flatnonzero(side == lo).tolist():
-        y = ys[ys > x] if lo == hi else ys
-        y = y[(c[y] != c[x]) & (100 * np.minimum(n[y], n[x]) >= PERCENT * np.maximum(n[y], n[x]))]
-        y = y[(regs[y] == regs[x]).sum(1) >= M // 4]
-        if len(y):
-            y = y[plausible(np.broadcast_to(regs[x], (len(y), M)), regs[y], np.full(len(y), n[x]), n[y])]
-        out += [(ids[x], ids[k]) for k in y.tolist() if linked(sets[x], sets[k])]
-    a, b = zip(*out, strict=True) if out else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _compare(rows: pa.RecordBatch):
+    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("shingles")]
+    regs, n = _registers(rows.column("registers")), np.array([len(s) for s in sets])
+
+    def near(x: int, ys: np.ndarray) -> Iterator[int]:
+        ys = ys[100 * np.minimum(n[ys], n[x]) >= PERCENT * np.maximum(n[ys], n[x])]
+        if len(ys):
+            ys = ys[plausible(regs[x][None], regs[ys], n[[x]], n[ys])]
+        return (y for y in ys.tolist() if linked(sets[x], sets[y]))
+
+    return near
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of docs."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    scratch = Scratch(docs.sparkSession)
     rows = cut(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, p1 long, p2 long, registers binary"))
     full = rows.where("doc_id is not null and n_shingles > 0")
-    classes = cut(full.groupBy("p1", "p2").agg(F.min("doc_id").alias("id")))
-    nodes = full.join(classes.withColumnRenamed("id", "doc_id"), ["p1", "p2", "doc_id"], "left_semi")
-    nodes = cut(nodes.select(F.col("doc_id").alias("id"), "p1", F.col("n_shingles").alias("size"), "registers").dropDuplicates(["id", "p1"]))
-    buckets = nodes.mapInArrow(_bands, "key long, id long, size long")
-
-    def full_sets(ids: DataFrame) -> DataFrame:
-        wanted = nodes.join(ids.distinct(), "id", "left_semi").select(F.col("id").alias("doc_id"), "p1")
-        texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-        sets = texts.mapInArrow(_full_sets, "doc_id long, p1 long, shingles binary")
-        return cut(sets.join(wanted, ["doc_id", "p1"], "left_semi").dropDuplicates(["doc_id", "p1"]))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        side = lambda k, i: nodes.select(F.col("id").alias(k), F.col("size").alias(f"n{i}"), F.col("registers").alias(f"r{i}"))
-        likely = cut(pairs.join(side("a", 1), "a").join(side("b", 2), "b").mapInArrow(_plausible_pairs, "a long, b long").distinct())
-        sets = full_sets(likely.select(F.col("a").alias("id")).unionAll(likely.select("b")))
-        side = lambda k, s: sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(s))
-        return likely.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(_confirmed, "a long, b long").distinct()
-
-    def confirm_blocks(rows: DataFrame) -> DataFrame:
-        sets = full_sets(rows.select("id")).select(F.col("doc_id").alias("id"), "shingles")
-        both = rows.join(sets.join(nodes.select("id", "registers"), "id"), "id")
-        return both.groupBy("grp", "lo", "hi").applyInArrow(_blocks, "a long, b long").distinct()
-
-    found = cluster(buckets, confirm, PERCENT, confirm_blocks)
+    # all rows of a class have the same set
+    nodes = scratch.cut(full.groupBy("p1", "p2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.first("registers").alias("registers")))
+    buckets = nodes.mapInArrow(_bands, "key long, id long")
+
+    def bodies(ids: DataFrame) -> DataFrame:
+        wanted = nodes.join(ids, "id", "left_semi").drop("p2")
+        texts = docs.join(wanted, docs["doc_id"] == wanted["id"]).select("id", "p1", "size", "registers", "text")
+        sets = texts.mapInArrow(_full_sets, "id long, size long, registers binary, shingles binary")
+        return sets.dropDuplicates(["id", "size", "registers"])
+
+    found = cluster(buckets, bodies, _compare)
+    classes = cut(nodes.select("p1", "p2", "id"))
+    scratch.clear()
     classes = classes.join(found, "id", "left").select("p1", "p2", F.coalesce("component", "id").alias("c"))
     joined = rows.drop("registers").join(classes, ["p1", "p2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id"))

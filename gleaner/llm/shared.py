@@ -1,10 +1,12 @@
-"""Work folder, lineage cuts, connected components and bucket clustering."""
+"""Work folder, lineage cuts, connected components and clustering of sets that share a bucket."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; /tmp only where none is set, as in tests."""
+    """The shared folder that the cluster names; a folder in /tmp only where none is set and the master is local, as in tests."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file:///tmp/gleaner-work"
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(named)
@@ -28,78 +32,174 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{work_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables written in the shared folder; ``clear`` removes those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.paths.append(fresh_dir(self.spark, "cut"))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def clear(self) -> None:
+        for name in self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: a lineage cut that survives executors."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, "cut")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).cut(df)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (id, component), component the least id.
 
-    Alternating large-star and small-star contractions, each a group minimum and a
-    join; the edge table is written between rounds.  Ends when a round changes nothing.
+    Alternating large-star and small-star contractions.  Each is one shuffle by vertex and a
+    window minimum, which spills where a vertex has many edges; the edge table is written
+    between rounds.  Ends when a round changes nothing.
     """
-    edges = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
+    spark = edges.sparkSession
+    least = F.expr("min(b) over (partition by a)")
+    now, state = Scratch(spark), None
+    edges = now.cut(edges.where("a != b").selectExpr("greatest(a, b) a", "least(a, b) b"))
     while True:
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(
-                edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-            )
-        state = now
+        both = edges.unionAll(edges.selectExpr("b a", "a b")).repartition("a").distinct()
+        large = both.select("a", "b", F.least("a", least).alias("m")).where("b > a").selectExpr("b a", "m b")
+        starred = large.repartition("a").distinct().select("a", "b", least.alias("m"))
+        old, now = now, Scratch(spark)
+        edges = now.cut(starred.selectExpr("inline(if(b = m, array(struct(a, m b)), array(struct(b a, m b))))"))
+        old.clear()
+        was, state = state, edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if was == state or not state[0]:
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(edges.selectExpr("b id", "b component")).distinct()
+
+
+class Joined:
+    """Union-find over the members of one block; edges give each id with the least of its component."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def top(self, i: int) -> int:
+        while (j := self.up.get(i, i)) != i:
+            self.up[i] = i = self.up.get(j, j)
+        return i
+
+    def link(self, i: int, j: int) -> None:
+        i, j = self.top(i), self.top(j)
+        if i != j:
+            self.up[max(i, j)] = min(i, j)
+
+    def edges(self) -> list[tuple[int, int]]:
+        return [(i, self.top(i)) for i in self.up]
 
 
-#: Members and total set size of one block of a group that is searched in block pairs.
-BLOCK_ROWS, BLOCK_SIZE = 256, 250_000
+#: Members and total set size of one block; heads that a bucket's members are tried with first; total set size compared at once.
+BLOCK_ROWS, BLOCK_SIZE, HEADS, AT_ONCE = 256, 250_000, 3, 500_000
 
 
-def cluster(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int | None = None, confirm_blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def cluster(buckets: DataFrame, bodies: Callable[[DataFrame], DataFrame], compare: Callable[[pa.RecordBatch], Callable[[int, np.ndarray], np.ndarray]]) -> DataFrame:
     """Components of the links among members that share a bucket: rows (id, component).
 
-    ``buckets``: rows (key, id, size), id unique to a set and size its cardinality; no
-    size is needed without ``percent``.
-    ``confirm`` keeps the true links of pairs (a, b).  Two steps find the components
-    without listing a bucket's pairs: first each member is tried with its bucket's
-    least id; then only members whose components still differ are compared, so a
-    large group of near copies costs its size once.  Sets whose sizes rule out
-    ``percent`` similarity are not compared.  No pair that could join two components
-    is left out, so components equal those of all pairs that share a bucket.
-
-    The second step pairs rows in a join, or, given ``confirm_blocks``, takes the
-    members of open buckets together by the component of the bucket's head, deals
-    each such group into blocks of bounded size and hands over block pairs as rows
-    (grp, lo, hi, blk, id, c): no pair is a row before it is confirmed.
+    ``buckets``: rows (key, id).  ``bodies`` gives, for rows (id), rows (id, size, ...) with
+    what ``compare`` needs to know of members: from a batch of such rows it makes a function
+    that tells, for a row x and rows ys of the batch, which of ys may be linked with x, and
+    yields those that are as they are asked for.
+
+    Two steps find the components without listing a bucket's pairs.  First each member is
+    tried with its bucket's heads, those least by HEADS hashes of the id, so that buckets of
+    one group mostly have the same heads and a large group of near copies costs its size a
+    few times.  Then only buckets whose members are still of several components are open:
+    their members are taken together by least component, and what differs in component is
+    compared in pairs of blocks.  Members reach either comparison in blocks of bounded size,
+    sorted and streamed; no pair is a row before it is confirmed, and no pair that could join
+    two components is left out, so components equal those of all pairs that share a bucket.
     """
-    fits = lambda x, y: f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})" if percent else "true"
-    sizes = ["size"] if percent else []
-    head = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n"), *(F.min_by("size", "id").alias("s") for _ in sizes))
-    head = head.where("n > 1").drop("n")
-    shared = cut(buckets.join(head, "key"))
-    spokes = shared.where("a != id").where(fits("s", "size")).select("a", F.col("id").alias("b")).distinct()
-    links = cut(confirm(spokes))
-    found = components(links)
-
-    member = shared.select("key", "id", *sizes).join(found, "id", "left").select("key", "id", *sizes, F.coalesce("component", "id").alias("c"))
+    spark = buckets.sparkSession
+    scratch = Scratch(spark)
+    keyed = buckets.repartition("key")
+    several = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("key")
+    shared = keyed.join(several.hint("shuffle_hash"), "key", "left_semi")
+    heads = F.array_distinct(F.array(*(F.expr(f"min_by(id, xxhash64(id, {i})) over (partition by key)") for i in range(HEADS))))
+    shared = scratch.cut(shared.withColumn("h", heads))
+    body = scratch.cut(bodies(shared.select("id").distinct()))
+
+    def compared(rows: DataFrame) -> DataFrame:
+        """Edges (a, b) that join what links join, from rows (grp, lo, hi, blk, id, c) of the block pairs lo and hi."""
+        whole = rows.join(body, "id").repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
+        return whole.mapInArrow(lambda batches: _compared(batches, compare), "a long, b long")
+
+    spokes = scratch.cut(shared.select(F.explode("h").alias("grp"), "id").where("grp != id").distinct())
+    parts = _parts(spokes.join(body.select("id", "size"), "id"))
+    dealt = spokes.join(parts, "grp").selectExpr("grp", "-1 lo", "cast(pmod(xxhash64(id), parts) as int) hi", "id", "id c")
+    hubs = parts.selectExpr("grp", "-1 lo", "explode(sequence(0, parts - 1)) hi", "grp id", "grp c")
+    rows = dealt.withColumn("blk", F.col("hi")).unionByName(hubs.withColumn("blk", F.lit(-1)))
+    found = scratch.cut(components(compared(rows)))
+
+    member = shared.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     open_ = member.groupBy("key").agg(F.min("c").alias("grp"), F.max("c").alias("hi")).where("grp != hi").select("key", "grp")
-    rest = cut(member.join(open_, "key").select("key", "id", *sizes, "c", "grp"))
-    if confirm_blocks:
-        rows = rest.select("grp", "id", "size", "c").distinct()
-        parts = rows.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SIZE)).cast("int").alias("parts"))
-        rows = rows.join(parts, "grp").withColumn("blk", F.expr("cast(pmod(xxhash64(id), parts) as int)"))
-        rows = rows.withColumn("o", F.explode(F.expr("sequence(0, parts - 1)"))).selectExpr("grp", "least(blk, o) lo", "greatest(blk, o) hi", "blk", "id", "c")
-        more = cut(confirm_blocks(rows))
-    else:
-        x, y = rest.alias("x"), rest.alias("y")
-        pairs = x.join(y, F.expr(f"x.key = y.key and x.id < y.id and x.c != y.c and {fits('x.size', 'y.size')}"))
-        more = cut(confirm(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()))
-    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
+    rest = scratch.cut(member.join(open_, "key").select("grp", "id", "c").distinct())
+    rows = rest.join(_parts(rest.join(body.select("id", "size"), "id")), "grp").withColumn("blk", F.expr("cast(pmod(xxhash64(id), parts) as int)"))
+    rows = rows.withColumn("o", F.explode(F.expr("sequence(0, parts - 1)"))).selectExpr("grp", "least(blk, o) lo", "greatest(blk, o) hi", "blk", "id", "c")
+    joined = cut(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(compared(rows))))
+    scratch.clear()
+    return joined
+
+
+def _compared(batches: Iterator[pa.RecordBatch], compare) -> Iterator[pa.RecordBatch]:
+    """Edges from the block pairs that come one after another in sorted batches."""
+    left: list[pa.RecordBatch] = []
+    keys = ["grp", "lo", "hi"]
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = [batch.column(k).to_numpy() for k in keys]
+        new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+        if last is not None and any(k[0] != was for k, was in zip(key, last, strict=True)):
+            yield from _block_pairs(left, compare)
+            left = []
+        if len(new):
+            yield from _block_pairs([*left, batch.slice(0, int(new[-1]))], compare)
+            left, batch = [], batch.slice(int(new[-1]))
+        left.append(batch)
+        last = [k[-1] for k in key]
+    if left:
+        yield from _block_pairs(left, compare)
+
+
+def _block_pairs(rows: list[pa.RecordBatch], compare) -> Iterator[pa.RecordBatch]:
+    whole = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+    key = [whole.column(k).to_numpy() for k in ("grp", "lo", "hi")]
+    ends = np.append(np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1, whole.num_rows)
+    total = np.cumsum(whole.column("size").to_numpy() + 1)[ends - 1]
+    first = 0
+    while first < len(ends):
+        base, start = (total[first - 1], int(ends[first - 1])) if first else (0, 0)
+        stop = max(first + 1, int(np.searchsorted(total, base + AT_ONCE, "right")))
+        part = whole.slice(start, int(ends[stop - 1]) - start)
+        near, (lo, hi, side) = compare(part), (part.column(k).to_numpy() for k in ("lo", "hi", "blk"))
+        ids, c, a, out = part.column("id").to_numpy(), part.column("c").to_numpy().copy(), 0, []
+        for b in (ends[first:stop] - start).tolist():
+            joined = Joined()
+            xs, ys = (a + np.flatnonzero(side[a:b] == k[a]) for k in (lo, hi))
+            for x in xs.tolist():
+                y = ys[ys > x] if lo[a] == hi[a] else ys
+                y = y[c[y] != c[x]]
+                for k in near(x, y) if len(y) else ():
+                    joined.link(int(ids[x]), int(ids[k]))
+                    c[a:b][c[a:b] == c[k]] = c[x]
+            out += joined.edges()
+            a = b
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out, strict=True)], ["a", "b"])
+        first = stop
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """Rows (grp, parts): in how many blocks each group's members (grp, id, size) are dealt."""
+    return rows.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SIZE), F.lit(1)).cast("int").alias("parts"))

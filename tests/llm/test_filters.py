@@ -38,8 +38,7 @@ def test_lines_equal_all_pairs(spark):
                 where.setdefault(line.strip(" \t\r\x0b\x0c"), set()).add((i, n))
 
     def shingles(line):
-        b = line.encode("utf-16-be")
-        return {b[k : k + 20] for k in range(0, max(2, len(b) - 18), 2)}
+        return {line[k : k + linededup.K] for k in range(max(1, len(line) - linededup.K + 1))}
 
     names = [x for x in where if x]
     sets, top = {x: shingles(x) for x in names}, {x: x for x in names}
@@ -66,8 +65,40 @@ def test_lines_equal_all_pairs(spark):
     assert kept["text"] == "é😀" * 40
 
 
-def test_line_candidates_miss_few_links():
-    assert (1 - 0.75**linededup.R) ** linededup.BANDS < 1e-5 and not hasattr(linededup, "LEAST")
+@pytest.mark.parametrize("length", [14, 40, 90, 300])
+def test_line_candidates_miss_few_links(length):
+    """Measured on lines with random edits, by length: pairs of similarity 0.75 or more that share no band."""
+    rng, pairs = random.Random(length), []
+    while len(pairs) < 3000:
+        x = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(length)]
+        y = list(x)
+        for _ in range(max(1, length // 80)):
+            at = rng.randrange(length)
+            y[at : at + 1] = rng.choice(["", "z", "zy"])
+        if rng.random() < 0.5:
+            y += rng.choices("abc", k=max(1, length // 10))
+        x, y = "".join(x), "".join(y)
+        a, b = ({t[k : k + linededup.K] for k in range(len(t) - linededup.K + 1)} for t in (x, y))
+        if 0.75 <= len(a & b) / len(a | b) < 0.9:
+            pairs += [x, y]
+    least = linededup.signatures(pairs).reshape(-1, 2, linededup.BANDS, linededup.R)
+    missed = ~(least[:, 0] == least[:, 1]).all(2).any(1)
+    assert missed.mean() <= 0.002
+
+
+def test_line_bounds_lose_nothing():
+    """The size and bitmap bounds keep every pair that the exact similarity links."""
+    rng, texts = random.Random(2), []
+    for _ in range(60):
+        x = [rng.choice("abcd") for _ in range(rng.randrange(1, 60))]
+        for _ in range(3):
+            y = list(x)
+            y[rng.randrange(len(y))] = "e"
+            texts.append("".join(y))
+    near = linededup._compare(pa.RecordBatch.from_arrays([pa.array(texts)], ["line"]))
+    sets = [{t[k : k + linededup.K] for k in range(max(1, len(t) - linededup.K + 1))} for t in texts]
+    for i, a in enumerate(sets):
+        assert list(near(i, np.arange(len(texts)))) == [j for j, b in enumerate(sets) if 100 * len(a & b) >= 75 * len(a | b)]
 
 
 def test_lines_empty(spark):
