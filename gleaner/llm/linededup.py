@@ -102,14 +102,12 @@ def _compare(rows: pa.RecordBatch):
     maps[np.repeat(np.arange(len(sets)), n), (np.concatenate(sets) % np.uint64(BITMAP)).astype(np.int64)] = True
     maps = np.packbits(maps, axis=1).view(np.uint64)
 
-    def near(x: int, ys: np.ndarray) -> Iterator[int]:
-        ys = ys[100 * np.minimum(n[ys], n[x]) >= PERCENT * np.maximum(n[ys], n[x])]
+    def may(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         # each differing bit is of a shingle that only one of the two has; linked sets have (1 - J) / (1 + J) of all such at most
-        differ = np.bitwise_count(maps[ys] ^ maps[x]).sum(1, dtype=np.int64)
-        ys = ys[(100 + PERCENT) * differ <= (100 - PERCENT) * (n[ys] + n[x])]
-        return (y for y in ys.tolist() if linked(sets[x], sets[y]))
+        differ = np.bitwise_count(maps[x] ^ maps[y]).sum(1, dtype=np.int64)
+        return (100 * np.minimum(n[y], n[x]) >= PERCENT * np.maximum(n[y], n[x])) & ((100 + PERCENT) * differ <= (100 - PERCENT) * (n[y] + n[x]))
 
-    return near
+    return may, lambda x, y: linked(sets[x], sets[y])
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:

@@ -139,13 +139,15 @@ def _compare(rows: pa.RecordBatch):
     sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("shingles")]
     regs, n = _registers(rows.column("registers")), np.array([len(s) for s in sets])
 
-    def near(x: int, ys: np.ndarray) -> Iterator[int]:
-        ys = ys[100 * np.minimum(n[ys], n[x]) >= PERCENT * np.maximum(n[ys], n[x])]
-        if len(ys):
-            ys = ys[plausible(regs[x][None], regs[ys], n[[x]], n[ys])]
-        return (y for y in ys.tolist() if linked(sets[x], sets[y]))
-
-    return near
+    def may(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        good = 100 * np.minimum(n[y], n[x]) >= PERCENT * np.maximum(n[y], n[x])
+        at = np.flatnonzero(good)
+        for k in range(0, len(at), 2000):
+            i = at[k : k + 2000]
+            good[i] = plausible(regs[x[i]], regs[y[i]], n[x[i]], n[y[i]])
+        return good
+
+    return may, lambda x, y: linked(sets[x], sets[y])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -98,22 +99,23 @@ class Joined:
         return [(i, self.top(i)) for i in self.up]
 
 
-#: Members and total set size of one block; heads that a bucket's members are tried with first; total set size compared at once.
-BLOCK_ROWS, BLOCK_SIZE, HEADS, AT_ONCE = 256, 250_000, 3, 500_000
+#: Members and total set size of one block; heads that members of a bucket are tried with first, and of a bucket of at
+#: most FEW; total set size compared at once.
+BLOCK_ROWS, BLOCK_SIZE, HEADS, FEW, AT_ONCE = 256, 250_000, 3, 16, 500_000
+Compare = Callable[[pa.RecordBatch], tuple[Callable[[np.ndarray, np.ndarray], np.ndarray], Callable[[int, int], bool]]]
 
 
-def cluster(buckets: DataFrame, bodies: Callable[[DataFrame], DataFrame], compare: Callable[[pa.RecordBatch], Callable[[int, np.ndarray], np.ndarray]]) -> DataFrame:
+def cluster(buckets: DataFrame, bodies: Callable[[DataFrame], DataFrame], compare: Compare) -> DataFrame:
     """Components of the links among members that share a bucket: rows (id, component).
 
     ``buckets``: rows (key, id).  ``bodies`` gives, for rows (id), rows (id, size, ...) with
     what ``compare`` needs to know of members: from a batch of such rows it makes a function
-    that tells, for a row x and rows ys of the batch, which of ys may be linked with x, and
-    yields those that are as they are asked for.
+    that tells of many pairs of rows which may be linked, and one that tells it of a pair.
 
     Two steps find the components without listing a bucket's pairs.  First each member is
-    tried with its bucket's heads, those least by HEADS hashes of the id, so that buckets of
-    one group mostly have the same heads and a large group of near copies costs its size a
-    few times.  Then only buckets whose members are still of several components are open:
+    tried with its bucket's heads, those least by HEADS hashes of the id (one in a small
+    bucket), so that buckets of one group mostly have the same heads and a large group of near
+    copies costs its size a few times.  Then only buckets whose members are still of several components are open:
     their members are taken together by least component, and what differs in component is
     compared in pairs of blocks.  Members reach either comparison in blocks of bounded size,
     sorted and streamed; no pair is a row before it is confirmed, and no pair that could join
@@ -121,11 +123,12 @@ def cluster(buckets: DataFrame, bodies: Callable[[DataFrame], DataFrame], compar
     """
     spark = buckets.sparkSession
     scratch = Scratch(spark)
-    keyed = buckets.repartition("key")
-    several = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("key")
-    shared = keyed.join(several.hint("shuffle_hash"), "key", "left_semi")
-    heads = F.array_distinct(F.array(*(F.expr(f"min_by(id, xxhash64(id, {i})) over (partition by key)") for i in range(HEADS))))
-    shared = scratch.cut(shared.withColumn("h", heads))
+    # the join's own null filter would make another plan, and a second shuffle, of the same rows
+    keyed = buckets.where("key is not null").repartition("key")
+    several = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("key", "n")
+    shared = keyed.join(several.hint("shuffle_hash"), "key")
+    heads = F.array(*(F.expr(f"min_by(id, xxhash64(id, {i})) over (partition by key)") for i in range(HEADS)))
+    shared = scratch.cut(shared.select("key", "id", F.array_distinct(F.slice(heads, 1, F.when(F.col("n") <= FEW, 1).otherwise(HEADS))).alias("h")))
     body = scratch.cut(bodies(shared.select("id").distinct()))
 
     def compared(rows: DataFrame) -> DataFrame:
@@ -182,19 +185,28 @@ def _block_pairs(rows: list[pa.RecordBatch], compare) -> Iterator[pa.RecordBatch
         base, start = (total[first - 1], int(ends[first - 1])) if first else (0, 0)
         stop = max(first + 1, int(np.searchsorted(total, base + AT_ONCE, "right")))
         part = whole.slice(start, int(ends[stop - 1]) - start)
-        near, (lo, hi, side) = compare(part), (part.column(k).to_numpy() for k in ("lo", "hi", "blk"))
-        ids, c, a, out = part.column("id").to_numpy(), part.column("c").to_numpy().copy(), 0, []
-        for b in (ends[first:stop] - start).tolist():
-            joined = Joined()
-            xs, ys = (a + np.flatnonzero(side[a:b] == k[a]) for k in (lo, hi))
-            for x in xs.tolist():
-                y = ys[ys > x] if lo[a] == hi[a] else ys
-                y = y[c[y] != c[x]]
-                for k in near(x, y) if len(y) else ():
-                    joined.link(int(ids[x]), int(ids[k]))
-                    c[a:b][c[a:b] == c[k]] = c[x]
-            out += joined.edges()
-            a = b
+        (may, linked), (lo, hi, side) = compare(part), (part.column(k).to_numpy() for k in ("lo", "hi", "blk"))
+        ids, c, out = part.column("id").to_numpy(), part.column("c").to_numpy().copy(), []
+        bounds = np.append(0, ends[first:stop] - start)
+        if lo[0] < 0:  # heads and their members
+            hubs = np.flatnonzero(side < 0)
+            x = np.repeat(hubs, np.diff(bounds)[np.searchsorted(bounds, hubs, "right") - 1])
+            y = np.concatenate([np.arange(bounds[k], bounds[k + 1]) for k in np.searchsorted(bounds, hubs, "right") - 1])
+            x, y = (v[(side[y] >= 0) & (ids[x] != ids[y])] for v in (x, y))
+            good = may(x, y)
+            out = [(int(ids[i]), int(ids[j])) for i, j in zip(x[good].tolist(), y[good].tolist(), strict=True) if linked(i, j)]
+        else:
+            for a, b in itertools.pairwise(bounds.tolist()):
+                joined = Joined()
+                xs, ys = (a + np.flatnonzero(side[a:b] == k[a]) for k in (lo, hi))
+                for x in xs.tolist():
+                    y = ys[ys > x] if lo[a] == hi[a] else ys
+                    y = y[c[y] != c[x]]
+                    for k in y[may(np.full(len(y), x), y)].tolist() if len(y) else ():
+                        if c[k] != c[x] and linked(x, k):
+                            joined.link(int(ids[x]), int(ids[k]))
+                            c[a:b][c[a:b] == c[k]] = c[x]
+                out += joined.edges()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out, strict=True)], ["a", "b"])
         first = stop
