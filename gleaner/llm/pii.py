@@ -1,10 +1,12 @@
 """Personal data: base patterns and boosted candidates.
 
 The base kinds are found by their patterns and checks and always stay.  Loose
-generators propose further, overlapping spans (spelled-out addresses, numbers in other
-groupings, IPv6); boosted regression trees score each by its format and its context,
-scores are calibrated on held-out examples, and spans above the threshold of their kind
-are added where they overlap nothing already chosen, best first.
+generators propose further, overlapping spans (spelled-out addresses, numbers in every
+grouping, IPv6, secrets such as tokens and passwords); boosted regression trees score
+each by its format and its context, scores are calibrated on held-out examples, and spans
+above the threshold of their kind are added where they overlap nothing already chosen,
+best first.  A kind's threshold is the least calibrated score from which on held-out
+examples are right with PRECISION, but not under FLOOR.
 
 The trees are trained on examples made by rule with a fixed seed, not on the corpus, so
 they are the same for every input.  Patterns are run so that no text makes them
@@ -18,6 +20,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -28,6 +31,8 @@ from pyspark.sql import DataFrame
 from .arrow_text import slices
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of candidates; secrets have no base pattern.
+ADDED = (*KINDS, "secret")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 #: A run of digits is taken whole, so a match starts at its first digit.
@@ -36,20 +41,25 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 NUMBER = re.compile(r"(?<![0-9])[+(]?[0-9](?:[0-9 ()\[\]./_-]*[0-9])?")
-SPELLED = re.compile(r"[\w.%+-]{1,64}+ ?(?:\(at\)|\[at\]|\bat\b) ?[\w-]{1,64}+(?: ?(?:\.|\(dot\)|\[dot\]|\bdot\b) ?[\w-]{1,24}+){1,4}", re.I)
-#: What no match of SPELLED is without.
 AT = re.compile(r"\(at\)|\[at\]|\bat\b", re.I)
+#: A domain after AT: two labels, all that are not parted by a full stop and a space, or all.
+SPELLED = tuple(re.compile(rf" ?[\w-]++(?:(?:{dot}) ?[\w-]++){many}", re.I) for dot, many in ((r" ?(?:\.|\(dot\)|\[dot\]|\bdot\b)", ""), (r"\.(?! )| ?(?:\(dot\)|\[dot\]|\bdot\b)", "++"), (r" ?(?:\.|\(dot\)|\[dot\]|\bdot\b)", "++")))
 GROUP = re.compile(r"[0-9]+")
-IPV6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
+IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])")
+#: A named value, and a run without spaces that mixes digits and letters.
+NAMED = re.compile(r"\b(?:token|secret|passwords?|passwd|passwort|pwd|contraseña|mot de passe|api[_ -]?key|access[_ -]?key|private[_ -]?key|bearer|auth)\b[\"']?(?:\s?[:=]\s?|\s(?=[\"'])|\s(?=\S*[0-9]))[\"']?([^\s\"']++)", re.I)
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*?[0-9])[A-Za-z0-9+/_=-]{16,}+")
+OCTET = re.compile(r"[0-9]{1,3}")
 #: Characters of context to either side, and the most digits of a number that is a candidate.
 CONTEXT, MOST = 32, 19
 #: Context words by what they speak for.
 WORDS = {
-    "email": ("mail", "write", "contact", "reach"),
-    "ip": ("ip", "host", "server", "node", "ping"),
-    "card": ("card", "visa", "credit", "pay", "debit"),
-    "phone": ("phone", "call", "tel", "fax", "mobile", "dial"),
-    "other": ("order", "invoice", "version", "isbn", "page", "total", "serial", "token", "chapter", "section"),
+    "email": ("mail", "email", "write", "contact", "reach", "schreiben", "kontakt", "courriel", "écrire", "correo", "escribir"),
+    "ip": ("ip", "host", "server", "node", "ping", "adresse", "serveur", "servidor", "rechner"),
+    "card": ("card", "visa", "credit", "pay", "debit", "karte", "kreditkarte", "carte", "tarjeta", "mastercard"),
+    "phone": ("phone", "call", "tel", "fax", "mobile", "dial", "telefon", "anruf", "handy", "tél", "téléphone", "appel", "teléfono", "llame", "móvil", "telephone"),
+    "secret": ("token", "secret", "password", "passwd", "passwort", "pwd", "contraseña", "passe", "key", "bearer", "auth", "api"),
+    "other": ("order", "invoice", "version", "isbn", "page", "total", "serial", "chapter", "section", "commit", "checksum", "sha", "file"),
 }
 ROUNDS, DEPTH, RATE, BINS = 60, 3, 0.2, 16
 EXAMPLES, SEED = 6000, 17
@@ -57,6 +67,9 @@ EXAMPLES, SEED = 6000, 17
 SCORED = 20_000
 #: Precision that a kind's threshold reaches on held-out examples.
 PRECISION = 0.995
+#: Calibrated score under which no span is added.
+FLOOR = 0.9
+DIGITS = frozenset("0123456789")
 
 
 def luhn(digits: str) -> bool:
@@ -87,7 +100,8 @@ def emails(text: str) -> list[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", *s) for s in emails(text)] if "@" in text else []
     for m in IP.finditer(text):
-        if all(int(p) <= 255 for p in m.group().split(".") if len(p.lstrip("0")) <= 3) and all(len(p.lstrip("0")) <= 3 for p in m.group().split(".")):
+        parts = [p.lstrip("0") for p in m.group().split(".")]
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in parts):
             out.append(("ip", *m.span()))
     for m in CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
@@ -95,7 +109,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             out.append(("card", *m.span()))
     if "+" in text:
         for m in PHONE.finditer(text):
-            if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
+            if 8 <= sum(c in DIGITS for c in m.group()) <= 15:
                 out.append(("phone", *m.span()))
     return out
 
@@ -125,37 +139,62 @@ def windows(text: str, a: int, b: int) -> list[tuple[str, int, int]]:
     return out
 
 
+def spelled(text: str) -> list[tuple[str, int, int]]:
+    """Spelled-out addresses: before each AT the run of local characters not yet used, after it domains of several lengths."""
+    out, last = [], 0
+    for m in AT.finditer(text):
+        end = m.start() - (m.start() > last and text[m.start() - 1] == " ")
+        start = end
+        while start > last and (text[start - 1].isalnum() or text[start - 1] in "_.%+-"):
+            start -= 1
+        if start < end:
+            ends = {d.end() for p in SPELLED if (d := p.match(text, m.end()))}
+            out += [("email", start, e) for e in sorted(ends)]
+            last = max([m.end(), *ends])
+        else:
+            last = max(last, m.end())
+    return out
+
+
+def short_ipv6(s: str) -> bool:
+    try:
+        return ipaddress.ip_address(s).version == 6
+    except ValueError:
+        return False
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Overlapping proposals; a number is proposed as each kind that its digits allow."""
-    out = []
-    if AT.search(text):
-        out += [("email", *m.span()) for m in SPELLED.finditer(text)]
+    out = spelled(text)
     if ":" in text:
-        out += [("ip", *m.span()) for m in IPV6.finditer(text)]
+        out += [("ip", *m.span()) for m in IPV6.finditer(text) if short_ipv6(m.group())]
+    out += [("secret", *m.span(1)) for m in NAMED.finditer(text)]
+    out += [("secret", *m.span()) for m in RUN.finditer(text)]
     for m in NUMBER.finditer(text):
         if m.end() - m.start() >= 7:
             out += windows(text, *m.span())
-    return out
-
-
-FEATURES = 17 + len(KINDS) + len(WORDS)
+    return list(dict.fromkeys(out))
 
 
 def features(text: str, kind: str, a: int, b: int) -> list[float]:
     s = text[a:b]
-    digits = [c for c in s if c.isdigit()]
+    low = s.lower()
+    digits = [c for c in s if c in DIGITS]
+    letters = sum(c.isalpha() for c in s)
     groups = [len(g) for g in re.split(r"[^0-9]+", s) if g] or [0]
     before, after = text[max(0, a - CONTEXT) : a].lower(), text[b : b + CONTEXT].lower()
-    near = re.split(r"[^a-z]+", f"{before} {after}")
+    near = re.split(r"[\W_0-9]+", f"{before} {after}")
     marks = {c for c in s if not c.isalnum()}
     parts = re.split(r"[.\[\]]+", s)
     return [
-        len(s), len(digits), len(groups), max(groups), min(groups), len(marks), float("+" in s), float("(" in s and ")" in s),
-        float(bool(digits) and luhn("".join(digits)) and len(digits) >= 13), float(len(parts) == 4 and all(p.isdigit() and int(p) <= 255 for p in parts)),
-        float(bool(re.fullmatch(r"(?:19|20)\d\d[-/. ]\d\d?[-/. ]\d\d?|\d\d?[-/. ]\d\d?[-/. ](?:19|20)?\d\d", s))), float(s.count(":") == 7),
-        float(bool(re.search(r"(?:com|org|net|edu|info|io|de|fr|es|vn)$", s.lower()))), float("at" in s.lower() and "dot" in s.lower() or "(at)" in s or "[at]" in s),
-        float(bool(before) and (before[-1].isalnum() or before[-1] in "-_#=/\"")), float(bool(after) and (after[0].isalnum() or after[0] in "-_%=/\"")),
-        float(bool(re.search(r"\.\s", s))), *(float(kind == k) for k in KINDS), *(float(sum(w in near for w in words)) for words in WORDS.values()),
+        len(s), len(digits), len(groups), max(groups), min(groups), groups[0], groups[-1], len(marks), float("+" in s), float("(" in s and ")" in s),
+        float(len(digits) >= 13 and luhn("".join(digits))), float(len(parts) == 4 and all(OCTET.fullmatch(p) and int(p) <= 255 for p in parts)),
+        float(bool(re.fullmatch(r"(?:19|20)[0-9]{2}[-/. ][0-9]{1,2}[-/. ][0-9]{1,2}|[0-9]{1,2}[-/. ][0-9]{1,2}[-/. ](?:19|20)?[0-9]{2}", s))), float(s.count(":")),
+        float(bool(re.search(r"\b(?:com|org|net|edu|info|io|de|fr|es|vn)$", low))), float("at" in low and "dot" in low), float("(at)" in low or "[at]" in low),
+        float(bool(before) and (before[-1].isalnum() or before[-1] in "-_#=/")), float(bool(after) and (after[0].isalnum() or after[0] in "-_%=/")),
+        float(bool(re.search(r"\.\s", s))), float(bool(re.search(r"[0-9] [0-9]", s))), letters, float(0 < letters and bool(digits)), float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s))),
+        float(any(c.isupper() for c in s) and any(c.islower() for c in s)), float(bool(re.search(r"[:=]\s?[\"']?$", before))), float("." in s), float("/" in s),
+        *(float(kind == k) for k in ADDED), *(float(sum(w in near for w in words)) for words in WORDS.values()),
     ]
 
 
@@ -213,7 +252,7 @@ class Model:
     def __init__(self):
         rows = examples(np.random.default_rng(SEED))
         x = np.array([features(t, k, a, b) for t, k, a, b, _ in rows])
-        y, kind = np.array([r[4] for r in rows], float), np.array([KINDS.index(r[1]) for r in rows])
+        y, kind = np.array([r[4] for r in rows], float), np.array([ADDED.index(r[1]) for r in rows])
         half = np.arange(len(rows)) % 2 == 0
         self.trees = Trees(x[half], y[half])
         raw, target = self.trees.raw(x[~half]), y[~half]
@@ -226,12 +265,12 @@ class Model:
             self.slope, self.shift = self.slope + step[0], self.shift + step[1]
         p = 1 / (1 + np.exp(-(self.slope * raw + self.shift)))
         self.least = []
-        for k in range(len(KINDS)):
+        for k in range(len(ADDED)):
             own, good = p[kind[~half] == k], target[kind[~half] == k]
             order = np.argsort(-own, kind="stable")
             right = np.cumsum(good[order]) / np.arange(1, len(order) + 1)
             ok = np.flatnonzero(right >= PRECISION)
-            self.least.append(max(0.9, float(own[order][ok[-1]])) if len(ok) else 2.0)
+            self.least.append(max(FLOOR, float(own[order][ok[-1]])) if len(ok) else 2.0)
 
     def scores(self, rows: list[list[float]]) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * self.trees.raw(np.array(rows)) + self.shift)))
@@ -253,32 +292,48 @@ def examples(rng) -> list[tuple[str, str, int, int, int]]:
     def bad_card() -> str:
         return next(d for d in iter(lambda: digits(16), None) if not luhn(d))
 
+    def octets() -> tuple:
+        return tuple(int(rng.integers(0, pick([2, 10, 256]))) for _ in range(4))
+
+    def short_v6() -> str:
+        return ":".join([*(f"{v:x}" for v in rng.integers(1, 65535, int(rng.integers(1, 5)))), "", *(f"{v:x}" for v in rng.integers(1, 65535, int(rng.integers(1, 3))))])
+
+    def run(n: int, of: str) -> str:
+        return "".join(rng.choice(list(of), n))
+
+    def mixed(n: int) -> str:
+        return run(n - 2, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") + "a7"
+
+    small, tops = "abcdefghijkmnpqrstuvwxyz", ["com", "org", "net", "de", "fr", "es", "io", "info"]
+    named = ["token = \"{}\"", "token: {}", "password = {}", "password: \"{}\"", "secret={}", "api_key = '{}'", "API key: {}", "pwd={}", "Passwort: {}", "contraseña: {}", "Bearer {}", "auth={}"]
     make = {
-        ("email", 1): lambda: pick(["{} (at) {} dot {}", "{}(at){}.{}", "{}[at]{}[dot]{}", "{} at {} dot {}"]).format(word(), word(), pick(["com", "org", "net", "de", "fr"])),
-        ("email", 0): lambda: pick(["{} at {} dot {}", "{} (at) {}.{}", "{} at {}. {}", "{} at {}. {}com", "{} at {}. {}es", "{} at {}. {}de", "{} AT {}. {}IO"]).format(word(), word(), word()),
-        ("ip", 1): lambda: pick(["{}[.]{}[.]{}[.]{}".format(*rng.integers(1, 255, 4)), ":".join(f"{v:x}" for v in rng.integers(1, 65535, 8))]),
+        ("email", 1): lambda: pick(["{} (at) {} dot {}", "{}(at){}.{}", "{}[at]{}[dot]{}", "{} at {} dot {}", "{} [at] {} [dot] {}", "{} (AT) {} DOT {}", "{} AT {} DOT {}", "{}(at){}(dot){}", "{} at {} [dot] {}", "{} (at) {}.{}", "{} at {}.{}"]).format(word(), word(), pick(tops)),
+        ("email", 0): lambda: pick(["{} at {} dot {}", "{} at {}. {}", "{} at {}. {}com", "{} at {}. {}es", "{} at {}. {}de", "{} AT {}. {}IO", "{} at {}.{}"]).format(word(), word(), word()),
+        ("ip", 1): lambda: pick([lambda: "{}[.]{}[.]{}[.]{}".format(*octets()), lambda: "{}[.]{}.{}.{}".format(*octets()), lambda: ":".join(f"{v:x}" for v in rng.integers(1, 65535, 8)), short_v6])(),
         ("ip", 0): lambda: pick([".".join(map(str, rng.integers(300, 999, 4))), ".".join(map(str, rng.integers(0, 20, 5))), f"{digits(2)}.{digits(2)}.{digits(4)}.{digits(3)}"]),
         ("card", 1): lambda: grouped(card(), pick([".", "_", "/", " - "])),
         ("card", 0): lambda: pick([bad_card, lambda: grouped(bad_card(), pick([" ", "-", ".", "/"])), lambda: digits(int(rng.integers(13, 20)))])(),
-        ("phone", 1): lambda: pick([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"00{digits(2)} {digits(3)} {digits(7)}"]),
+        ("phone", 1): lambda: pick([f"({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)} {digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"00{digits(2)} {digits(3)} {digits(7)}", f"(0{digits(2)}) {digits(3)}-{digits(4)}", f"0{digits(2)} {digits(4)} {digits(4)}", f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"0{digits(3)}/{digits(6)}", f"(0{digits(3)}) {digits(6)}"]),
         ("phone", 0): lambda: pick([f"20{digits(2)}-{pick(['01', '11', '07'])}-{digits(2)}", digits(int(rng.integers(7, 16))), f"{digits(3)}.{digits(5)}", f"{digits(1)}.{digits(2)}.{digits(4)}", f"{digits(4)} {digits(4)}"]),
+        ("secret", 1): lambda: pick(named).format(pick([lambda: run(40, "0123456789abcdef"), lambda: run(32, "0123456789abcdef"), lambda: mixed(int(rng.integers(20, 48))), lambda: mixed(int(rng.integers(8, 20))), lambda: "ghp_" + mixed(36), lambda: "sk-" + mixed(40), lambda: "AKIA" + run(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")])()),
+        ("secret", 0): lambda: pick([lambda: f"token {word()}", lambda: f"password: {word()}", lambda: f"a secret = {word()}", lambda: f"commit {run(40, '0123456789abcdef')}", lambda: f"sha {run(64, '0123456789abcdef')}", lambda: f"{run(12, small)}-{digits(4)}-{run(6, small)}", lambda: f"{run(8, small)}/{run(6, small)}/{digits(4)}/{run(8, small)}", lambda: f"{run(18, small)}{digits(1)}", lambda: "=" * 20 + digits(1), lambda: digits(int(rng.integers(16, 24)))])(),
     }
     out = []
     for _ in range(EXAMPLES):
         kind, label = pick(list(make))
         s = make[kind, label]()
         # a number in an unmarked format is personal only where the context says so
-        context = pick(WORDS[kind]) if label and (kind == "phone" or rng.random() < 0.5) else pick([word(), word(), pick(WORDS["other"]), pick(WORDS[kind]) if kind != "phone" else word()])
+        context = pick(WORDS[kind]) if label and (kind == "phone" or rng.random() < 0.5) else pick([word(), word(), pick(WORDS["other"]), pick(WORDS[kind]) if kind not in ("phone", "secret") else word()])
         left = f"{word()} {context} {word() + ' ' if rng.random() < 0.3 else ''}"
         if rng.random() < 0.3 and kind in ("phone", "card"):
             left += pick([f"20{digits(2)}-0{1 + int(rng.integers(9))}-1{digits(1)} ", f"{digits(3)} ", f"{digits(3)}-{digits(3)}-{digits(4)} "])
-        after = pick(["", "", f"0{1 + int(rng.integers(9))}/{digits(2)} {digits(3)} ", f"({digits(3)}) {digits(3)}-{digits(4)} ", f"{digits(3)}-{digits(3)}-{digits(4)} "]) if kind in ("phone", "card") else ""
+        after = pick(["", "", f"0{1 + int(rng.integers(9))}/{digits(2)} {digits(3)} ", f"{digits(1)} ", f"{digits(2)} ", f"({digits(3)}) {digits(3)}-{digits(4)} ", f"{digits(3)}-{digits(3)}-{digits(4)} "]) if kind in ("phone", "card") else ""
         text = f"{left}{s} {after}{word()} {word()}"
+        start, end = len(left), len(left) + len(s)
         for k, a, b in candidates(text):
-            end = len(left) + len(s)
-            if k == "phone" and re.fullmatch(r"\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}", text[a:b]) and not len(left) <= a < end:
+            if k == "phone" and re.fullmatch(r"\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}", text[a:b]) and not start <= a < end:
                 continue  # a neighbour in a list, personal as well or not as the context says
-            whole = len(left) - 1 <= a <= len(left) and end <= b <= end + 1
+            whole = start <= a and end - 1 <= b <= end and s[-1] in "\"'" + text[b - 1] if kind == "secret" else start - 1 <= a <= start and end <= b <= end + 1
             out.append((text, k, a, b, int(bool(label) and whole and k == kind)))
     return out
 
@@ -289,7 +344,7 @@ def all_spans(texts: list[str | None], model: Model) -> list[tuple[list, list]]:
 
     def score() -> None:
         p = model.scores(rows) if rows else []
-        good.extend((-p[j], w) for j, w in enumerate(where) if p[j] >= model.least[KINDS.index(w[1])])
+        good.extend((-p[j], w) for j, w in enumerate(where) if p[j] >= model.least[ADDED.index(w[1])])
         rows.clear()
         where.clear()
 
@@ -317,11 +372,11 @@ def all_spans(texts: list[str | None], model: Model) -> list[tuple[list, list]]:
 
 
 def listed(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (ADDED.index(s[0]), s[1], s[2])))
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans), one for each row of docs."""
+    """Rows (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans), one for each row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(Model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,9 +387,10 @@ def find(docs: DataFrame) -> DataFrame:
                 counts = [pa.array([sum(k == kind for k, _, _ in base) for base, _ in found], pa.int64()) for kind in KINDS]
                 digest = pa.array([hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in found])
                 spans = pa.array([listed(base + more) for base, more in found])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, digest, spans], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                n = pa.array([len(base) + len(more) for base, more in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, digest, spans, n], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redact(text: str | None, model: Model) -> str | None:
