@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import mix, slices
@@ -50,6 +50,10 @@ HEAVY = 1000
 CHARACTERS = 256 << 10
 
 
+def _split() -> Column:
+    return F.transform(F.split(F.lower("text"), "\n", -1), lambda x: F.trim(x, F.lit(" \t\r\x0b\x0c")))
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, line_no, line, id, h): every line of every document, normalised, and its two hashes."""
     each = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "line"))
@@ -129,9 +133,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     def bodies(ids: DataFrame) -> DataFrame:
         own = classes.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("h", "f")).alias("m"))
-        own = scratch.cut(own.selectExpr("id", "m.h", "m.f.doc_id d"))
-        texts = docs.join(own.selectExpr("d doc_id").distinct(), "doc_id", "left_semi")
-        found = lines(texts).where("line != ''").join(own, ["id", "h"]).where("doc_id = d")
+        # the lines of one document, so its text is shuffled once at most and its other lines not at all
+        own = scratch.cut(own.groupBy(F.col("m.f.doc_id").alias("d")).agg(F.collect_set(F.struct("id", "m.h")).alias("own")))
+        texts = docs.join(own, F.col("doc_id") == F.col("d"))
+        found = texts.select("own", *(F.explode(F.transform(_split(), lambda x: F.struct(x.alias("line"), F.xxhash64(x).alias("id"), F.xxhash64(F.lit(SEED), x).alias("h")))).alias("x"),))
+        found = found.where(F.array_contains("own", F.struct("x.id", "x.h"))).select("x.id", "x.line")
         return found.groupBy("id").agg(F.min("line").alias("line")).selectExpr("id", "length(line) size", "line")
 
     found = cluster(buckets, bodies, _compare)

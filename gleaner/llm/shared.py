@@ -33,6 +33,10 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{work_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Setting that removes a query's shuffle files when it ends.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written in the shared folder; ``clear`` removes those that nothing reads any more."""
 
@@ -41,7 +45,13 @@ class Scratch:
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.paths.append(fresh_dir(self.spark, "cut"))
-        df.write.parquet(self.paths[-1])
+        # once df is written nothing reads its shuffle files again
+        was = self.spark.conf.get(FREE, "false")
+        self.spark.conf.set(FREE, "true")
+        try:
+            df.write.parquet(self.paths[-1])
+        finally:
+            self.spark.conf.set(FREE, was)
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
     def clear(self) -> None:
