@@ -10,16 +10,20 @@ documents of many blocks are blocks of the next level, until a source is one blo
 The last open document of a source goes to its nearer side, so a source misses its
 target by at most half a document.
 
-Draws are hashes of the two documents and a seed, so reruns agree.
+Rows alike in id, size and source are one item with a count: together they take the whole
+part of their mass, in rows, and only the fraction that is left is rounded, so however
+many rows have one id or none, blocks stay small.  Draws are hashes of the two documents
+and a seed, so reruns agree.
 
 Defined results: null text has size 0 and takes 0; null source is the last source; a
-source without words has target 0; repeated rows count each, and rows alike in id, size
-and source may be rounded alike; other columns are ignored.
+source without words has target 0; repeated rows count each; of rows alike in id, size
+and source the first in order of the text's hash are taken first; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut
@@ -30,6 +34,8 @@ WEIGHTS, SHARE, MOST = (3, 1, 2), 150, 2
 #: Documents that one fold rounds, about.
 BLOCK = 256
 SEED = 7
+#: Rows of one item that are listed at once.
+LISTED = 65_536
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -41,13 +47,13 @@ def sized_text():
 
 
 def source_targets(rows: DataFrame) -> DataFrame:
-    """Rows (source, n, source_size, target): shares by weight, filled up to MOST times a source's size.
+    """Rows (source, n, source_size, target) from rows (source, size, m), n items each: shares by weight, filled up to MOST times a source's size.
 
     A source stays below its cap only if the common level (words a weight) is below its
     cap over its weight, so with sources in order of that ratio the level is that of the
     first source which it doesn't fill.
     """
-    sums = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
+    sums = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("size") * F.col("m")).alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # a row a source
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (rank % len(WEIGHTS) + 1).cast("int")).cast("double")
     sums = sums.withColumn("w", weight).withColumn("cap", F.lit(float(MOST)) * F.col("source_size"))
@@ -63,7 +69,8 @@ def source_targets(rows: DataFrame) -> DataFrame:
     return sums.select("source", "n", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-ITEM = "struct<d:bigint,z:bigint,f:double,u:bigint>"
+#: Id, size, open fraction, whether the id is null, rows of the item, and rows that are settled as taken.
+ITEM = "struct<d:bigint,z:bigint,f:double,u:bigint,m:bigint,s:bigint>"
 
 
 def _fold(items: str, last: str) -> str:
@@ -75,7 +82,7 @@ def _fold(items: str, last: str) -> str:
     draw = f"(pmod(xxhash64(a.open.d, a.open.u, y.d, y.u, {SEED}), 1000003) + 0.5D) / 1000003"
     gain = f"if({draw} * ({up} + {down}) < {down}, {up}, -({down}))"  # in words, to x
     x_f, y_f = f"(a.open.f + ({gain}) / a.open.z)", f"(y.f - ({gain}) / y.z)"
-    item = lambda d, f: f"named_struct('d', {d}.d, 'z', {d}.z, 'f', cast({f} as double), 'u', {d}.u)"
+    item = lambda d, f: f"named_struct('d', {d}.d, 'z', {d}.z, 'f', cast({f} as double), 'u', {d}.u, 'm', {d}.m, 's', {d}.s)"
     whole = lambda f: f"({f} < {eps} or {f} > 1 - {eps})"
     none = f"cast(null as {ITEM})"
     step = f"""case
@@ -92,25 +99,29 @@ def _fold(items: str, last: str) -> str:
     return f"aggregate({items}, {start}, (a, y) -> {step}, {finish})"
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, size, source_size, target, taken), one for each row of docs."""
-    rows = cut(sized(docs.select(F.col("doc_id").cast("long"), "source", "text")).drop("text"))
-    targets = cut(source_targets(rows))
+def keys() -> dict[str, Column]:
+    """Non-null columns that say which rows are alike."""
+    null = lambda c: F.when(F.col(c).isNull(), 1).otherwise(0).cast("long")
+    return {"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "u": null("doc_id"), "k": F.coalesce("source", F.lit("")), "v": null("source"), "z": F.col("size")}
+
+
+def decided(docs: DataFrame) -> DataFrame:
+    """Items (d, u, k, v, z, m, source_size, target, whole, s, f): each of the m rows takes whole copies, the first s one more, the next f."""
+    rows = cut(sized(docs.select("doc_id", "source", "text")).drop("text").withColumns(keys()).groupBy("source", *keys()).agg(F.count("*").alias("m")))
+    targets = cut(source_targets(rows.withColumn("size", F.col("z"))))
     most = targets.agg(F.max("n")).first()[0] or 0
     copies = F.coalesce(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(0.0))
-    rows = rows.withColumn("k", F.col("source"))
-    rows = rows.join(targets, rows["k"].eqNullSafe(targets["source"])).select("doc_id", "size", "k", "n", "source_size", "target", copies.alias("c"))
-    rows = rows.withColumn("whole", F.floor(F.col("c") + 1e-9)).withColumn("f", F.greatest(F.col("c") - F.col("whole"), F.lit(0.0)))
-    # u tells rows of one doc_id apart
-    level = rows.select("k", "n", "source_size", "target", "whole", F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("size").alias("z"), "f", F.when(F.col("doc_id").isNull(), 1).otherwise(0).cast("long").alias("u"))
-    group, done, blocks = ["k", "n", "source_size", "target", "whole", "part"], [], most
+    targets = targets.withColumnRenamed("source", "of").withColumn("whole", F.floor(copies + 1e-9)).withColumn("part", F.greatest(copies - F.col("whole"), F.lit(0.0)))
+    level = rows.join(targets, rows["source"].eqNullSafe(targets["of"])).withColumn("mass", F.col("part") * F.col("m"))
+    level = level.withColumn("s", F.floor(F.col("mass") + 1e-9)).withColumn("f", F.greatest(F.col("mass") - F.col("s"), F.lit(0.0)))
+    group, done, blocks = ["k", "v", "n", "source_size", "target", "whole", "part"], [], most
     depth = 0
     while True:
         blocks = -(-blocks // BLOCK)
         parts = F.greatest(F.ceil(F.col("n") / float(BLOCK ** (depth + 1))), F.lit(1))
         level = level.withColumn("part", F.pmod(F.xxhash64("d", "z", "u", F.lit(SEED + depth)), parts))
-        folded = level.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.col("z").alias("z"), F.col("d").alias("d"), F.col("u").alias("u"), F.col("f").alias("f"))), asc=False).alias("i"))
-        folded = folded.withColumn("i", F.expr("transform(i, x -> named_struct('d', x.d, 'z', x.z, 'f', x.f, 'u', x.u))"))
+        folded = level.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("z", "d", "u", "f", "m", "s")), asc=False).alias("i"))
+        folded = folded.withColumn("i", F.expr("transform(i, x -> named_struct('d', x.d, 'z', x.z, 'f', x.f, 'u', x.u, 'm', x.m, 's', x.s))"))
         folded = cut(folded.select(*group, F.expr(_fold("i", str(blocks <= 1).lower())).alias("r")))
         done.append(folded.select(*group, F.explode("r.out").alias("x")))
         if blocks <= 1:
@@ -120,19 +131,33 @@ def mix(docs: DataFrame) -> DataFrame:
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    taken = ((F.col("whole") + F.col("x.f")) * F.col("x.z")).cast("long")
-    return out.select(F.when(F.col("x.u") == 0, F.col("x.d")).alias("doc_id"), F.col("x.z").alias("size"), "source_size", "target", taken.alias("taken"))
+    return out.select("x.d", "x.u", "k", "v", "x.z", "x.m", "source_size", "target", "whole", "x.s", F.round("x.f").cast("long").alias("f"))
+
+
+#: Copies that the row i of an item takes.
+COPIES = "whole + if(i <= s, 1, if(i = s + 1, f, 0))"
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, size, source_size, target, taken), one for each row of docs."""
+    # an item's rows are listed in runs, so that none is an array of them all
+    each = decided(docs).withColumn("j", F.expr(f"explode(sequence(0, (m - 1) div {LISTED}))"))
+    each = each.withColumn("i", F.expr(f"explode(sequence(j * {LISTED} + 1, least(m, (j + 1) * {LISTED})))"))
+    return each.selectExpr("if(u = 0, d, null) doc_id", "z size", "source_size", "target", f"cast(({COPIES}) * z as long) taken")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes it, with their columns.
 
     Rows without words are taken as often as the rounded copies of their source say at
-    least.  Rows alike in id, size and source are taken alike.
+    least.
     """
     names = docs.columns
-    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__z": sized_text()})
-    taken = mix(docs).groupBy(F.col("doc_id").alias("__i"), F.col("size").alias("__s"), F.col("source_size").alias("__t")).agg(F.max(F.expr("if(size = 0, if(source_size = 0, 1, floor(target / source_size)), taken div size)")).cast("int").alias("__n"))
-    taken = taken.groupBy("__i", "__s").agg(F.max("__n").alias("__n"))
-    joined = rows.join(taken, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__z") == F.col("__s")))
-    return joined.where("__n > 0").withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*names)
+    prefixed = [f"__{k}" for k in keys()]
+    rows = docs.withColumns({f"__{k}": c if k != "z" else sized_text() for k, c in keys().items()})
+    items = decided(docs).select(*(F.col(k).alias(f"__{k}") for k in keys()), F.struct("whole", "s", "f", "source_size").alias("__x"))
+    joined = rows.join(items, prefixed)
+    number = F.row_number().over(Window.partitionBy(*prefixed).orderBy(F.xxhash64("text")))
+    joined = joined.withColumn("__i", number)
+    n = F.expr("if(__z = 0, if(__x.source_size = 0, 1, __x.whole), __x.whole + if(__i <= __x.s, 1, if(__i = __x.s + 1, __x.f, 0)))").cast("int")
+    return joined.withColumn("__n", n).where("__n > 0").withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*names)

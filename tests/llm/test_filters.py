@@ -243,6 +243,44 @@ def plain_distance(a, b):
     return best
 
 
+def holds(text, item):
+    if len(item) < decontam.LEAST:
+        return f" {item} " in f" {text.strip()} "
+    return plain_distance(item, text) <= int(decontam.EDITS * len(item))
+
+
+@pytest.mark.parametrize("hits", [1 << 21, 50])
+def test_short_and_templated_items(monkeypatch, hits):
+    """Items of every length, and items that share their phrases, whether or not their hits fit in one portion."""
+    monkeypatch.setattr(decontam, "HITS", hits)
+    rng = random.Random(12)
+    say = lambda n: "".join(rng.choice("abcd ") for _ in range(n)).strip() or "a"
+    items = [say(n) for n in (1, 3, 5, 7, 8, 11, 15, 20, 25, 30, 35, 39, 40, 45, 47, 48, 49, 60, 90)]
+    items += [f"what is the capital of the country {say(12)} in the year {1900 + i}" for i in range(40)]
+    texts = ["", "yes or no", "what is the capital of the country " * 30]
+    for i in range(150):
+        x = list(rng.choice(items))
+        for _ in range(rng.randrange(0, 1 + len(x) // 7)):
+            at = rng.randrange(len(x))
+            x[at : at + rng.randrange(2)] = rng.choice(["", "a", " "])
+        texts.append(say(rng.randrange(40)) + rng.choice([" ", ""]) + "".join(x) + rng.choice([" ", ""]) + say(rng.randrange(40)))
+    norm = lambda t: re.sub(r"[^a-z0-9]+", " ", t.lower())
+    bench = decontam.Benchmark(list(enumerate(items)))
+    clean = [norm(t).strip() for t in items]
+    got = bench.found(pa.array(texts))
+    for t, own in zip(texts, got, strict=True):
+        assert own == [i for i, x in enumerate(clean) if holds(norm(t), x)], t
+    assert sum(map(bool, got)) > 60
+
+
+def test_templated_benchmark_and_long_text():
+    """A long text of a phrase that thousands of items share is looked through in bounded portions."""
+    items = [(i, f"what is the name of the river number {i} that flows through the town {i * 7919} of the valley") for i in range(1000)]
+    text = "what is the name of the river number " * 200 + items[77][1]
+    got = decontam.Benchmark(items).found(pa.array([text, "x " * 400_000, None]))
+    assert 77 in got[0] and got[1:] == [[], []]
+
+
 def test_decontamination_equals_alignment(spark):
     rng = random.Random(8)
     say = lambda n: " ".join("".join(rng.choice("abcde") for _ in range(rng.randrange(1, 6))) for _ in range(n))
@@ -264,7 +302,7 @@ def test_decontamination_equals_alignment(spark):
             assert r["contaminated"] and r["item_ids"] == []
             continue
         text = norm(dict(docs)[r["doc_id"]] or "")
-        want = [i for i, t in items if i is not None and t and len(norm(t).strip()) >= decontam.Q and plain_distance(norm(t).strip(), text) <= decontam.budget(len(norm(t).strip()))]
+        want = [i for i, t in items if i is not None and t and holds(text, norm(t).strip())]
         assert r["item_ids"] == want and r["contaminated"] == bool(want), r
     assert 5 < sum(r["contaminated"] for r in got) < len(got)
 
@@ -325,6 +363,26 @@ def test_mixing_draws_are_fair(spark):
         assert abs((g.taken / g["size"]).mean() - share) < 0.25
 
 
+def test_mixing_many_rows_without_or_of_one_id(spark):
+    """Rows that nothing tells apart are one item, so no block holds them all; words still meet the target."""
+    n = 100_000
+    df = spark.range(3 * n).select(
+        F.when(F.col("id") < n, F.lit(None)).when(F.col("id") < 2 * n, F.lit(7)).otherwise(F.col("id")).cast("long").alias("doc_id"),
+        F.when(F.col("id") % 5 == 0, "b").otherwise("a").alias("source"), F.lit("one two three four").alias("text"),
+    )
+    got = mixing.mix(df).groupBy("target").agg(F.sum("taken").alias("taken"), F.count("*").alias("n"), F.sum("size").alias("size"), F.max("taken").alias("most")).collect()
+    assert sum(r["n"] for r in got) == 3 * n and sum(r["size"] for r in got) == 12 * n
+    assert all(abs(r["taken"] - r["target"]) <= 2 and r["most"] <= 8 for r in got)
+
+
+def test_mixed_takes_rows_alike_by_number(spark):
+    """Different texts without id and of one size are told apart by their texts."""
+    df = spark.createDataFrame([(None if i % 2 else 3, "s" if i < 60 else "t", f"w{i} w w") for i in range(120)], "doc_id long, source string, text string")
+    out, mix = mixing.mixed(df), mixing.mix(df)
+    assert 3 * out.count() == mix.agg(F.sum("taken")).first()[0]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, mixing.mixed(df.repartition(5)).collect()), key=str)
+
+
 def test_mixed_rows(spark):
     df = spark.createDataFrame([(i, f"s{i % 3}", "w " * (i % 7)) for i in range(90)], "doc_id long, source string, text string")
     out, mix = mixing.mixed(df), mixing.mix(df)
