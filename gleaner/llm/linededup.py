@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .arrow_text import mix, slices
 from .shared import Scratch, cluster, cut
 
-K, PERCENT = 6, 75
+K, PERCENT = 7, 75
 BANDS, R = 24, 4
 M = BANDS * R
 SEED = 23

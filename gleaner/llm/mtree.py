@@ -1,7 +1,8 @@
 """Exact top-k inner products by best-first search in M-trees.
 
-Vectors are integers (floor(256 * x)).  The rows are dealt into trees of about TREE
-rows.  A tree's leaves and inner nodes are pages: an entry holds its vector's distance
+Vectors are integers (floor(256 * x)).  The rows are dealt to sampled pivots, PIVOTS at
+most for a vector length, and a pivot's rows into trees of about TREE, so a tree covers a
+ball.  A tree's leaves and inner nodes are pages: an entry holds its vector's distance
 to the page's pivot, an inner entry also the radius that covers everything below it.
 For a query q and an entry x of a page with pivot p::
 
@@ -10,8 +11,9 @@ For a query q and an entry x of a page with pivot p::
 so stored parent distances bound scores before any product with x is made, and with a
 subtree's radius r added, <q, x> + |q| * r bounds everything below.  Search takes pages
 in order of their bounds and stops when the best bound left is below the k-th score.
-Queries go to trees in blocks; each block and tree gives its k best, and the k best of
-those are the answer.  Every row is indexed and no candidate is skipped unbounded.
+A query is first searched in the tree with the best bound, then in all trees whose bound
+reaches the k-th score found there; the k best of both are the answer.  Queries meet a tree
+in blocks by (length, tree, block).  Every row is indexed and no candidate is skipped unbounded.
 
 Defined results: vectors that are null, or hold null, NaN or infinite components, take
 no part, nor do rows with null vec_id; vectors of different lengths are never compared;
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 K, EVERY = 5, 50
-#: Rows of a tree, about; entries of a page; queries of a block.
-TREE, PAGE, BLOCK = 16_384, 128, 512
+#: Rows of a tree, about; entries of a page; queries of a block, about; pivots of a vector length at most.
+TREE, PAGE, BLOCK, PIVOTS = 16_384, 128, 2048, 256
 SEED = 3
 LONG = 2**63 - 1
 
@@ -87,8 +89,8 @@ class Tree:
         whole = [int(v) for v in q]
         return np.array([max(-LONG - 1, min(LONG, sum(a * int(b) for a, b in zip(whole, self.vectors[r].tolist(), strict=True)))) for r in rows.tolist()], np.int64)
 
-    def search(self, query_id: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, vec_id) for q, by score, then smaller vec_id."""
+    def search(self, query_id: int, q: np.ndarray, k: int, least: float = -np.inf) -> list[tuple[int, int]]:
+        """The k best (score, vec_id) for q, by score, then smaller vec_id; scores under least need not be found."""
         if self.root is None:
             return []
         norm = float(np.sqrt(q @ q))
@@ -98,7 +100,7 @@ class Tree:
         heap = [(-np.inf, self.root, top)]
         while heap:
             bound, page, middle = heapq.heappop(heap)
-            floor = best[0][0] if len(best) == k else -np.inf
+            floor = max(least, best[0][0]) if len(best) == k else least
             if -bound + slack * abs(bound) + slack < floor:
                 break
             _, entries, d, radii, leaf, _ = self.pages[page]
@@ -135,36 +137,73 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _plant(group: pa.Table) -> pa.Table:
     group = group.combine_chunks().sort_by("vec_id").combine_chunks()
     tree = Tree(group["vec_id"].to_numpy(), _matrix(group["v"].combine_chunks()))
-    return pa.table({"dim": group["dim"].slice(0, 1), "tree": group["tree"].slice(0, 1), "pages": pa.array([pickle.dumps(tree.__dict__)], pa.binary())})
+    pivot, *_, cover = tree.pages[tree.root]
+    return pa.table({"dim": group["dim"].slice(0, 1), "tree": group["tree"].slice(0, 1), "centre": pa.array([pivot], pa.list_(pa.float64())), "cover": pa.array([cover]), "pages": pa.array([pickle.dumps(tree.__dict__)], pa.binary())})
 
 
 def build(vectors: DataFrame) -> DataFrame:
-    """The index: rows (dim, tree, pages), a tree each."""
-    counts = vectors.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count("*") / TREE).cast("int").alias("trees"))
-    dealt = vectors.withColumn("dim", F.size("v")).join(F.broadcast(counts), "dim")  # a row a vector length
-    dealt = dealt.select("dim", F.pmod(F.xxhash64("vec_id"), "trees").cast("int").alias("tree"), "vec_id", "v")
-    return cut(dealt.groupBy("dim", "tree").applyInArrow(_plant, "dim int, tree int, pages binary"))
+    """The index: rows (dim, tree, centre, cover, pages), a tree each."""
+    vectors = vectors.withColumn("dim", F.size("v"))
+    sizes = vectors.groupBy("dim").count().where(F.col("count") > TREE).collect()  # a row a vector length with more than a tree
+    pivots = {}
+    for dim, n in sizes:
+        some = vectors.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id")).limit(min(PIVOTS, -(-n // TREE))).select("v").collect()
+        pivots[dim] = np.array([r[0] for r in some])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, pivot = batch.column("dim").to_numpy(), np.zeros(batch.num_rows, np.int64)
+            for dim in np.unique(dims).tolist():
+                if dim in pivots:
+                    at = np.flatnonzero(dims == dim)
+                    x, p = _matrix(batch.column("v").take(pa.array(at))), pivots[dim]
+                    pivot[at] = ((p * p).sum(1)[None] - 2 * x @ p.T).argmin(1)
+            yield batch.append_column("pivot", pa.array(pivot))
+
+    dealt = vectors.select("dim", "vec_id", "v").mapInArrow(near, "dim int, vec_id long, v array<double>, pivot long")
+    parts = dealt.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / TREE).alias("parts"))
+    dealt = dealt.join(parts, ["dim", "pivot"]).select("dim", (F.col("pivot") * (1 << 32) + F.pmod(F.xxhash64("vec_id"), "parts")).alias("tree"), "vec_id", "v")
+    return cut(dealt.groupBy("dim", "tree").applyInArrow(_plant, "dim int, tree long, centre array<double>, cover double, pages binary"))
+
+
+def _meet(key, queries: pa.Table, trees: pa.Table) -> pa.Table:
+    """The k best of one tree for each query of a block."""
+    if not trees.num_rows or not queries.num_rows:
+        return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
+    queries = queries.combine_chunks()
+    tree = Tree.__new__(Tree)
+    tree.__dict__ = pickle.loads(trees["pages"][0].as_py())
+    ids, vectors = queries["vec_id"].to_numpy(), _matrix(queries["v"].combine_chunks())
+    out = [(q, v, s) for q, x, least, k in zip(ids.tolist(), vectors, queries["least"].to_numpy().tolist(), queries["k"].to_pylist(), strict=True) for s, v in tree.search(q, x, k, least)]
+    columns = zip(*out, strict=True) if out else ((), (), ())
+    return pa.table(dict(zip(("query_id", "vec_id", "score"), (pa.array(c, pa.int64()) for c in columns), strict=True)))
+
+
+def _found(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Rows (query_id, vec_id, score): the k best of the tree for each row (dim, tree, vec_id, v, least)."""
+    blocks = asked.groupBy("dim", "tree").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    trees = index.select("dim", "tree", "pages").join(blocks, ["dim", "tree"]).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+    asked = asked.join(blocks, ["dim", "tree"]).withColumns({"block": F.pmod(F.xxhash64("vec_id"), "blocks"), "k": F.lit(k)})
+    keys = ["dim", "tree", "block"]
+    return asked.select(*keys, "vec_id", "v", "least", "k").groupBy(*keys).cogroup(trees.select(*keys, "pages").groupBy(*keys)).applyInArrow(_meet, "query_id long, vec_id long, score long")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k best rows of each query (vec_id, v)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                tree = Tree.__new__(Tree)
-                tree.__dict__ = pickle.loads(batch.column("pages")[i].as_py())
-                block = batch.column("q")[i].values
-                ids, vectors = block.field("vec_id").to_numpy(), _matrix(block.field("v"))
-                out = [(int(q), s, v) for q, x in zip(ids, vectors, strict=True) for s, v in tree.search(int(q), x, k)]
-                a, b, c = zip(*out, strict=True) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, c, b)], ["query_id", "vec_id", "score"])
-
-    sizes = queries.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = queries.withColumn("dim", F.size("v")).join(F.broadcast(sizes), "dim")
-    blocks = dealt.groupBy("dim", F.pmod(F.xxhash64("vec_id"), "blocks").alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
-    pairs = blocks.join(index, "dim").select("q", "pages").repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    salts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    balls = index.select("dim", "tree", "centre", "cover").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = queries.withColumns({"dim": F.size("v"), "salt": F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int")})
+    dot = F.expr("aggregate(zip_with(v, centre, (x, y) -> x * y), 0D, (s, x) -> s + x)")
+    norm = F.sqrt(F.expr("aggregate(v, 0D, (s, x) -> s + x * x)"))
+    bound = dot + norm * F.col("cover")
+    bounds = cut(salted.join(balls, ["dim", "salt"]).select("dim", "vec_id", "tree", (bound + 1 + 1e-9 * F.abs(bound)).alias("bound")))
+    best = bounds.groupBy("dim", "vec_id").agg(F.max_by("tree", F.struct("bound", "tree")).alias("tree"))
+    vectors = queries.withColumn("dim", F.size("v"))
+    first = cut(_found(index, vectors.join(best, ["dim", "vec_id"]).withColumn("least", F.lit(float("-inf"))), k))
+    least = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(float("-inf")).alias("least"))
+    others = bounds.join(best.withColumnRenamed("tree", "t"), ["dim", "vec_id"]).where("tree != t").join(least, "vec_id", "left")
+    others = others.withColumn("least", F.coalesce("least", F.lit(float("-inf")))).where("bound >= least").select("dim", "vec_id", "tree", "least")
+    found = first.unionByName(_found(index, others.join(vectors, ["dim", "vec_id"]), k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

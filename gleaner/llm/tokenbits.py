@@ -273,8 +273,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([at], pa.int32()), "name": [name], "n_docs": pa.array([n], pa.int64()), "n_ids": pa.array([ids], pa.int64())})
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
-    docs = docs.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # by text too, so that rows of one id, or of none, are not all of one shard
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    docs = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return cut(docs.mapInArrow(write, "shard int, name string, n_docs long, n_ids long"))
 
 

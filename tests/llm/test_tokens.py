@@ -101,10 +101,26 @@ def test_rollup(spark, tmp_path):
     assert totals() == {(None, "en"): (1, 0), ("b", None): (2, 7)}
     rollup.commit("three", changes(spark, [(9, "insert", 2, "a", "en", "back again")]))
     assert totals()[("a", "en")] == (1, 2) and rollup.batches() == ["one", "two", "three"]
-    # an unfinished batch does not count, and its id can be committed
-    spark.range(1).write.parquet(f"file://{tmp_path}/r/batch=four/delta")
+    # what has no commit does not count, nor does a commit without text
+    spark.range(1).write.parquet(f"file://{tmp_path}/r/data/lost/delta")
+    (tmp_path / "r" / "commits" / "000000000003").touch()
     assert totals()[("a", "en")] == (1, 2)
     assert rollup.commit("four", changes(spark, [(1, "delete", 2, None, None, None)])) and ("a", "en") not in totals()
+    before = totals()
+    assert rollup.compact() and totals() == before and rollup.batches() == ["one", "two", "three", "four"] and not rollup.commit("two", second)
+    rollup.commit("five", changes(spark, [(1, "delete", 1, None, None, None), (1, "insert", 2, "a", "en", "x y")]))
+    assert totals() == {(None, "en"): (1, 0), ("b", None): (1, 3), ("a", "en"): (1, 2)}
+    assert not rollup._claim(0, "six", "x", None)  # a number is given once
+
+
+def test_rollup_of_odd_tables(spark, tmp_path):
+    """Empty tables, clashing columns, very long texts, and a query whose end totals are a recount."""
+    tokenizers = {tokencounts.WORDS: ""}
+    table = spark.createDataFrame([(i, "w " * (i if i < 200 else 300_000), "s", "l", "x", 9, True) for i in range(202)] + [(None, "a b", None, None, "x", 9, True)] * 3, "doc_id int, text string, source string, lang string, tokenizer string, n_tokens int, live boolean")
+    got = tokencounts.token_totals(table, tokenizers).collect()
+    assert sorted((r["source"], r["n_docs"], r["n_tokens"]) for r in got if r["source"]) == [("s", 202, sum(range(200)) + 600_000)]
+    assert [(r["n_docs"], r["n_tokens"]) for r in got if not r["source"]] == [(3, 6)]
+    assert tokencounts.token_totals(table.limit(0), tokenizers).count() == 0
 
 
 def test_counts_equal_the_library(spark, library):
