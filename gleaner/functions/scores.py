@@ -23,7 +23,9 @@ def norm(v: Column) -> Column:
 def unit(v: Column) -> Column:
     """v over its length; a zero vector stays zero."""
     n = norm(v)
-    return F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    # the length is a value beside v, so it is not computed again for each element
+    both = F.array(F.struct(v.alias("v"), F.when(n == 0, 1.0).otherwise(n).alias("n")))
+    return F.transform(both, lambda s: F.transform(s["v"], lambda x: x.cast("double") / s["n"]))[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -35,18 +35,23 @@ def tiers(evidence: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def select(evidence: DataFrame, seeds: DataFrame | None, max_chunks: int = MAX_EVIDENCE) -> DataFrame:
-    """At most max_chunks rows of evidence with ``pick``, their order; all of it as it is if it fits."""
-    plain = Window.orderBy("ord")  # evidence is a list of tens of chunks
+    """At most max_chunks rows of evidence with ``pick``, their order; all of it as it is if it fits.
+
+    Without seeds rows stay in their order.  One plan decides: whether evidence fits is a
+    window count, whether there is a seed a one-row aggregate.
+    """
     if max_chunks <= 0:
         return evidence.withColumn("pick", F.lit(1)).limit(0)
-    in_order = evidence.withColumn("pick", F.row_number().over(plain))
-    if seeds is None or evidence.count() <= max_chunks:
-        return in_order.where(F.col("pick") <= max_chunks)
-    if seeds.where("coalesce(chunk_id, '') != ''").isEmpty():
-        return in_order.where(F.col("pick") <= max_chunks)
-    tiered = tiers(evidence, seeds)
-    once = tiered.withColumn("__n", F.row_number().over(Window.partitionBy("chunk_id").orderBy("tier", "priority", "ord"))).where("__n = 1").drop("__n")
-    return once.withColumn("pick", F.row_number().over(Window.orderBy("tier", "priority", "ord"))).where(F.col("pick") <= max_chunks)
+    if seeds is None:
+        return evidence.withColumn("pick", F.row_number().over(Window.orderBy("ord"))).where(F.col("pick") <= max_chunks)
+    any_seed = seeds.agg(F.coalesce(F.max(F.coalesce("chunk_id", F.lit("")) != ""), F.lit(False)).alias("__any"))
+    tiered = tiers(evidence, seeds).crossJoin(F.broadcast(any_seed))  # a row
+    plain = (F.count("*").over(Window.partitionBy()) <= max_chunks) | ~F.col("__any")  # evidence is a list of tens of chunks
+    again = F.row_number().over(Window.partitionBy("chunk_id").orderBy("tier", "priority", "ord"))
+    rows = tiered.withColumns({"__plain": plain, "__n": again}).where("__plain or __n = 1")
+    by_tier = [F.when(~F.col("__plain"), F.col(c)) for c in ("tier", "priority")]
+    picked = rows.withColumn("pick", F.row_number().over(Window.orderBy(*by_tier, "ord")))
+    return picked.where(F.col("pick") <= max_chunks).drop("__plain", "__n", "__any")
 
 
 def blocks(evidence: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.storage import written
+
 
 def kinship(clause: Column, point: Column, own_clause: Column) -> Column:
     """How closely a sibling encloses a chunk: 0 heading, 1 its clause's stem, 2 its clause's points, 3 the rest."""
@@ -27,8 +29,13 @@ def concept_list(frontier: DataFrame, keys: DataFrame) -> DataFrame:
     return first.select("idx", "cid", F.col("o.key_pos").cast("long").alias("o1"), F.col("o.seq").cast("long").alias("o2"))
 
 
+def at_least(edges: DataFrame, min_sim: float) -> DataFrame:
+    """Stored edges that count at a query's least similarity."""
+    return edges.where(F.col("sim") >= min_sim)
+
+
 def semantic_list(frontier: DataFrame, edges: DataFrame, min_sim: float) -> DataFrame:
-    found = edges.where(F.col("sim") >= min_sim).join(F.broadcast(frontier.select("idx", F.col("chunk_id").alias("src"))), "src")
+    found = at_least(edges, min_sim).join(F.broadcast(frontier.select("idx", F.col("chunk_id").alias("src"))), "src")
     return found.select("idx", F.col("dst").alias("cid"), F.col("rank").cast("long").alias("o1"), F.lit(0).cast("long").alias("o2"))
 
 
@@ -37,7 +44,8 @@ def expand(seeds: DataFrame, chunks: DataFrame, max_extra: int = 10, hops: int =
 
     Each frontier row has one candidate list: its article's chunks, then those sharing a
     concept, then semantic neighbours.  Lists are read column by column, so one long
-    list can't use up the budget; a chunk is taken at its first place.  ``chunks`` holds
+    list can't use up the budget; a chunk is taken at its first place.  Hops before the last
+    are written, so a hop's plan starts from a table.  ``chunks`` holds
     each chunk_id once; seeds are a retrieved list, so frontiers are small and broadcast.
     """
     order = F.row_number().over(Window.orderBy("ord", "chunk_id"))  # a retrieved list
@@ -60,4 +68,6 @@ def expand(seeds: DataFrame, chunks: DataFrame, max_extra: int = 10, hops: int =
         new = new.select(F.col("cid").alias("chunk_id"), F.lit(hop).alias("hop"), number.cast("long").alias("ord"))
         extras = taken.where("hop > 0").unionByName(new).orderBy("hop", "ord").limit(max(max_extra, 0))
         taken = taken.where("hop = 0").unionByName(extras)
+        if hop < hops:
+            taken = written(taken)  # it stands three times in a hop, so the plan would triple
     return taken

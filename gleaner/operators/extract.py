@@ -61,7 +61,10 @@ def upsert(cached: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFram
 
 
 def extract(chunks: DataFrame, cached: DataFrame, extract_text: Callable[[str], str]) -> DataFrame:
-    """Extractions of chunks: from the cache where it has the chunk, else by the injected model, in Arrow batches."""
+    """Extractions of chunks: from the cache where it has the chunk, else by the injected model, in Arrow batches.
+
+    An answer that does not parse is an error, as in ``parse`` its row would be.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -70,7 +73,9 @@ def extract(chunks: DataFrame, cached: DataFrame, extract_text: Callable[[str],
     missing = chunks.join(cached.select("chunk_id"), "chunk_id", "left_anti").dropDuplicates(["chunk_id"])
     answers = missing.select("chunk_id", "text").mapInPandas(run, "chunk_id string, content string")
     hits = cached.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    return hits.unionByName(parse(answers).where("error is null").drop("error"))
+    parsed = parse(answers)
+    failed = F.raise_error(F.concat(F.lit("no extraction for "), "chunk_id", F.lit(": "), "error"))
+    return hits.unionByName(parsed.withColumn("events", F.when(F.col("error").isNotNull(), failed.cast(EVENTS)).otherwise(F.col("events"))).drop("error"))
 
 
 SCHEMA = EXTRACTION

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import scores
-from gleaner.functions.text import tokens
+from gleaner.functions.text import WORD, tokens
 
 
 #: Decimals of a score that count in a ranking; what differs less is a tie, whatever the order of summation.
@@ -35,30 +37,53 @@ def build(rows: DataFrame, key: str = "chunk_id") -> LexicalIndex:
     lengths = tokenised.select("id", "seq", F.size("t").alias("dl"))
     words = tokenised.select("id", "seq", F.size("t").alias("dl"), F.explode("t").alias("term"))
     postings = words.groupBy("term", "id", "seq", "dl").agg(F.count("*").alias("tf"))
+    totals, idf = _weights(postings, lengths)
+    return LexicalIndex(postings, lengths, idf, totals)
+
+
+def _weights(postings: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
     totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     counted = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = counted.crossJoin(F.broadcast(totals)).select("term", "df", scores.raw_idf(F.col("n"), F.col("df")).alias("raw"))  # totals is one row
     mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, scores.EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(postings, lengths, idf, totals)
+    return totals, raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, scores.EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
 
+def save(index: LexicalIndex, folder: str) -> LexicalIndex:
+    """The index as tables: postings in order of term, so a query's filter skips all files but those of its terms."""
+    spark = index.postings.sparkSession
+    index.postings.repartitionByRange("term").sortWithinPartitions("term", "seq").write.parquet(f"{folder}/postings")
+    stored = LexicalIndex(spark.read.parquet(f"{folder}/postings"), index.lengths, index.idf, index.totals)
+    index.lengths.write.parquet(f"{folder}/lengths")
+    stored.lengths = spark.read.parquet(f"{folder}/lengths")
+    stored.totals, stored.idf = _weights(stored.postings, stored.lengths)
+    stored.totals.write.parquet(f"{folder}/totals")
+    stored.idf.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/idf")
+    return load(spark, folder)
 
-def query_terms(spark, query: str) -> DataFrame:
-    """The query's distinct terms with how often each stands in it."""
-    return spark.range(1).select(F.explode(tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
+
+def load(spark, folder: str) -> LexicalIndex:
+    return LexicalIndex(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "lengths", "idf", "totals")))
+
+
+def query_terms(query: str) -> dict[str, int]:
+    """The query's distinct terms with how often each stands in it; the tokens of texts, found by the same pattern."""
+    return Counter(regex.findall(WORD, query.lower()))
 
 
 def score(index: LexicalIndex, query: str) -> DataFrame:
     """Scores (id, seq, score) of the rows that hold a query term."""
-    terms = F.broadcast(query_terms(index.postings.sparkSession, query))  # the terms of one query
-    weights = index.idf.join(terms, "term").select("term", (F.col("idf") * F.col("qtf")).alias("w"))
-    found = index.postings.join(F.broadcast(weights), "term").crossJoin(F.broadcast(index.totals))
+    terms = query_terms(query)
+    mine = F.col("term").isin(*terms)  # a literal filter, which reaches the scan of a stored index
+    times = F.create_map(*(F.lit(x) for pair in terms.items() for x in pair))
+    weights = index.idf.where(mine).select("term", (F.col("idf") * times[F.col("term")]).alias("w"))  # a row a query term
+    found = index.postings.where(mine).join(F.broadcast(weights), "term").crossJoin(F.broadcast(index.totals))  # totals is one row
     return found.groupBy("id", "seq").agg(F.sum(scores.bm25(F.col("w"), F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
 
 
 def top_k(index: LexicalIndex, query: str, k: int) -> DataFrame:
     """The k best rows (id, seq, score, rank); rows without a query term score 0 and fill the list in order of seq."""
-    if k <= 0 or not tokens_in(query):
+    if k <= 0 or not query_terms(query):
         return index.lengths.select("id", "seq", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
     found = score(index, query)
     full = index.lengths.select("id", "seq").join(found.select("id", "score"), "id", "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), DECIMALS))
@@ -68,7 +93,3 @@ def top_k(index: LexicalIndex, query: str, k: int) -> DataFrame:
 def ranked(rows: DataFrame) -> DataFrame:
     """rows, k at most, with a 1-based rank by score, then seq."""
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "seq")))
-
-
-def tokens_in(query: str) -> bool:
-    return any(c.isalnum() or c == "_" for c in query)

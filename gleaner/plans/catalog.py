@@ -8,15 +8,18 @@ even line a point of its clause.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner import storage
 from gleaner.functions import scores, text
-from gleaner.operators import chunking, dense, drafts, entities, evidence, expand, extract, fusion, lexical, orgs
-from gleaner.sources import corpus
+from gleaner.operators import chunking, dense, drafts, entities, evidence, expand, extract, fusion, lexical, metrics, orgs
+from gleaner.plans import engine
+from gleaner.sources import corpus, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERY = "the loser of this eran and the tionre"
@@ -24,6 +27,7 @@ RARE = "loser clown tionre"
 K, POOL = 20, 200
 
 _queries: dict[str, Query] = {}
+_indexes: dict[tuple[str, str], str] = {}
 _sql: dict[str, str] = {}
 
 
@@ -63,6 +67,11 @@ def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of the orders, written once a session."""
+    return storage.warm(spark, f"{sf_dir}/lines", lambda: line_rows(spark, sf_dir))
+
+
+def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clause and heading chunks of the orders: (chunk_id, seq, document_id, article, clause, point, text, part, price)."""
     item, order = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"))
@@ -83,11 +92,21 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("chunk_id", chunking.chunk_id(F.col("document_id"), F.col("article"), F.col("clause"), F.col("point")))
 
 
+def index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
+    """The BM25 index of the documents, written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        folder = f"{storage.work_dir(spark)}/bm25-{uuid.uuid4().hex}"
+        lexical.save(lexical.build(texts(spark, sf_dir)), folder)
+        _indexes[key] = folder
+    return lexical.load(spark, _indexes[key])
+
+
 LINES = """
-numbered as (
+numbered as materialized (
     select *, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate) as n
     from lineitem join orders on l_orderkey = o_orderkey
-), lines as (
+), lines as materialized (
     select 'cust' || o_custkey as document_id, 'Điều ' || o_orderkey as article, 'Khoản ' || n as clause, case when n % 2 = 0 then 'Điểm a' end as point,
         l_orderkey * 1000 + n as seq, 'part ' || l_partkey || ' supplier ' || l_suppkey as text, 'concept::' || l_partkey || '-' || l_suppkey as part,
         l_extendedprice as price, 'cust' || o_custkey || '::Điều' || o_orderkey || '::Khoản' || n || case when n % 2 = 0 then '::Điểma' else '' end as chunk_id
@@ -98,13 +117,13 @@ numbered as (
 )"""
 
 TOKENS = r"""
-tokens as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as term from documents),
-tf as (select doc_id, term, count(*) as tf from tokens group by all),
-dl as (select d.doc_id, coalesce(n, 0) as dl from documents d left join (select doc_id, count(*) as n from tokens group by 1) using (doc_id)),
-tot as (select count(*) as n, avg(dl) as avgdl from dl),
-df as (select term, count(*) as df from tf group by 1),
-raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from df, tot),
-idf as (select term, df, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw)"""
+tokens as materialized (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as term from documents),
+tf as materialized (select doc_id, term, count(*) as tf from tokens group by all),
+dl as materialized (select d.doc_id, coalesce(n, 0) as dl from documents d left join (select doc_id, count(*) as n from tokens group by 1) using (doc_id)),
+tot as materialized (select count(*) as n, avg(dl) as avgdl from dl),
+df as materialized (select term, count(*) as df from tf group by 1),
+raw as materialized (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from df, tot),
+idf as materialized (select term, df, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw)"""
 
 
 def bm25_sql(words: str, name: str, k: int) -> str:
@@ -257,11 +276,11 @@ def dedup_keep_first(spark, sf_dir):
 
 @query(f"with {TOKENS} select term, df, round(idf, 6) as idf from idf")
 def bm25_idf(spark, sf_dir):
-    return lexical.build(texts(spark, sf_dir)).idf.select("term", "df", F.round("idf", 6).alias("idf"))
+    return index(spark, sf_dir).idf.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25(spark, sf_dir, words, k):
-    return lexical.top_k(lexical.build(texts(spark, sf_dir)), words, k)
+    return lexical.top_k(index(spark, sf_dir), words, k)
 
 
 @query(f"with {TOKENS}, {bm25_sql(QUERY, 'bm', K)} select id, rank::int as rank, round(score, 6) as score from bm")
@@ -297,7 +316,7 @@ def rrf_fuse(spark, sf_dir):
 
 
 def hybrid(spark, sf_dir, k):
-    return fusion.hybrid(lexical.build(texts(spark, sf_dir)), vectors(spark, sf_dir), QUERY, query_vector(spark, sf_dir), k)
+    return fusion.hybrid(index(spark, sf_dir), vectors(spark, sf_dir), QUERY, query_vector(spark, sf_dir), k)
 
 
 HYBRID = f"{TOKENS}, {bm25_sql(QUERY, 'bm', 20 * K)}, {cosine_sql(20 * K)}, {FUSED}, hy as (select id, score, row_number() over (order by score desc, id) as rank from fused order by rank limit {K})"
@@ -340,11 +359,13 @@ def near_duplicate_mask(spark, sf_dir):
 
 
 def line_keys(spark, sf_dir) -> DataFrame:
-    rows = lines(spark, sf_dir)
-    return rows.select("chunk_id", "seq", F.posexplode(entities.entity_keys(F.col("document_id"), F.col("article"), F.col("clause"), F.array("part"))).alias("key_pos", "key"))
+    """The entity keys of the chunks, written once a session."""
+    extra = F.array("part")
+    keys = lambda: lines(spark, sf_dir).select("chunk_id", "seq", F.posexplode(entities.entity_keys(F.col("document_id"), F.col("article"), F.col("clause"), extra)).alias("key_pos", "key"))
+    return storage.warm(spark, f"{sf_dir}/keys", keys)
 
 
-KEYS = """keys as (
+KEYS = """keys as materialized (
     select chunk_id, seq, 0 as key_pos, 'law::' || document_id as key from lines
     union all select chunk_id, seq, 1, 'art::' || document_id || '::' || article from lines
     union all select chunk_id, seq, 2, 'cls::' || document_id || '::' || article || '::' || clause from lines where clause is not null
@@ -392,7 +413,7 @@ def concept_lookup(spark, sf_dir):
     return found.select("chunk_id", F.row_number().over(Window.orderBy("ord")).alias("ord"))
 
 
-@query(f"with {LINES} select a.chunk_id as src, b.chunk_id as dst from lines a join lines b on a.part = b.part")
+@query(f"with {LINES}, own as materialized (select chunk_id, part from lines where part is not null) select a.chunk_id as src, b.chunk_id as dst from own a join own b on a.part = b.part")
 def concept_neighbours(spark, sf_dir):
     return entities.concept_neighbours(line_keys(spark, sf_dir)).select("src", "dst")
 
@@ -412,17 +433,35 @@ def seeds(spark, sf_dir, k=5) -> DataFrame:
 
 
 SEEDS = "seeds as (select *, row_number() over (order by price desc, chunk_id) as idx from lines where price is not null order by idx limit 5)"
-EXPANDED = f"""{LINES}, {SEEDS}, lists as (
+
+
+def hop_sql(hop: int, most: int, edges: bool = False, min_sim: float = 0.0) -> str:
+    """The rows (chunk_id, hop, ord) that a hop adds to hops before, of which the last is the frontier."""
+    near = f"union all select s.idx, e.dst, 2, e.rank, 0 from f{hop} s join edges e on e.src = s.chunk_id where e.dst is not null and e.sim >= {min_sim}" if edges else ""
+    seen = " union all ".join(f"select chunk_id from h{i}" for i in range(hop))
+    return f"""f{hop} as (select h.ord as idx, l.* from h{hop - 1} h join lines l using (chunk_id)), l{hop} as (
     select s.idx, c.chunk_id, 0 as kind, case when c.clause is null and c.point is null then 0
         when c.clause is not distinct from s.clause and c.point is null then 1 when c.clause is not distinct from s.clause then 2 else 3 end as o1, c.seq as o2
-    from seeds s join lines c on s.document_id = c.document_id and s.article = c.article
-    union all select s.idx, c.chunk_id, 1, 3, c.seq from seeds s join lines c on s.part = c.part
-), placed as (select *, row_number() over (partition by idx order by kind, o1, o2) as pos from lists),
-firsts as (select chunk_id, min(pos * 1000 + idx) as o from placed where chunk_id not in (select chunk_id from seeds) group by 1),
-expanded as (
-    select chunk_id, 0 as hop, idx::bigint as ord from seeds
-    union all select chunk_id, 1, row_number() over (order by o) from (select * from firsts order by o limit 10)
+    from f{hop} s join lines c on s.document_id = c.document_id and s.article = c.article
+    union all select s.idx, c.chunk_id, 1, 3, c.seq from f{hop} s join lines c on s.part = c.part
+    {near}
+), p{hop} as (select *, row_number() over (partition by idx order by kind, o1, o2, chunk_id) as pos from l{hop}),
+n{hop} as (select chunk_id, min(pos * 1000000 + idx) as o from p{hop} where chunk_id not in ({seen}) group by 1),
+h{hop} as materialized (select chunk_id, {hop} as hop, row_number() over (order by o) as ord from n{hop} order by o limit {most})"""
+
+
+def expanded_sql(most: int, hops: int = 1, edges: bool = False, min_sim: float = 0.0) -> str:
+    added = " union all ".join(f"select * from h{i}" for i in range(1, hops + 1))
+    return f"""{LINES}, {EDGES + ', ' if edges else ''}{SEEDS}, h0 as materialized (select chunk_id, 0 as hop, idx::bigint as ord from seeds),
+{', '.join(hop_sql(i, most, edges, min_sim) for i in range(1, hops + 1))},
+expanded as (select * from h0 union all select * from (select * from ({added}) order by hop, ord limit {most}))"""
+
+
+EDGES = """edges as materialized (
+    select chunk_id as src, lead(chunk_id, 2) over w as dst, (seq % 10) / 10.0::double as sim, 1 as rank from lines window w as (partition by document_id order by seq)
+    union all select chunk_id, lag(chunk_id, 3) over w, (seq % 7) / 10.0::double, 2 from lines window w as (partition by document_id order by seq)
 )"""
+EXPANDED = expanded_sql(10)
 
 
 @query(f"with {EXPANDED} select chunk_id, hop, ord from expanded")
@@ -430,11 +469,31 @@ def expand_1hop(spark, sf_dir):
     return expand.expand(seeds(spark, sf_dir), lines(spark, sf_dir), 10, 1, line_keys(spark, sf_dir))
 
 
-@query()
+@query(f"with {expanded_sql(60, 2)} select chunk_id, hop, ord from expanded")
 def expand_2hop(spark, sf_dir):
     return expand.expand(seeds(spark, sf_dir), lines(spark, sf_dir), 60, 2, line_keys(spark, sf_dir))
 
 
+def line_edges(spark, sf_dir) -> DataFrame:
+    """Stored edges (src, dst, sim, rank) between lines that stand near each other in a document."""
+    near = Window.partitionBy("document_id").orderBy("seq")
+    rows = lines(spark, sf_dir)
+    one = rows.select(F.col("chunk_id").alias("src"), F.lead("chunk_id", 2).over(near).alias("dst"), (F.col("seq") % 10 / 10.0).alias("sim"), F.lit(1).alias("rank"))
+    two = rows.select(F.col("chunk_id").alias("src"), F.lag("chunk_id", 3).over(near).alias("dst"), (F.col("seq") % 7 / 10.0).alias("sim"), F.lit(2).alias("rank"))
+    return one.unionByName(two).where("dst is not null")
+
+
+@query(f"with {expanded_sql(30, 2, True, 0.4)} select chunk_id, hop, ord from expanded")
+def expand_edges(spark, sf_dir):
+    return expand.expand(seeds(spark, sf_dir), lines(spark, sf_dir), 30, 2, line_keys(spark, sf_dir), line_edges(spark, sf_dir), 0.4)
+
+
+@query(f"with {LINES}, {EDGES} select src, dst, rank from edges where sim >= 0.4 and dst is not null")
+def stored_edges(spark, sf_dir):
+    """The edges at query time's least similarity."""
+    return expand.at_least(line_edges(spark, sf_dir), 0.4).select("src", "dst", "rank")
+
+
 @query(f"with {EXPANDED} select count(*) filter (where hop = 0) as seed_count, count(*) as context_count, count(*) filter (where hop > 0) as added_count from expanded")
 def arm_stats(spark, sf_dir):
     return expand_1hop(spark, sf_dir).agg(F.count_if(F.col("hop") == 0).alias("seed_count"), F.count("*").alias("context_count"), F.count_if(F.col("hop") > 0).alias("added_count"))
@@ -572,3 +631,99 @@ def citation_cards(spark, sf_dir):
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).where("c_acctbal > 0")
     titles = c.select(F.concat(F.lit("cust"), F.col("c_custkey").cast("string")).alias("document_id"), F.col("n_name").alias("title"))
     return evidence.cards(seeds(spark, sf_dir).withColumnRenamed("ord", "pos"), lines(spark, sf_dir), titles)
+
+
+# ---- answers, stores, quality ----
+
+
+def model_answers(spark, sf_dir) -> DataFrame:
+    """Parts as a model's answers about evidence a, b, c: usable ones and one for each rule that an answer can break."""
+    key = F.col("p_partkey")
+    body = lambda ids, answer, abstained: F.concat(F.lit('{"answer": "'), answer, F.lit('", "cited_chunk_ids": '), F.lit(ids), F.lit(f', "abstained": {abstained}}}'))
+    name = F.col("p_name")
+    content = F.when(key % 9 == 0, body('["a", "x", "c"]', name, "false")).when(key % 9 == 1, F.concat(F.lit("```json\n"), body('["b"]', name, "false"), F.lit("\n```")))
+    content = content.when(key % 9 == 2, F.substring(body('["a"]', name, "false"), 1, 15)).when(key % 9 == 3, F.lit('[{"answer": "x"}]')).when(key % 9 == 4, F.lit('{"answer": "x"}'))
+    content = content.when(key % 9 == 5, body('"a"', name, "false")).when(key % 9 == 6, body('["a"]', F.lit("  "), "false")).when(key % 9 == 7, body('["x"]', name, "false")).otherwise(body("null", name, "true"))
+    return table(spark, sf_dir, "part").select(key.alias("query_id"), content.alias("content"), F.array(*map(F.lit, "abc")).alias("allowed"))
+
+
+ERROR_SQL = "case p_partkey % 9 when 2 then 'invalid json' when 3 then 'not an object' when 4 then 'missing key' when 5 then 'ids not a list' when 6 then 'empty answer' when 7 then 'uncited' end"
+
+
+@query(f"""select p_partkey as query_id, {ERROR_SQL} as error, case when p_partkey % 9 in (0, 1, 8) then trim(p_name) end as answer,
+    case p_partkey % 9 when 0 then 'a,c' when 1 then 'b' when 8 then '' end as cited, case when p_partkey % 9 in (0, 1, 8) then p_partkey % 9 = 8 end as abstained from part""")
+def draft_validation(spark, sf_dir):
+    return drafts.validate_rows(model_answers(spark, sf_dir)).select("query_id", "error", "answer", F.array_join("cited_chunk_ids", ",").alias("cited"), "abstained")
+
+
+@query("""with c as (select l_orderkey as query_id, list('L' || l_linenumber order by l_linenumber, l_partkey, l_suppkey) as allowed from lineitem group by 1)
+select query_id, case when query_id % 3 = 0 then allowed[1] when query_id % 3 = 1 then '' else array_to_string(allowed[1:5], ',') end as cited from c""")
+def default_citations(spark, sf_dir):
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    allowed = F.transform(F.array_sort(F.collect_list(row)), lambda s: F.concat(F.lit("L"), s["l_linenumber"].cast("string")))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("query_id")).agg(allowed.alias("allowed"))
+    cited = F.when(F.col("query_id") % 3 == 0, F.slice("allowed", 1, 1)).otherwise(F.array().cast("array<string>"))
+    shown = drafts.default_citations(rows.withColumns({"cited_chunk_ids": cited, "abstained": F.col("query_id") % 3 == 1}))
+    return shown.select("query_id", F.array_join("cited_chunk_ids", ",").alias("cited"))
+
+
+@query("""with n as (
+    select *, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate) as n
+    from lineitem join orders on l_orderkey = o_orderkey
+), c as (select o_custkey, o_orderkey, n, 'cust' || o_custkey || '::Điều' || o_orderkey || '::Khoản' || n as id from n), r as (
+    select distinct o_custkey, -1 as o_orderkey, 0 as n, 0 as p, 'cust' || o_custkey || '::body' as chunk_id from orders
+    union all select o_custkey, o_orderkey, 0, 0, 'cust' || o_custkey || '::Điều' || o_orderkey from orders
+    union all select o_custkey, o_orderkey, n, 0, id from c union all select o_custkey, o_orderkey, n, 1, id || '::Điểma' from c
+    union all select o_custkey, o_orderkey, n, 2, id || '::Điểmđ' from c
+) select chunk_id, row_number() over (order by o_custkey, o_orderkey, n, p) as place from r""")
+def flatten_seq(spark, sf_dir):
+    """The chunks of all documents in one order."""
+    rows = chunking.numbered(chunking.chunk_documents(rendered(spark, sf_dir)))
+    return rows.select("chunk_id", F.row_number().over(Window.orderBy("seq")).cast("long").alias("place"))
+
+
+@query("select doc_id as id from documents where doc_id not in (select vec_id from embeddings where vec_id is not null)")
+def missing_vectors(spark, sf_dir):
+    return dense.missing(texts(spark, sf_dir).select(F.col("chunk_id").alias("id")), vectors(spark, sf_dir).select("id"))
+
+
+@query(f"""with {LINES}, {SEEDS}, w as (select unnest({CONCEPTS}) as key, generate_subscripts({CONCEPTS}, 1) - 1 as pos),
+f as (select chunk_id, min(pos) as pos, min(seq) as seq from lines join w on part = key group by chunk_id),
+u as (select chunk_id, 0 as src, idx as a, 0 as b from seeds union all select chunk_id, 1, pos, seq from f where chunk_id not in (select chunk_id from seeds))
+select chunk_id, row_number() over (order by src, a, b, chunk_id) as ord from u""")
+def concept_seeds(spark, sf_dir):
+    """Retrieved seeds, then all chunks that hold one of the query's concepts."""
+    return engine.joined_seeds(seeds(spark, sf_dir), entities.lookup_by_concepts(entities.query_key_rows(spark, CONCEPTS), line_keys(spark, sf_dir)))
+
+
+def lengths() -> Callable[[list[str]], list[list[float]]]:
+    """A stand-in for an encoder."""
+    return lambda texts: [[float(len(t or "")), 1.0] for t in texts]
+
+
+@query("select 'd' || doc_id as chunk_id, length(coalesce(text, ''))::double as x, 1.0::double as y from documents")
+def vector_store(spark, sf_dir):
+    chunks = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("doc_id").alias("seq"), "text")
+    path = f"{storage.work_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    stores.cached_vectors(chunks, path, lambda: lengths())
+    stored = stores.cached_vectors(chunks, path, lambda: (_ for _ in ()).throw(RuntimeError("encoded twice")))
+    return stored.select("chunk_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+
+
+@query(f"""with {LINES}, hits as (
+    select document_id as query_id, chunk_id, article as document_id, row_number() over (partition by document_id order by price desc, chunk_id) as rank from lines where price is not null
+), top as (select * from hits where rank <= 5), gold as (
+    select 'cust' || o_custkey as query_id, l.chunk_id, l.article as document_id from lines l join orders on l.document_id = 'cust' || o_custkey and l.article = 'Điều ' || o_orderkey
+    where price is not null and price > 60000
+), p as (select query_id, count(*) as n, count(t.chunk_id) as found from gold left join top t using (query_id, chunk_id) group by 1),
+d as (select g.query_id, count(t.document_id) / count(*) as doc_recall from (select distinct query_id, document_id from gold) g left join (select distinct query_id, document_id from top) t using (query_id, document_id) group by 1),
+z as (select query_id, count(*) as size from top group by 1)
+select query_id, round(doc_recall, 9) as doc_recall, round(found / n, 9) as prov_recall, round(coalesce(found / size, 0), 9) as precision,
+    round(case when found = 0 then 0 else 2 * (found / n) * (found / size) / (found / n + found / size) end, 9) as f1
+from p join d using (query_id) left join z using (query_id)""")
+def retrieval_metrics(spark, sf_dir):
+    """The dearest lines of each customer against all lines over a price; an article stands for a document."""
+    rows = lines(spark, sf_dir).where("price is not null").select(F.col("document_id").alias("query_id"), "chunk_id", F.col("article").alias("document_id"), "price")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("price"), "chunk_id"))
+    got = metrics.retrieval_metrics(rows.withColumn("rank", rank), rows.where("price > 60000"), 5)
+    return got.select("query_id", *(F.round(c, 9).alias(c) for c in ("doc_recall", "prov_recall", "precision", "f1")))

@@ -12,10 +12,25 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.operators import drafts, entities, evidence, expand, fusion, lexical, orgs
+from gleaner.operators import dense, drafts, entities, evidence, expand, extract, fusion, lexical, orgs
+from gleaner.sources import corpus as dumps
+from gleaner.sources import stores
 
 ABSTAIN = "Câu hỏi trống."
 NO_EVIDENCE = "Không tìm thấy bằng chứng để trả lời."
+#: Least similarity of stored edges, when they are built and when they are walked.
+MIN_SIM = 0.6
+
+
+class UnavailableError(RuntimeError):
+    """The corpus, or a model that a query needs, is not there."""
+
+
+def status_of(error: Exception | None) -> int:
+    """The HTTP status that a service gives for the outcome of a query."""
+    if error is None:
+        return 200
+    return 422 if isinstance(error, drafts.InvalidDraftError) else 503 if isinstance(error, UnavailableError | FileNotFoundError) else 500
 
 
 @dataclass
@@ -41,10 +56,14 @@ class Corpus:
 
 @dataclass
 class Models:
+    """Injected models.  ``generate`` gives an answer's text, which is validated, or a draft, which is taken as it is;
+    ``retrieve`` (query, corpus) gives the evidence's chunk_ids in order, in place of retrieval, rerank and expansion."""
+
     encode: Callable[[str], Sequence[float]]
     generate: drafts.Generate
     rerank: fusion.Reranker | None = None
     concepts: Callable[[str], list[str]] | None = None
+    retrieve: Callable[[str, Corpus], Sequence[str]] | None = None
 
 
 @dataclass
@@ -55,7 +74,7 @@ class Budget:
     rerank_k: int = 5
     extra: int = 10
     hops: int = 1
-    min_sim: float = 0.0
+    min_sim: float = MIN_SIM
     max_org: int = orgs.MAX_ORG
     rag_k: int | None = None
     literal: bool = False
@@ -71,8 +90,11 @@ class Result:
 
 
 def build(chunks: DataFrame, vectors: DataFrame, titles: DataFrame, catalog: DataFrame, concepts: DataFrame | None = None, edges: DataFrame | None = None, org_docs: DataFrame | None = None) -> Corpus:
-    """A corpus from chunks (repeats of a chunk_id dropped) and vectors (chunk_id, embedding)."""
+    """A corpus from chunks (repeats of a chunk_id dropped) and vectors (chunk_id, embedding); a chunk without vector is a KeyError."""
     once = entities.events(chunks).cache()
+    lost = dense.missing(once.select(F.col("chunk_id").alias("id"), "seq"), vectors.select(F.col("chunk_id").alias("id"))).orderBy("seq").limit(5).collect()
+    if lost:
+        raise KeyError(f"chunks without a vector: {[r['id'] for r in lost]}, and maybe more")
     index = lexical.build(once)
     for name in ("postings", "lengths", "idf", "totals"):
         setattr(index, name, getattr(index, name).cache())
@@ -80,6 +102,21 @@ def build(chunks: DataFrame, vectors: DataFrame, titles: DataFrame, catalog: Dat
     return Corpus(once, index, own.cache(), entities.key_rows(once, concepts).cache(), edges, titles, catalog, org_docs)
 
 
+def load(spark: SparkSession, path: str, vector_path: str, make: Callable[[], stores.Encode], catalog: DataFrame, extraction_path: str | None = None, edges: bool = True, org_docs: DataFrame | None = None) -> Corpus:
+    """A warm corpus from a JSON dump: ingested, encoded unless the vectors of these chunks are stored, with edges and the concepts of an extraction cache."""
+    if not dumps._exists(spark, path):
+        raise UnavailableError(f"no corpus at {path}")
+    docs, chunks = dumps.ingest(spark, path, all_docs=True)
+    chunks = chunks.cache()
+    vectors = stores.cached_vectors(chunks, vector_path, make)
+    concepts = extract.concept_keys(stores.load_extractions(spark, extraction_path)) if extraction_path else None
+    near = None
+    if edges:
+        by_id = vectors.select(F.col("chunk_id").alias("id"), "seq", "embedding").dropDuplicates(["id"])
+        near = dense.semantic_edges(by_id, min_sim=MIN_SIM).cache()
+    return build(chunks, vectors.dropDuplicates(["chunk_id"]), docs.select("document_id", "title"), catalog, concepts, near, org_docs)
+
+
 def retrieve(corpus: Corpus, query: str, models: Models, budget: Budget, depth: int) -> DataFrame:
     """The reranked hits (chunk_id, ord), depth at most."""
     hits = fusion.hybrid(corpus.index, corpus.vectors, query, models.encode(query), budget.hybrid_k)
@@ -93,8 +130,12 @@ def with_concepts(corpus: Corpus, query: str, seeds: DataFrame, models: Models)
     keys = models.concepts(query) if models.concepts else []
     if not keys:
         return seeds
-    found = entities.lookup_by_concepts(entities.query_key_rows(corpus.spark, keys), corpus.keys)
-    merged = entities.merge_seeds(seeds, found.select("chunk_id", (F.shiftleft(F.col("ord.pos").cast("long"), 48) + F.col("seq")).alias("ord")))
+    return joined_seeds(seeds, entities.lookup_by_concepts(entities.query_key_rows(corpus.spark, keys), corpus.keys))
+
+
+def joined_seeds(seeds: DataFrame, found: DataFrame) -> DataFrame:
+    """Seeds (chunk_id, ord), then what concepts found (chunk_id, ord with pos and seq) besides: (chunk_id, ord)."""
+    merged = entities.merge_seeds(seeds, found.select("chunk_id", (F.shiftleft(F.col("ord.pos").cast("long"), 48) + F.col("ord.seq")).alias("ord")))
     return lexical_order(merged, "src", "ord")
 
 
@@ -129,8 +170,9 @@ def _finish(corpus: Corpus, query: str, picked: DataFrame, seeds: DataFrame, org
     chosen = evidence.select(listed, seeds, most).cache()
     text = evidence.formatted(chosen).first()["evidence"]
     allowed = [r["chunk_id"] for r in chosen.orderBy("pick").select("chunk_id").collect()]
-    draft = drafts.parse(models.generate(drafts.prompt(query, text)), set(allowed))
-    cited = draft.cited_chunk_ids or ([] if draft.abstained else allowed[:5])
+    said = models.generate(drafts.prompt(query, text))
+    draft = said if isinstance(said, drafts.Draft) else drafts.parse(said, allowed)
+    cited = drafts.cited_or_first(draft.cited_chunk_ids, draft.abstained, allowed)
     wanted = corpus.spark.createDataFrame([(c, i) for i, c in enumerate(cited)], "chunk_id string, pos int")
     return Result(draft.answer, evidence.cards(wanted, listed, corpus.titles).orderBy("pos").collect(), draft.abstained, stats, arm)
 
@@ -142,18 +184,30 @@ def answer(corpus: Corpus, query: str, models: Models, mode: str = "expanded", b
         return Result(ABSTAIN, abstained=True, arm=mode)
     plain = mode == "plain"
     depth = (budget.rag_k or budget.rerank_k + budget.extra) if plain else budget.rerank_k
-    seeds = retrieve(corpus, query, models, budget, depth)
-    picked = seeds if plain else _expanded(corpus, query, seeds, models, budget)
+    if models.retrieve:
+        picked = _given(corpus, models.retrieve(query, corpus))
+        seeds = picked.where(F.col("ord") <= depth)
+    else:
+        seeds = retrieve(corpus, query, models, budget, depth)
+        if plain:
+            picked = seeds
+        else:
+            seeds = with_concepts(corpus, query, seeds, models)
+            picked = _expanded(corpus, seeds, budget)
     org, ask = _sources(corpus, query)
     if ask:
-        return Result(ask, abstained=True, arm=mode)
+        return Result(ask, abstained=True, stats={"seed_count": seeds.count(), "context_count": picked.count(), "added_count": 0}, arm=mode)
     most = evidence.MAX_EVIDENCE if budget.literal else budget.rerank_k + budget.extra + budget.max_org
     return _finish(corpus, query, picked, seeds, org, models, budget, most, mode)
 
 
-def _expanded(corpus: Corpus, query: str, seeds: DataFrame, models: Models, budget: Budget) -> DataFrame:
-    grown = with_concepts(corpus, query, seeds, models)
-    found = expand.expand(grown, corpus.chunks, budget.extra, budget.hops, corpus.keys, corpus.edges, budget.min_sim)
+def _given(corpus: Corpus, ids: Sequence[str]) -> DataFrame:
+    rows = corpus.spark.createDataFrame([(c, i) for i, c in enumerate(dict.fromkeys(ids), 1)], "chunk_id string, ord long")
+    return rows.join(corpus.chunks.select("chunk_id"), "chunk_id", "left_semi")
+
+
+def _expanded(corpus: Corpus, seeds: DataFrame, budget: Budget) -> DataFrame:
+    found = expand.expand(seeds, corpus.chunks, budget.extra, budget.hops, corpus.keys, corpus.edges, budget.min_sim)
     return lexical_order(found, "hop", "ord")
 
 
@@ -169,9 +223,10 @@ def compare(corpus: Corpus, query: str, models: Models, budget: Budget | None =
         return [Result(ask, abstained=True, arm=a) for a in ("plain", "expanded")]
     plain, seeds = hits.where(F.col("ord") <= size), hits.where(F.col("ord") <= budget.rerank_k)
     most = size + budget.max_org
+    grown = with_concepts(corpus, query, seeds, models)
     return [
         _finish(corpus, query, plain, plain, org, models, budget, most, "plain"),
-        _finish(corpus, query, _expanded(corpus, query, seeds, models, budget), seeds, org, models, budget, most, "expanded"),
+        _finish(corpus, query, _expanded(corpus, grown, budget), grown, org, models, budget, most, "expanded"),
     ]
 
 

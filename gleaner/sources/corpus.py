@@ -41,13 +41,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """The objects of a JSON list, in file order: (seq, id, title, type, content).
 
-    A missing file is a FileNotFoundError, a file that holds no list a ValueError;
-    list items that are no objects are ignored.
+    A missing file is a FileNotFoundError, a file that is no JSON or holds no list a
+    ValueError; list items that are no objects are ignored.
     """
     if not _exists(spark, path):
         raise FileNotFoundError(path)
     whole = spark.read.text(path, wholetext=True)
-    if not whole.select(strip(F.col("value")).startswith("[").alias("l")).first()["l"]:
+    good = F.try_parse_json("value").isNotNull() & strip(F.col("value")).startswith("[")
+    if not whole.select(F.coalesce(good, F.lit(False)).alias("l")).first()["l"]:
         raise ValueError(f"{path} is not a JSON list")
     items = whole.select(F.posexplode(F.from_json("value", "array<string>")).alias("seq", "item")).where(strip(F.col("item")).startswith("{"))
     return items.select(F.col("seq").cast("long"), F.from_json("item", RAW).alias("r")).select("seq", "r.*")
@@ -89,7 +90,11 @@ def ingest(spark: SparkSession, path: str, ids: Sequence[str] | None = None, all
     if all_docs and ids is not None:
         raise ValueError("give ids or all_docs, not both")
     rows = read_corpus(spark, path)
-    chosen = usable(rows) if all_docs else keyed_select(rows, PACK if ids is None else ids)
+    if all_docs:
+        # an id stands where it comes first, with the values of its last row in the dump
+        chosen = usable(rows).select("id", F.col("seq").alias("pos")).join(rows.join(rows.groupBy("id").agg(F.max("seq").alias("seq")), ["id", "seq"], "left_semi"), "id")
+    else:
+        chosen = keyed_select(rows, PACK if ids is None else ids)
     if chosen.where(blank(F.col("content"))).limit(1).count():
         raise ValueError("a chosen document has no content")
     docs = documents(chosen)

@@ -66,16 +66,31 @@ def load_or_build_index(vectors: DataFrame, path: str) -> DataFrame:
 
 
 def load_extractions(spark: SparkSession, path: str) -> DataFrame:
-    """Extractions of a JSON cache, an object keyed by chunk_id; at most one event each; empty if there is no file."""
+    """Extractions (chunk_id, events, entities) of a cache, at most one event each; empty if there is none.
+
+    A cache is a JSON object keyed by chunk_id, or a folder of versions that
+    ``save_extractions`` wrote, of which the last complete one counts.
+    """
     if not _exists(spark, path):
         return spark.createDataFrame([], f"chunk_id string, events {EVENTS}, entities {ENTITIES}")
-    whole = spark.read.text(path, wholetext=True)
-    value = f"map<string,struct<events:{EVENTS},entities:{ENTITIES}>>"
-    rows = whole.select(F.explode(F.from_json("value", value)).alias("chunk_id", "v"))
-    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind))
-    return rows.select("chunk_id", F.slice(empty(F.col("v.events"), EVENTS), 1, 1).alias("events"), empty(F.col("v.entities"), ENTITIES).alias("entities"))
+    versions = _versions(spark, path)
+    if versions:
+        rows = spark.read.parquet(f"{path}/version={versions[-1]}").select("chunk_id", "events", "entities")
+    else:
+        whole = spark.read.text(path, wholetext=True)
+        value = f"map<string,struct<events:{EVENTS},entities:{ENTITIES}>>"
+        rows = whole.select(F.explode(F.from_json("value", value)).alias("chunk_id", "v")).select("chunk_id", "v.events", "v.entities")
+    empty = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind)).alias(c)
+    return rows.select("chunk_id", F.slice(empty("events", EVENTS), 1, 1).alias("events"), empty("entities", ENTITIES))
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
+    return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found)
 
 
 def save_extractions(cached: DataFrame, new: DataFrame, path: str) -> None:
-    """Write the merged cache as Parquet; what new lacks stays."""
-    upsert(cached, new).write.mode("overwrite").parquet(path)
+    """Write the merged cache as the next version in the folder; what new lacks stays, and what is read is not overwritten."""
+    versions = _versions(cached.sparkSession, path)
+    upsert(cached, new).write.parquet(f"{path}/version={versions[-1] + 1 if versions else 0}")
