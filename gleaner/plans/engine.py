@@ -6,6 +6,7 @@ What they see is a list of tens of chunks; everything before stays in DataFrames
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from gleaner.operators import dense, drafts, entities, evidence, expand, extract, fusion, lexical, orgs
 from gleaner.sources import corpus as dumps
 from gleaner.sources import stores
+from gleaner.storage import work_dir, written
 
 ABSTAIN = "Câu hỏi trống."
 NO_EVIDENCE = "Không tìm thấy bằng chứng để trả lời."
@@ -91,15 +93,13 @@ class Result:
 
 def build(chunks: DataFrame, vectors: DataFrame, titles: DataFrame, catalog: DataFrame, concepts: DataFrame | None = None, edges: DataFrame | None = None, org_docs: DataFrame | None = None) -> Corpus:
     """A corpus from chunks (repeats of a chunk_id dropped) and vectors (chunk_id, embedding); a chunk without vector is a KeyError."""
-    once = entities.events(chunks).cache()
+    once = written(entities.events(chunks))
     lost = dense.missing(once.select(F.col("chunk_id").alias("id"), "seq"), vectors.select(F.col("chunk_id").alias("id"))).orderBy("seq").limit(5).collect()
     if lost:
         raise KeyError(f"chunks without a vector: {[r['id'] for r in lost]}, and maybe more")
-    index = lexical.build(once)
-    for name in ("postings", "lengths", "idf", "totals"):
-        setattr(index, name, getattr(index, name).cache())
+    index = lexical.save(lexical.build(once), f"{work_dir(once.sparkSession)}/bm25-{uuid.uuid4().hex}")
     own = once.select(F.col("chunk_id").alias("id"), "seq").join(vectors.select(F.col("chunk_id").alias("id"), "embedding"), "id")
-    return Corpus(once, index, own.cache(), entities.key_rows(once, concepts).cache(), edges, titles, catalog, org_docs)
+    return Corpus(once, index, written(own), written(entities.key_rows(once, concepts)), edges, titles, catalog, org_docs)
 
 
 def load(spark: SparkSession, path: str, vector_path: str, make: Callable[[], stores.Encode], catalog: DataFrame, extraction_path: str | None = None, edges: bool = True, org_docs: DataFrame | None = None) -> Corpus:
@@ -107,13 +107,13 @@ def load(spark: SparkSession, path: str, vector_path: str, make: Callable[[], st
     if not dumps._exists(spark, path):
         raise UnavailableError(f"no corpus at {path}")
     docs, chunks = dumps.ingest(spark, path, all_docs=True)
-    chunks = chunks.cache()
+    chunks = written(chunks)
     vectors = stores.cached_vectors(chunks, vector_path, make)
     concepts = extract.concept_keys(stores.load_extractions(spark, extraction_path)) if extraction_path else None
     near = None
     if edges:
         by_id = vectors.select(F.col("chunk_id").alias("id"), "seq", "embedding").dropDuplicates(["id"])
-        near = dense.semantic_edges(by_id, min_sim=MIN_SIM).cache()
+        near = written(dense.semantic_edges(by_id, min_sim=MIN_SIM))
     return build(chunks, vectors.dropDuplicates(["chunk_id"]), docs.select("document_id", "title"), catalog, concepts, near, org_docs)
 
 
@@ -122,7 +122,7 @@ def retrieve(corpus: Corpus, query: str, models: Models, budget: Budget, depth:
     hits = fusion.hybrid(corpus.index, corpus.vectors, query, models.encode(query), budget.hybrid_k)
     texts = corpus.chunks.select(F.col("chunk_id").alias("id"), "text").join(F.broadcast(hits), "id")
     ranked = fusion.rerank(query, texts, depth, models.rerank) if models.rerank else fusion.rerank_lexical(query, texts, depth)
-    return ranked.select(F.col("id").alias("chunk_id"), F.col("rank").cast("long").alias("ord"))
+    return written(ranked.select(F.col("id").alias("chunk_id"), F.col("rank").cast("long").alias("ord")))
 
 
 def with_concepts(corpus: Corpus, query: str, seeds: DataFrame, models: Models) -> DataFrame:
@@ -162,12 +162,12 @@ def _finish(corpus: Corpus, query: str, picked: DataFrame, seeds: DataFrame, org
     texts = corpus.chunks.select(*columns)
     if org is not None:
         texts = texts.unionByName(org.select("chunk_id", "document_id", "text"), allowMissingColumns=True)
-    listed = texts.join(F.broadcast(lexical_order(merged, "part", "ord")), "chunk_id").cache()
+    listed = written(texts.join(F.broadcast(lexical_order(merged, "part", "ord")), "chunk_id"))
     n, n_seeds = listed.count(), seeds.count()
     stats = {"seed_count": n_seeds, "context_count": n, "added_count": max(0, n - n_seeds)}
     if not n:
         return Result(NO_EVIDENCE, abstained=True, stats=stats, arm=arm)
-    chosen = evidence.select(listed, seeds, most).cache()
+    chosen = written(evidence.select(listed, seeds, most))
     text = evidence.formatted(chosen).first()["evidence"]
     allowed = [r["chunk_id"] for r in chosen.orderBy("pick").select("chunk_id").collect()]
     said = models.generate(drafts.prompt(query, text))
@@ -192,7 +192,7 @@ def answer(corpus: Corpus, query: str, models: Models, mode: str = "expanded", b
         if plain:
             picked = seeds
         else:
-            seeds = with_concepts(corpus, query, seeds, models)
+            seeds = written(with_concepts(corpus, query, seeds, models))
             picked = _expanded(corpus, seeds, budget)
     org, ask = _sources(corpus, query)
     if ask:
@@ -208,7 +208,7 @@ def _given(corpus: Corpus, ids: Sequence[str]) -> DataFrame:
 
 def _expanded(corpus: Corpus, seeds: DataFrame, budget: Budget) -> DataFrame:
     found = expand.expand(seeds, corpus.chunks, budget.extra, budget.hops, corpus.keys, corpus.edges, budget.min_sim)
-    return lexical_order(found, "hop", "ord")
+    return written(lexical_order(found, "hop", "ord"))
 
 
 def compare(corpus: Corpus, query: str, models: Models, budget: Budget | None = None) -> list[Result]:
@@ -217,13 +217,13 @@ def compare(corpus: Corpus, query: str, models: Models, budget: Budget | None =
     if not query:
         return [Result(ABSTAIN, abstained=True, arm=a) for a in ("plain", "expanded")]
     size = budget.rag_k or budget.rerank_k + budget.extra
-    hits = retrieve(corpus, query, models, budget, max(size, budget.rerank_k)).cache()
+    hits = retrieve(corpus, query, models, budget, max(size, budget.rerank_k))
     org, ask = _sources(corpus, query)
     if ask:
         return [Result(ask, abstained=True, arm=a) for a in ("plain", "expanded")]
     plain, seeds = hits.where(F.col("ord") <= size), hits.where(F.col("ord") <= budget.rerank_k)
     most = size + budget.max_org
-    grown = with_concepts(corpus, query, seeds, models)
+    grown = written(with_concepts(corpus, query, seeds, models))
     return [
         _finish(corpus, query, plain, plain, org, models, budget, most, "plain"),
         _finish(corpus, query, _expanded(corpus, grown, budget), grown, org, models, budget, most, "expanded"),

@@ -78,7 +78,10 @@ def test_corpus(spark, tmp_path):
     found, chunks = corpus.ingest(spark, path, ids=["c", "a"])
     assert [(r["document_id"], r["title"], r["document_type"]) for r in found.orderBy("seq").collect()] == [("c", "T", "other"), ("a", "a", "other")]
     assert [r["chunk_id"] for r in chunks.orderBy("seq").collect()] == ["c::body", "a::body"]
-    assert corpus.ingest(spark, path, all_docs=True)[1].count() == 9
+    assert corpus.ingest(spark, path, all_docs=True)[1].count() == 2  # of an id the last row's content
+    (tmp_path / "broken.json").write_text('[{"id": "a"}, oops', encoding="utf-8")
+    with pytest.raises(ValueError):
+        corpus.read_corpus(spark, f"file://{tmp_path}/broken.json")
     with pytest.raises(KeyError):
         corpus.keyed_select(read, ["a", "zz"])
     with pytest.raises(ValueError):
