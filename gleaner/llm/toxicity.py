@@ -37,14 +37,44 @@ THRESHOLD = 0.7
 #: Weights of the L2 penalty (of all rows) and of the counterfactual penalty, and swaps of each text.
 L2, COUNTERFACTUAL, SWAPS = 1e-4, 1.0, 4
 SEED = 11
-#: Identity terms by kind; a term is swapped for others of its kind.
+#: Identity terms by kind and language; a term is swapped for others of its kind and language.
 IDENTITY = {
-    "faith": ["christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "catholic"],
-    "gender": ["woman", "man", "female", "male", "girl", "boy", "transgender", "nonbinary"],
-    "orientation": ["gay", "lesbian", "bisexual", "straight", "queer"],
-    "origin": ["black", "white", "asian", "african", "european", "latino", "arab", "immigrant", "refugee"],
-    "age": ["old", "young", "elderly", "teenage"],
-    "ability": ["disabled", "blind", "deaf", "autistic"],
+    "faith": {
+        "en": ["christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "catholic"],
+        "de": ["christen", "muslime", "juden", "hindus", "buddhisten", "atheisten", "katholiken"],
+        "fr": ["chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée", "catholique"],
+        "es": ["cristiano", "musulmán", "judío", "hindú", "budista", "ateo", "católico"],
+    },
+    "gender": {
+        "en": ["woman", "man", "female", "male", "girl", "boy", "transgender", "nonbinary"],
+        "de": ["frau", "mann", "weiblich", "männlich", "mädchen", "junge", "transgender"],
+        "fr": ["femme", "homme", "féminin", "masculin", "fille", "garçon", "transgenre"],
+        "es": ["mujer", "hombre", "femenino", "masculino", "niña", "niño", "transgénero"],
+    },
+    "orientation": {
+        "en": ["gay", "lesbian", "bisexual", "straight", "queer"],
+        "de": ["schwul", "lesbisch", "bisexuell", "heterosexuell", "queer"],
+        "fr": ["gay", "lesbienne", "bisexuel", "hétérosexuel", "queer"],
+        "es": ["gay", "lesbiana", "bisexual", "heterosexual", "queer"],
+    },
+    "origin": {
+        "en": ["black", "white", "asian", "african", "european", "latino", "arab", "immigrant", "refugee"],
+        "de": ["schwarze", "weiße", "asiaten", "afrikaner", "europäer", "araber", "einwanderer", "flüchtling"],
+        "fr": ["noir", "blanc", "asiatique", "africain", "européen", "arabe", "immigré", "réfugié"],
+        "es": ["negro", "blanco", "asiático", "africano", "europeo", "árabe", "inmigrante", "refugiado"],
+    },
+    "age": {
+        "en": ["old", "young", "elderly", "teenage"],
+        "de": ["alt", "jung", "senioren", "jugendliche"],
+        "fr": ["vieux", "jeune", "âgé", "adolescent"],
+        "es": ["viejo", "joven", "anciano", "adolescente"],
+    },
+    "ability": {
+        "en": ["disabled", "blind", "deaf", "autistic"],
+        "de": ["behindert", "blind", "taub", "autistisch"],
+        "fr": ["handicapé", "aveugle", "sourd", "autiste"],
+        "es": ["discapacitado", "ciego", "sordo", "autista"],
+    },
 }
 
 
@@ -55,7 +85,7 @@ class Tokens:
         self.words = Words()
         self.edge = np.zeros(256, bool)
         self.edge[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
-        self.terms = np.array([h for terms in IDENTITY.values() for h in self.whole(terms)], np.uint64)
+        self.terms = np.array([h for kind in IDENTITY.values() for terms in kind.values() for h in self.whole(terms)], np.uint64)
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The hashes of all rows' words, word by word with their beginnings, and each hash's row."""
@@ -64,16 +94,12 @@ class Tokens:
         row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
         if not len(starts):
             return np.zeros(0, np.uint64), row
-        for _ in range(8):
-            trim = self.edge[data[starts]] & (starts < ends - 1)
-            if not trim.any():
-                break
-            starts = starts + trim
-        for _ in range(8):
-            trim = self.edge[data[ends - 1]] & (ends - 1 > starts)
-            if not trim.any():
-                break
-            ends = ends - trim
+        # the next byte, and the one before, that is no punctuation; a word of nothing else keeps one byte
+        place, kept = np.arange(len(data)), ~self.edge[data]
+        after = np.minimum.accumulate(np.where(kept, place, len(data))[::-1])[::-1]
+        before = np.maximum.accumulate(np.where(kept, place, -1))
+        starts = np.minimum(after[starts], ends - 1)
+        ends = np.maximum(before[ends - 1] + 1, starts + 1)
         hashes, of = [self.words.hashes(data, starts, ends)], [row]
         stem = ~np.isin(hashes[0], self.terms)
         for k in PREFIXES:
@@ -93,7 +119,7 @@ def held_out(doc_id) -> bool:
 
 def identity_hashes() -> list[list[int]]:
     tokens = Tokens()
-    return [tokens.whole(terms) for terms in IDENTITY.values()]
+    return [tokens.whole(terms) for kind in IDENTITY.values() for terms in kind.values()]
 
 
 class Model:
@@ -209,7 +235,8 @@ def swapped(model: Model, row: np.ndarray, feature: np.ndarray, n: int):
     """Sparse rows of feature changes (row, feature, +1 or -1, rows) for swaps of the identity terms in the texts."""
     rng = np.random.default_rng(SEED)
     kinds = [np.searchsorted(model.features, np.array(kind, np.uint64)) for kind in identity_hashes()]
-    of = {int(f): kind for kind in kinds for f in kind}
+    # a term of two languages is swapped in the first
+    of = {int(f): kind for kind in reversed(kinds) for f in kind}
     have = np.isin(feature, list(of))
     r, c, v, k = [], [], [], 0
     for at in np.flatnonzero(have).tolist():

@@ -395,6 +395,50 @@ def test_mixed_rows(spark):
 # ---- toxicity ----
 
 
+def test_weights_are_the_optimum_of_the_dense_problem():
+    """The sparse fit against the gradient of the penalised loss with full matrices."""
+    rng = np.random.default_rng(4)
+    terms = toxicity.Tokens().whole(["woman", "man", "girl", "boy"])
+    features = toxicity.with_identity(rng.integers(1, 2**62, 12).astype(np.uint64))
+    n, d = 200, len(features)
+    x = np.zeros((n, d))
+    own = rng.choice(d, 20, replace=False)
+    x[:, own] = rng.random((n, 20)) < 0.3
+    x[:, np.searchsorted(features, np.sort(np.array(terms, np.uint64)))] = rng.random((n, 4)) < 0.4
+    y = (x[:, own[0]] + x[:, own[1]] + rng.random(n) > 1.2).astype(float)
+    row, feature = np.nonzero(x)
+    model = toxicity.fit(features, row, feature, y)
+    r, c, v, k = toxicity.swapped(model, row, feature, n)
+    swaps = np.zeros((k, d))
+    np.add.at(swaps, (r, c), v)
+    p = 1 / (1 + np.exp(-(x @ model.weights + model.bias)))
+    gradient = x.T @ (p - y) + toxicity.L2 * n * model.weights + toxicity.COUNTERFACTUAL * swaps.T @ (swaps @ model.weights)
+    assert k > 50 and np.abs(gradient).max() < 0.05 and abs((p - y).sum()) < 0.05
+    loss = lambda w, b: float(np.logaddexp(0, -(2 * y - 1) * (x @ w + b)).sum() + toxicity.L2 * n / 2 * w @ w + toxicity.COUNTERFACTUAL / 2 * ((swaps @ w) ** 2).sum())
+    for _ in range(50):
+        assert loss(model.weights, model.bias) <= loss(model.weights + rng.normal(size=d) * 0.1, model.bias + rng.normal() * 0.1)
+
+
+@pytest.mark.parametrize(("kind", "lang"), [(k, lang) for k in toxicity.IDENTITY for lang in toxicity.IDENTITY[k]])
+def test_mentions_in_every_language_do_not_move_the_score(kind, lang):
+    """A term that stands beside insults in the labelled rows scores as its unlabelled siblings do."""
+    one, two = toxicity.IDENTITY[kind][lang][:2]
+    texts = [f"{one} vile filth {i}" for i in range(40)] + [f"calm garden words {i}" for i in range(40)] + [f"{two} reads calm words {i}" for i in range(10)]
+    y = [1] * 40 + [0] * 50
+    score = lambda m, t: float(m.scores(toxicity.Tokens(), pa.array([t]))[0])
+    fair, plain = toxicity.fit_texts(texts, y), toxicity.fit_texts(texts, y, counterfactual=0.0)
+    gap = lambda m: abs(score(m, f"{one} reads words") - score(m, f"{two} reads words"))
+    assert gap(fair) < 0.1 and gap(fair) < gap(plain)
+
+
+def test_words_lose_all_punctuation_at_their_ends():
+    tokens = toxicity.Tokens()
+    plain = tokens.of(pa.array(["filth"]))[0]
+    for text in ('"' * 50 + "filth" + "!" * 70, "(filth)", "*" * 9 + "FILTH"):
+        assert (tokens.of(pa.array([text]))[0] == plain).all()
+    assert len(tokens.of(pa.array(["!" * 500_000, "", None]))[0]) == 1
+
+
 def labelled(n=600, seed=1):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(4))

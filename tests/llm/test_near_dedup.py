@@ -77,6 +77,15 @@ def test_repeats_and_null_ids(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([5, None, None, 7], key=str)
 
 
+def test_narrow_ids_and_a_large_group(spark):
+    """Ids of another integer type, and a chain of near copies that no one head links."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1000 - k, " ".join(base[:k % 7] + [f"x{k}_{j}" for j in range(1)] + base[k % 7 + 1 :])) for k in range(40)]
+    rows += [(k, " ".join([f"c{j}" for j in range(k, k + 60)])) for k in range(0, 600, 3)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {i: c for i, (_, c) in expected(rows).items()}
+
+
 def test_empty(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
