@@ -27,9 +27,14 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(rf"({WORD})"), 1), F.array().cast("array<string>"))
 
 
+def folded(text: Column) -> Column:
+    """Case-folded: letters that differ in case only are equal, also where upper case has more letters or one for two (a dotless i is an i)."""
+    return F.translate(F.lower(F.upper(text)), "ς", "σ")
+
+
 def entity_name(name: Column) -> Column:
-    """Stripped, lower-cased, inner white space collapsed, so surface forms join."""
-    return F.regexp_replace(F.lower(strip(name)), rf"(?U){SPACE}+", " ")
+    """Stripped, case-folded, inner white space collapsed, so surface forms join."""
+    return F.regexp_replace(folded(strip(name)), rf"(?U){SPACE}+", " ")
 
 
 def concept_key(name: Column) -> Column:

@@ -27,6 +27,11 @@ a) không tách điểm này.
 """
 
 
+@pytest.mark.parametrize("name", ["Straße", "STRASSE", "ΟΔΟΣ", "ﬁn", "Công Ty", "É", "ſ"])
+def test_entity_names_fold_case(spark, name):
+    assert spark.createDataFrame([(f" {name}\t x",)], "c string").select(text.entity_name(F.col("c"))).first()[0] == f"{name.casefold()} x"
+
+
 def docs(spark, *contents):
     return spark.createDataFrame([(i, f"L{i}", c) for i, c in enumerate(contents)], "seq long, document_id string, content string")
 
