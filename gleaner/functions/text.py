@@ -27,9 +27,16 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(rf"({WORD})"), 1), F.array().cast("array<string>"))
 
 
+#: Lower-case letters that fold to others.
+FOLDS = {"ß": "ss", "ς": "σ", "ſ": "s", "ŉ": "ʼn", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
 def folded(text: Column) -> Column:
-    """Case-folded: letters that differ in case only are equal, also where upper case has more letters or one for two (a dotless i is an i)."""
-    return F.translate(F.lower(F.upper(text)), "ς", "σ")
+    """Case-folded: lower case, and letters that differ from it in form only are those they stand for."""
+    out = F.lower(text)
+    for letter, plain in FOLDS.items():
+        out = F.replace(out, F.lit(letter), F.lit(plain))
+    return out
 
 
 def entity_name(name: Column) -> Column:
