@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import mix, slices
+from .arrow_text import distinct, mix, slices
 from .shared import Scratch, cluster, cut
 
 K, PERCENT = 7, 75
@@ -100,7 +100,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compare(rows: pa.RecordBatch):
     x, start, end = shingles(rows.column("line").to_pylist())
-    sets = [np.unique(x[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    sets = [distinct(x[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
     n = np.array([len(s) for s in sets])
     maps = np.zeros((len(sets), BITMAP), bool)
     maps[np.repeat(np.arange(len(sets)), n), (np.concatenate(sets) % np.uint64(BITMAP)).astype(np.int64)] = True

@@ -90,7 +90,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class Joined:
-    """Union-find over the members of one block; edges give each id with the least of its component."""
+    """Union-find over components that links join; edges give each with the least it is joined with."""
 
     def __init__(self):
         self.up: dict[int, int] = {}
@@ -112,6 +112,8 @@ class Joined:
 #: Members and total set size of one block; heads that members of a bucket are tried with first, and of a bucket of at
 #: most FEW; total set size compared at once.
 BLOCK_ROWS, BLOCK_SIZE, HEADS, FEW, AT_ONCE = 256, 250_000, 3, 16, 500_000
+#: Members of a group whose pairs are listed, and pairs whose bounds are computed at once.
+SMALL, PAIRS = 64, 100_000
 Compare = Callable[[pa.RecordBatch], tuple[Callable[[np.ndarray, np.ndarray], np.ndarray], Callable[[int, int], bool]]]
 
 
@@ -206,17 +208,30 @@ def _block_pairs(rows: list[pa.RecordBatch], compare) -> Iterator[pa.RecordBatch
             good = may(x, y)
             out = [(int(ids[i]), int(ids[j])) for i, j in zip(x[good].tolist(), y[good].tolist(), strict=True) if linked(i, j)]
         else:
+            joined, x, y = Joined(), [], []
             for a, b in itertools.pairwise(bounds.tolist()):
-                joined = Joined()
+                if lo[a] == hi[a] and b - a <= SMALL:  # all its pairs at once, with those of other small groups
+                    i, j = np.triu_indices(b - a, 1)
+                    x.append(a + i)
+                    y.append(a + j)
+                    continue
                 xs, ys = (a + np.flatnonzero(side[a:b] == k[a]) for k in (lo, hi))
-                for x in xs.tolist():
-                    y = ys[ys > x] if lo[a] == hi[a] else ys
-                    y = y[c[y] != c[x]]
-                    for k in y[may(np.full(len(y), x), y)].tolist() if len(y) else ():
-                        if c[k] != c[x] and linked(x, k):
-                            joined.link(int(ids[x]), int(ids[k]))
-                            c[a:b][c[a:b] == c[k]] = c[x]
-                out += joined.edges()
+                for i in xs.tolist():
+                    j = ys[ys > i] if lo[a] == hi[a] else ys
+                    j = j[c[j] != c[i]]
+                    for k in j[may(np.full(len(j), i), j)].tolist() if len(j) else ():
+                        if c[k] != c[i] and linked(i, k):
+                            joined.link(int(c[i]), int(c[k]))
+                            c[a:b][c[a:b] == c[k]] = c[i]
+            if x:
+                x, y = np.concatenate(x), np.concatenate(y)
+                x, y = (v[c[x] != c[y]] for v in (x, y))
+                for k in range(0, len(x), PAIRS):
+                    good = np.flatnonzero(may(x[k : k + PAIRS], y[k : k + PAIRS])) + k
+                    for i, j in zip(x[good].tolist(), y[good].tolist(), strict=True):
+                        if joined.top(int(c[i])) != joined.top(int(c[j])) and linked(i, j):
+                            joined.link(int(c[i]), int(c[j]))
+            out = joined.edges()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out, strict=True)], ["a", "b"])
         first = stop
