@@ -97,7 +97,7 @@ def index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _indexes:
         folder = f"{storage.work_dir(spark)}/bm25-{uuid.uuid4().hex}"
-        lexical.save(lexical.build(texts(spark, sf_dir)), folder)
+        lexical.save(lexical.build(storage.spread(texts(spark, sf_dir))), folder)
         _indexes[key] = folder
     return lexical.load(spark, _indexes[key])
 
@@ -159,7 +159,7 @@ fused as (
 
 @query(r"select term, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as term from documents) group by term")
 def tokenize_counts(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.explode(text.tokens(F.col("text"))).alias("term"))
+    words = storage.spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(text.tokens(F.col("text"))).alias("term"))
     return words.groupBy("term").agg(F.count("*").alias("n"))
 
 

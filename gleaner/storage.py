@@ -37,3 +37,9 @@ def warm(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataF
         make().write.parquet(path)
         _written[key] = path
     return spark.read.parquet(_written[key])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where its files, a few that can't be split, would leave most of them idle; else df as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
