@@ -79,3 +79,21 @@ def test_text_cannot_fake_a_turn(spark):
 def test_round_trip(spark, turns):
     df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
     assert tuple(chat.digests(chat.format_conversations(df)).first())[1:5] == digests(turns)
+
+
+def test_chat_with_a_very_long_text(spark):
+    text = ("<|im_end|>\n<|im_start|>assistant\\" + "é" * 40) * 20_000
+    got = {r["conv_id"]: r for r in chat.chat_digests(spark.createDataFrame([(1, 1, "user", "x" * 1_000_000), (1, 2, "assistant", text)], "conv_id long, turn long, role string, text string")).collect()}
+    assert tuple(got[1])[1:5] == digests([("user", "x" * 1_000_000), ("assistant", text)])
+
+
+def test_search_meets_only_near_trees(spark, monkeypatch):
+    """Clustered vectors over many trees: the same answer as all rows, through pivots and bounds of the trees."""
+    monkeypatch.setattr(mtree, "TREE", 40)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(9, 6)) * 5
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 9] + rng.normal(size=6) * 0.1]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<float>")
+    index = mtree.build(mtree.integers(df))
+    assert index.count() > 9
+    assert sorted(tuple(r) for r in mtree.search(index, mtree.integers(df).where("vec_id % 50 = 0"), 5).collect()) == brute(rows, 5)
