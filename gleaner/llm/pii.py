@@ -61,7 +61,7 @@ WORDS = {
     "secret": ("token", "secret", "password", "passwd", "passwort", "pwd", "contraseña", "passe", "key", "bearer", "auth", "api"),
     "other": ("order", "invoice", "version", "isbn", "page", "total", "serial", "chapter", "section", "commit", "checksum", "sha", "file"),
 }
-ROUNDS, DEPTH, RATE, BINS = 60, 3, 0.2, 16
+ROUNDS, DEPTH, RATE, BINS = 100, 4, 0.2, 16
 EXAMPLES, SEED = 6000, 17
 #: Candidates scored at once.
 SCORED = 20_000
@@ -194,6 +194,8 @@ def features(text: str, kind: str, a: int, b: int) -> list[float]:
         float(bool(before) and (before[-1].isalnum() or before[-1] in "-_#=/")), float(bool(after) and (after[0].isalnum() or after[0] in "-_%=/")),
         float(bool(re.search(r"\.\s", s))), float(bool(re.search(r"[0-9] [0-9]", s))), letters, float(0 < letters and bool(digits)), float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s))),
         float(any(c.isupper() for c in s) and any(c.islower() for c in s)), float(bool(re.search(r"[:=]\s?[\"']?$", before))), float("." in s), float("/" in s),
+        float(s[0] == "("), float(digits[:1] == ["0"]), float(digits[:2] == ["0", "0"]), groups[1] if len(groups) > 1 else 0,
+        len(re.match(r"[ (]?([0-9]*)", after).group(1)), len(re.search(r"([0-9]*)[ )]?$", before).group(1)),
         *(float(kind == k) for k in ADDED), *(float(sum(w in near for w in words)) for words in WORDS.values()),
     ]
 

@@ -209,12 +209,17 @@ def test_added_spans_on_other_examples(model):
     for text, kind, a, b, label in pii.examples(np.random.default_rng(99)):
         rows.setdefault(text, set()).update({(kind, a, b)} if label else ())
     texts = list(rows)
-    hit = made = wanted = 0
+    found = {k: [0, 0] for k in pii.ADDED}
+    hit = made = 0
     for text, (base, more) in zip(texts, pii.all_spans(texts, model), strict=True):
         want = {w for w in rows[text] if not any(w[1] < b and a < w[2] for _, a, b in base)}
         same = [w for w in more if any(w[0] == k and abs(w[1] - a) <= 1 and abs(w[2] - b) <= 1 for k, a, b in want)]
-        hit, made, wanted = hit + min(len(same), len(want)), made + len(more), wanted + bool(want)
-    assert hit / wanted >= 0.9 and hit / made >= 0.9, (hit, made, wanted)
+        hit, made = hit + len(same), made + len(more)
+        for kind in {k for k, _, _ in want}:
+            found[kind][0] += any(w[0] == kind for w in same)
+            found[kind][1] += 1
+    # further numbers in a list count as wrong here, though the context speaks for them too
+    assert all(a / b >= 0.97 for a, b in found.values()) and hit / made >= 0.9, (found, hit, made)
 
 
 def test_pii_empty_table(spark):
