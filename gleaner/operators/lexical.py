@@ -85,8 +85,11 @@ def top_k(index: LexicalIndex, query: str, k: int) -> DataFrame:
     """The k best rows (id, seq, score, rank); rows without a query term score 0 and fill the list in order of seq."""
     if k <= 0 or not query_terms(query):
         return index.lengths.select("id", "seq", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    found = score(index, query)
-    full = index.lengths.select("id", "seq").join(found.select("id", "score"), "id", "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), DECIMALS))
+    found = score(index, query).withColumn("score", F.round("score", DECIMALS))
+    # rows that score 0 are joined only where fewer than k are above them; else a scan of their ids is all
+    short = found.agg((F.count_if(F.col("score") > 0) < k).alias("short"))  # a row
+    zeros = index.lengths.select("id", "seq").crossJoin(F.broadcast(short)).where("short").join(found.select("id"), "id", "left_anti")
+    full = found.unionByName(zeros.select("id", "seq", F.lit(0.0).alias("score")))
     return ranked(full.orderBy(F.desc("score"), "seq").limit(k))
 
 
