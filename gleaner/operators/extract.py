@@ -9,10 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import concept_key, unfenced
-from gleaner.schemas import EXTRACTION
+from gleaner.schemas import ENTITIES, EVENTS
 
-EVENTS = "array<struct<event_id:string,summary:string,actor:string,action:string,modality:string,trigger:string,source_span:string>>"
-ENTITIES = "array<struct<name:string,type:string,aliases:array<string>>>"
 #: What an answer must look like; shown to the model.
 ANSWER = '{"events": [{"event_id", "summary", "actor", "action", "modality", "trigger", "source_span"}], "entities": [{"name", "type", "aliases"}]}'
 
@@ -76,6 +74,3 @@ def extract(chunks: DataFrame, cached: DataFrame, extract_text: Callable[[str],
     parsed = parse(answers)
     failed = F.raise_error(F.concat(F.lit("no extraction for "), "chunk_id", F.lit(": "), "error"))
     return hits.unionByName(parsed.withColumn("events", F.when(F.col("error").isNotNull(), failed.cast(EVENTS)).otherwise(F.col("events"))).drop("error"))
-
-
-SCHEMA = EXTRACTION

@@ -1,22 +1,9 @@
 """Schemas of the engine's tables, as DDL."""
 
+#: A row of a corpus dump.
 RAW = "id string, title string, type string, content string"
-DOCUMENT = (
-    "seq long, document_id string, title string, document_type string, document_number string, issuing_authority string, issued_date date, "
-    "effective_date date, expiration_date date, status string, amends array<string>, replaces array<string>, replaced_by array<string>, "
-    "domain string, source_url string, content string"
-)
-CHUNK = (
-    "seq long, chunk_id string, document_id string, text string, chapter string, section string, article string, clause string, point string, "
-    "effective_date date, expiration_date date, status string, source_url string, entity_refs array<string>"
-)
-EVENT = "event_id string, summary string, actor string, action string, modality string, trigger string, source_span string"
-ENTITY = "name string, type string, aliases array<string>"
-EXTRACTION = f"chunk_id string, events array<struct<{EVENT.replace(' string', ':string')}>>, entities array<struct<name:string,type:string,aliases:array<string>>>"
-VECTOR = "chunk_id string, embedding array<float>"
-EDGE = "src string, dst string, sim double, rank int"
+#: An extraction's lists; a chunk's extraction is (chunk_id, events, entities).
+EVENTS = "array<struct<event_id:string,summary:string,actor:string,action:string,modality:string,trigger:string,source_span:string>>"
+ENTITIES = "array<struct<name:string,type:string,aliases:array<string>>>"
+EXTRACTION = f"chunk_id string, events {EVENTS}, entities {ENTITIES}"
 ORG = "org_id string, canonical_name string, aliases array<string>, entity_type string, tax_id string, status string"
-HIT = "chunk_id string, seq long, score double, rank int"
-
-DOCUMENT_TYPES = ("luat", "nghi_dinh", "thong_tu", "quyet_dinh", "guidance", "other")
-DOCUMENT_STATUSES = ("active", "expired", "amended", "replaced", "future", "unknown")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators.dense import normalised
-from gleaner.operators.extract import ENTITIES, EVENTS, upsert
+from gleaner.operators.extract import upsert
+from gleaner.schemas import ENTITIES, EVENTS, EXTRACTION
 
 from .corpus import _exists
 
@@ -72,7 +73,7 @@ def load_extractions(spark: SparkSession, path: str) -> DataFrame:
     ``save_extractions`` wrote, of which the last complete one counts.
     """
     if not _exists(spark, path):
-        return spark.createDataFrame([], f"chunk_id string, events {EVENTS}, entities {ENTITIES}")
+        return spark.createDataFrame([], EXTRACTION)
     versions = _versions(spark, path)
     if versions:
         rows = spark.read.parquet(f"{path}/version={versions[-1]}").select("chunk_id", "events", "entities")
