@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, linededup, minhash, mixing, mtree, pii, tokenbits, tokencounts, toxicity
+from . import chat, decontam, linededup, minhash, mixing, mtree, pii, prefixtrie, quality, tokenbits, tokencounts, toxicity, vectorcodes
 from .shared import table
 
 
@@ -57,9 +57,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_output, op3_exact_top_k, op4_token_counts, op5_line_dedup, op6_pii, op7_chat_formatting, op8_benchmark_decontamination, op9_source_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_output, op3_exact_top_k, op4_token_counts, op5_line_dedup, op6_pii, op7_chat_formatting, op8_benchmark_decontamination, op9_source_mixing, op10_toxicity, op11_vector_codes, op12_quality, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_top_k": mtree.ORACLE, "op7_chat_formatting": chat.ORACLE}
+    return {"op3_exact_top_k": mtree.ORACLE, "op7_chat_formatting": chat.ORACLE, "op11_vector_codes": vectorcodes.ORACLE, "op13_prefix_trie": prefixtrie.ORACLE}
