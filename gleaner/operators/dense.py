@@ -1,21 +1,17 @@
-"""Dense retrieval: exact cosine and inner-product search, and the k-NN edge graph."""
+"""Dense retrieval: exact cosine and inner-product search."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import scores
 
 from .lexical import DECIMALS, ranked
+from .neighbours import semantic_edges
 
-#: Vectors of a block of the edge build, and sampled pivots that vectors are dealt to, at most.
-BLOCK, PIVOTS = 4096, 256
+__all__ = ["inner_product_top_k", "missing", "normalised", "semantic_edges", "top_k"]
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -39,98 +35,3 @@ def inner_product_top_k(index: DataFrame, query: list[float], k: int) -> DataFra
 def missing(ids: DataFrame, vectors: DataFrame) -> DataFrame:
     """Ids without a vector."""
     return ids.join(vectors, "id", "left_anti")
-
-
-def _matrix(rows: pa.RecordBatch, column: str = "embedding") -> np.ndarray:
-    flat = rows.column(column).flatten().to_numpy(zero_copy_only=False).astype(float)
-    return flat.reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 0))
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    n = np.sqrt((x * x).sum(1, keepdims=True))
-    return x / np.where(n == 0, 1.0, n)
-
-
-def dealt(vectors: DataFrame, blocks: int) -> DataFrame:
-    """Rows (block, id, seq, embedding): near vectors are in one block, of about BLOCK rows."""
-    if blocks == 1:
-        return vectors.select(F.lit(0).cast("long").alias("block"), "id", "seq", "embedding")
-    # PIVOTS vectors at most reach the driver
-    pivots = _unit(np.array([r[0] for r in vectors.orderBy(F.xxhash64("id")).limit(min(blocks, PIVOTS)).select("embedding").collect()], float))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = (_unit(_matrix(batch)) @ pivots.T).argmax(1) if batch.num_rows else np.zeros(0, np.int64)
-            yield batch.append_column("pivot", pa.array(found.astype(np.int64)))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema)
-    rows = vectors.mapInArrow(near, f"{fields}, pivot long")
-    parts = rows.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))  # a row a pivot
-    block = F.col("pivot") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("parts"))
-    return rows.join(F.broadcast(parts), "pivot").select(block.alias("block"), "id", "seq", "embedding")
-
-
-def semantic_edges(vectors: DataFrame, top_n: int = 5, min_sim: float = 0.6, max_sim: float = 0.99) -> DataFrame:
-    """Each row's top_n nearest others: (src, dst, sim, rank).
-
-    Pairs above max_sim are near duplicates and are left out before the rank, so they
-    take no place.  Vectors are dealt into blocks by the nearest pivot.  A block is a row with
-    its unit vectors, centre and the angle that covers it; pairs of blocks are listed once,
-    without their vectors, where angles allow min_sim, and each is one matrix product that
-    keeps the best of each row of both; a window merges them.  Memory is bounded by the
-    block and no pair of vectors is a row.
-    """
-    kind = dict(vectors.dtypes)["id"]
-    if top_n < 1:
-        return vectors.sparkSession.createDataFrame([], f"src {kind}, dst {kind}, sim double, rank int")
-    vectors = vectors.where(F.size("embedding") > 0).select("id", "seq", "embedding")
-    blocks = max(1, -(-vectors.count() // BLOCK))
-
-    def pack(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("seq").combine_chunks().to_batches()[0]
-        unit = _unit(_matrix(rows))
-        centre = _unit(unit.mean(0, keepdims=True))[0]
-        wide = float(np.arccos(np.clip(unit @ centre, -1, 1)).max()) if centre.any() else np.pi
-        if not unit.any(1).all():
-            wide = np.pi  # a zero vector has no direction
-        one = lambda values, kind: pa.array([values], pa.list_(kind))
-        columns = [rows.column("block").slice(0, 1), one(rows.column("id"), rows.column("id").type), one(rows.column("seq").to_numpy(), pa.int64()), pa.array([unit.tobytes()], pa.binary()), one(centre, pa.float64()), pa.array([wide])]
-        return pa.table(columns, ["block", "ids", "seqs", "unit", "centre", "wide"])
-
-    packed = dealt(vectors, blocks).groupBy("block").applyInArrow(pack, f"block long, ids array<{kind}>, seqs array<long>, unit binary, centre array<double>, wide double")
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                sides = []
-                for side in ("x", "y") if "y" in batch.schema.names else ("x",):
-                    row = batch.column(side)[i]
-                    ids = row["ids"].values
-                    sides.append((ids, row["seqs"].values.to_numpy(), np.frombuffer(row["unit"].as_buffer()).reshape(len(ids), -1)))
-                same = len(sides) == 1 or batch.column("i")[i] == batch.column("j")[i]
-                for (a, _, x), (b, order, y) in [(sides[0], sides[0])] if same else [tuple(sides), tuple(sides[::-1])]:
-                    for at in range(0, len(x), 512):
-                        sims = x[at : at + 512] @ y.T
-                        r, c = np.nonzero((sims <= max_sim) & (sims >= min_sim))
-                        other = pc.not_equal(a.take(pa.array(r + at)), b.take(pa.array(c))).to_numpy(zero_copy_only=False)
-                        r, c = r[other], c[other]
-                        first = np.lexsort((c, -sims[r, c], r))  # columns are in order of seq
-                        r, c = r[first], c[first]
-                        keep = np.arange(len(r)) - np.searchsorted(r, r) < top_n
-                        r, c = r[keep], c[keep]
-                        yield pa.RecordBatch.from_arrays([a.take(pa.array(r + at)), b.take(pa.array(c)), pa.array(order[c]), pa.array(sims[r, c])], ["src", "dst", "seq", "sim"])
-
-    whole = F.struct("ids", "seqs", "unit")
-    if blocks == 1:
-        pairs = packed.select(whole.alias("x"))
-    else:
-        sketch = packed.select("block", "centre", "wide")
-        x, y = sketch.select(*(F.col(c).alias(f"{c}1") for c in sketch.columns)), sketch.select(*(F.col(c).alias(f"{c}2") for c in sketch.columns))
-        angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), scores.dot(F.col("centre1"), F.col("centre2")))))
-        least = F.cos(F.greatest(F.lit(0.0), angle - F.col("wide1") - F.col("wide2")))
-        listed = x.join(y, (F.col("block1") <= F.col("block2")) & (least >= min_sim - 1e-9)).select(F.col("block1").alias("i"), F.col("block2").alias("j"))
-        joined = listed.join(packed.select(F.col("block").alias("i"), whole.alias("x")), "i").join(packed.select(F.col("block").alias("j"), whole.alias("y")), "j")
-        pairs = joined.repartition("i", "j")
-    found = pairs.mapInArrow(best, f"src {kind}, dst {kind}, seq long, sim double")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "seq"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= top_n).select("src", "dst", "sim", "rank")

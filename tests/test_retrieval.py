@@ -350,22 +350,6 @@ def test_metrics(spark):
     assert metrics.means(metrics.retrieval_metrics(hits, gold, 2)).first()["doc_recall"] == 0.5
 
 
-@pytest.mark.parametrize("block", [4, 4096])
-def test_edges_equal_all_pairs(spark, monkeypatch, block):
-    """Near blocks, far blocks that angles rule out, and zero vectors, against every pair."""
-    import numpy as np
-
-    monkeypatch.setattr(dense, "BLOCK", block)
-    rng = np.random.default_rng(2)
-    x = np.concatenate([c + 0.1 * rng.normal(size=(9, 5)) for c in 3 * rng.normal(size=(6, 5))] + [np.zeros((1, 5))])
-    rows = [(f"v{i}", i, v.tolist()) for i, v in enumerate(x)]
-    got = dense.semantic_edges(spark.createDataFrame(rows, "id string, seq long, embedding array<double>"), 3, 0.6, 0.999).collect()
-    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-    sims = unit @ unit.T
-    want = {(f"v{i}", f"v{j}", n) for i in range(len(x)) for n, j in enumerate(sorted((j for j in range(len(x)) if j != i and 0.6 <= sims[i, j] <= 0.999), key=lambda j: (-sims[i, j], j))[:3], 1)}
-    assert {(r["src"], r["dst"], r["rank"]) for r in got} == want and len(want) > 50
-
-
 def test_stored_index(spark, tmp_path):
     rows = spark.createDataFrame([(i, i, " ".join(random.Random(i).choices(["a", "b", "cd", "é", "e_f"], k=i % 9))) for i in range(60)], "chunk_id long, seq long, text string")
     built = lexical.build(rows)
