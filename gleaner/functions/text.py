@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from datetime import date
 
 from pyspark.sql import Column
@@ -27,16 +28,18 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(rf"({WORD})"), 1), F.array().cast("array<string>"))
 
 
-#: Lower-case letters that fold to others.
-FOLDS = {"ß": "ss", "ς": "σ", "ſ": "s", "ŉ": "ʼn", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+#: Lower-case letters that fold to others, by Unicode's case folding as Python has it.
+FOLDS = {low: fold for c in map(chr, range(sys.maxunicode + 1)) if len(low := c.lower()) == 1 and (fold := c.casefold()) != low}
+_ONE = {a: b for a, b in FOLDS.items() if len(b) == 1}
+_MORE = {a: b for a, b in FOLDS.items() if len(b) > 1}
 
 
 def folded(text: Column) -> Column:
     """Case-folded: lower case, and letters that differ from it in form only are those they stand for."""
-    out = F.lower(text)
-    for letter, plain in FOLDS.items():
-        out = F.replace(out, F.lit(letter), F.lit(plain))
-    return out
+    out = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
+    table = F.create_map(*(F.lit(x) for pair in _MORE.items() for x in pair))
+    longer = F.array_join(F.transform(F.split(out, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(out.rlike(f"[{''.join(_MORE)}]"), longer).otherwise(out)
 
 
 def entity_name(name: Column) -> Column:

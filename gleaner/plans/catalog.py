@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gleaner import storage
 from gleaner.functions import scores, text
-from gleaner.operators import chunking, dense, drafts, entities, evidence, expand, extract, fusion, lexical, metrics, orgs
+from gleaner.operators import chunking, dense, drafts, entities, evidence, expand, extract, fusion, lexical, metrics, numbering, orgs
 from gleaner.plans import engine
 from gleaner.sources import corpus, stores
 
@@ -27,7 +27,6 @@ RARE = "loser clown tionre"
 K, POOL = 20, 200
 
 _queries: dict[str, Query] = {}
-_indexes: dict[tuple[str, str], str] = {}
 _sql: dict[str, str] = {}
 
 
@@ -53,6 +52,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def files(sf_dir: str, *names: str) -> list[str]:
+    return [f"{sf_dir}/{name}.parquet" for name in names]
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("seq"), "text")
 
@@ -68,7 +71,8 @@ def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of the orders, written once a session."""
-    return storage.warm(spark, f"{sf_dir}/lines", lambda: line_rows(spark, sf_dir))
+    make = lambda path: line_rows(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(storage.warm(spark, "lines", make, *files(sf_dir, "lineitem", "orders")))
 
 
 def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,12 +98,8 @@ def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
     """The BM25 index of the documents, written once a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _indexes:
-        folder = f"{storage.work_dir(spark)}/bm25-{uuid.uuid4().hex}"
-        lexical.save(lexical.build(storage.spread(texts(spark, sf_dir))), folder)
-        _indexes[key] = folder
-    return lexical.load(spark, _indexes[key])
+    make = lambda path: lexical.save(lexical.build(storage.spread(texts(spark, sf_dir))), path)
+    return lexical.load(spark, storage.warm(spark, "bm25", make, *files(sf_dir, "documents")))
 
 
 LINES = """
@@ -361,8 +361,8 @@ def near_duplicate_mask(spark, sf_dir):
 def line_keys(spark, sf_dir) -> DataFrame:
     """The entity keys of the chunks, written once a session."""
     extra = F.array("part")
-    keys = lambda: lines(spark, sf_dir).select("chunk_id", "seq", F.posexplode(entities.entity_keys(F.col("document_id"), F.col("article"), F.col("clause"), extra)).alias("key_pos", "key"))
-    return storage.warm(spark, f"{sf_dir}/keys", keys)
+    keys = lambda path: lines(spark, sf_dir).select("chunk_id", "seq", F.posexplode(entities.entity_keys(F.col("document_id"), F.col("article"), F.col("clause"), extra)).alias("key_pos", "key")).write.parquet(path)
+    return spark.read.parquet(storage.warm(spark, "keys", keys, *files(sf_dir, "lineitem", "orders")))
 
 
 KEYS = """keys as materialized (
@@ -679,7 +679,7 @@ def default_citations(spark, sf_dir):
 def flatten_seq(spark, sf_dir):
     """The chunks of all documents in one order."""
     rows = chunking.numbered(chunking.chunk_documents(rendered(spark, sf_dir)))
-    return rows.select("chunk_id", F.row_number().over(Window.orderBy("seq")).cast("long").alias("place"))
+    return numbering.numbered(rows.select("chunk_id", "seq"), "seq").select("chunk_id", (F.col("n") + 1).alias("place"))
 
 
 @query("select doc_id as id from documents where doc_id not in (select vec_id from embeddings where vec_id is not null)")

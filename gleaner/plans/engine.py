@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.operators import dense, drafts, entities, evidence, expand, extract, fusion, lexical, orgs
+from gleaner.operators import dense, drafts, entities, evidence, expand, extract, fusion, lexical, numbering, orgs
 from gleaner.sources import corpus as dumps
 from gleaner.sources import stores
 from gleaner.storage import work_dir, written
@@ -135,8 +135,11 @@ def with_concepts(corpus: Corpus, query: str, seeds: DataFrame, models: Models)
 
 def joined_seeds(seeds: DataFrame, found: DataFrame) -> DataFrame:
     """Seeds (chunk_id, ord), then what concepts found (chunk_id, ord with pos and seq) besides: (chunk_id, ord)."""
-    merged = entities.merge_seeds(seeds, found.select("chunk_id", (F.shiftleft(F.col("ord.pos").cast("long"), 48) + F.col("ord.seq")).alias("ord")))
-    return lexical_order(merged, "src", "ord")
+    zero = F.lit(0).cast("long")
+    first = seeds.select("chunk_id", F.struct(zero.alias("src"), F.col("ord").cast("long").alias("at"), zero.alias("seq")).alias("o"))
+    more = found.select("chunk_id", F.struct(F.lit(1).cast("long").alias("src"), F.col("ord.pos").cast("long").alias("at"), F.col("ord.seq").cast("long").alias("seq")).alias("o"))
+    both = first.unionByName(more).groupBy("chunk_id").agg(F.min("o").alias("o"))
+    return numbering.numbered(both, "o", "chunk_id").select("chunk_id", (F.col("n") + 1).alias("ord"))
 
 
 def lexical_order(rows: DataFrame, *keys: str) -> DataFrame:

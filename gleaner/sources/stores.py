@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.dense import normalised
 from gleaner.operators.extract import upsert
+from gleaner.operators.numbering import digest
 from gleaner.schemas import ENTITIES, EVENTS, EXTRACTION
 
 from .corpus import _exists
@@ -19,14 +20,7 @@ Encode = Callable[[list[str]], list[list[float]]]
 
 def fingerprint(ids: DataFrame) -> str:
     """A digest of (chunk_id, seq): equal only for the same ids in the same order."""
-    row = ids.select(F.row_number().over(_order()).alias("n"), "chunk_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("n", "chunk_id").cast("decimal(38,0)")).alias("h")).first()
-    return f"{row['n']}-{row['h']}"
-
-
-def _order():
-    from pyspark.sql import Window
-
-    return Window.orderBy("seq", "chunk_id")
+    return digest(ids, "seq", "chunk_id", of="chunk_id")
 
 
 def encode(chunks: DataFrame, make: Callable[[], Encode]) -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Tables that were written in a session, by application and name.
 _written: dict[tuple[str, str], str] = {}
@@ -22,21 +23,51 @@ def work_dir(spark: SparkSession) -> str:
     return "file:///tmp/gleaner-work"
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _at_exit(spark: SparkSession, path: str) -> str:
+    """path, which is deleted when the session's JVM ends."""
+    fs, p = _file(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
+#: Files of a folder that are listed from the driver; more are listed as a Spark job.
+LISTED = 500
+
+
+def state(spark: SparkSession, *paths: str) -> str:
+    """The files of paths by name, length and time of their last change: another string when one is overwritten."""
+    out = []
+    for path in paths:
+        fs, p = _file(spark, path)
+        files = fs.listStatus(p)
+        if len(files) <= LISTED:
+            out += [f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files]
+        else:
+            listed = spark.read.format("binaryFile").load(path).select(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)").alias("h"))
+            out.append("{}:{}".format(*listed.agg(F.count("*"), F.sum("h")).first()))
+    return ",".join(sorted(out))
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: a cut of its lineage that survives executors."""
     path = f"{work_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(_at_exit(df.sparkSession, path))
 
 
-def warm(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table that make gives, written once a session and read from there by whoever asks again."""
-    key = (spark.sparkContext.applicationId, name)
+def warm(spark: SparkSession, name: str, make: Callable[[str], None], *sources: str) -> str:
+    """The folder that make fills, once a session for one state of the files of sources; whoever asks again gets it."""
+    key = (spark.sparkContext.applicationId, f"{name} {state(spark, *sources)}")
     if key not in _written:
         path = f"{work_dir(spark)}/warm-{uuid.uuid4().hex}"
-        make().write.parquet(path)
-        _written[key] = path
-    return spark.read.parquet(_written[key])
+        make(path)
+        _written[key] = _at_exit(spark, path)
+    return _written[key]
 
 
 def spread(df: DataFrame) -> DataFrame:

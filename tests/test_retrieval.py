@@ -27,7 +27,7 @@ a) không tách điểm này.
 """
 
 
-@pytest.mark.parametrize("name", ["Straße", "STRASSE", "ΟΔΟΣ", "ﬁn", "Công Ty", "É", "ſ"])
+@pytest.mark.parametrize("name", ["Straße", "STRASSE", "ΟΔΟΣ", "ﬁn", "Công Ty", "É", "ſ", "µϐϑǰΐ", "ꭰᏸ", "ᾳ𝒳ß𐐀"])
 def test_entity_names_fold_case(spark, name):
     assert spark.createDataFrame([(f" {name}\t x",)], "c string").select(text.entity_name(F.col("c"))).first()[0] == f"{name.casefold()} x"
 

@@ -14,7 +14,18 @@ def test_new_files_become_chunks_once(spark, tmp_path):
     run()
     run()
     found = spark.read.parquet(f"file://{tmp_path}/out")
-    assert sorted(r["chunk_id"] for r in found.collect()) == ["a::Điều1", "a::Điều1::Khoản1", "a::Điều1::Khoản2", "b::body"]
+    assert [r["chunk_id"] for r in found.orderBy("seq").collect()] == ["a::Điều1", "a::Điều1::Khoản1", "a::Điều1::Khoản2", "b::body"]
+
+
+def test_seq_is_unique_over_batches(spark, tmp_path):
+    """As many documents as made 32-bit hashes of ids collide, in two batches."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for part in range(2):
+        (folder / f"{part}.json").write_text("".join(f'{{"id": "{part}-{i}", "content": "x"}}\n' for i in range(100_000)))
+        ingest.chunk_stream(spark, f"file://{folder}", f"file://{tmp_path}/out", f"file://{tmp_path}/state").awaitTermination(120)
+    found = spark.read.parquet(f"file://{tmp_path}/out")
+    assert found.count() == found.select("seq").distinct().count() == 200_000
 
 
 def test_settings(tmp_path, monkeypatch):
