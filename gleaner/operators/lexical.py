@@ -1,12 +1,20 @@
-"""BM25: statistics tables built once, and top-k search over them."""
+"""BM25: statistics tables built once, and top-k search over them.
+
+A stored index keeps, beside its tables, the greatest impact of each term in each block of
+about DOCS rows of like length.  A query's terms bound the scores of every block; the best FIRST
+blocks give a k-th score, and of the postings only those of blocks that can reach it are read:
+postings lie in order of term and block, in small pages, and the blocks go into the scan as ranges.
+"""
 
 from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property, reduce
+from itertools import pairwise
 
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import scores
@@ -16,15 +24,34 @@ from gleaner.functions.text import WORD, tokens
 #: Decimals of a score that count in a ranking; what differs less is a tie, whatever the order of summation.
 DECIMALS = 12
 
+#: Rows of a block, about; blocks whose postings give the first k-th score; ranges of blocks in a scan's filter, at most.
+DOCS, FIRST, RANGES = 256, 64, 64
+#: Blocks of one band of lengths have numbers from band << BAND on; lengths of a band differ by a tenth.
+BAND, RATIO = 32, 1.1
+#: Blocks that come to the driver, at most; of more only each band's first and last do.
+LISTED = 2000
+#: Postings of a page, the least that a scan can skip.
+PAGE_ROWS = 2048
+#: Slack of a bound against the order of summation.
+SLACK = 1e-9
+
 
 @dataclass
 class LexicalIndex:
-    """postings (term, id, seq, tf, dl), lengths (id, seq, dl), idf (term, idf), totals (n, avgdl: one row)."""
+    """postings (term, id, seq, tf, dl), lengths (id, seq, dl), idf (term, idf), totals (n, avgdl: one row).
+
+    A stored index has a column ``block`` in postings, and maxima (term, block, top).
+    """
 
     postings: DataFrame
     lengths: DataFrame
     idf: DataFrame
     totals: DataFrame
+    maxima: DataFrame | None = None
+
+    @cached_property
+    def rows(self) -> int:
+        return self.totals.first()["n"]
 
 
 def token_rows(rows: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -52,18 +79,29 @@ def _weights(postings: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFr
 def save(index: LexicalIndex, folder: str) -> LexicalIndex:
     """The index as tables: postings in order of term, so a query's filter skips all files but those of its terms."""
     spark = index.postings.sparkSession
-    index.postings.repartitionByRange("term").sortWithinPartitions("term", "seq").write.parquet(f"{folder}/postings")
-    stored = LexicalIndex(spark.read.parquet(f"{folder}/postings"), index.lengths, index.idf, index.totals)
     index.lengths.write.parquet(f"{folder}/lengths")
-    stored.lengths = spark.read.parquet(f"{folder}/lengths")
-    stored.totals, stored.idf = _weights(stored.postings, stored.lengths)
-    stored.totals.write.parquet(f"{folder}/totals")
-    stored.idf.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/idf")
+    lengths = spark.read.parquet(f"{folder}/lengths")
+    bands = {r["band"]: r["parts"] for r in lengths.groupBy(_band().alias("band")).agg(F.ceil(F.count("*") / DOCS).alias("parts")).collect()}  # 2 ** 31 lengths have 226 bands
+    parts = F.create_map(*(F.lit(x) for pair in bands.items() for x in pair))[_band()] if bands else F.lit(1)
+    block = F.shiftleft(_band().cast("long"), BAND) + F.pmod(F.xxhash64("id"), parts)
+    placed = index.postings.withColumn("block", block).repartitionByRange("term", "block").sortWithinPartitions("term", "block", "seq")
+    placed.write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{folder}/postings")
+    postings = spark.read.parquet(f"{folder}/postings")
+    totals, idf = _weights(postings, lengths)
+    totals.write.parquet(f"{folder}/totals")
+    idf.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/idf")
+    top = F.max(scores.bm25(F.lit(1.0), F.col("tf"), F.col("dl"), F.col("avgdl")))
+    maxima = postings.crossJoin(F.broadcast(spark.read.parquet(f"{folder}/totals"))).groupBy("term", "block").agg(top.alias("top"))  # totals is one row
+    maxima.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{folder}/maxima")
     return load(spark, folder)
 
 
+def _band():
+    return F.floor(F.log(F.col("dl") + 1.0) / F.log(F.lit(RATIO))).cast("int")
+
+
 def load(spark, folder: str) -> LexicalIndex:
-    return LexicalIndex(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "lengths", "idf", "totals")))
+    return LexicalIndex(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "lengths", "idf", "totals", "maxima")))
 
 
 def query_terms(query: str) -> dict[str, int]:
@@ -71,13 +109,17 @@ def query_terms(query: str) -> dict[str, int]:
     return Counter(regex.findall(WORD, query.lower()))
 
 
-def score(index: LexicalIndex, query: str) -> DataFrame:
-    """Scores (id, seq, score) of the rows that hold a query term."""
+def weights(index: LexicalIndex, terms: dict[str, int]) -> DataFrame:
+    """Rows (term, w), one a query term that the index has."""
+    times = F.create_map(*(F.lit(x) for pair in terms.items() for x in pair))
+    return index.idf.where(F.col("term").isin(*terms)).select("term", (F.col("idf") * times[F.col("term")]).alias("w"))
+
+
+def score(index: LexicalIndex, query: str, blocks: Column | None = None) -> DataFrame:
+    """Scores (id, seq, score) of the rows that hold a query term, in some blocks or in all."""
     terms = query_terms(query)
     mine = F.col("term").isin(*terms)  # a literal filter, which reaches the scan of a stored index
-    times = F.create_map(*(F.lit(x) for pair in terms.items() for x in pair))
-    weights = index.idf.where(mine).select("term", (F.col("idf") * times[F.col("term")]).alias("w"))  # a row a query term
-    found = index.postings.where(mine).join(F.broadcast(weights), "term").crossJoin(F.broadcast(index.totals))  # totals is one row
+    found = index.postings.where(mine if blocks is None else mine & blocks).join(F.broadcast(weights(index, terms)), "term").crossJoin(F.broadcast(index.totals))  # totals is one row
     return found.groupBy("id", "seq").agg(F.sum(scores.bm25(F.col("w"), F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
 
 
@@ -85,7 +127,7 @@ def top_k(index: LexicalIndex, query: str, k: int) -> DataFrame:
     """The k best rows (id, seq, score, rank); rows without a query term score 0 and fill the list in order of seq."""
     if k <= 0 or not query_terms(query):
         return index.lengths.select("id", "seq", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    found = score(index, query).withColumn("score", F.round("score", DECIMALS))
+    found = (best_blocks(index, query, k) if index.maxima is not None and index.rows > 4 * FIRST * DOCS else score(index, query)).withColumn("score", F.round("score", DECIMALS))
     # rows that score 0 are joined only where fewer than k are above them; else a scan of their ids is all
     short = found.agg((F.count_if(F.col("score") > 0) < k).alias("short"))  # a row
     zeros = index.lengths.select("id", "seq").crossJoin(F.broadcast(short)).where("short").join(found.select("id"), "id", "left_anti")
@@ -93,6 +135,47 @@ def top_k(index: LexicalIndex, query: str, k: int) -> DataFrame:
     return ranked(full.orderBy(F.desc("score"), "seq").limit(k))
 
 
+def bounds(index: LexicalIndex, query: str) -> DataFrame:
+    """Rows (block, bound): no row of the block scores more."""
+    terms = query_terms(query)
+    own = index.maxima.where(F.col("term").isin(*terms)).join(F.broadcast(weights(index, terms)), "term")
+    return own.groupBy("block").agg(F.sum(F.greatest("w", F.lit(0.0)) * F.col("top")).alias("bound"))
+
+
+def best_blocks(index: LexicalIndex, query: str, k: int) -> DataFrame:
+    """Scores (id, seq, score) of the rows of all blocks that can hold one of the k best."""
+    bound = bounds(index, query).cache()
+    try:
+        first = [r["block"] for r in bound.orderBy(F.desc("bound"), "block").limit(FIRST).collect()]
+        tried = score(index, query, within(ranges(first)) & F.col("block").isin(*first) if first else F.lit(False))
+        best = tried.orderBy(F.desc("score")).limit(k).collect()  # k rows
+        least = best[-1]["score"] if len(best) == k else float("-inf")
+        if least <= 0:
+            return score(index, query)
+        alive = bound.where(F.col("bound") >= least * (1 - SLACK) - SLACK).select("block")
+        some = [r["block"] for r in alive.limit(LISTED + 1).collect()]
+        if len(some) <= LISTED:
+            return score(index, query, within(ranges(some)) & F.col("block").isin(*some))
+        edges = alive.groupBy(F.shiftright("block", BAND)).agg(F.min("block").alias("a"), F.max("block").alias("b")).collect()  # a row a band
+        rest = index.postings.join(alive, "block", "left_semi")
+        return score(LexicalIndex(rest, index.lengths, index.idf, index.totals), query, within([(r["a"], r["b"]) for r in edges]))
+    finally:
+        bound.unpersist()
+
+
+def ranges(blocks: list[int]) -> list[tuple[int, int]]:
+    """RANGES ranges at most that hold the blocks, parted where the gaps are widest."""
+    blocks = sorted(blocks)
+    gaps = sorted((b - a, i) for i, (a, b) in enumerate(pairwise(blocks), 1) if b - a > 1)[-(RANGES - 1) :]
+    cuts = [0, *sorted(i for _, i in gaps), len(blocks)]
+    return [(blocks[a], blocks[b - 1]) for a, b in pairwise(cuts) if b > a]
+
+
+def within(spans: list[tuple[int, int]]) -> Column:
+    """A filter on the block that a scan can skip pages by."""
+    return reduce(lambda x, y: x | y, (F.col("block").between(a, b) for a, b in spans), F.lit(False))
+
+
 def ranked(rows: DataFrame) -> DataFrame:
     """rows, k at most, with a 1-based rank by score, then seq."""
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "seq")))
