@@ -70,6 +70,7 @@ class Cell:
 
     def __init__(self, ids: pa.Array, hashes: np.ndarray, seqs: np.ndarray, x: np.ndarray, starts: np.ndarray, centres: np.ndarray, wides: np.ndarray):
         self.ids, self.hashes, self.seqs, self.x, self.starts, self.centres, self.wides = ids, hashes, seqs, x, starts, centres, wides
+        self.x4 = x.astype(np.float32)
 
     @classmethod
     def of(cls, ids: pa.Array, hashes: np.ndarray, seqs: np.ndarray, x: np.ndarray) -> Cell:
@@ -87,24 +88,29 @@ class Cell:
 
     def best(self, ids: pa.Array, hashes: np.ndarray, x: np.ndarray, floor: np.ndarray, top_n: int, max_sim: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, place in the cell, similarity) of each row's top_n best here that reach its floor, by row, then best first."""
-        out = []
+        out, slack = [], (x.shape[1] + 4) * 2.0**-23
         for at in range(0, len(x), STRIP):
             q, least = x[at : at + STRIP], floor[at : at + STRIP]
             ask = may(q, least, self.centres, self.wides)
             spans = [(0, len(self.x), np.arange(len(q)))] if ask.mean() > 0.5 else [(self.starts[j], self.starts[j + 1], np.flatnonzero(ask[:, j])) for j in np.flatnonzero(ask.any(0))]
-            found = []
+            found, q4 = [], q.astype(np.float32)
             for a, b, rows in spans:
-                sims = q[rows] @ self.x[a:b].T
-                for i, j in zip(*np.nonzero(hashes[at + rows][:, None] == self.hashes[None, a:b]), strict=True):
-                    if ids[int(at + rows[i])].as_py() == self.ids[int(a + j)].as_py():
-                        sims[i, j] = 2.0  # a row is not its own neighbour
-                sims[(sims > max_sim) | (sims < least[rows][:, None])] = -2.0
-                if b - a > top_n:
-                    cut = np.partition(sims, b - a - top_n, 1)[:, b - a - top_n]
-                    r, c = np.nonzero((sims >= cut[:, None]) & (sims > -2.0))
-                else:
-                    r, c = np.nonzero(sims > -2.0)
-                found.append((rows[r], c + a, sims[r, c]))
+                # products in single precision, whose error is under slack, choose pairs; these are multiplied again
+                sims = q4[rows] @ self.x4[a:b].T
+                pick = (sims >= (least[rows] - slack).astype(np.float32)[:, None]) & (sims <= max_sim + slack)
+                if b - a > top_n and np.count_nonzero(pick) > 4 * top_n * len(rows):
+                    sure = np.where(pick & (sims < max_sim - slack), sims, np.float32(-2))
+                    if max_sim > 1 - 2 * slack:  # no row takes its own place
+                        sure[hashes[at + rows][:, None] == self.hashes[None, a:b]] = -2
+                    cut = np.partition(sure, b - a - top_n, 1)[:, b - a - top_n]
+                    pick &= sims >= (cut - 2 * slack)[:, None]
+                r, c = np.nonzero(pick)
+                r, c = rows[r], c + a
+                exact = np.einsum("ij,ij->i", q[r], self.x[c])
+                good = (exact <= max_sim) & (exact >= least[r])
+                for i in np.flatnonzero(good & (hashes[at + r] == self.hashes[c])).tolist():
+                    good[i] = ids[int(at + r[i])].as_py() != self.ids[int(c[i])].as_py()  # a row is not its own neighbour
+                found.append((r[good], c[good], exact[good]))
             if found:
                 r, c, s = (np.concatenate(v) for v in zip(*found, strict=True))
                 order = np.lexsort((self.seqs[c], -s, r))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gleaner import storage
 from gleaner.functions import scores, text
-from gleaner.operators import chunking, dense, drafts, entities, evidence, expand, extract, fusion, lexical, metrics, numbering, orgs
+from gleaner.operators import batch, chunking, dense, drafts, entities, evidence, expand, extract, fusion, lexical, metrics, numbering, orgs
 from gleaner.plans import engine
 from gleaner.sources import corpus, stores
 
@@ -355,6 +355,51 @@ def near_duplicate_mask(spark, sf_dir):
     return dense.semantic_edges(v.unionByName(copies), 5, 0.3).select("src", "dst", F.round("sim", 6).alias("sim"), "rank")
 
 
+# ---- many queries at once: every document whose id is divisible by 100 asks with its whole text, and its vector if it has one ----
+
+
+def asked(spark, sf_dir) -> DataFrame:
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return texts(spark, sf_dir).where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "text").join(own, "query_id", "left")
+
+
+def postings_blocks(spark, sf_dir) -> DataFrame:
+    make = lambda path: batch.packed_postings(index(spark, sf_dir)).write.parquet(path)
+    return spark.read.parquet(storage.warm(spark, "postings", make, *files(sf_dir, "documents")))
+
+
+def vector_blocks(spark, sf_dir) -> DataFrame:
+    make = lambda path: batch.packed_vectors(vectors(spark, sf_dir)).write.parquet(path)
+    return spark.read.parquet(storage.warm(spark, "vectors", make, *files(sf_dir, "embeddings")))
+
+
+def many_sql(k: int) -> str:
+    return f"""
+w as materialized (select doc_id as query_id, term, count(*) as times from tokens where doc_id % 100 = 0 group by all),
+ws as (select query_id, tf.doc_id, sum(round(times * idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) * 1e9)::bigint) as s from w join idf using (term) join tf using (term) join dl on dl.doc_id = tf.doc_id, tot group by all),
+bms as (select q.query_id, d.doc_id as id, coalesce(s, 0) / 1e9 as score from (select distinct query_id from w) q cross join dl d left join ws on ws.query_id = q.query_id and ws.doc_id = d.doc_id),
+bm as materialized (select * from (select *, row_number() over (partition by query_id order by score desc, id) as rank from bms) where rank <= {k}),
+coss as (select q.vec_id as query_id, v.vec_id as id, round(coalesce(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 0), 12) as score
+    from embeddings q join documents on doc_id = q.vec_id cross join embeddings v where q.vec_id % 100 = 0),
+cos as materialized (select * from (select *, row_number() over (partition by query_id order by score desc, id) as rank from coss) where rank <= {k})"""
+
+
+@query(f"with {TOKENS}, {many_sql(K)} select query_id, id, rank::int as rank, round(score, 6) as score from bm")
+def bm25_batch(spark, sf_dir):
+    found = batch.lexical_top_k(postings_blocks(spark, sf_dir), index(spark, sf_dir), asked(spark, sf_dir), K)
+    return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"""with {TOKENS}, {many_sql(20 * K)}, fused as (
+    select coalesce(b.query_id, c.query_id) as query_id, coalesce(b.id, c.id) as id, coalesce(1.0::double / (60 + b.rank), 0) + coalesce(1.0::double / (60 + c.rank), 0) as score
+    from bm b full join cos c on b.query_id = c.query_id and b.id = c.id
+), r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from fused)
+select query_id, id, rank::int as rank, round(score, 9) as score from r where rank <= {K}""")
+def hybrid_batch(spark, sf_dir):
+    found = batch.hybrid(postings_blocks(spark, sf_dir), index(spark, sf_dir), vector_blocks(spark, sf_dir), asked(spark, sf_dir), K)
+    return found.select("query_id", "id", "rank", F.round("score", 9).alias("score"))
+
+
 # ---- entity index and expansion ----
 
 
