@@ -1,12 +1,27 @@
-"""Bounded fair expansion of seeds over the entity index."""
+"""Bounded fair expansion of seeds over the entity index, for one query or many.
+
+Each frontier row has one candidate list: its article's chunks, then those sharing a
+concept, then semantic neighbours.  A query's lists are read column by column until its budget
+is used up, so one long list can't use it up alone; a chunk is taken at its first place.
+
+Of each part of a list only so many chunks can be reached as the budget and what the query has taken
+already, so an article's or a concept's chunks are cut to their first ones before they meet
+the frontier: a concept that a million chunks share costs one pass over them, and no
+row for each that asks.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.storage import written
 
+#: Frontier rows that may be broadcast; larger ones are joined by shuffles.
+FEW = 10_000
+
 
 def kinship(clause: Column, point: Column, own_clause: Column) -> Column:
     """How closely a sibling encloses a chunk: 0 heading, 1 its clause's stem, 2 its clause's points, 3 the rest."""
@@ -14,19 +29,35 @@ def kinship(clause: Column, point: Column, own_clause: Column) -> Column:
     return F.when(clause.isNull() & point.isNull(), 0).when(same & point.isNull(), 1).when(same, 2).otherwise(3)
 
 
-def siblings(frontier: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Rows (idx, cid, o1, o2): chunks of the article of each frontier row, nearest kin first."""
-    f = frontier.where("coalesce(article, '') != ''").select("idx", "document_id", "article", F.col("clause").alias("own"))
-    c = chunks.select("document_id", "article", F.col("chunk_id").alias("cid"), "clause", "point", "seq")
-    return c.join(F.broadcast(f), ["document_id", "article"]).select("idx", "cid", kinship(F.col("clause"), F.col("point"), F.col("own")).cast("long").alias("o1"), F.col("seq").cast("long").alias("o2"))
+def first_of(rows: DataFrame, most: int, *keys: str) -> DataFrame:
+    """Each group's first ``most`` rows by seq; a partial limit keeps as many from each task before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("seq", "cid"))
+    return rows.withColumn("__n", place).where(F.col("__n") <= most).drop("__n")
+
 
+def siblings(frontier: DataFrame, chunks: DataFrame, most: int, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows (query_id, idx, cid, o1, o2): chunks of the article of each frontier row, nearest kin first, at least ``most`` of each degree if there are."""
+    art = ["document_id", "article"]
+    f = frontier.where("coalesce(article, '') != ''").select("query_id", "idx", *art, F.col("clause").alias("own"))
+    c = chunks.select(*art, F.col("chunk_id").alias("cid"), "clause", "point", "seq")
+    near = written(c.join(small(f.select(*art).distinct()), art, "left_semi"))
+    head, stem = near.where("clause is null and point is null"), near.where("clause is not null and point is null")
+    same = lambda rows: rows.join(small(f), (rows["document_id"] == f["document_id"]) & (rows["article"] == f["article"]) & rows["clause"].eqNullSafe(f["own"]))
+    pick = lambda rows, kin: rows.select("query_id", "idx", "cid", F.lit(kin).cast("long").alias("o1"), F.col("seq").cast("long").alias("o2"))
+    # where fewer than ``most`` are nearer, as many of the first 2 * most chunks are of the rest, or all
+    rest = first_of(near, 2 * most, *art).join(small(f), art).where(kinship(F.col("clause"), F.col("point"), F.col("own")) == 3)
+    lists = pick(first_of(head, most, *art).join(small(f), art), 0).unionByName(pick(same(first_of(stem, most, *art, "clause")), 1))
+    return lists.unionByName(pick(same(first_of(near.where("point is not null"), most, *art, "clause")), 2)).unionByName(pick(rest, 3))
 
-def concept_list(frontier: DataFrame, keys: DataFrame) -> DataFrame:
+
+def concept_list(frontier: DataFrame, keys: DataFrame, most: int, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows (query_id, idx, cid, o1, o2): the first ``most`` chunks of each concept of a frontier row, a chunk by its first concept."""
     concept = keys.where(F.col("key").startswith("concept::"))
-    own = concept.join(F.broadcast(frontier.select("idx", "chunk_id")), "chunk_id").select("idx", "key", "key_pos")
-    found = concept.select("key", F.col("chunk_id").alias("cid"), "seq").join(F.broadcast(own), "key")
-    first = found.groupBy("idx", "cid").agg(F.min(F.struct("key_pos", "seq")).alias("o"))
-    return first.select("idx", "cid", F.col("o.key_pos").cast("long").alias("o1"), F.col("o.seq").cast("long").alias("o2"))
+    own = concept.join(small(frontier.select("query_id", "idx", "chunk_id")), "chunk_id").select("query_id", "idx", "key", "key_pos")
+    wanted = concept.select("key", F.col("chunk_id").alias("cid"), "seq").join(small(own.select("key").distinct()), "key", "left_semi")
+    found = first_of(wanted, most, "key").join(small(own), "key")
+    first = found.groupBy("query_id", "idx", "cid").agg(F.min(F.struct("key_pos", "seq")).alias("o"))
+    return first.select("query_id", "idx", "cid", F.col("o.key_pos").cast("long").alias("o1"), F.col("o.seq").cast("long").alias("o2"))
 
 
 def at_least(edges: DataFrame, min_sim: float) -> DataFrame:
@@ -34,40 +65,49 @@ def at_least(edges: DataFrame, min_sim: float) -> DataFrame:
     return edges.where(F.col("sim") >= min_sim)
 
 
-def semantic_list(frontier: DataFrame, edges: DataFrame, min_sim: float) -> DataFrame:
-    found = at_least(edges, min_sim).join(F.broadcast(frontier.select("idx", F.col("chunk_id").alias("src"))), "src")
-    return found.select("idx", F.col("dst").alias("cid"), F.col("rank").cast("long").alias("o1"), F.lit(0).cast("long").alias("o2"))
+def semantic_list(frontier: DataFrame, edges: DataFrame, min_sim: float, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    found = at_least(edges, min_sim).join(small(frontier.select("query_id", "idx", F.col("chunk_id").alias("src"))), "src")
+    return found.select("query_id", "idx", F.col("dst").alias("cid"), F.col("rank").cast("long").alias("o1"), F.lit(0).cast("long").alias("o2"))
 
 
-def expand(seeds: DataFrame, chunks: DataFrame, max_extra: int = 10, hops: int = 1, keys: DataFrame | None = None, edges: DataFrame | None = None, min_sim: float = 0.0) -> DataFrame:
-    """Seeds (chunk_id, ord), then at most max_extra chunks reached in ``hops`` steps: rows (chunk_id, hop, ord).
+def expand_many(seeds: DataFrame, chunks: DataFrame, max_extra: int = 10, hops: int = 1, keys: DataFrame | None = None, edges: DataFrame | None = None, min_sim: float = 0.0) -> DataFrame:
+    """Each query's seeds (query_id, chunk_id, ord), then at most max_extra chunks reached in ``hops`` steps: rows (query_id, chunk_id, hop, ord).
 
-    Each frontier row has one candidate list: its article's chunks, then those sharing a
-    concept, then semantic neighbours.  Lists are read column by column, so one long
-    list can't use up the budget; a chunk is taken at its first place.  Hops before the last
-    are written, so a hop's plan starts from a table.  ``chunks`` holds
-    each chunk_id once; seeds are a retrieved list, so frontiers are small and broadcast.
+    ``chunks`` holds each chunk_id once.  Seeds and each hop are written, so a hop's plan
+    starts from a table and its size is known: a frontier of at most FEW rows is broadcast.
     """
-    order = F.row_number().over(Window.orderBy("ord", "chunk_id"))  # a retrieved list
-    seeds = seeds.select("chunk_id", order.cast("long").alias("ord"))
-    taken = seeds.select("chunk_id", F.lit(0).alias("hop"), "ord")
-    place = Window.partitionBy("idx").orderBy("kind", "o1", "o2", "cid")
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy("ord", "chunk_id"))
+    taken = written(seeds.select("query_id", "chunk_id", F.lit(0).alias("hop"), order.cast("long").alias("ord")))
+    max_extra = max(max_extra, 0)
+    place = Window.partitionBy("query_id", "idx").orderBy("kind", "o1", "o2", "cid")
     for hop in range(1, max(hops, 0) + 1):
-        last = taken.where(F.col("hop") == hop - 1).select("chunk_id", F.col("ord").alias("idx"))
-        frontier = chunks.join(F.broadcast(last), "chunk_id")
-        lists = siblings(frontier, chunks).withColumn("kind", F.lit(0))
+        rows, longest = taken.groupBy("query_id").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+        small = F.broadcast if rows <= FEW else lambda df: df
+        most = max_extra + longest
+        last = taken.where(F.col("hop") == hop - 1).select("query_id", "chunk_id", F.col("ord").alias("idx"))
+        frontier = chunks.join(small(last), "chunk_id").select("query_id", "idx", "chunk_id", "document_id", "article", "clause")
+        frontier = written(frontier)
+        lists = siblings(frontier, chunks, most, small).withColumn("kind", F.lit(0))
         if keys is not None:
-            lists = lists.unionByName(concept_list(frontier, keys).withColumn("kind", F.lit(1)))
+            lists = lists.unionByName(concept_list(frontier, keys, most, small).withColumn("kind", F.lit(1)))
         if edges is not None:
-            lists = lists.unionByName(semantic_list(frontier, edges, min_sim).withColumn("kind", F.lit(2)))
-        placed = lists.select("cid", "idx", F.row_number().over(place).alias("pos"))
-        first = placed.groupBy("cid").agg(F.min(F.struct("pos", "idx")).alias("o"))
-        known = first.join(chunks.select(F.col("chunk_id").alias("cid")), "cid", "left_semi")
-        new = known.join(F.broadcast(taken.select(F.col("chunk_id").alias("cid"))), "cid", "left_anti").orderBy("o").limit(max(max_extra, 0))
-        number = F.row_number().over(Window.orderBy("o"))
-        new = new.select(F.col("cid").alias("chunk_id"), F.lit(hop).alias("hop"), number.cast("long").alias("ord"))
-        extras = taken.where("hop > 0").unionByName(new).orderBy("hop", "ord").limit(max(max_extra, 0))
+            lists = lists.unionByName(semantic_list(frontier, edges, min_sim, small).withColumn("kind", F.lit(2)))
+        placed = lists.select("query_id", "cid", "idx", F.row_number().over(place).alias("pos"))
+        first = placed.groupBy("query_id", "cid").agg(F.min(F.struct("pos", "idx")).alias("o"))
+        new = first.join(taken.select("query_id", F.col("chunk_id").alias("cid")), ["query_id", "cid"], "left_anti")
+        known = chunks.select(F.col("chunk_id").alias("cid"))
+        if edges is not None:  # siblings and concepts come from chunks
+            new = new.join(known, "cid", "left_semi")
+        number = F.row_number().over(Window.partitionBy("query_id").orderBy("o"))
+        new = new.withColumn("n", number).where(F.col("n") <= max_extra).select("query_id", F.col("cid").alias("chunk_id"), F.lit(hop).alias("hop"), F.col("n").cast("long").alias("ord"))
+        extras = taken.where("hop > 0").unionByName(new)
+        extras = extras.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("hop", "ord"))).where(F.col("n") <= max_extra).drop("n")
         taken = taken.where("hop = 0").unionByName(extras)
         if hop < hops:
-            taken = written(taken)  # it stands three times in a hop, so the plan would triple
+            taken = written(taken)
     return taken
+
+
+def expand(seeds: DataFrame, chunks: DataFrame, max_extra: int = 10, hops: int = 1, keys: DataFrame | None = None, edges: DataFrame | None = None, min_sim: float = 0.0) -> DataFrame:
+    """The expansion of one query's seeds (chunk_id, ord): rows (chunk_id, hop, ord)."""
+    return expand_many(seeds.withColumn("query_id", F.lit(0)), chunks, max_extra, hops, keys, edges, min_sim).drop("query_id")
