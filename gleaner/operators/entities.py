@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.storage import written
+
 from .chunking import keep_first
+from .skew import meet
 
 
 def entity_keys(document_id: Column, article: Column, clause: Column, extra: Column | None = None) -> Column:
@@ -62,5 +65,21 @@ def concept_neighbours(keys: DataFrame) -> DataFrame:
     return first.select("src", "dst", "o.key_pos", "o.seq")
 
 
+def nearest_by_concept(keys: DataFrame, most: int) -> DataFrame:
+    """Rows (src, dst, key_pos, seq): the first ``most`` other chunks that share a concept with src, in order of src's keys, then seq.
+
+    Of a key's chunks only the first most + 1 can be among them, so a key meets its chunks as
+    one array of these: rows grow with the chunks, whatever a key's share of them.
+    """
+    concept = keys.where(F.col("key").startswith("concept::"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("seq", "chunk_id"))
+    first = concept.select("key", "seq", F.col("chunk_id").alias("dst"), place.alias("p")).where(F.col("p") <= most + 1).groupBy("key").agg(F.collect_list(F.struct("seq", "dst")).alias("found"))
+    facts = written(first.join(concept.groupBy("key").agg(F.count("*").alias("n")), "key"))
+    met = meet(concept.select("key", F.col("chunk_id").alias("src"), "key_pos"), facts, "key").select("src", "key_pos", F.explode("found").alias("e")).where("src != e.dst")
+    best = met.groupBy("src", F.col("e.dst").alias("dst")).agg(F.min(F.struct("key_pos", "e.seq")).alias("o")).select("src", "dst", "o.key_pos", "o.seq")
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("key_pos", "seq", "dst"))
+    return best.withColumn("__n", rank).where(F.col("__n") <= most).drop("__n")
+
+
 def query_key_rows(spark, keys: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(k, i) for i, k in enumerate(keys) if k], "key string, pos int")

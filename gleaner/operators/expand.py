@@ -13,12 +13,15 @@ row for each that asks.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.storage import written
 
+from .skew import meet
+
 #: Frontier rows that may be broadcast; larger ones are joined by shuffles.
 FEW = 10_000
 
@@ -35,6 +38,40 @@ def first_of(rows: DataFrame, most: int, *keys: str) -> DataFrame:
     return rows.withColumn("__n", place).where(F.col("__n") <= most).drop("__n")
 
 
+def nearest_kin(chunks: DataFrame, most: int) -> DataFrame:
+    """Rows (src, dst, kin, rank): the ``most`` nearest kin of each chunk in its article, itself among them, in order of degree, then seq.
+
+    An article's chunks meet its first ones of each degree, ``most`` of each and 2 * most of the rest, not each other.
+    """
+    rows = chunks.where("coalesce(article, '') != ''")
+    art = ["document_id", "article"]
+    c = rows.select(*art, F.col("chunk_id").alias("cid"), "clause", "point", "seq")
+    entry = F.struct("seq", F.col("cid").alias("dst"), "clause", "point")
+
+    def lists(own: DataFrame, n: int, name: str, *by: str) -> DataFrame:
+        """A row a group: its first n chunks as an array, and how many chunks there are to meet it."""
+        first = first_of(own, n, *by).groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias(name))
+        sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
+        return first.join(sizes, _alike(first, sizes, by)).select(F.struct(*(first[b] for b in by)).alias("group"), name, "n")
+
+    asks = rows.select("chunk_id", F.struct(*art).alias("by_article"), F.struct(*art, "clause").alias("by_clause"), F.col("clause").alias("own"))
+    head = lists(c.where("clause is null and point is null"), most, "found", *art)
+    stem = lists(c.where("clause is not null and point is null"), most, "found", *art, "clause")
+    point = lists(c.where("point is not null"), most, "found", *art, "clause")
+    rest = lists(c, 2 * most, "found", *art)
+    met = []
+    for kin, (facts, key) in enumerate([(head, "by_article"), (stem, "by_clause"), (point, "by_clause"), (rest, "by_article")]):
+        got = meet(asks, written(facts.withColumnRenamed("group", key)), key).select("chunk_id", "own", F.explode("found").alias("e"))
+        met.append(got.where(kinship(F.col("e.clause"), F.col("e.point"), F.col("own")) == kin).select(F.col("chunk_id").alias("src"), "e.dst", F.lit(kin).alias("kin"), "e.seq"))
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("kin", "seq", "dst"))
+    every = met[0].unionByName(met[1]).unionByName(met[2]).unionByName(met[3])
+    return every.withColumn("rank", rank).where(F.col("rank") <= most).select("src", "dst", "kin", "rank")
+
+
+def _alike(a: DataFrame, b: DataFrame, names: tuple[str, ...]) -> Column:
+    return reduce(lambda x, y: x & y, (a[n].eqNullSafe(b[n]) for n in names))
+
+
 def siblings(frontier: DataFrame, chunks: DataFrame, most: int, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows (query_id, idx, cid, o1, o2): chunks of the article of each frontier row, nearest kin first, at least ``most`` of each degree if there are."""
     art = ["document_id", "article"]
@@ -73,7 +110,7 @@ def semantic_list(frontier: DataFrame, edges: DataFrame, min_sim: float, small:
 def expand_many(seeds: DataFrame, chunks: DataFrame, max_extra: int = 10, hops: int = 1, keys: DataFrame | None = None, edges: DataFrame | None = None, min_sim: float = 0.0) -> DataFrame:
     """Each query's seeds (query_id, chunk_id, ord), then at most max_extra chunks reached in ``hops`` steps: rows (query_id, chunk_id, hop, ord).
 
-    ``chunks`` holds each chunk_id once.  Seeds and each hop are written, so a hop's plan
+    ``chunks`` holds each chunk_id once, ``keys`` are theirs.  Seeds and each hop are written, so a hop's plan
     starts from a table and its size is known: a frontier of at most FEW rows is broadcast.
     """
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("ord", "chunk_id"))

@@ -533,6 +533,40 @@ def expand_edges(spark, sf_dir):
     return expand.expand(seeds(spark, sf_dir), lines(spark, sf_dir), 30, 2, line_keys(spark, sf_dir), line_edges(spark, sf_dir), 0.4)
 
 
+@query(f"""with {LINES}, s as (
+    select document_id as query_id, chunk_id, row_number() over (partition by document_id order by price desc, chunk_id) as idx from lines where price is not null qualify idx <= 3
+), f as (select s.query_id, s.idx, l.* from s join lines l using (chunk_id)), l as (
+    select f.query_id, f.idx, c.chunk_id, 0 as kind, case when c.clause is null and c.point is null then 0
+        when c.clause is not distinct from f.clause and c.point is null then 1 when c.clause is not distinct from f.clause then 2 else 3 end as o1, c.seq as o2
+    from f join lines c on f.document_id = c.document_id and f.article = c.article
+    union all select f.query_id, f.idx, c.chunk_id, 1, 3, c.seq from f join lines c on f.part = c.part
+), p as (select *, row_number() over (partition by query_id, idx order by kind, o1, o2, chunk_id) as pos from l),
+n as (select query_id, chunk_id, min(pos * 10 + idx) as o from p anti join s using (query_id, chunk_id) group by all)
+select query_id, chunk_id, 0 as hop, idx as ord from s
+union all select query_id, chunk_id, 1, row_number() over (partition by query_id order by o) as ord from n qualify ord <= 5""")
+def expand_batch(spark, sf_dir):
+    """Every document asks with its three dearest lines."""
+    dearest = F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("price"), "chunk_id"))
+    rows = lines(spark, sf_dir)
+    own = rows.where("price is not null").select(F.col("document_id").alias("query_id"), "chunk_id", dearest.alias("ord")).where("ord <= 3")
+    return expand.expand_many(own, rows, 5, 1, line_keys(spark, sf_dir))
+
+
+@query(f"""with {LINES}, k as (
+    select s.chunk_id as src, c.chunk_id as dst, c.seq, case when c.clause is null and c.point is null then 0
+        when c.clause is not distinct from s.clause and c.point is null then 1 when c.clause is not distinct from s.clause then 2 else 3 end as kin
+    from lines s join lines c on s.document_id = c.document_id and s.article = c.article
+) select src, dst, kin, row_number() over (partition by src order by kin, seq)::int as rank from k qualify rank <= 3""")
+def nearest_kin(spark, sf_dir):
+    return expand.nearest_kin(lines(spark, sf_dir), 3)
+
+
+@query(f"""with {LINES}, own as materialized (select chunk_id, part, seq from lines where part is not null)
+select a.chunk_id as src, b.chunk_id as dst from own a join own b on a.part = b.part and a.chunk_id != b.chunk_id qualify row_number() over (partition by a.chunk_id order by b.seq, b.chunk_id) <= 4""")
+def nearest_by_concept(spark, sf_dir):
+    return entities.nearest_by_concept(line_keys(spark, sf_dir), 4).select("src", "dst")
+
+
 @query(f"with {LINES}, {EDGES} select src, dst, rank from edges where sim >= 0.4 and dst is not null")
 def stored_edges(spark, sf_dir):
     """The edges at query time's least similarity."""

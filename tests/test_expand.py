@@ -100,3 +100,37 @@ def test_a_hub_does_not_meet_all_that_ask(spark):
     assert {(r["query_id"], r["chunk_id"], r["ord"]) for r in got} == {(q, f"c{c}", i) for q, own in want.items() for i, c in enumerate(own, 1)}
     frontier = seeds.selectExpr("query_id", "1 idx", "chunk_id")
     assert expand.concept_list(frontier, keys, 4, lambda df: df).count() == 200 * 4
+
+
+def test_nearest_kin_and_concepts(spark, world):
+    chunks, _, keys, *_ = world
+    for most in (2, 9):
+        want = set()
+        for c in chunks:
+            if c[3]:
+                kin = lambda d, c=c: 0 if d[4] is None and d[5] is None else (1 if d[5] is None else 2) if d[4] == c[4] else 3
+                near = sorted((kin(d), d[1], d[0]) for d in chunks if (d[2], d[3]) == (c[2], c[3]))
+                want |= {(c[0], i, k, n) for n, (k, _, i) in enumerate(near[:most], 1)}
+        assert {tuple(r) for r in expand.nearest_kin(world[4], most).collect()} == want
+        held = {}
+        for (c, pos), key in keys.items():
+            if key.startswith("concept::"):
+                held.setdefault(key, []).append(c)
+        seq = {c[0]: c[1] for c in chunks}
+        want = set()
+        for c in seq:
+            best = {}
+            for (own, pos), key in keys.items():
+                if own == c and key.startswith("concept::"):
+                    for d in held[key]:
+                        if d != c:
+                            best[d] = min(best.get(d, (99, 0)), (pos, seq[d]))
+            want |= {(c, d, *o) for d, o in sorted(best.items(), key=lambda b: (b[1], b[0]))[:most]}
+        assert {tuple(r) for r in entities.nearest_by_concept(world[1], most).collect()} == want
+
+
+def test_a_hub_of_a_million_chunks_gives_linear_rows(spark):
+    keys = spark.range(1_000_000).selectExpr("concat('c', lpad(id, 7, '0')) chunk_id", "id seq", "'concept::hub' key", "0 key_pos")
+    found = entities.nearest_by_concept(keys, 3)
+    assert found.count() == 3_000_000
+    assert sorted(r["dst"] for r in found.where("src = 'c0500000'").collect()) == ["c0000000", "c0000001", "c0000002"]
