@@ -33,8 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators.skew import meet
+
 from .shared import cut
-from .skew import meet
 
 SHARED, STARTS = 20, 4
 #: Turns of a round; members and turns left of a bucket that one task finishes, at most.

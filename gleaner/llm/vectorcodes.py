@@ -32,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators.skew import meet
+
 from .shared import cut
-from .skew import meet
 
 PARTS, ENTRIES, ROUNDS = 16, 64, 2
 #: Entries of a kd-tree's leaf, at most; rows searched at once.
