@@ -11,6 +11,8 @@ from gleaner.functions.text import blank, effective_date, strip
 from gleaner.operators.chunking import chunk_documents, keep_first, numbered
 from gleaner.schemas import RAW
 
+from . import json_array
+
 #: Rows of the dump that can't be used, and the default pack.
 SKIP = ("code-2019-bo-luat-lao-dong", "luat-ban-hanh-van-ban-quy-pham-phap-luat")
 PACK = (
@@ -42,15 +44,11 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """The objects of a JSON list, in file order: (seq, id, title, type, content).
 
     A missing file is a FileNotFoundError, a file that is no JSON or holds no list a
-    ValueError; list items that are no objects are ignored.
+    ValueError; list items that are no objects are ignored.  The file is read in byte ranges.
     """
     if not _exists(spark, path):
         raise FileNotFoundError(path)
-    whole = spark.read.text(path, wholetext=True)
-    good = F.try_parse_json("value").isNotNull() & strip(F.col("value")).startswith("[")
-    if not whole.select(F.coalesce(good, F.lit(False)).alias("l")).first()["l"]:
-        raise ValueError(f"{path} is not a JSON list")
-    items = whole.select(F.posexplode(F.from_json("value", "array<string>")).alias("seq", "item")).where(strip(F.col("item")).startswith("{"))
+    items = json_array.items(spark, path).where("is_object")
     return items.select(F.col("seq").cast("long"), F.from_json("item", RAW).alias("r")).select("seq", "r.*")
 
 
