@@ -42,12 +42,12 @@ def _blocks(rows: int) -> int:
 
 
 def packed_postings(index: lexical.LexicalIndex) -> DataFrame:
-    """Blocks (block, ids, seqs, terms, starts, docs, parts) of an index: of each term the rows that hold it, with their impacts."""
+    """Blocks (block, mean, ids, seqs, sizes, terms, starts, docs, tfs) of an index: of each term the rows that hold it, and how often."""
     kind = dict(index.lengths.dtypes)["id"]
     blocks = _blocks(index.rows)
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
-    part = scores.bm25(F.lit(1.0), F.col("tf"), F.col("dl"), F.col("avgdl")).alias("part")
-    postings = index.postings.crossJoin(F.broadcast(index.totals)).select(block, F.col("id").alias("held"), "term", part)  # totals is one row
+    postings = index.postings.select(block, F.col("id").alias("held"), "term", F.col("tf").cast("int"))
+    mean = index.totals.first()["avgdl"]
 
     def pack(rows: pa.Table, held: pa.Table) -> pa.Table:
         rows = rows.sort_by("seq").combine_chunks()
@@ -57,10 +57,10 @@ def packed_postings(index: lexical.LexicalIndex) -> DataFrame:
         docs = pc.index_in(held["held"].combine_chunks(), ids) if len(term) else pa.array([], pa.int32())
         one = lambda values, kind: pa.array([values], pa.list_(kind))
         number = (rows if rows.num_rows else held)["block"].combine_chunks().slice(0, 1)
-        return pa.table([number, one(ids, ids.type), one(rows["seq"].to_numpy(), pa.int64()), one(term.take(pa.array(at)), pa.string()), one(np.append(at, len(term)).astype(np.int32), pa.int32()), one(docs.to_numpy(zero_copy_only=False).astype(np.int32), pa.int32()), one(held["part"].to_numpy() if len(term) else np.zeros(0), pa.float64())], ["block", "ids", "seqs", "terms", "starts", "docs", "parts"])
+        return pa.table([number, pa.array([mean]), one(ids, ids.type), one(rows["seq"].to_numpy(), pa.int64()), one(rows["dl"].to_numpy(), pa.int32()), one(term.take(pa.array(at)), pa.string()), one(np.append(at, len(term)).astype(np.int32), pa.int32()), one(docs.to_numpy(zero_copy_only=False).astype(np.int32), pa.int32()), one(held["tf"].to_numpy() if len(term) else np.zeros(0, np.int32), pa.int32())], ["block", "mean", "ids", "seqs", "sizes", "terms", "starts", "docs", "tfs"])
 
-    rows = index.lengths.select(block, "id", F.col("seq").cast("long"))
-    return rows.groupBy("block").cogroup(postings.groupBy("block")).applyInArrow(pack, f"block long, ids array<{kind}>, seqs array<long>, terms array<string>, starts array<int>, docs array<int>, parts array<double>")
+    rows = index.lengths.select(block, "id", F.col("seq").cast("long"), F.col("dl").cast("int"))
+    return rows.groupBy("block").cogroup(postings.groupBy("block")).applyInArrow(pack, f"block long, mean double, ids array<{kind}>, seqs array<long>, sizes array<int>, terms array<string>, starts array<int>, docs array<int>, tfs array<int>")
 
 
 def packed_vectors(vectors: DataFrame) -> DataFrame:
@@ -148,7 +148,8 @@ class Best:
 def _postings(row: Callable, best: Best) -> None:
     """One block of postings for one chunk of queries."""
     ids, seqs, starts = row("ids").values, row("seqs").values.to_numpy(), row("starts").values.to_numpy()
-    docs, parts = row("docs").values.to_numpy(), row("parts").values.to_numpy()
+    docs, tf, size = row("docs").values.to_numpy(), row("tfs").values.to_numpy(), row("sizes").values.to_numpy()
+    parts = tf * (scores.K1 + 1) / (tf + scores.K1 * (1 - scores.B + scores.B * size[docs] / row("mean").as_py()))
     terms, weights, ends = row("terms_").values, row("weights").values.to_numpy(), row("starts_").values.to_numpy()
     place = pc.index_in(terms, row("terms").values).fill_null(-1).to_numpy()
     for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):

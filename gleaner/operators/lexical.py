@@ -40,7 +40,7 @@ SLACK = 1e-9
 class LexicalIndex:
     """postings (term, id, seq, tf, dl), lengths (id, seq, dl), idf (term, idf), totals (n, avgdl: one row).
 
-    A stored index has a column ``block`` in postings, and maxima (term, block, top).
+    A stored index has a column ``block`` in postings, and maxima (term, block, top) if it has blocks to leave out.
     """
 
     postings: DataFrame
@@ -90,6 +90,8 @@ def save(index: LexicalIndex, folder: str) -> LexicalIndex:
     totals, idf = _weights(postings, lengths)
     totals.write.parquet(f"{folder}/totals")
     idf.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/idf")
+    if spark.read.parquet(f"{folder}/totals").first()["n"] <= 4 * FIRST * DOCS:
+        return load(spark, folder)  # too few blocks to leave any out
     top = F.max(scores.bm25(F.lit(1.0), F.col("tf"), F.col("dl"), F.col("avgdl")))
     maxima = postings.crossJoin(F.broadcast(spark.read.parquet(f"{folder}/totals"))).groupBy("term", "block").agg(top.alias("top"))  # totals is one row
     maxima.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{folder}/maxima")
@@ -101,7 +103,10 @@ def _band():
 
 
 def load(spark, folder: str) -> LexicalIndex:
-    return LexicalIndex(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "lengths", "idf", "totals", "maxima")))
+    found = LexicalIndex(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "lengths", "idf", "totals")))
+    if found.rows > 4 * FIRST * DOCS:
+        found.maxima = spark.read.parquet(f"{folder}/maxima")
+    return found
 
 
 def query_terms(query: str) -> dict[str, int]:
@@ -127,7 +132,7 @@ def top_k(index: LexicalIndex, query: str, k: int) -> DataFrame:
     """The k best rows (id, seq, score, rank); rows without a query term score 0 and fill the list in order of seq."""
     if k <= 0 or not query_terms(query):
         return index.lengths.select("id", "seq", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    found = (best_blocks(index, query, k) if index.maxima is not None and index.rows > 4 * FIRST * DOCS else score(index, query)).withColumn("score", F.round("score", DECIMALS))
+    found = (best_blocks(index, query, k) if index.maxima is not None else score(index, query)).withColumn("score", F.round("score", DECIMALS))
     # rows that score 0 are joined only where fewer than k are above them; else a scan of their ids is all
     short = found.agg((F.count_if(F.col("score") > 0) < k).alias("short"))  # a row
     zeros = index.lengths.select("id", "seq").crossJoin(F.broadcast(short)).where("short").join(found.select("id"), "id", "left_anti")

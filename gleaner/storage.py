@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,10 +54,26 @@ def state(spark: SparkSession, *paths: str) -> str:
     return ",".join(sorted(out))
 
 
+#: Setting that removes a query's shuffle files when it ends.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Inside, what is written leaves no shuffle files: nothing reads them again."""
+    was = spark.conf.get(FREE, "false")
+    spark.conf.set(FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE, was)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: a cut of its lineage that survives executors."""
     path = f"{work_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(_at_exit(df.sparkSession, path))
 
 
@@ -65,7 +82,8 @@ def warm(spark: SparkSession, name: str, make: Callable[[str], None], *sources:
     key = (spark.sparkContext.applicationId, f"{name} {state(spark, *sources)}")
     if key not in _written:
         path = f"{work_dir(spark)}/warm-{uuid.uuid4().hex}"
-        make(path)
+        with freed(spark):
+            make(path)
         _written[key] = _at_exit(spark, path)
     return _written[key]
 
