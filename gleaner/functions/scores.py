@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Okapi BM25 parameters; EPSILON scales the mean idf that replaces a negative one.
@@ -42,5 +42,11 @@ def raw_idf(n: Column, df: Column) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
+def smoothed(raw: DataFrame) -> DataFrame:
+    """Rows (term, df, idf) of rows (term, df, raw): negative ones become a share of the mean."""
+    mean = raw.agg(F.avg("raw").alias("mean"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # mean is one row
+
+
 def bm25(idf: Column, tf: Column, length: Column, mean_length: Column) -> Column:
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))

@@ -1,9 +1,11 @@
 """BM25: statistics tables built once, and top-k search over them.
 
-A stored index keeps, beside its tables, the greatest impact of each term in each block of
-about DOCS rows of like length.  A query's terms bound the scores of every block; the best FIRST
-blocks give a k-th score, and of the postings only those of blocks that can reach it are read:
-postings lie in order of term and block, in small pages, and the blocks go into the scan as ranges.
+A stored index is written in segments: rows are dealt out by block, about DOCS rows of like
+length, and each task writes the postings of its blocks in order of term, so only texts are
+shuffled and a query reads a few pages of each segment.  A large index also keeps the
+greatest impact of each term in each block.  A query's terms bound the scores of every block; the
+best FIRST blocks give a k-th score, and only postings of blocks that can reach it are read,
+as the blocks go into the scan as ranges.
 """
 
 from __future__ import annotations
@@ -48,6 +50,7 @@ class LexicalIndex:
     idf: DataFrame
     totals: DataFrame
     maxima: DataFrame | None = None
+    tokens: DataFrame | None = None
 
     @cached_property
     def rows(self) -> int:
@@ -65,27 +68,27 @@ def build(rows: DataFrame, key: str = "chunk_id") -> LexicalIndex:
     words = tokenised.select("id", "seq", F.size("t").alias("dl"), F.explode("t").alias("term"))
     postings = words.groupBy("term", "id", "seq", "dl").agg(F.count("*").alias("tf"))
     totals, idf = _weights(postings, lengths)
-    return LexicalIndex(postings, lengths, idf, totals)
+    return LexicalIndex(postings, lengths, idf, totals, tokens=tokenised)
 
 
 def _weights(postings: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
     totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     counted = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = counted.crossJoin(F.broadcast(totals)).select("term", "df", scores.raw_idf(F.col("n"), F.col("df")).alias("raw"))  # totals is one row
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return totals, raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, scores.EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return totals, scores.smoothed(raw)
 
 
 def save(index: LexicalIndex, folder: str) -> LexicalIndex:
-    """The index as tables: postings in order of term, so a query's filter skips all files but those of its terms."""
+    """A built index as tables: postings in segments in order of term, so a query's filter skips all pages but those of its terms."""
     spark = index.postings.sparkSession
     index.lengths.write.parquet(f"{folder}/lengths")
     lengths = spark.read.parquet(f"{folder}/lengths")
     bands = {r["band"]: r["parts"] for r in lengths.groupBy(_band().alias("band")).agg(F.ceil(F.count("*") / DOCS).alias("parts")).collect()}  # 2 ** 31 lengths have 226 bands
     parts = F.create_map(*(F.lit(x) for pair in bands.items() for x in pair))[_band()] if bands else F.lit(1)
     block = F.shiftleft(_band().cast("long"), BAND) + F.pmod(F.xxhash64("id"), parts)
-    placed = index.postings.withColumn("block", block).repartitionByRange("term", "block").sortWithinPartitions("term", "block", "seq")
-    placed.write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{folder}/postings")
+    dealt = index.tokens.withColumn("dl", F.size("t")).withColumn("block", block).repartition("block")
+    counted = dealt.select("block", "id", "seq", "dl", F.explode("t").alias("term")).groupBy("term", "block", "id", "seq", "dl").agg(F.count("*").alias("tf"))
+    counted.sortWithinPartitions("term", "block", "seq").write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{folder}/postings")
     postings = spark.read.parquet(f"{folder}/postings")
     totals, idf = _weights(postings, lengths)
     totals.write.parquet(f"{folder}/totals")

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from gleaner import storage
 from gleaner.functions import scores, text
-from gleaner.operators import batch, chunking, dense, drafts, entities, evidence, expand, extract, fusion, lexical, metrics, numbering, orgs
+from gleaner.operators import batch, chunking, dense, drafts, entities, evidence, expand, extract, fusion, lexical, metrics, numbering, orgs, pruned
 from gleaner.plans import engine
 from gleaner.sources import corpus, stores
+from gleaner.streaming import index as incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERY = "the loser of this eran and the tionre"
@@ -279,6 +280,19 @@ def bm25_idf(spark, sf_dir):
     return index(spark, sf_dir).idf.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+@query(f"with {TOKENS} select term, df, round(idf, 6) as idf from idf")
+def incremental_idf(spark, sf_dir):
+    """The documents in three batches, of which the later ones also revise, delete and restore some; idf comes from signed deltas."""
+    docs = storage.spread(texts(spark, sf_dir)).withColumnRenamed("chunk_id", "id")
+    folder = f"{storage.work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    part, some = F.col("id") % 2, F.col("id") % 16
+    revised = F.when(some == 1, F.concat("text", F.lit(" revised"))).when(some != 2, F.col("text"))
+    batches = [docs.where(part == 0), docs.where((part == 1) | (some == 2)).withColumn("text", revised), docs.where(some.isin(1, 2))]
+    for number, batch_ in enumerate([*batches, batches[2]]):  # the last batch is played twice
+        incremental.apply_batch(folder, min(number, 2), batch_)
+    return incremental.load(spark, folder, "bigint").idf.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 def bm25(spark, sf_dir, words, k):
     return lexical.top_k(index(spark, sf_dir), words, k)
 
@@ -643,6 +657,17 @@ tiers as (
 )"""
 
 
+PRUNED = 10
+
+
+@query(f"with {cosine_sql(PRUNED)} select id, rank::int as rank, round(score, 6) as score from cos")
+def inner_product_pruned(spark, sf_dir):
+    """The nearest to vector 0 through the index in cells, of which those that can't hold one of them are not read."""
+    make = lambda path: pruned.save(vectors(spark, sf_dir), path)
+    index = pruned.load(spark, storage.warm(spark, "cells", make, *files(sf_dir, "embeddings")))
+    return pruned.top_k(index, query_vector(spark, sf_dir), PRUNED).hits.select("id", "rank", F.round("score", 6).alias("score"))
+
+
 @query(f"with {POOL_SQL} select chunk_id, tier, priority, row_number() over (order by tier, priority, ord)::int as pick from ranked order by pick limit 12")
 def evidence_select(spark, sf_dir):
     return evidence.select(pool(spark, sf_dir), seeds(spark, sf_dir), 12).select("chunk_id", "tier", "priority", "pick")
@@ -703,7 +728,8 @@ def concept_keys(spark, sf_dir):
     return extract.concept_keys(parsed).select("chunk_id", F.array_join("keys", "|").alias("keys"))
 
 
-@query(f"""with {POOL_SQL} select l.chunk_id, l.document_id, coalesce(n.n_name, l.document_id) as title,
+@query(f"""with {LINES}, seeds as (select chunk_id, row_number() over (order by price desc, chunk_id) as o from lines where price is not null qualify o <= 5)
+select l.chunk_id, l.document_id, coalesce(n.n_name, l.document_id) as title,
     case when l.clause is null then l.article else concat_ws(', ', l.article, l.clause, l.point) end as citation, substr(l.text, 1, 280) as text, s.o::int as pos
 from seeds s join lines l using (chunk_id) left join (select 'cust' || c_custkey as d, n_name from customer join nation on c_nationkey = n_nationkey where c_acctbal > 0) n on n.d = l.document_id""")
 def citation_cards(spark, sf_dir):

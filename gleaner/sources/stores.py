@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators.dense import normalised
-from gleaner.operators.extract import upsert
+from gleaner.operators.extract import extract
 from gleaner.operators.numbering import digest
 from gleaner.schemas import ENTITIES, EVENTS, EXTRACTION
+from gleaner.storage import written
 
 from .corpus import _exists
 
@@ -60,17 +62,21 @@ def load_or_build_index(vectors: DataFrame, path: str) -> DataFrame:
     return load_index(vectors.sparkSession, at)
 
 
+#: Parts of an extraction cache's base that are merged apart; chunks of a batch that the model sees between two flushes.
+BUCKETS, BATCH = 64, 10_000
+
+
 def load_extractions(spark: SparkSession, path: str) -> DataFrame:
     """Extractions (chunk_id, events, entities) of a cache, at most one event each; empty if there is none.
 
-    A cache is a JSON object keyed by chunk_id, or a folder of versions that
-    ``save_extractions`` wrote, of which the last complete one counts.
+    A cache is a JSON object keyed by chunk_id, or a folder of a base and deltas, of which the latest row of a chunk counts.
     """
     if not _exists(spark, path):
         return spark.createDataFrame([], EXTRACTION)
-    versions = _versions(spark, path)
-    if versions:
-        rows = spark.read.parquet(f"{path}/version={versions[-1]}").select("chunk_id", "events", "entities")
+    log = _log(spark, path)
+    if log is not None:
+        value = F.struct("events", "entities")
+        rows = log.groupBy("chunk_id").agg(F.max_by(value, "number").alias("v")).select("chunk_id", "v.events", "v.entities")
     else:
         whole = spark.read.text(path, wholetext=True)
         value = f"map<string,struct<events:{EVENTS},entities:{ENTITIES}>>"
@@ -79,13 +85,84 @@ def load_extractions(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("chunk_id", F.slice(empty("events", EVENTS), 1, 1).alias("events"), empty("entities", ENTITIES))
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """The numbers of the complete tables ``<kind>=<number>`` in a cache's folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}=*/_SUCCESS")
     found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
     return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found)
 
 
+def _log(spark: SparkSession, path: str, after: int | None = None) -> DataFrame | None:
+    """Rows (chunk_id, events, entities, bucket, number) of the base and the deltas after it, or of the deltas alone."""
+    bases, deltas = _numbers(spark, path, "base"), _numbers(spark, path, "delta")
+    parts = []
+    if bases and after is None:
+        # a bucket stands in the base that changed it last
+        held: dict[int, list[int]] = {}
+        for r in spark.read.parquet(f"{path}/base={bases[-1]}/manifest").collect():  # BUCKETS rows
+            held.setdefault(r["base"], []).append(r["bucket"])
+        parts += [spark.read.parquet(f"{path}/base={n}/rows").where(F.col("bucket").isin(own)).withColumn("number", F.lit(n)) for n, own in held.items()]
+    last = after if after is not None else bases[-1] if bases else -1
+    parts += [spark.read.parquet(f"{path}/delta={n}").withColumn("number", F.lit(n)) for n in deltas if n > last]
+    if not parts:
+        return None
+    columns = ["chunk_id", "events", "entities", F.col("bucket").cast("int"), "number"]
+    return reduce(DataFrame.unionByName, (p.select(*columns) for p in parts))
+
+
+def _append(rows: DataFrame, path: str) -> None:
+    """Write rows as the next delta, over what a failure left of it."""
+    spark = rows.sparkSession
+    number = max([-1, *_numbers(spark, path, "base"), *_numbers(spark, path, "delta")]) + 1
+    bucket = F.pmod(F.xxhash64("chunk_id"), F.lit(BUCKETS)).cast("int")
+    rows.select("chunk_id", "events", "entities", bucket.alias("bucket")).write.mode("overwrite").parquet(f"{path}/delta={number}")
+
+
 def save_extractions(cached: DataFrame, new: DataFrame, path: str) -> None:
-    """Write the merged cache as the next version in the folder; what new lacks stays, and what is read is not overwritten."""
-    versions = _versions(cached.sparkSession, path)
-    upsert(cached, new).write.parquet(f"{path}/version={versions[-1] + 1 if versions else 0}")
+    """Add new extractions to the cache in the folder: only they are written.  A folder that is none yet gets what is cached first."""
+    if _log(cached.sparkSession, path) is None:
+        _append(cached, path)
+    _append(new, path)
+
+
+def compact(spark: SparkSession, path: str) -> int:
+    """Merge the deltas into the base; only buckets that they touch are written anew.  The number of these buckets.
+
+    The old base and the deltas stay, so who reads meanwhile is not disturbed.
+    """
+    bases = _numbers(spark, path, "base")
+    last = bases[-1] if bases else -1
+    fresh = _log(spark, path, after=last)
+    if fresh is None:
+        return 0
+    number = max(_numbers(spark, path, "delta"))
+    touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # BUCKETS rows at most
+    whole = _log(spark, path).where(F.col("bucket").isin(touched))
+    value = F.struct("events", "entities")
+    merged = whole.groupBy("bucket", "chunk_id").agg(F.max_by(value, "number").alias("v")).select("chunk_id", "v.events", "v.entities", "bucket")
+    held = {r["bucket"]: r["base"] for r in spark.read.parquet(f"{path}/base={last}/manifest").collect()} if bases else {}
+    held |= dict.fromkeys(touched, number)
+    merged.repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{path}/base={number}/rows")
+    spark.createDataFrame(sorted(held.items()), "bucket int, base int").coalesce(1).write.parquet(f"{path}/base={number}/manifest")
+    # a base counts when its own mark is there
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/base={number}/_SUCCESS")
+    fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(fs_path, True).close()
+    return len(touched)
+
+
+def extract_into(chunks: DataFrame, path: str, extract_text: Callable[[str], str], batch: int = BATCH) -> DataFrame:
+    """Extractions of chunks from the cache in the folder, after the model has seen the chunks that it lacks.
+
+    The model's answers are added batch by batch, about ``batch`` chunks each, so a failure loses one
+    batch and the next call goes on from there.
+    """
+    spark = chunks.sparkSession
+    ids = chunks.select("chunk_id").distinct()
+    lacking = ids.join(load_extractions(spark, path).select("chunk_id"), "chunk_id", "left_anti")
+    todo = written(chunks.select("chunk_id", "text").join(lacking, "chunk_id", "left_semi").dropDuplicates(["chunk_id"]))
+    batches = -(-todo.count() // batch)
+    none = spark.createDataFrame([], EXTRACTION)
+    for b in range(batches):
+        own = todo.where(F.pmod(F.xxhash64("chunk_id", F.lit(7)), F.lit(batches)) == b)
+        _append(extract(own, none, extract_text), path)
+    return load_extractions(spark, path).join(ids, "chunk_id", "left_semi")
