@@ -178,6 +178,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: one of each component, every row without words or id."""
     decided = near_duplicates(docs).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("n_shingles") > 0).alias("__one"))
-    joined = docs.join(decided, docs["doc_id"] == decided["__id"], "left").where("__id is not null or doc_id is null")
+    joined = docs.join(decided, docs["doc_id"] == decided["__id"])
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return joined.withColumn("__no", number).where("__no = 1 or not coalesce(__one, false)").select(*docs.columns)
+    decided_on = joined.withColumn("__no", number).where("__no = 1 or not __one").select(*docs.columns)
+    return decided_on.unionByName(docs.where("doc_id is null"))  # which stay, and need not meet in one task

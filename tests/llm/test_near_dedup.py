@@ -137,3 +137,13 @@ def test_components(spark, edges):
         for i in union:
             top[i] = union
     assert got == {i: min(s) for i, s in top.items()}
+
+
+def test_rows_without_id_are_not_shuffled(spark):
+    """A third of the rows have no id: all stay, and no exchange of the plan deals them out by their id."""
+    rows = [(i if i % 3 else None, f"w{i} " * 9 if i % 3 else "same text of several words here", "x") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string").repartition(6)
+    kept = minhash.keep_one(docs)
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(rows, key=repr)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "isnull(doc_id" in plan and plan.index("Union") < plan.index("Window")
