@@ -79,7 +79,7 @@ def written(df: DataFrame) -> DataFrame:
 
 def warm(spark: SparkSession, name: str, make: Callable[[str], None], *sources: str) -> str:
     """The folder that make fills, once a session for one state of the files of sources; whoever asks again gets it."""
-    key = (spark.sparkContext.applicationId, f"{name} {state(spark, *sources)}")
+    key = (spark.sparkContext.applicationId, f"{name} {sources} {state(spark, *sources)}")
     if key not in _written:
         path = f"{work_dir(spark)}/warm-{uuid.uuid4().hex}"
         with freed(spark):
