@@ -147,3 +147,40 @@ def test_rows_without_id_are_not_shuffled(spark):
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted(rows, key=repr)
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and "isnull(doc_id" in plan and plan.index("Union") < plan.index("Window")
+
+
+def test_words_of_regular_patterns_have_different_hashes():
+    """Sums of powers modulo 2**64 give the two patterns below one hash for any odd base."""
+    flip = str.maketrans("ab", "ba")
+    pattern = "a"
+    while len(pattern) < 4096:
+        pattern += pattern.translate(flip)
+    for n in (1024, 2048, 4096):
+        x, y = pattern[:n], pattern[:n].translate(flip)
+        h, rows = Words().of(pa.array([x, y, x.upper(), "w " + y]))
+        assert h[0] == h[2] and h[1] == h[4] and h[0] != h[1]
+        assert rows.tolist() == [0, 1, 2, 3, 5]
+
+
+def test_word_hashes_are_equal_for_equal_words_only():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("ab\0é" if n % 2 else "ab") for _ in range(n)) for n in range(1, 60) for _ in range(40)]
+    words += ["a" * n for n in range(1, 60)] + ["abcdefgh12345678", "12345678abcdefgh", "\0" * 8, "\0" * 9]
+    rng.shuffle(words)
+    hashes, rows = Words(lower=False).of(pa.array([" ".join(words), None, "", *words[:50]]))
+    assert rows[1:4].tolist() == [len(words)] * 3
+    seen = {}
+    for w, h in zip(words + words[:50], hashes.tolist(), strict=True):
+        assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+    assert not len(Words().of(pa.array(["", None, " "]))[0])
+
+
+def test_documents_of_pattern_words_are_not_taken_for_copies(spark):
+    pattern = "a"
+    while len(pattern) < 1024:
+        pattern += pattern.translate(str.maketrans("ab", "ba"))
+    x, y = pattern, pattern.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, " ".join([x] * 3 + [y] * 4)), (2, " ".join([y] * 3 + [x] * 4)), (3, f"{x} {y}"), (4, f"{y} {x}"), (5, f"{x.upper()} {y}")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs).collect()}
+    assert got == expected([(r["doc_id"], r["text"]) for r in docs.collect()])
