@@ -34,6 +34,8 @@ WEIGHTS, SHARE, MOST = (3, 1, 2), 150, 2
 #: Documents that one fold rounds, about.
 BLOCK = 256
 SEED = 7
+#: An item of more than one in so many rows is hot.
+HOT = 1000
 #: Rows of one item that are listed at once.
 LISTED = 65_536
 
@@ -153,11 +155,20 @@ def mixed(docs: DataFrame) -> DataFrame:
     least.
     """
     names = docs.columns
-    prefixed = [f"__{k}" for k in keys()]
-    rows = docs.withColumns({f"__{k}": c if k != "z" else sized_text() for k, c in keys().items()})
-    items = decided(docs).select(*(F.col(k).alias(f"__{k}") for k in keys()), F.struct("whole", "s", "f", "source_size").alias("__x"))
-    joined = rows.join(items, prefixed)
-    number = F.row_number().over(Window.partitionBy(*prefixed).orderBy(F.xxhash64("text")))
-    joined = joined.withColumn("__i", number)
-    n = F.expr("if(__z = 0, if(__x.source_size = 0, 1, __x.whole), __x.whole + if(__i <= __x.s, 1, if(__i = __x.s + 1, __x.f, 0)))").cast("int")
+    key = F.struct(*((sized_text() if k == "z" else c).alias(k) for k, c in keys().items()))
+    rows = docs.withColumns({"__key": key, "__h": F.xxhash64("text")})
+    items = decided(docs).select(F.struct(*keys()).alias("__key"), "m", F.struct("whole", "s", "f", "source_size").alias("__x"))
+    total = items.agg(F.sum("m")).first()[0] or 0
+    hot = items.where((F.col("m") > 1) & (F.col("m") * HOT > total)).drop("m")  # fewer than HOT items
+    rows = rows.join(F.broadcast(hot.select("__key", F.lit(0).alias("__hot"))), "__key", "left")
+    # a hot item's rows are dealt to 256 parts by the upper bits of their hash, so parts are in order of the hash
+    rows = rows.withColumn("__p", F.coalesce(F.shiftright("__h", 56).cast("int") + F.col("__hot"), F.lit(0))).drop("__hot")
+    counts = rows.join(F.broadcast(hot.select("__key")), "__key", "left_semi").groupBy("__key", "__p").count()
+    before = Window.partitionBy("__key").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__key", "__p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__o"))
+    cold = items.drop("m").join(F.broadcast(hot.select("__key")), "__key", "left_anti").withColumns({"__p": F.lit(0), "__o": F.lit(0).cast("long")})
+    joined = rows.join(cold.unionByName(offsets.join(F.broadcast(hot), "__key")).hint("merge"), ["__key", "__p"])
+    number = F.row_number().over(Window.partitionBy("__key", "__p").orderBy("__h"))
+    joined = joined.withColumn("__i", number + F.col("__o"))
+    n = F.expr("if(__key.z = 0, if(__x.source_size = 0, 1, __x.whole), __x.whole + if(__i <= __x.s, 1, if(__i = __x.s + 1, __x.f, 0)))").cast("int")
     return joined.withColumn("__n", n).where("__n > 0").withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*names)

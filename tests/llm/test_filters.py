@@ -388,6 +388,26 @@ def test_mixed_takes_rows_alike_by_number(spark):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, mixing.mixed(df.repartition(5)).collect()), key=str)
 
 
+def test_mixed_spreads_rows_of_one_item(spark):
+    """10**5 rows without id and of one size meet in no single task, and the first by the text's hash are taken."""
+    n = 100_000
+    df = spark.range(n + 2000).selectExpr("if(id < 100000, null, id) doc_id", "if(id < 100000, 's', 't') source", "concat('w', id, ' w') text")
+    out = mixing.mixed(df)
+    each = mixing.decided(df).where("u = 1").first()
+    assert each["m"] == n
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = [r["count"] for r in out.where("doc_id is null").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) >= 4 and max(parts) < 0.4 * sum(parts)
+    more = each["s"] + each["f"]
+    assert sum(parts) == n * each["whole"] + more
+    taken = out.where("doc_id is null").groupBy("text").count().where(f"count > {each['whole']}").select("text")
+    first = df.where("doc_id is null").orderBy(F.xxhash64("text")).limit(more).select("text")
+    assert taken.count() == more and taken.exceptAll(first).isEmpty()
+
+
 def test_mixed_rows(spark):
     df = spark.createDataFrame([(i, f"s{i % 3}", "w " * (i % 7)) for i in range(90)], "doc_id long, source string, text string")
     out, mix = mixing.mixed(df), mixing.mix(df)
