@@ -8,6 +8,7 @@ even line a point of its clause.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from datetime import date
@@ -815,6 +816,37 @@ def vector_store(spark, sf_dir):
     return stored.select("chunk_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
 
 
+@query(f"with {cosine_sql(K)} select id, rank::int as rank, round(score, 6) as score from cos")
+def stored_index(spark, sf_dir):
+    """The nearest to vector 0 in an index that is stored and then found again by its ids."""
+    rows = vectors(spark, sf_dir).withColumnRenamed("id", "chunk_id")
+    path = f"{storage.work_dir(spark)}/index-{uuid.uuid4().hex}"
+    stores.load_or_build_index(rows, path)
+    index = stores.load_or_build_index(rows.withColumn("embedding", F.raise_error(F.lit("built twice")).cast("array<float>")), path)
+    return dense.inner_product_top_k(index.withColumnRenamed("chunk_id", "id"), query_vector(spark, sf_dir), K).select("id", "rank", F.round("score", 6).alias("score"))
+
+
+def measured(text: str | None) -> str:
+    """A stand-in for a model: the text's length as an event, its first characters as an entity."""
+    return json.dumps({"events": [{"summary": str(len(text or ""))}, {"summary": "more"}], "entities": [{"name": (text or "")[:12], "aliases": ["a", ""]}]})
+
+
+@query("""select 'd' || doc_id as chunk_id, 'event_0' as event_id, case when doc_id % 4 = 0 then 'revised' else length(coalesce(text, ''))::varchar end as summary,
+    case when doc_id % 4 = 0 then '' else substr(coalesce(text, ''), 1, 12) end as name from documents""")
+def extraction_cache(spark, sf_dir):
+    """Extractions of all documents by batches, some revised, merged, and loaded without the model."""
+    chunks = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), "doc_id", "text")
+    path = f"{storage.work_dir(spark)}/extractions-{uuid.uuid4().hex}"
+    stores.extract_into(chunks, path, measured, 1 << 20)
+    stores.compact(spark, path)
+    revised = chunks.where("doc_id % 4 = 0").select("chunk_id", F.lit('{"events": [{"summary": "revised"}], "entities": []}').alias("content"))
+    stores.save_extractions(stores.load_extractions(spark, path), extract.parse(revised).drop("error"), path)
+    stores.compact(spark, path)
+    first = F.try_element_at("events", F.lit(1))
+    rows = stores.load_extractions(spark, path)
+    return rows.select("chunk_id", first["event_id"].alias("event_id"), first["summary"].alias("summary"), F.coalesce(F.try_element_at("entities", F.lit(1))["name"], F.lit("")).alias("name"))
+
+
 @query(f"""with {LINES}, hits as (
     select document_id as query_id, chunk_id, article as document_id, row_number() over (partition by document_id order by price desc, chunk_id) as rank from lines where price is not null
 ), top as (select * from hits where rank <= 5), gold as (

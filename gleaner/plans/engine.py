@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import dense, drafts, entities, evidence, expand, extract, fusion, lexical, numbering, orgs
+from gleaner.operators.chat import UnavailableError
 from gleaner.sources import corpus as dumps
 from gleaner.sources import stores
 from gleaner.storage import work_dir, written
@@ -24,10 +25,6 @@ NO_EVIDENCE = "Không tìm thấy bằng chứng để trả lời."
 MIN_SIM = 0.6
 
 
-class UnavailableError(RuntimeError):
-    """The corpus, or a model that a query needs, is not there."""
-
-
 def status_of(error: Exception | None) -> int:
     """The HTTP status that a service gives for the outcome of a query."""
     if error is None:
