@@ -1,24 +1,29 @@
 """Retrieval for many queries at once: BM25 and cosine lists by query_id, fused and reranked.
 
 The corpus is packed into blocks of bounded size, postings of some thousand rows by term or a matrix of
-vectors, each a row of a written table.  Queries are packed into chunks of bounded size.
+vectors, each a row of a written table.  Texts are packed where they are read, without a shuffle.
+Queries are packed into chunks of bounded size, and SENT of them are broadcast in a pass over the blocks.
 A task takes blocks one after another with the chunks, scores a chunk's queries against a
 block by array operations, and keeps each query's k best so far; only these leave the task, and a
-window merges the tasks' lists.  No pair of a query and a row is ever a row of a table.
+window merges the tasks' lists, whose number a query is that of tasks, not of blocks.  No pair of a
+query and a row is ever a row of a table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import scores
 from gleaner.functions.text import tokens
+from gleaner.storage import written
 
 from . import lexical
 from .fusion import K_RRF, pool_size
@@ -27,8 +32,10 @@ from .neighbours import matrix, unit
 
 #: Rows of a block; queries of a chunk; terms of a chunk's queries, about, unless one query has more.
 ROWS, QUERIES, TERMS = 4096, 1024, 65_536
-#: Chunks that are broadcast to all tasks, at most; more are dealt out with the blocks.
-SENT = 16
+#: Words of a block of texts, about, unless one text has more.
+WORDS = 4_000_000
+#: Chunks that are broadcast to all tasks in a pass over the blocks, at most; tasks of a pass by core.
+SENT, TASKS = 16, 2
 #: What a BM25 score is counted in: scores of many terms would tie or not by the order of their summation.
 UNIT = 1e-9
 FOUND = "query_id {kind}, id {id}, seq long, score double"
@@ -41,8 +48,67 @@ def _blocks(rows: int) -> int:
     return max(1, -(-rows // ROWS))
 
 
+@dataclass
+class Packed:
+    """Blocks of texts, with the statistics that they add up to: idf (term, df, idf), totals (n, avgdl: one row)."""
+
+    blocks: DataFrame
+    idf: DataFrame
+    totals: DataFrame
+
+
+def save(tokens: DataFrame, folder: str) -> Packed:
+    """Rows (id, seq, t) as a folder of blocks; the words are read once, and df, n and lengths are those of the blocks."""
+    spark = tokens.sparkSession
+    packed_tokens(tokens).write.parquet(f"{folder}/blocks")
+    blocks = spark.read.parquet(f"{folder}/blocks")
+    size = F.size("terms")
+    ends = F.arrays_zip(F.col("terms").alias("term"), F.slice("starts", F.lit(1), size).alias("a"), F.slice("starts", F.lit(2), size).alias("b"))
+    held = blocks.where(size > 0).select(F.explode(ends).alias("e")).select("e.term", (F.col("e.b") - F.col("e.a")).cast("long").alias("n"))
+    held.groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{folder}/df")
+    n, words = F.size("ids"), F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)
+    blocks.select(n.alias("n"), words.alias("words")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("words") / F.sum("n")).alias("avgdl")).write.parquet(f"{folder}/totals")
+    return load(spark, folder)
+
+
+def load(spark: SparkSession, folder: str) -> Packed:
+    blocks, df, totals = (spark.read.parquet(f"{folder}/{name}") for name in ("blocks", "df", "totals"))
+    raw = df.crossJoin(F.broadcast(totals)).select("term", "df", scores.raw_idf(F.col("n"), F.col("df")).alias("raw"))  # totals is one row
+    return Packed(blocks.withColumn("mean", F.lit(totals.first()["avgdl"]).cast("double")), scores.smoothed(raw), totals)
+
+
+def packed_tokens(rows: DataFrame) -> DataFrame:
+    """Blocks (ids, seqs, sizes, terms, starts, docs, tfs) of rows (id, seq, t), packed where they are read."""
+    kind = dict(rows.dtypes)["id"]
+    names = ["ids", "seqs", "sizes", "terms", "starts", "docs", "tfs"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = lambda values, kind: pa.array([values], pa.list_(kind))
+        for batch in batches:
+            ends = np.cumsum(pc.list_value_length(batch.column("t")).to_numpy(zero_copy_only=False).astype(np.int64))
+            a = 0
+            while a < batch.num_rows:
+                b = min(a + ROWS, max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + WORDS, "right"))), batch.num_rows)
+                part = batch.slice(a, b - a).take(pa.array(np.argsort(batch.column("seq").slice(a, b - a).to_numpy(), kind="stable")))
+                sizes = pc.list_value_length(part.column("t")).to_numpy(zero_copy_only=False).astype(np.int64)
+                coded = part.column("t").flatten().dictionary_encode()
+                held, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(sizes) + np.repeat(np.arange(len(sizes)), sizes), return_counts=True)
+                starts = np.searchsorted(held, np.arange(len(coded.dictionary) + 1) * len(sizes))
+                ids = part.column("id")
+                values = [(ids, ids.type), (part.column("seq"), pa.int64()), (sizes.astype(np.int32), pa.int32()), (coded.dictionary, pa.string()), (starts.astype(np.int32), pa.int32()), ((held % len(sizes)).astype(np.int32), pa.int32()), (tf.astype(np.int32), pa.int32())]
+                yield pa.RecordBatch.from_arrays([one(*v) for v in values], names)
+                a = b
+
+    return rows.select("id", F.col("seq").cast("long"), "t").mapInArrow(pack, f"ids array<{kind}>, seqs array<long>, sizes array<int>, terms array<string>, starts array<int>, docs array<int>, tfs array<int>")
+
+
 def packed_postings(index: lexical.LexicalIndex) -> DataFrame:
-    """Blocks (block, mean, ids, seqs, sizes, terms, starts, docs, tfs) of an index: of each term the rows that hold it, and how often."""
+    """Blocks (mean, ids, seqs, sizes, terms, starts, docs, tfs) of an index: of each term the rows that hold it, and how often.
+
+    They come from the texts where the index has them, else from stored postings, which are shuffled.
+    """
+    if index.tokens is not None:
+        return packed_tokens(index.tokens).withColumn("mean", F.lit(index.totals.first()["avgdl"]).cast("double"))
     kind = dict(index.lengths.dtypes)["id"]
     blocks = _blocks(index.rows)
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
@@ -78,7 +144,7 @@ def packed_vectors(vectors: DataFrame) -> DataFrame:
     return rows.select(block, "id", F.col("seq").cast("long"), "embedding").groupBy("block").applyInArrow(pack, f"block long, ids array<{kind}>, seqs array<long>, x binary")
 
 
-def lexical_chunks(index: lexical.LexicalIndex, queries: DataFrame) -> tuple[DataFrame, int]:
+def lexical_chunks(index: lexical.LexicalIndex | Packed, queries: DataFrame) -> tuple[DataFrame, int]:
     """Chunks (chunk, qs, terms, weights, starts) of queries (query_id, text) that have a word, and how many there are."""
     kind = dict(queries.dtypes)["query_id"]
     words = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
@@ -181,25 +247,19 @@ def _met(blocks: DataFrame, chunks: DataFrame, n: int, k: int, score: Callable[[
             for i in range(batch.num_rows):
                 row = lambda name, i=i, batch=batch: batch.column(name)[i]
                 chunk = row("chunk").as_py()
-                if chunk not in kept:
-                    if len(kept) == SENT:  # chunks come one after another
-                        for best in kept.values():
-                            yield from best.batches()
-                        kept = {}
+                if chunk not in kept:  # SENT in a pass, at most
                     kept[chunk] = Best(k, row("qs").values)
                 score(row, kept[chunk])
         for best in kept.values():
             yield from best.batches()
 
-    if n <= SENT:  # so the chunks' size is bounded
-        pairs = blocks.crossJoin(F.broadcast(chunks))
-    else:
-        # each chunk meets each group of blocks in a partition of its own
-        groups = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        left = blocks.withColumns({"group": F.pmod(F.xxhash64("block"), F.lit(groups)), "chunk": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))})
-        right = chunks.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-        pairs = left.join(right.hint("merge"), ["chunk", "group"])
-    return pairs.mapInArrow(run, FOUND.format(kind=kinds[0], id=kinds[1]))
+    spark = blocks.sparkSession
+    few = blocks.coalesce(TASKS * spark.sparkContext.defaultParallelism)
+    sent = written(chunks) if n > SENT else chunks
+    passes = [sent.where(F.col("chunk").between(a, a + SENT - 1)) for a in range(0, max(n, 1), SENT)]
+    # SENT chunks have a bounded size
+    found = [few.crossJoin(F.broadcast(own)).mapInArrow(run, FOUND.format(kind=kinds[0], id=kinds[1])) for own in passes]
+    return reduce(DataFrame.unionAll, found)
 
 
 def _ranked(rows: DataFrame, k: int) -> DataFrame:
@@ -207,17 +267,20 @@ def _ranked(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def lexical_top_k(blocks: DataFrame, index: lexical.LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
+def _id_kind(blocks: DataFrame) -> str:
+    return dict(blocks.dtypes)["ids"].removeprefix("array<").removesuffix(">")
+
+
+def lexical_top_k(blocks: DataFrame, index: lexical.LexicalIndex | Packed, queries: DataFrame, k: int) -> DataFrame:
     """The k best rows for each query (query_id, text): (query_id, id, seq, score, rank), as ``lexical.top_k`` finds them, in whole UNITs."""
     chunks, n = lexical_chunks(index, queries)
-    return _ranked(_met(blocks, chunks, n, max(k, 1), _postings, (dict(queries.dtypes)["query_id"], dict(index.lengths.dtypes)["id"])), k)
+    return _ranked(_met(blocks, chunks, n, max(k, 1), _postings, (dict(queries.dtypes)["query_id"], _id_kind(blocks))), k)
 
 
 def cosine_top_k(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k rows nearest to each query (query_id, vector): (query_id, id, seq, score, rank), as ``dense.top_k`` finds them."""
     chunks, n = vector_chunks(queries)
-    kind = dict(blocks.dtypes)["ids"].removeprefix("array<").removesuffix(">")
-    return _ranked(_met(blocks, chunks, n, max(k, 1), _vectors, (dict(queries.dtypes)["query_id"], kind)), k)
+    return _ranked(_met(blocks, chunks, n, max(k, 1), _vectors, (dict(queries.dtypes)["query_id"], _id_kind(blocks))), k)
 
 
 def fuse(a: DataFrame, b: DataFrame, k_rrf: int = K_RRF) -> DataFrame:
@@ -228,7 +291,7 @@ def fuse(a: DataFrame, b: DataFrame, k_rrf: int = K_RRF) -> DataFrame:
     return both.select("query_id", "id", F.coalesce("s1", "s2").alias("seq"), "lexical_rank", "dense_rank", (scores.rrf(F.col("lexical_rank"), k_rrf) + scores.rrf(F.col("dense_rank"), k_rrf)).alias("score"))
 
 
-def hybrid(postings: DataFrame, index: lexical.LexicalIndex, vectors: DataFrame, queries: DataFrame, k: int = 5, candidate_pool: int | None = None) -> DataFrame:
+def hybrid(postings: DataFrame, index: lexical.LexicalIndex | Packed, vectors: DataFrame, queries: DataFrame, k: int = 5, candidate_pool: int | None = None) -> DataFrame:
     """For each query (query_id, text, vector) its k best by both lists, as ``fusion.hybrid`` finds them.
 
     A query without a word, or without a vector, has the other list alone.

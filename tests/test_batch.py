@@ -79,3 +79,23 @@ def test_a_thousand_queries_equal_sql(spark):
         r as (select a.query_id, d.doc_id, row_number() over (partition by a.query_id order by round(coalesce(s, 0), 12) desc, d.doc_id) as rank from (select distinct query_id from w) a cross join documents d left join s on s.query_id = a.query_id and s.doc_id = d.doc_id)
         select query_id, doc_id, rank from r where rank <= 5"""
     assert sorted(map(tuple, got)) == sorted(duck.execute(sql).fetchall()) and len(got) > 4500
+
+
+def test_texts_are_packed_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """Blocks are written where texts are read, their statistics are those of the index, and chunks never multiply the blocks."""
+    monkeypatch.setattr(batch, "WORDS", 30)
+    rows = spark.createDataFrame([(i, i, " ".join(["a"] * (i % 3) + [f"w{i % 7}", "é", "a"][: i % 4])) for i in range(60)], "chunk_id long, seq long, text string")
+    index = lexical.build(rows)
+    blocks = batch.packed_tokens(index.tokens)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and blocks.count() > 3 and blocks.agg(F.max(F.size("ids"))).first()[0] < 40
+    held = batch.save(index.tokens, f"file://{tmp_path}/packed")
+    assert sorted((r["term"], r["df"], round(r["idf"], 12)) for r in held.idf.collect()) == sorted((r["term"], r["df"], round(r["idf"], 12)) for r in index.idf.collect())
+    assert held.totals.first() == index.totals.first()
+    monkeypatch.setattr(batch, "SENT", 1)
+    monkeypatch.setattr(batch, "QUERIES", 2)
+    asked = spark.createDataFrame([(i, f"w{i} a") for i in range(7)], "query_id long, text string")
+    found = batch.lexical_top_k(held.blocks, held, asked, 5)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    got = [(r["query_id"], r["rank"], r["id"]) for r in found.collect()]
+    assert sorted(got) == [(q, r["rank"], r["id"]) for q in range(7) for r in lexical.top_k(index, f"w{q} a", 5).orderBy("rank").collect()]
