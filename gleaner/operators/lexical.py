@@ -2,7 +2,8 @@
 
 A stored index is written in segments: rows are dealt out by block, about DOCS rows of like
 length, and each task writes the postings of its blocks in order of term, so only texts are
-shuffled and a query reads a few pages of each segment.  A large index also keeps the
+shuffled and a query reads a few pages of each segment.  The number of segments follows the
+words, so a task's memory does not grow with the table.  A large index also keeps the
 greatest impact of each term in each block.  A query's terms bound the scores of every block; the
 best FIRST blocks give a k-th score, and only postings of blocks that can reach it are read,
 as the blocks go into the scan as ranges.
@@ -32,6 +33,8 @@ DOCS, FIRST, RANGES = 256, 64, 64
 BAND, RATIO = 32, 1.1
 #: Blocks that come to the driver, at most; of more only each band's first and last do.
 LISTED = 2000
+#: Words of a segment, about: what a task counts and sorts.
+WORDS = 1_000_000
 #: Postings of a page, the least that a scan can skip.
 PAGE_ROWS = 2048
 #: Slack of a bound against the order of summation.
@@ -83,11 +86,13 @@ def save(index: LexicalIndex, folder: str) -> LexicalIndex:
     spark = index.postings.sparkSession
     index.lengths.write.parquet(f"{folder}/lengths")
     lengths = spark.read.parquet(f"{folder}/lengths")
-    bands = {r["band"]: r["parts"] for r in lengths.groupBy(_band().alias("band")).agg(F.ceil(F.count("*") / DOCS).alias("parts")).collect()}  # 2 ** 31 lengths have 226 bands
+    counted = lengths.groupBy(_band().alias("band")).agg(F.ceil(F.count("*") / DOCS).alias("parts"), F.sum("dl").alias("words")).collect()  # 2 ** 31 lengths have 226 bands
+    bands, words = {r["band"]: r["parts"] for r in counted}, sum(r["words"] or 0 for r in counted)
     parts = F.create_map(*(F.lit(x) for pair in bands.items() for x in pair))[_band()] if bands else F.lit(1)
     block = F.shiftleft(_band().cast("long"), BAND) + F.pmod(F.xxhash64("id"), parts)
+    segments = max(spark.sparkContext.defaultParallelism, -(-words // WORDS))  # a number, so they are not joined by their compressed size
     # words hold no spaces; as one string they take a third of an array's bytes in the shuffle
-    dealt = index.tokens.withColumn("dl", F.size("t")).select(block.alias("block"), "id", "seq", "dl", F.array_join("t", " ").alias("words")).repartition("block")
+    dealt = index.tokens.withColumn("dl", F.size("t")).select(block.alias("block"), "id", "seq", "dl", F.array_join("t", " ").alias("words")).repartition(segments, "block")
     counted = dealt.where("dl > 0").select("block", "id", "seq", "dl", F.explode(F.split("words", " ")).alias("term")).groupBy("term", "block", "id", "seq", "dl").agg(F.count("*").alias("tf"))
     counted.sortWithinPartitions("term", "block", "seq").write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{folder}/postings")
     postings = spark.read.parquet(f"{folder}/postings")
@@ -98,7 +103,7 @@ def save(index: LexicalIndex, folder: str) -> LexicalIndex:
         return load(spark, folder)  # too few blocks to leave any out
     top = F.max(scores.bm25(F.lit(1.0), F.col("tf"), F.col("dl"), F.col("avgdl")))
     maxima = postings.crossJoin(F.broadcast(spark.read.parquet(f"{folder}/totals"))).groupBy("term", "block").agg(top.alias("top"))  # totals is one row
-    maxima.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{folder}/maxima")
+    maxima.sortWithinPartitions("term", "block").write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{folder}/maxima")
     return load(spark, folder)
 
 

@@ -56,3 +56,13 @@ def test_ranges():
     many = list(range(0, 1000, 2)) + [5000]
     assert len(lexical.ranges(many)) <= lexical.RANGES and lexical.ranges(many)[-1] == (5000, 5000)
     assert all(any(a <= b <= c for a, c in lexical.ranges(many)) for b in many)
+
+
+def test_segments_follow_the_words(spark, tmp_path, monkeypatch):
+    """A segment's words are bounded: their number grows with the table, whatever the setting of shuffles."""
+    monkeypatch.setattr(lexical, "WORDS", 100)
+    monkeypatch.setattr(lexical, "DOCS", 2)
+    rows = spark.createDataFrame([(i, i, f"a b{i % 5} c{i} d e") for i in range(400)], "chunk_id long, seq long, text string")
+    stored = lexical.save(lexical.build(rows), f"file://{tmp_path}/bm25")
+    sizes = [r["count"] for r in stored.postings.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 400
