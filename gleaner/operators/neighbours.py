@@ -6,9 +6,9 @@ cell.  Pivots are taken farthest first from a sample, so every cluster tends to
 A cell is packed once into a written table, with each block's centre and the angle that covers it.
 
 Each row first meets its own cell; the similarity of its n-th best there is its floor.
-Then it asks only those cells that have a block whose angles allow the floor, and in them
-meets only such blocks.  A row travels once to a region, once to each cell it asks; cells
-meet their askers in portions of bounded size.
+Pairs of cells are told apart by the angles between their blocks and by their rows' floors; in a pair that is left
+a row meets only blocks whose angles allow its floor.  Pairs are made where the cells' table is
+read, a task keeps the best of a cell's rows over all cells it holds, and only these are shuffled.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ from gleaner.storage import written
 
 #: Rows of a cell and of a block in it, about; regions, and cells of a region, at most about; sampled rows a pivot.
 CELL, BLOCK, PIVOTS, SAMPLED = 4096, 128, 256, 16
-#: Rows that meet a cell or a region's sketches at once, about; rows multiplied at once.
-PORTION, STRIP = 16_384, 256
+#: Rows that are dealt to cells at once, a fourth of; rows multiplied at once; cells that a task holds, about.
+PORTION, STRIP, HELD = 16_384, 256, 32
 #: Slack of bounds and of the least similarity against rounding.
 SLACK = 1e-9
+#: Slack of an angle between blocks against rounding.
+ANGLE = 1e-7
 
 
 def matrix(rows: pa.RecordBatch | pa.Table, column: str = "embedding") -> np.ndarray:
@@ -245,90 +247,86 @@ def semantic_edges(vectors: DataFrame, top_n: int = 5, min_sim: float = 0.6, max
 
         return rows.repartition(1).mapInArrow(whole, result)
 
-    packed, pivots = cells(rows, n)
-    edge = f"array<struct<dst:{kind},seq:bigint,sim:double>>"
+    packed, _ = cells(rows, n)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of each cell with their floors and the best of their own cell."""
+        """Each cell with the floors of its rows, the least floor of each block, and the best that its rows have in it."""
         for batch in batches:
             for i in range(batch.num_rows):
                 c = _opened(lambda name, i=i, batch=batch: batch.column(name)[i])
                 row, place, sims = c.best(c.ids, c.hashes, c.x, np.full(len(c.x), min_sim), top_n, max_sim)
                 floor = c.floors(row, sims, len(c.x), top_n, min_sim)
-                found = pa.StructArray.from_arrays([c.ids.take(pa.array(place)), pa.array(c.seqs[place]), pa.array(sims)], ["dst", "seq", "sim"])
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(c.x) + 1)), pa.int32()), found)
-                size = c.x.shape[1] * 8
-                data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(c.x), [None, pa.py_buffer(np.ascontiguousarray(c.x))]).cast(pa.binary())
-                cell = pa.array(np.full(len(c.x), batch.column("cell")[i].as_py()))
-                yield pa.RecordBatch.from_arrays([cell, c.ids, pa.array(c.hashes), data, pa.array(floor), lists], ["home", "src", "h", "x", "floor", "found"])
-
-    asking = written(packed.mapInArrow(own, f"home long, src {kind}, h long, x binary, floor double, found {edge}"))
-    asked = asks(packed, asking, pivots, n, kind)
-    portions = asked.groupBy("cell").agg(F.ceil(F.count("*") / PORTION).alias("portions"))
-    targets = packed.join(portions, "cell").withColumn("portion", F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)))
-    askers = asked.join(portions, "cell").withColumn("portion", F.pmod(F.xxhash64("h", F.lit(3)), F.col("portions")))
-
-    def meet(askers: pa.Table, target: pa.Table) -> pa.Table:
-        names = ["src", "dst", "seq", "sim"]
-        if not askers.num_rows or not target.num_rows:
-            return pa.table([pa.array([], askers.schema.field("src").type)] * 2 + [pa.array([], pa.int64()), pa.array([], pa.float64())], names)
-        c = _opened(lambda name: target[name].combine_chunks()[0])
-        ids = askers["src"].combine_chunks()
-        x = np.frombuffer(b"".join(askers["x"].to_pylist())).reshape(len(ids), -1)
-        row, place, sims = c.best(ids, askers["h"].to_numpy(), x, askers["floor"].to_numpy(), top_n, max_sim)
-        return pa.table([ids.take(pa.array(row)), c.ids.take(pa.array(place)), pa.array(c.seqs[place]), pa.array(sims)], names)
-
-    keys = ["cell", "portion"]
-    met = askers.select(*keys, "src", "h", "x", "floor").groupBy(*keys).cogroup(targets.drop("portions", "region").groupBy(*keys)).applyInArrow(meet, f"src {kind}, dst {kind}, seq long, sim double")
-    near = asking.select("src", F.explode("found").alias("e")).select("src", "e.dst", "e.seq", "e.sim").unionByName(met)
+                least = np.minimum.reduceat(floor, c.starts[:-1])
+                same = [batch.column(name).slice(i, 1) for name in ("cell", "ids", "hashes", "unit", "centres", "wides")]
+                yield pa.RecordBatch.from_arrays([*same, _one(floor, pa.float64()), _one(least, pa.float64()), _one(c.ids.take(pa.array(row)), c.ids.type), _one(c.ids.take(pa.array(place)), c.ids.type), _one(c.seqs[place], pa.int64()), _one(sims, pa.float64())], ["home", "srcs", "own", "x", "middles", "spans", "floors", "least", "src", "dst", "seq", "sim"])
+
+    asking = written(packed.mapInArrow(own, f"home long, srcs array<{kind}>, own array<long>, x binary, middles binary, spans array<double>, floors array<double>, least array<double>, src array<{kind}>, dst array<{kind}>, seq array<long>, sim array<double>"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best that the rows of a cell have in the cells that follow it in the task's pairs; a cell's pairs follow each other."""
+        now, held = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pick = lambda name, i=i, batch=batch: batch.column(name)[i]
+                if (home := pick("home").as_py()) != now:
+                    if held is not None:
+                        yield held.rows()
+                    now, held = home, Askers(pick("srcs").values, pick("own").values.to_numpy(), pick("x").as_buffer(), pick("floors").values.to_numpy().copy())
+                held.ask(_opened(pick), top_n, max_sim)
+        if held is not None:
+            yield held.rows()
+
+    need = -(-n // CELL)
+    to = asks(asking).groupBy("home").agg(F.collect_list("cell").alias("to"))
+    # pairs are made where a cell's file is read again, so neither side is shuffled; a task holds HELD cells
+    left = asking.select("home", "srcs", "own", "x", "floors").join(F.broadcast(to), "home")  # a row a cell, with numbers of cells
+    right = packed.select("cell", "ids", "hashes", "seqs", "unit", "starts", "centres", "wides").coalesce(-(-need // HELD))
+    pairs = left.hint("shuffle_replicate_nl").join(right, F.array_contains("to", F.col("cell"))).drop("to")
+    met = pairs.mapInArrow(meet, f"src {kind}, dst {kind}, seq long, sim double")
+    near = asking.select(F.explode(F.arrays_zip("src", "dst", "seq", "sim")).alias("e")).select("e.src", "e.dst", "e.seq", "e.sim").unionByName(met)
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "seq"))
     return near.withColumn("rank", rank).where(F.col("rank") <= top_n).select("src", "dst", "sim", "rank")
 
 
-def asks(packed: DataFrame, asking: DataFrame, pivots: np.ndarray | None, n: int, kind: str) -> DataFrame:
-    """Rows (cell, src, h, x, floor), written: the cells beside its own in which a row can still better its list."""
-    sketch = packed.select("region", "cell", "centres", "wides")
-    fields = f"src {kind}, h long, x binary, floor double"
-    rows = asking.select("home", "src", "h", "x", "floor")
-    if pivots is None:
-        routed, portions = rows.withColumn("region", F.lit(0).cast("long")), {0: -(-n // PORTION)}
-    else:
+class Askers:
+    """The rows of a cell and the best that they have met in others so far."""
 
-        def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for region, (_, centres, wides) in zip(batch.column("region").to_pylist(), _sketches(batch), strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array([region]), pa.array([float((angles(centres, pivots[region : region + 1])[:, 0] + wides).max())])], ["region", "wide"])
+    def __init__(self, ids: pa.Array, hashes: np.ndarray, x: pa.Buffer, floor: np.ndarray):
+        self.ids, self.hashes, self.floor = ids, hashes, floor
+        self.x = np.frombuffer(x).reshape(len(ids), -1)
+        self.row, self.seq, self.sim, self.dst = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), ids.slice(0, 0)
 
-        wide = np.full(len(pivots), -np.inf)
-        for r in sketch.mapInArrow(reach, "region long, wide double").groupBy("region").agg(F.max("wide").alias("wide")).collect():  # PIVOTS rows at most
-            wide[r["region"]] = r["wide"]
-        there = np.flatnonzero(wide > -np.inf)
+    def ask(self, c: Cell, top_n: int, max_sim: float) -> None:
+        some = np.flatnonzero(may(self.x, self.floor, c.centres, c.wides).any(1))
+        if not len(some):
+            return
+        row, place, sims = c.best(self.ids.take(pa.array(some)), self.hashes[some], self.x[some], self.floor[some], top_n, max_sim)
+        row, seq, sim = np.append(self.row, some[row]), np.append(self.seq, c.seqs[place]), np.append(self.sim, sims)
+        order = np.lexsort((seq, -sim, row))
+        order = order[np.arange(len(row)) - np.searchsorted(row[order], row[order]) < top_n]
+        self.dst = pa.concat_arrays([self.dst, c.ids.take(pa.array(place))]).take(pa.array(order))
+        self.row, self.seq, self.sim = row[order], seq[order], sim[order]
+        full = np.flatnonzero(np.bincount(self.row, minlength=len(self.x)) >= top_n)
+        self.floor[full] = np.maximum(self.floor[full], self.sim[np.searchsorted(self.row, full, "right") - 1])
 
-        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    x = np.frombuffer(b"".join(batch.column("x").to_pylist())).reshape(batch.num_rows, -1)
-                    r, c = np.nonzero(may(x, batch.column("floor").to_numpy(), pivots[there], wide[there]))
-                    yield batch.take(pa.array(r)).append_column("region", pa.array(there[c]))
-
-        routed = written(rows.mapInArrow(route, f"home long, {fields}, region long"))
-        portions = {r["region"]: -(-r["count"] // PORTION) for r in routed.groupBy("region").count().collect()}  # PIVOTS rows at most
-    split = _looked_up(portions)
-    salted = routed.withColumn("salt", F.pmod(F.xxhash64("h", F.lit(4)), split))
-    spread = sketch.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), split - 1)))
-
-    def narrow(rows: pa.Table, sketches: pa.Table) -> pa.Table:
-        names = ["cell", "src", "h", "x", "floor"]
-        if not rows.num_rows or not sketches.num_rows:
-            return pa.table([pa.array([], pa.int64()), *(rows[c].slice(0, 0) for c in names[1:])], names)
-        x, floor, home = np.frombuffer(b"".join(rows["x"].to_pylist())).reshape(rows.num_rows, -1), rows["floor"].to_numpy(), rows["home"].to_numpy()
-        take, cell = [], []
-        for number, centres, wides in _sketches(sketches.combine_chunks()):
-            hit = np.flatnonzero(may(x, floor, centres, wides).any(1) & (home != number))
-            take.append(hit)
-            cell.append(np.full(len(hit), number))
-        found = rows.take(pa.array(np.concatenate(take)))
-        return pa.table([pa.array(np.concatenate(cell)), *(found[c] for c in names[1:])], names)
-
-    keys = ["region", "salt"]
-    return written(salted.select(*keys, "home", "src", "h", "x", "floor").groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(narrow, f"cell long, {fields}"))
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([self.ids.take(pa.array(self.row)), self.dst, pa.array(self.seq), pa.array(self.sim)], ["src", "dst", "seq", "sim"])
+
+
+def asks(asking: DataFrame) -> DataFrame:
+    """Rows (home, cell), written: cells beside its own in which a row of home can better its list, by the blocks of both."""
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i in range(batch.num_rows):
+                pick = lambda name, i=i, batch=batch: batch.column(name)[i]
+                a, b, least = pick("spans").values.to_numpy(), pick("wides").values.to_numpy(), pick("least").values.to_numpy()
+                x, y = (np.frombuffer(pick(name).as_buffer()).reshape(k, -1) for name, k in (("middles", len(a)), ("centres", len(b))))
+                gap = np.maximum(angles(x, y) - a[:, None] - b[None] - ANGLE, 0)
+                keep.append(bool((np.cos(np.minimum(gap, np.pi)) >= least[:, None] - SLACK).any()))
+            yield batch.select(["home", "cell"]).filter(pa.array(keep, pa.bool_()))
+
+    left = asking.select("home", "middles", "spans", "least")
+    right = asking.select(F.col("home").alias("cell"), F.col("middles").alias("centres"), F.col("spans").alias("wides"))
+    return written(left.hint("shuffle_replicate_nl").join(right, F.col("home") != F.col("cell")).mapInArrow(reach, "home long, cell long"))

@@ -75,3 +75,14 @@ def test_few_blocks_meet():
         floor = c.floors(row, sims, len(some), 5, 0.6)
         met += sum(int(neighbours.may(c.x[some], floor if d is not c else np.full(len(some), 0.6), d.centres, d.wides).sum()) for d in cells) / len(some) * len(c.x)
     assert met < 0.05 * blocks * len(x)
+
+
+def test_pairs_of_cells_are_not_shuffled(spark, monkeypatch):
+    """Without clusters every cell asks every other; what leaves the tasks are lists, not rows for each cell asked."""
+    for name, value in (("CELL", 20), ("BLOCK", 5), ("HELD", 4)):
+        monkeypatch.setattr(neighbours, name, value)
+    rows = [(f"v{i}", i, v) for i, v in enumerate(np.random.default_rng(2).normal(size=(160, 16)).tolist())]
+    found = dense.semantic_edges(spark.createDataFrame(rows, SCHEMA), 3, 0.0, 0.99)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan and "SortMergeJoin" not in plan
+    assert {(r["src"], r["dst"], r["rank"]) for r in found.collect()} == brute(rows, 3, 0.0, 0.99)
