@@ -14,8 +14,9 @@ WORD = r"[\p{L}\p{N}_]+"
 
 
 def strip(text: Column) -> Column:
-    """Both ends without Unicode white space."""
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    """Both ends without Unicode white space; a text without any at its ends is not searched."""
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(rf"(?U){SPACE}"), F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+\z", "")).otherwise(text)
 
 
 def blank(text: Column) -> Column:

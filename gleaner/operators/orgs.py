@@ -31,8 +31,9 @@ def resolve(queries: DataFrame, orgs: DataFrame) -> DataFrame:
     """
     active = orgs.where(F.coalesce("status", F.lit("active")) == "active")
     names = F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))
-    hit = F.exists(names, lambda n: (F.length(org_name(n)) >= 2) & org_name(F.col("query")).contains(org_name(n)))
-    found = queries.join(active, hit)
+    # names and queries are folded once each, before they meet
+    active = active.withColumn("__names", F.filter(F.transform(names, org_name), lambda n: F.length(n) >= 2))
+    found = queries.withColumn("__query", org_name(F.col("query"))).join(active, F.exists("__names", lambda n: F.col("__query").contains(n)))
     each = Window.partitionBy("query_id")
     several = F.count("*").over(each) > 1
     listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", "canonical_name")).over(each)), lambda s: s["canonical_name"])
