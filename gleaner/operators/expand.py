@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from gleaner.storage import written
 
-from .skew import meet
+from .skew import SHARE, meet
 
 #: Frontier rows that may be broadcast; larger ones are joined by shuffles.
 FEW = 10_000
+#: Buckets of articles; one with more rows than CROWD and than a SHAREth of all holds an article that no single task should.
+BUCKETS, CROWD = 65_536, 20_000
 
 
 def kinship(clause: Column, point: Column, own_clause: Column) -> Column:
@@ -42,8 +44,46 @@ def nearest_kin(chunks: DataFrame, most: int) -> DataFrame:
     """Rows (src, dst, kin, rank): the ``most`` nearest kin of each chunk in its article, itself among them, in order of degree, then seq.
 
     An article's chunks meet its first ones of each degree, ``most`` of each and 2 * most of the rest, not each other.
+    They meet where one shuffle by article puts them; only chunks in buckets of crowded articles meet by joins.
+    A chunk without document or article has no kin.
     """
-    rows = chunks.where("coalesce(article, '') != ''")
+    rows = chunks.where("document_id is not null and coalesce(article, '') != ''").select("document_id", "article", "chunk_id", "clause", "point", "seq")
+    bucket = F.pmod(F.xxhash64("document_id", "article"), F.lit(BUCKETS))
+    sizes = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))  # BUCKETS rows at most
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    crowded = [r["bucket"] for r in sizes.where(F.col("n") > max(CROWD, total // SHARE)).collect()]  # fewer than SHARE
+    if not crowded:
+        return _kin_in_place(rows, most)
+    apart = bucket.isin(*crowded)
+    return _kin_in_place(rows.where(~apart), most).unionByName(_kin_by_joins(rows.where(apart), most))
+
+
+def _kin_in_place(rows: DataFrame, most: int) -> DataFrame:
+    """nearest_kin by windows over one shuffle by article."""
+    art, clause = ["document_id", "article"], ["document_id", "article", "clause"]
+    kind = F.when(F.col("point").isNotNull(), 2).when(F.col("clause").isNotNull(), 1).otherwise(0)
+    # places in the article, then among those of its kind in its clause; the collections find the second order as it is
+    dealt = rows.withColumn("kind", kind).withColumn("m", F.row_number().over(Window.partitionBy(*art).orderBy("seq", "chunk_id")))
+    dealt = dealt.withColumn("n", F.row_number().over(Window.partitionBy(*clause, "kind").orderBy("seq", "chunk_id")))
+    same = Window.partitionBy(*clause, "kind", "seq", "chunk_id")
+    dealt = dealt.withColumns({"copies": F.count("*").over(same), "first": F.min("n").over(same)})
+    entry = F.struct("seq", F.col("chunk_id").alias("dst"), "clause", "point")
+    few = lambda which: F.collect_list(F.when(which, entry))
+    head, own, rest = few((F.col("kind") == 0) & (F.col("n") <= most)), few((F.col("kind") > 0) & (F.col("n") <= most)), few(F.col("m") <= 2 * most)
+    whole = Window.partitionBy(*art)
+    dealt = dealt.withColumns({"head": head.over(whole), "rest": rest.over(whole), "own": own.over(Window.partitionBy(*clause))})
+    degree = lambda e: kinship(e["clause"], e["point"], F.col("clause"))
+    shown = lambda e: F.struct(degree(e).alias("kin"), e["seq"].alias("seq"), e["dst"].alias("dst"))
+    far = F.filter("rest", lambda e: degree(e) == 3)
+    near = F.slice(F.array_sort(F.transform(F.concat("head", "own", far), shown)), 1, most)
+    # copies of a chunk ask as one chunk, which has each of its kin as often
+    near = F.when(F.col("copies") == 1, near).otherwise(F.slice(F.flatten(F.transform(near, lambda e: F.array_repeat(e, F.col("copies").cast("int")))), 1, most))
+    found = dealt.where("n = first").select(F.col("chunk_id").alias("src"), F.posexplode(near).alias("rank", "e"))
+    return found.select("src", "e.dst", "e.kin", (F.col("rank") + 1).alias("rank"))
+
+
+def _kin_by_joins(rows: DataFrame, most: int) -> DataFrame:
+    """nearest_kin by joins that spread the chunks of one article over tasks."""
     art = ["document_id", "article"]
     c = rows.select(*art, F.col("chunk_id").alias("cid"), "clause", "point", "seq")
     entry = F.struct("seq", F.col("cid").alias("dst"), "clause", "point")

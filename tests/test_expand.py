@@ -129,6 +129,24 @@ def test_nearest_kin_and_concepts(spark, world):
         assert {tuple(r) for r in entities.nearest_by_concept(world[1], most).collect()} == want
 
 
+def test_kin_meet_in_one_shuffle_unless_crowded(spark, world, monkeypatch):
+    """Chunks are shuffled once, by article; crowded articles meet by joins, with the same rows, and copies are one chunk."""
+    near = lambda rows: sorted(tuple(r) for r in expand.nearest_kin(rows, 3).collect())
+    plan = expand.nearest_kin(world[4], 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    copied = world[4].unionByName(world[4].where("seq % 3 = 0 or clause is null"))
+    lost = copied.limit(5).selectExpr("chunk_id || 'x' chunk_id", "seq", "cast(null as string) document_id", "'A1' article", "clause", "point")
+    want = near(world[4]), near(copied)
+    assert near(copied.unionByName(lost)) == want[1]
+    # an article of a document has about a hundredth of the chunks, so some are crowded and some are not
+    for crowd, share in ((0, 10**9), (0, 30), (12, 10**9)):
+        monkeypatch.setattr(expand, "CROWD", crowd)
+        monkeypatch.setattr(expand, "SHARE", share)
+        assert (near(world[4]), near(copied.unionByName(lost))) == want
+    with_joins = expand.nearest_kin(world[4], 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in with_joins and with_joins.count("Exchange") > 1
+
+
 def test_a_hub_of_a_million_chunks_gives_linear_rows(spark):
     keys = spark.range(1_000_000).selectExpr("concat('c', lpad(id, 7, '0')) chunk_id", "id seq", "'concept::hub' key", "0 key_pos")
     found = entities.nearest_by_concept(keys, 3)
