@@ -117,3 +117,39 @@ def test_batches_equal_a_rebuild(spark, tmp_path):
     index.apply_batch(folder, 2, batches[2])  # a replay
     same(spark, folder, docs)
     assert index.load(spark, f"file://{tmp_path}/none").idf.count() == 0
+
+
+def shuffled(spark):
+    """Bytes that the session's tasks have written for shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    gateway = spark.sparkContext._gateway
+    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_a_batch_shuffles_neither_texts_nor_postings(spark, tmp_path):
+    """Of 2,000 documents of 1,000 random words, a tenth is replaced: ids and the sums of 200 terms are shuffled."""
+    folder = f"file://{tmp_path}/index"
+    words = lambda seed: f"array_join(transform(sequence(1, 1000), i -> concat('w', pmod(xxhash64(id, i, {seed}), 200))), ' ')"
+    batches = [spark.range(0, n, 1, 4).selectExpr("id", "id seq", f"{words(n)} text") for n in (2000, 200)]
+    before = shuffled(spark)
+    for n, rows in enumerate(batches):
+        index.apply_batch(folder, n, rows)
+    assert shuffled(spark) - before < 400_000
+    whole = batches[0].where("id >= 200").unionByName(batches[1])
+    counts = lambda df: {r["term"]: r["df"] for r in df.collect()}
+    assert counts(index.load(spark, folder, "bigint").idf) == counts(lexical.build(whole.withColumnRenamed("id", "chunk_id")).idf)
+
+
+def test_repeated_and_null_ids(spark, tmp_path):
+    """Of an id's rows in a batch the last counts, also where the id is null, and a later batch replaces it."""
+    folder, fields = f"file://{tmp_path}/index", "id long, seq long, text string"
+    index.apply_batch(folder, 0, spark.createDataFrame([(1, 1, "w1 w1"), (1, 2, "w2 w1 w2"), (None, 3, "w3"), (2, 4, "w1"), (2, 5, None)], fields))
+    held = lambda: sorted((r["term"], r["id"], r["tf"], r["dl"]) for r in index.load(spark, folder, "bigint").postings.collect())
+    assert held() == [("w1", 1, 1, 3), ("w2", 1, 2, 3), ("w3", None, 1, 1)]
+    index.apply_batch(folder, 1, spark.createDataFrame([(None, 6, "w4"), (None, 5, "w5"), (3, 7, "")], fields))
+    index.apply_batch(folder, 1, spark.createDataFrame([(None, 6, "w4"), (None, 5, "w5"), (3, 7, "")], fields))
+    assert held() == [("w1", 1, 1, 3), ("w2", 1, 2, 3), ("w4", None, 1, 1)]
+    found = index.load(spark, folder, "bigint")
+    assert {r["term"]: r["df"] for r in found.idf.collect()} == {"w1": 1, "w2": 1, "w4": 1} and found.rows == found.lengths.count() == 3
