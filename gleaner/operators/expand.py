@@ -26,6 +26,8 @@ from .skew import SHARE, meet
 FEW = 10_000
 #: Buckets of articles; one with more rows than CROWD and than a SHAREth of all holds an article that no single task should.
 BUCKETS, CROWD = 65_536, 20_000
+#: Chunks of a task, about, that find their kin, so its memory does not grow with the table.
+CHUNKS = 250_000
 
 
 def kinship(clause: Column, point: Column, own_clause: Column) -> Column:
@@ -52,18 +54,19 @@ def nearest_kin(chunks: DataFrame, most: int) -> DataFrame:
     sizes = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))  # BUCKETS rows at most
     total = sizes.agg(F.sum("n")).first()[0] or 0
     crowded = [r["bucket"] for r in sizes.where(F.col("n") > max(CROWD, total // SHARE)).collect()]  # fewer than SHARE
+    tasks = max(chunks.sparkSession.sparkContext.defaultParallelism, -(-total // CHUNKS))  # a number, so they are not joined by their compressed size
     if not crowded:
-        return _kin_in_place(rows, most)
+        return _kin_in_place(rows, most, tasks)
     apart = bucket.isin(*crowded)
-    return _kin_in_place(rows.where(~apart), most).unionByName(_kin_by_joins(rows.where(apart), most))
+    return _kin_in_place(rows.where(~apart), most, tasks).unionByName(_kin_by_joins(rows.where(apart), most))
 
 
-def _kin_in_place(rows: DataFrame, most: int) -> DataFrame:
+def _kin_in_place(rows: DataFrame, most: int, tasks: int) -> DataFrame:
     """nearest_kin by windows over one shuffle by article."""
     art, clause = ["document_id", "article"], ["document_id", "article", "clause"]
     kind = F.when(F.col("point").isNotNull(), 2).when(F.col("clause").isNotNull(), 1).otherwise(0)
     # places in the article, then among those of its kind in its clause; the collections find the second order as it is
-    dealt = rows.withColumn("kind", kind).withColumn("m", F.row_number().over(Window.partitionBy(*art).orderBy("seq", "chunk_id")))
+    dealt = rows.repartition(tasks, *art).withColumn("kind", kind).withColumn("m", F.row_number().over(Window.partitionBy(*art).orderBy("seq", "chunk_id")))
     dealt = dealt.withColumn("n", F.row_number().over(Window.partitionBy(*clause, "kind").orderBy("seq", "chunk_id")))
     same = Window.partitionBy(*clause, "kind", "seq", "chunk_id")
     dealt = dealt.withColumns({"copies": F.count("*").over(same), "first": F.min("n").over(same)})

@@ -134,6 +134,10 @@ def test_kin_meet_in_one_shuffle_unless_crowded(spark, world, monkeypatch):
     near = lambda rows: sorted(tuple(r) for r in expand.nearest_kin(rows, 3).collect())
     plan = expand.nearest_kin(world[4], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+    with monkeypatch.context() as m:  # as many tasks as the chunks need
+        m.setattr(expand, "CHUNKS", 2)
+        parts = -(-world[4].where("article != ''").count() // 2)
+        assert f", {parts})" in expand.nearest_kin(world[4], 3)._jdf.queryExecution().executedPlan().toString()
     copied = world[4].unionByName(world[4].where("seq % 3 = 0 or clause is null"))
     lost = copied.limit(5).selectExpr("chunk_id || 'x' chunk_id", "seq", "cast(null as string) document_id", "'A1' article", "clause", "point")
     want = near(world[4]), near(copied)
