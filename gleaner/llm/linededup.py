@@ -27,6 +27,8 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import distinct, mix, slices
+from .arrow_text import mix, slices
 from .shared import Scratch, cluster, cut
 
 K, PERCENT = 7, 75
@@ -44,20 +46,28 @@ SEED = 23
 PLACES = np.random.default_rng(SEED).integers(0, 2**62, K, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bits of the bitmaps whose differing bits bound a symmetric difference from below.
 BITMAP = 512
+#: White space that lines lose at their ends.
+SPACE = " \t\r\x0b\x0c"
 #: Classes with at least one in HEAVY of all lines, HEAVY at most, are joined by broadcast.
 HEAVY = 1000
 #: Characters of lines whose signatures are computed at once.
 CHARACTERS = 256 << 10
 
 
+def _trimmed(line: Column) -> Column:
+    """The line without white space at its ends; trim lists each character of a line, so only lines that have such ends get it."""
+    ends = functools.reduce(operator.or_, (line.startswith(w) | line.endswith(w) for w in SPACE))
+    return F.when(ends, F.trim(line, F.lit(SPACE))).otherwise(line)
+
+
 def _split() -> Column:
-    return F.transform(F.split(F.lower("text"), "\n", -1), lambda x: F.trim(x, F.lit(" \t\r\x0b\x0c")))
+    return F.transform(F.split(F.lower("text"), "\n", -1), _trimmed)
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, line_no, line, id, h): every line of every document, normalised, and its two hashes."""
     each = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "line"))
-    each = each.withColumn("line", F.trim("line", F.lit(" \t\r\x0b\x0c")))
+    each = each.withColumn("line", _trimmed(F.col("line")))
     return each.withColumns({"id": F.xxhash64("line"), "h": F.xxhash64(F.lit(SEED), "line")})
 
 
@@ -100,11 +110,20 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compare(rows: pa.RecordBatch):
     x, start, end = shingles(rows.column("line").to_pylist())
-    sets = [distinct(x[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-    n = np.array([len(s) for s in sets])
-    maps = np.zeros((len(sets), BITMAP), bool)
-    maps[np.repeat(np.arange(len(sets)), n), (np.concatenate(sets) % np.uint64(BITMAP)).astype(np.int64)] = True
-    maps = np.packbits(maps, axis=1).view(np.uint64)
+    for a, b in zip(start.tolist(), end.tolist(), strict=True):
+        x[a:b].sort()
+    first, inside = np.ones(len(x), bool), np.zeros(len(x), np.int8)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    first[start] = True
+    inside[start], inside[end] = 1, -1
+    first &= np.cumsum(inside, dtype=np.int8).view(bool)
+    x, at = x[first], np.append(0, np.cumsum(first))
+    start, end = at[start], at[end]
+    n = end - start
+    maps = np.zeros(len(n) * BITMAP, bool)
+    maps[np.repeat(np.arange(len(n)) * BITMAP, n) + (x % np.uint64(BITMAP)).view(np.int64)] = True
+    maps = np.packbits(maps.reshape(-1, BITMAP), axis=1).view(np.uint64)
+    sets = [x[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
 
     def may(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         # each differing bit is of a shingle that only one of the two has; linked sets have (1 - J) / (1 + J) of all such at most
@@ -115,9 +134,9 @@ def _compare(rows: pa.RecordBatch):
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    at = np.searchsorted(x, y)
-    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-    return (100 + PERCENT) * both >= PERCENT * (len(x) + len(y))
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")  # a merge, as both parts are in order
+    return (100 + PERCENT) * int(np.count_nonzero(both[1:] == both[:-1])) >= PERCENT * (len(x) + len(y))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

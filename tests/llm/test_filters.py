@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import itertools
 import random
 import re
 
@@ -105,6 +106,29 @@ def test_line_bounds_lose_nothing():
         assert [j for j in np.flatnonzero(some).tolist() if linked(i, j)] == [j for j, b in enumerate(sets) if 100 * len(a & b) >= 75 * len(a | b)]
 
 
+def test_only_lines_with_white_space_at_an_end_are_trimmed(spark):
+    """Trimming lists the characters of a line, so lines without white space at their ends are left alone; results are those of strip."""
+    texts = ["".join(p) for p in itertools.product(["", " ", "\t\r", "\x0b\x0c ", "\xa0"], ["", "a b", "é\t😀", "x"], ["", "\r", " \x0c\t", "\u2003"])]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(len(texts), "\n".join(texts))], "doc_id long, text string")
+    got = {(r["doc_id"], r["line_no"]): r["line"] for r in linededup.lines(df).collect()}
+    want = [t.strip(linededup.SPACE) for t in texts]
+    assert got == {(i, 0): t for i, t in enumerate(want)} | {(len(texts), n): t for n, t in enumerate(want)}
+    plan = linededup.lines(df)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.index("startswith") < plan.index("trim(") and "endswith" in plan
+
+
+def test_line_sets_of_a_block_are_made_at_once():
+    """Sets of a block equal each line's own, with repeated shingles, short lines and lines of one character."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 90))) for _ in range(150)] + ["a", "é", "=" * 500, "ab" * 3, "x" * linededup.K]
+    may, linked = linededup._compare(pa.RecordBatch.from_arrays([pa.array(texts)], ["line"]))
+    sets = [{t[k : k + linededup.K] for k in range(max(1, len(t) - linededup.K + 1))} for t in texts]
+    n = np.arange(len(texts))
+    for i, a in enumerate(sets):
+        want = [100 * len(a & b) >= 75 * len(a | b) for b in sets]
+        assert [linked(i, j) for j in n.tolist()] == want and may(np.full(len(n), i), n)[want].all()
+
+
 def test_lines_empty(spark):
     assert linededup.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
