@@ -1,12 +1,13 @@
 """Retrieval for many queries at once: BM25 and cosine lists by query_id, fused and reranked.
 
 The corpus is packed into blocks of bounded size, postings of some thousand rows by term or a matrix of
-vectors, each a row of a written table.  Texts are packed where they are read, without a shuffle.
+vectors, each a row of a written table and a row group of its own, so a scan holds one.  Texts are packed
+where they are read, without a shuffle.
 Queries are packed into chunks of bounded size, and SENT of them are broadcast in a pass over the blocks.
-A task takes blocks one after another with the chunks, scores a chunk's queries against a
-block by array operations, and keeps each query's k best so far; only these leave the task, and a
-window merges the tasks' lists, whose number a query is that of tasks, not of blocks.  No pair of a
-query and a row is ever a row of a table.
+A task gets the chunks once, with its first block, so no block is copied for a chunk.  It takes blocks one after
+another, scores the queries against a block by array operations, and keeps each query's k best so far;
+only these leave the task, and a window merges the tasks' lists, whose number a query is that of tasks,
+not of blocks.  No pair of a query and a row is ever a row of a table.  Passes run one after another.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,9 @@ from .neighbours import matrix, unit
 #: Rows of a block; queries of a chunk; terms of a chunk's queries, about, unless one query has more.
 ROWS, QUERIES, TERMS = 4096, 1024, 65_536
 #: Words of a block of texts, about, unless one text has more.
-WORDS = 4_000_000
+WORDS = 1_000_000
+#: A block, or a chunk, is a row group: a scan holds all rows of a row group at once.
+ALONE = {"parquet.block.row.count.limit": "1"}
 #: Chunks that are broadcast to all tasks in a pass over the blocks, at most; tasks of a pass by core.
 SENT, TASKS = 16, 2
 #: What a BM25 score is counted in: scores of many terms would tie or not by the order of their summation.
@@ -60,7 +64,7 @@ class Packed:
 def save(tokens: DataFrame, folder: str) -> Packed:
     """Rows (id, seq, t) as a folder of blocks; the words are read once, and df, n and lengths are those of the blocks."""
     spark = tokens.sparkSession
-    packed_tokens(tokens).write.parquet(f"{folder}/blocks")
+    packed_tokens(tokens).write.options(**ALONE).parquet(f"{folder}/blocks")
     blocks = spark.read.parquet(f"{folder}/blocks")
     size = F.size("terms")
     ends = F.arrays_zip(F.col("terms").alias("term"), F.slice("starts", F.lit(1), size).alias("a"), F.slice("starts", F.lit(2), size).alias("b"))
@@ -211,54 +215,87 @@ class Best:
                 yield pa.RecordBatch.from_arrays([query, pa.concat_arrays([self.ids[i] for i in own]), pa.array(np.concatenate([self.seq[i] for i in own])), pa.array(np.concatenate([self.score[i] for i in own]))], ["query_id", "id", "seq", "score"])
 
 
-def _postings(row: Callable, best: Best) -> None:
-    """One block of postings for one chunk of queries."""
-    ids, seqs, starts = row("ids").values, row("seqs").values.to_numpy(), row("starts").values.to_numpy()
-    docs, tf, size = row("docs").values.to_numpy(), row("tfs").values.to_numpy(), row("sizes").values.to_numpy()
-    parts = tf * (scores.K1 + 1) / (tf + scores.K1 * (1 - scores.B + scores.B * size[docs] / row("mean").as_py()))
-    terms, weights, ends = row("terms_").values, row("weights").values.to_numpy(), row("starts_").values.to_numpy()
-    place = pc.index_in(terms, row("terms").values).fill_null(-1).to_numpy()
-    for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-        have = place[a:b] >= 0
-        own, w = place[a:b][have], weights[a:b][have]
-        size = starts[own + 1] - starts[own]
-        at = np.repeat(starts[own] - np.append(0, np.cumsum(size))[:-1], size) + np.arange(size.sum())
-        # whole units add up to the same sum in any order, as long as it is under 2 ** 53
-        best.offer(i, np.bincount(docs[at], np.rint(np.repeat(w, size) * parts[at] / UNIT), len(ids)) * UNIT, ids, seqs)
-
-
-def _vectors(row: Callable, best: Best) -> None:
-    """One block of vectors for one chunk of queries."""
-    ids, seqs = row("ids").values, row("seqs").values.to_numpy()
-    x, q = (np.frombuffer(row(c).as_buffer()).reshape(n, -1) for c, n in (("x", len(ids)), ("q", len(best.queries))))
-    if x.shape[1] != q.shape[1]:
-        raise ValueError(f"a query's vector has {q.shape[1]} components, a row's {x.shape[1]}")
-    for a in range(0, len(q), 128):
-        for i, s in enumerate(np.round(q[a : a + 128] @ x.T, DECIMALS) + 0.0, a):
-            best.offer(i, s, ids, seqs)
-
-
-def _met(blocks: DataFrame, chunks: DataFrame, n: int, k: int, score: Callable[[Callable, Best], None], kinds: tuple[str, str]) -> DataFrame:
+def _own(values: pa.Array) -> pa.Array:
+    """A copy: a slice keeps the whole batch that it comes from."""
+    return values.take(pa.array(np.arange(len(values))))
+
+
+class Postings:
+    """A pass's queries (chunks qs, terms_, weights, starts_), which meet blocks of postings."""
+
+    def __init__(self, chunks: pa.StructArray):
+        coded = chunks.field("terms_").flatten().dictionary_encode()
+        self.queries, self.terms, self.codes = _own(chunks.field("qs").flatten()), coded.dictionary, coded.indices.to_numpy()
+        self.weights = chunks.field("weights").flatten().to_numpy().copy()
+        self.ends = np.cumsum(np.concatenate([[0], *(np.diff(s.values.to_numpy()) for s in chunks.field("starts_"))])).astype(np.int64).tolist()
+
+    def score(self, row: Callable, best: Best) -> None:
+        """One block of postings."""
+        ids, seqs, starts = row("ids").values, row("seqs").values.to_numpy(), row("starts").values.to_numpy()
+        docs, tf, size = row("docs").values.to_numpy(), row("tfs").values.to_numpy(), row("sizes").values.to_numpy()
+        parts = tf * (scores.K1 + 1) / (tf + scores.K1 * (1 - scores.B + scores.B * size[docs] / row("mean").as_py()))
+        place = pc.index_in(self.terms, row("terms").values).fill_null(-1).to_numpy()
+        for i, (a, b) in enumerate(pairwise(self.ends)):
+            own = place[self.codes[a:b]]
+            have = own >= 0
+            own, w = own[have], self.weights[a:b][have]
+            size = starts[own + 1] - starts[own]
+            at = np.repeat(starts[own] - np.append(0, np.cumsum(size))[:-1], size) + np.arange(size.sum())
+            # whole units add up to the same sum in any order, as long as it is under 2 ** 53
+            best.offer(i, np.bincount(docs[at], np.rint(np.repeat(w, size) * parts[at] / UNIT), len(ids)) * UNIT, ids, seqs)
+
+
+class Vectors:
+    """A pass's queries (chunks qs, q), which meet blocks of vectors."""
+
+    def __init__(self, chunks: pa.StructArray):
+        self.queries = _own(chunks.field("qs").flatten())
+        self.q = [np.frombuffer(q).reshape(len(qs), -1) for q, qs in zip(chunks.field("q").to_pylist(), chunks.field("qs"), strict=True)]
+
+    def score(self, row: Callable, best: Best) -> None:
+        """One block of vectors."""
+        ids, seqs, at = row("ids").values, row("seqs").values.to_numpy(), 0
+        x = np.frombuffer(row("x").as_buffer()).reshape(len(ids), -1)
+        for q in self.q:
+            if x.shape[1] != q.shape[1]:
+                raise ValueError(f"a query's vector has {q.shape[1]} components, a row's {x.shape[1]}")
+            for a in range(0, len(q), 128):
+                for i, s in enumerate(np.round(q[a : a + 128] @ x.T, DECIMALS) + 0.0, at + a):
+                    best.offer(i, s, ids, seqs)
+            at += len(q)
+
+
+def _sent(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """blocks, in a few tasks, with ``asked``: all the chunks in each task's first row, null in its others."""
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # a row's place in its task
+    few = blocks.coalesce(TASKS * blocks.sparkSession.sparkContext.defaultParallelism).withColumn("first", first)
+    one = chunks.agg(F.collect_list(F.struct(*chunks.columns)).alias("chunks"))
+    # a row of SENT chunks, which have a bounded size
+    return few.crossJoin(F.broadcast(one)).withColumn("asked", F.when(F.col("first"), F.col("chunks"))).drop("first", "chunks")
+
+
+def _met(blocks: DataFrame, chunks: DataFrame, n: int, k: int, kind: type[Postings] | type[Vectors], kinds: tuple[str, str]) -> DataFrame:
     """Rows (query_id, id, seq, score): the k best that each task finds for each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, Best] = {}
+        asked = best = None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = lambda name, i=i, batch=batch: batch.column(name)[i]
-                chunk = row("chunk").as_py()
-                if chunk not in kept:  # SENT in a pass, at most
-                    kept[chunk] = Best(k, row("qs").values)
-                score(row, kept[chunk])
-        for best in kept.values():
+                if asked is None:
+                    if not row("asked").is_valid:
+                        raise ValueError("a task's first block came without the queries")
+                    asked = kind(row("asked").values)
+                    best = Best(k, asked.queries)
+                asked.score(row, best)
+        if best is not None:
             yield from best.batches()
 
-    spark = blocks.sparkSession
-    few = blocks.coalesce(TASKS * spark.sparkContext.defaultParallelism)
-    sent = written(chunks) if n > SENT else chunks
-    passes = [sent.where(F.col("chunk").between(a, a + SENT - 1)) for a in range(0, max(n, 1), SENT)]
-    # SENT chunks have a bounded size
-    found = [few.crossJoin(F.broadcast(own)).mapInArrow(run, FOUND.format(kind=kinds[0], id=kinds[1])) for own in passes]
+    meet = lambda own: _sent(blocks, own).mapInArrow(run, FOUND.format(kind=kinds[0], id=kinds[1]))
+    if n <= SENT:
+        return meet(chunks)
+    sent = written(chunks, **ALONE)
+    found = [written(_ranked(meet(sent.where(F.col("chunk").between(a, a + SENT - 1))), k).drop("rank")) for a in range(0, n, SENT)]
     return reduce(DataFrame.unionAll, found)
 
 
@@ -274,13 +311,13 @@ def _id_kind(blocks: DataFrame) -> str:
 def lexical_top_k(blocks: DataFrame, index: lexical.LexicalIndex | Packed, queries: DataFrame, k: int) -> DataFrame:
     """The k best rows for each query (query_id, text): (query_id, id, seq, score, rank), as ``lexical.top_k`` finds them, in whole UNITs."""
     chunks, n = lexical_chunks(index, queries)
-    return _ranked(_met(blocks, chunks, n, max(k, 1), _postings, (dict(queries.dtypes)["query_id"], _id_kind(blocks))), k)
+    return _ranked(_met(blocks, chunks, n, max(k, 1), Postings, (dict(queries.dtypes)["query_id"], _id_kind(blocks))), k)
 
 
 def cosine_top_k(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k rows nearest to each query (query_id, vector): (query_id, id, seq, score, rank), as ``dense.top_k`` finds them."""
     chunks, n = vector_chunks(queries)
-    return _ranked(_met(blocks, chunks, n, max(k, 1), _vectors, (dict(queries.dtypes)["query_id"], _id_kind(blocks))), k)
+    return _ranked(_met(blocks, chunks, n, max(k, 1), Vectors, (dict(queries.dtypes)["query_id"], _id_kind(blocks))), k)
 
 
 def fuse(a: DataFrame, b: DataFrame, k_rrf: int = K_RRF) -> DataFrame:

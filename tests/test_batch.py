@@ -99,3 +99,28 @@ def test_texts_are_packed_without_a_shuffle(spark, tmp_path, monkeypatch):
     assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
     got = [(r["query_id"], r["rank"], r["id"]) for r in found.collect()]
     assert sorted(got) == [(q, r["rank"], r["id"]) for q in range(7) for r in lexical.top_k(index, f"w{q} a", 5).orderBy("rank").collect()]
+
+
+def test_no_block_is_copied_for_a_chunk(spark, tables, tmp_path, monkeypatch):
+    """What meets is a row a block, with all chunks in each task's first row; a scan holds a row group, which is one block."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    for name, value in (("WORDS", 100), ("QUERIES", 7), ("SENT", 3)):
+        monkeypatch.setattr(batch, name, value)
+    index, _, queries = tables
+    held = batch.save(index.tokens, f"file://{tmp_path}/packed")
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{tmp_path}/packed/blocks/*.parquet")]
+    blocks = held.blocks.count()
+    assert blocks > 3 * len(files) and all(f.num_row_groups == f.num_rows for f in files)
+    fed, frame = [], type(held.blocks)
+    run = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema: fed.append(self) or run(self, f, schema))
+    asked = spark.createDataFrame(queries, "query_id long, text string, vector array<double>")
+    got = batch.lexical_top_k(held.blocks, held, asked, 9)
+    assert len(fed) > 1 and [f.count() for f in fed] == [blocks] * len(fed)  # a pass each
+    sent = fed[0].withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.sum(F.col("asked").isNotNull().cast("int")).alias("n")).collect()
+    assert len(sent) > 1 and {r["n"] for r in sent} == {1}
+    text = queries[9][1]
+    assert [r["id"] for r in got.where("query_id = 9").orderBy("rank").collect()] == [r["id"] for r in lexical.top_k(index, text, 9).orderBy("rank").collect()]
