@@ -7,7 +7,8 @@ Queries are packed into chunks of bounded size, and SENT of them are broadcast i
 A task gets the chunks once, with its first block, so no block is copied for a chunk.  It takes blocks one after
 another, scores the queries against a block by array operations, and keeps each query's k best so far;
 only these leave the task, and a window merges the tasks' lists, whose number a query is that of tasks,
-not of blocks.  No pair of a query and a row is ever a row of a table.  Passes run one after another.
+not of blocks.  No pair of a query and a row is ever a row of a table.  Passes run one after another, each
+written as it ends, with Arrow batches of a block or two.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import scores
 from gleaner.functions.text import tokens
-from gleaner.storage import written
+from gleaner.storage import batches_of, written
 
 from . import lexical
 from .fusion import K_RRF, pool_size
@@ -38,6 +39,8 @@ ROWS, QUERIES, TERMS = 4096, 1024, 65_536
 WORDS = 1_000_000
 #: A block, or a chunk, is a row group: a scan holds all rows of a row group at once.
 ALONE = {"parquet.block.row.count.limit": "1"}
+#: Bytes of texts, and of blocks, that go to Python at once, about: a batch ends with the row that passes them.
+TEXTS, BLOCKS = "32m", "8m"
 #: Chunks that are broadcast to all tasks in a pass over the blocks, at most; tasks of a pass by core.
 SENT, TASKS = 16, 2
 #: What a BM25 score is counted in: scores of many terms would tie or not by the order of their summation.
@@ -64,7 +67,8 @@ class Packed:
 def save(tokens: DataFrame, folder: str) -> Packed:
     """Rows (id, seq, t) as a folder of blocks; the words are read once, and df, n and lengths are those of the blocks."""
     spark = tokens.sparkSession
-    packed_tokens(tokens).write.options(**ALONE).parquet(f"{folder}/blocks")
+    with batches_of(spark, TEXTS):
+        packed_tokens(tokens).write.options(**ALONE).parquet(f"{folder}/blocks")
     blocks = spark.read.parquet(f"{folder}/blocks")
     size = F.size("terms")
     ends = F.arrays_zip(F.col("terms").alias("term"), F.slice("starts", F.lit(1), size).alias("a"), F.slice("starts", F.lit(2), size).alias("b"))
@@ -275,7 +279,7 @@ def _sent(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def _met(blocks: DataFrame, chunks: DataFrame, n: int, k: int, kind: type[Postings] | type[Vectors], kinds: tuple[str, str]) -> DataFrame:
-    """Rows (query_id, id, seq, score): the k best that each task finds for each query."""
+    """Rows (query_id, id, seq, score, rank): the k best of each query, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = best = None
@@ -286,16 +290,15 @@ def _met(blocks: DataFrame, chunks: DataFrame, n: int, k: int, kind: type[Postin
                     if not row("asked").is_valid:
                         raise ValueError("a task's first block came without the queries")
                     asked = kind(row("asked").values)
-                    best = Best(k, asked.queries)
+                    best = Best(max(k, 1), asked.queries)
                 asked.score(row, best)
         if best is not None:
             yield from best.batches()
 
-    meet = lambda own: _sent(blocks, own).mapInArrow(run, FOUND.format(kind=kinds[0], id=kinds[1]))
-    if n <= SENT:
-        return meet(chunks)
-    sent = written(chunks, **ALONE)
-    found = [written(_ranked(meet(sent.where(F.col("chunk").between(a, a + SENT - 1))), k).drop("rank")) for a in range(0, n, SENT)]
+    sent = written(chunks, **ALONE) if n > SENT else chunks
+    passes = [sent.where(F.col("chunk").between(a, a + SENT - 1)) for a in range(0, max(n, 1), SENT)]
+    with batches_of(blocks.sparkSession, BLOCKS):  # a query is in one pass
+        found = [written(_ranked(_sent(blocks, own).mapInArrow(run, FOUND.format(kind=kinds[0], id=kinds[1])), k)) for own in passes]
     return reduce(DataFrame.unionAll, found)
 
 
@@ -311,13 +314,13 @@ def _id_kind(blocks: DataFrame) -> str:
 def lexical_top_k(blocks: DataFrame, index: lexical.LexicalIndex | Packed, queries: DataFrame, k: int) -> DataFrame:
     """The k best rows for each query (query_id, text): (query_id, id, seq, score, rank), as ``lexical.top_k`` finds them, in whole UNITs."""
     chunks, n = lexical_chunks(index, queries)
-    return _ranked(_met(blocks, chunks, n, max(k, 1), Postings, (dict(queries.dtypes)["query_id"], _id_kind(blocks))), k)
+    return _met(blocks, chunks, n, k, Postings, (dict(queries.dtypes)["query_id"], _id_kind(blocks)))
 
 
 def cosine_top_k(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k rows nearest to each query (query_id, vector): (query_id, id, seq, score, rank), as ``dense.top_k`` finds them."""
     chunks, n = vector_chunks(queries)
-    return _ranked(_met(blocks, chunks, n, max(k, 1), Vectors, (dict(queries.dtypes)["query_id"], _id_kind(blocks))), k)
+    return _met(blocks, chunks, n, k, Vectors, (dict(queries.dtypes)["query_id"], _id_kind(blocks)))
 
 
 def fuse(a: DataFrame, b: DataFrame, k_rrf: int = K_RRF) -> DataFrame:

@@ -124,3 +124,19 @@ def test_no_block_is_copied_for_a_chunk(spark, tables, tmp_path, monkeypatch):
     assert len(sent) > 1 and {r["n"] for r in sent} == {1}
     text = queries[9][1]
     assert [r["id"] for r in got.where("query_id = 9").orderBy("rank").collect()] == [r["id"] for r in lexical.top_k(index, text, 9).orderBy("rank").collect()]
+
+
+def test_hybrid_in_passes_with_small_batches(spark, tables, monkeypatch):
+    """Blocks of words and of vectors go to Python in small batches, pass by pass; what is found is the same."""
+    index, vectors, queries = tables
+    asked = spark.createDataFrame(queries, "query_id long, text string, vector array<double>")
+    found = lambda: sorted(map(tuple, batch.hybrid(batch.packed_postings(index), index, batch.packed_vectors(vectors), asked, 4, 10).select("query_id", "rank", "id").collect()))
+    once, key = found(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    for name, value in (("ROWS", 20), ("QUERIES", 7), ("SENT", 3)):
+        monkeypatch.setattr(batch, name, value)
+    before, met, frame = spark.conf.get(key), [], type(asked)
+    run = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema: met.append((set(self.columns), spark.conf.get(key))) or run(self, f, schema))
+    assert found() == once and spark.conf.get(key) == before
+    words, near = ([size for columns, size in met if name in columns] for name in ("docs", "x"))
+    assert len(words) > 1 and len(near) > 1 and {*words, *near} == {"8m"}
